@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_of
+from .common import SPACE, fresh, stored, text_of
 
 #: A directory has at most this many bits; beyond it buckets grow instead.
 MAX_DEPTH = 14
@@ -116,6 +116,14 @@ def exact_duplicates(documents: DataFrame, capacity: int = 50_000) -> DataFrame:
     )
 
 
+def without_duplicates(documents: DataFrame, capacity: int = 50_000) -> DataFrame:
+    """The documents, all columns, that stay. ``documents`` must be read from files: rows are known by their place in the scan."""
+    row = fresh(documents, "_row")
+    gone = exact_duplicates(documents, capacity).where("not kept").select(F.col("_row").alias(row))
+    numbered = documents.select("*", F.monotonically_increasing_id().alias(row))
+    return numbered.join(gone, row, "left_anti").select(*documents.columns)
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
