@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,10 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def durable_counting(df: DataFrame, condition: str, name: str = "table") -> tuple[DataFrame, int]:
+    """``durable`` and how many rows meet the condition, counted by the same job that writes."""
+    seen = Observation()
+    counted = df.observe(seen, F.count_if(F.expr(condition)).alias("n"))
+    return durable(counted, name), seen.get["n"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import text_of
 
 #: Entries of a memo before it is set aside and then dropped; bounds a worker's memory.
-MEMO = 200_000
+MEMO = 400_000
 STATES = 200_000
 #: By how many ids they pack.
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]

@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the capacity, so all that the plan needs of the corpus is how many pieces have
 each length: as many counts as the capacity, however large the corpus. The driver plans on them:
 
-1. Lengths over ``small`` of the capacity are sorted and cut into groups of equal cardinality; each is rounded up
+1. Lengths over a share of the capacity are sorted and cut into groups of equal cardinality; each is rounded up
    to the largest of its group.
 2. The configuration program over these few sizes is solved by column generation (a knapsack prices new
    configurations); each configuration is used as often as the solution's whole part says.
@@ -11,6 +11,8 @@ each length: as many counts as the capacity, however large the corpus. The drive
    best fit, longest first.
 4. Short pieces go by best fit into the space that the actual lengths leave.
 
+This is done for a few shares and numbers of groups, and the one that needs the fewest sequences counts.
+
 The plan is a list of runs: pieces of one length, with ranks from ``first`` to ``end``, go to consecutive sequences at one
 offset. Tasks give every piece its rank and look its run up. No sequence, list of pieces or text passes the driver.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
@@ -31,8 +34,6 @@ from pyspark.sql import functions as F
 from .bpe import SpaceMemo
 from .common import stored, text_of
 
-RUNS = "length int, first long, end long, sequence long, offset int"
-
 
 def grouped(counts: dict[int, int], over: int, groups: int) -> dict[int, int]:
     """Linear grouping: the size that each length above ``over`` is rounded up to."""
@@ -160,7 +161,16 @@ class _Plan:
             self.open(sequence, n, self.capacity - used)
 
 
-def plan(counts: dict[int, int], capacity: int, small: float = 0.12, groups: int = 48) -> list[tuple[int, int, int, int, int]]:
+#: What share of the capacity is still short, and into how many groups longer ones go. Which does best depends on the lengths.
+SETTINGS = ((0.12, 48), (0.25, 48), (0.33, 48), (0.45, 96), (0.5, 48))
+
+
+def plan(counts: dict[int, int], capacity: int, settings: tuple = SETTINGS) -> list[tuple[int, int, int, int, int]]:
+    """The runs of the setting that needs the fewest sequences, the first of equals."""
+    return min((grouping_plan(counts, capacity, *s) for s in settings), key=lambda p: p.sequences).runs
+
+
+def grouping_plan(counts: dict[int, int], capacity: int, small: float, groups: int) -> _Plan:
     """Runs (length, first rank, end rank, first sequence, offset) that pack counts[length] pieces of every length."""
     p = _Plan({n: k for n, k in counts.items() if 0 < n <= capacity and k}, capacity)
     size_of = grouped(p.left, int(small * capacity), groups)
@@ -174,7 +184,7 @@ def plan(counts: dict[int, int], capacity: int, small: float = 0.12, groups: int
             p.fill(config, int(times + 1e-9), members)
     for n in sorted(p.left, reverse=True):
         p.best_fit(n)
-    return p.runs
+    return p
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -189,16 +199,28 @@ def _tokens(path: str) -> SpaceMemo:
 
     tokenizer = Tokenizer.from_file(path)
 
-    def packed(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    special = "".join("|" + "".join(f"\\x{{{ord(c):x}}}" if ord(c) > 127 else f"\\x{ord(c):02x}" for c in t.content)
-                      for t in tokenizer.get_added_tokens_decoder().values() if t.content.isascii())
-    return SpaceMemo(
-        lambda chunks: [packed(e) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)],
-        lambda text: packed(tokenizer.encode(text, add_special_tokens=False)),
-        special,
-    )
+    # In this vocabulary each character of a token stands for one byte.
+    size = tokenizer.get_vocab_size()
+    length = np.array([len(tokenizer.id_to_token(i) or "") for i in range(size)])
+
+    def each(chunks: list[str]) -> list[bytes]:
+        """All chunks in one call, as one text: its ids fall to the chunks by how many bytes they stand for."""
+        ids = np.array(tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        cuts = ((np.searchsorted(np.cumsum(length[ids]), ends) + 1) * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:z] for a, z in zip([0, *cuts], cuts, strict=False)]
+
+    def told(chunks: list[str]) -> list[bytes]:
+        plain = [c for c in chunks if c[0] == " " and len(c) > 1 and not c[-1].isspace() and not c[1].isspace()]
+        done = dict(zip(plain, each(plain), strict=True)) if plain else {}
+        return [done[c] if c in done else whole(c) for c in chunks]
+
+    special = "".join("|" + re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())
+    return SpaceMemo(told, whole, special)
 
 
 def pieces(documents: DataFrame, path: str, capacity: int, end: int = 0) -> DataFrame:
@@ -229,7 +251,7 @@ def pieces(documents: DataFrame, path: str, capacity: int, end: int = 0) -> Data
     )
 
 
-def place(cut: DataFrame, capacity: int, small: float = 0.12, groups: int = 48, shards: int = 1024) -> DataFrame:
+def place(cut: DataFrame, capacity: int, settings: tuple = SETTINGS, shards: int = 1024) -> DataFrame:
     """Add sequence_id and offset to stored pieces with a ``length`` from 1 to ``capacity``.
 
     A piece's rank among those of its length is the count of such pieces in earlier shards plus its place in
@@ -243,7 +265,7 @@ def place(cut: DataFrame, capacity: int, small: float = 0.12, groups: int = 48,
     counts = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    runs = sorted(plan(counts, capacity, small, groups))
+    runs = sorted(plan(counts, capacity, settings))
     table = np.array(runs, np.int64).reshape(-1, 5)
     shared = cut.sparkSession.sparkContext.broadcast(table)  # a few runs for each length up to the capacity
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, profiles
-from ..functions.durable import durable
+from ..functions.durable import durable, durable_counting
 from ..functions.numbers import INF, at_least
 
 
@@ -79,40 +79,63 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def least_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", limit: float | Column | None = None, max_rounds: int = 100_000) -> DataFrame:
+def least_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", limit: float | None = None, avoid: DataFrame | None = None, hops_a_round: int = 4, max_rounds: int = 100_000) -> DataFrame:
     """(src, node, cost, parent, hops) of every node within ``limit`` of each source (src, node): the least cost, then the least parent.
 
-    ``limit`` is a number or a column of the state (src). Costs must be positive, so rounds end: at most as many as a best path has edges.
+    ``avoid`` (src, u, v) shuts edges for single sources. Costs must be positive, so rounds end: a best path's edges divided by
+    ``hops_a_round``, which are relaxed in one plan between two stored states.
     """
     e = durable(edges.select(F.col("u").alias("node"), F.col("v").alias("next"), F.col(cost).alias("w")), "edges")
-    best = F.min(F.struct("cost", "parent", "hops")).alias("b")
-    state = sources.select("src", "node", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("parent"), F.lit(0).alias("hops"), F.lit(True).alias("fresh"))
+    shut = durable(avoid.select("src", F.col("u").alias("node"), F.col("v").alias("next")).distinct(), "shut") if avoid is not None else None
+    row = ["cost", "parent", "hops", "k"]
+    best = F.min(F.struct(*row)).alias("b")
+    state = sources.select("src", "node", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("parent"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")).distinct()
     state = durable(state, "costs")
     for _ in range(max_rounds):
         front = state.where("fresh")
-        step = front.join(e, "node").select("src", F.col("next").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"), (F.col("hops") + 1).alias("hops"))
-        if limit is not None:
-            step = step.where(F.col("cost") <= limit)
-        old = state.select("src", "node", "cost", "parent", "hops", F.lit(False).alias("new")).unionByName(step.withColumn("new", F.lit(True)))
-        merged = old.groupBy("src", "node").agg(best, F.min(F.when(~F.col("new"), F.col("cost"))).alias("before"))
-        fresh = F.col("before").isNull() | (F.col("b.cost") < F.col("before"))
-        state = durable(merged.select("src", "node", "b.cost", "b.parent", "b.hops", fresh.alias("fresh")), "costs")
-        if not state.where("fresh").limit(1).count():
+        both = state.select("src", "node", "cost", "parent", "hops", F.lit(0).alias("k"))
+        for k in range(1, hops_a_round + 1):
+            step = front.join(e, "node")
+            if shut is not None:
+                step = step.join(shut, ["src", "node", "next"], "left_anti")
+            step = step.select("src", F.col("next").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"), (F.col("hops") + 1).alias("hops"), F.lit(k).alias("k"))
+            if limit is not None:
+                step = step.where(F.col("cost") <= limit)
+            front = step.groupBy("src", "node").agg(best).select("src", "node", *[f"b.{c}" for c in row])
+            both = both.unionByName(front)
+        merged = both.groupBy("src", "node").agg(best)
+        # What an earlier hop of this round found has been relaxed in it already.
+        after = merged.select("src", "node", "b.cost", "b.parent", "b.hops", (F.col("b.k") == hops_a_round).alias("fresh"))
+        state, left = durable_counting(after, "fresh", "costs")
+        if not left:
             return state.drop("fresh")
     raise RuntimeError("relaxation did not settle")
 
 
-def back_trace(costs: DataFrame, targets: DataFrame) -> DataFrame:
+def back_trace(costs: DataFrame, targets: DataFrame, hops_a_round: int = 6) -> DataFrame:
     """(src, target, pos, node) of the best path to each target (src, target): pos counts from the source, 0."""
-    start = targets.join(costs.withColumnRenamed("node", "target"), ["src", "target"]).select("src", "target", F.col("target").alias("node"), F.col("hops").alias("pos"), "parent")
-    out = at = durable(start, "trace")
-    while at.where("parent >= 0").limit(1).count():
-        at = durable(
-            at.where("parent >= 0").select("src", "target", F.col("parent").alias("node"), (F.col("pos") - 1).alias("pos"))
-            .join(costs.select("src", "node", F.col("parent").alias("parent")), ["src", "node"]).select("src", "target", "node", "pos", "parent"), "trace",
-        )
-        out = out.unionByName(at)
-    return out.select("src", "target", "pos", "node")
+    back = durable(costs.select("src", F.col("node").alias("at"), F.col("parent").alias("back")), "parents")
+    start = targets.distinct().join(costs.withColumnRenamed("node", "target"), ["src", "target"])
+    here = start.select("src", "target", F.col("target").alias("at"), F.col("hops").alias("pos"), F.col("parent").alias("back"))
+    parts, left = [], 1
+    first = F.array(F.struct(F.col("pos").alias("pos"), F.col("at").alias("node")))
+    path = first
+    while left:
+        now = here.select("*", path.alias("path"))
+        for _ in range(hops_a_round):
+            moves = F.col("back") >= 0
+            now = now.select(
+                "src", "target", F.when(moves, F.col("back")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"),
+                F.when(moves, F.concat("path", F.array(F.struct((F.col("pos") - 1).alias("pos"), F.col("back").alias("node"))))).otherwise(F.col("path")).alias("path"),
+            ).join(back, ["src", "at"])
+        stored, left = durable_counting(now, "back >= 0", "trace")
+        parts.append(stored.select("src", "target", F.inline("path")))
+        here = stored.where("back >= 0").drop("path")
+        path = F.slice(first, 1, 0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def isochrones(edges: DataFrame, origins: DataFrame, nodes: DataFrame, minutes: list[float], profile: str | dict = "adult") -> DataFrame:
@@ -183,33 +206,12 @@ def routes(edges: DataFrame, queries: DataFrame, profile: str | dict = "adult",
 
     Sources that several queries share are searched once. ``avoid`` (query_id, u, v) shuts edges for single queries, which are then searched apart.
     """
-    e = weighted(edges, profile)
-    if avoid is not None:
-        # Shut edges differ by query, so the graph is the queries' own: nodes of state carry the query in src.
-        return _routes_avoiding(e, queries, avoid, limit)
-    costs = least_costs(e, queries.select("src", F.col("src").alias("node")).distinct(), "cost", limit)
-    path = back_trace(costs, queries.select("src", F.col("dst").alias("target")).distinct())
-    path = path.join(costs.select("src", "node", "cost"), ["src", "node"])
-    return queries.join(path, (queries["src"] == path["src"]) & (queries["dst"] == path["target"])).select("query_id", "pos", "node", "cost")
-
-
-def _routes_avoiding(e: DataFrame, queries: DataFrame, avoid: DataFrame, limit: float | None) -> DataFrame:
-    e = durable(e.select("u", "v", "cost"), "edges")
-    shut = durable(avoid.select(F.col("query_id").alias("src"), F.col("u").alias("node"), F.col("v").alias("next")).distinct(), "shut")
-    best = F.min(F.struct("cost", "parent", "hops")).alias("b")
-    state = durable(queries.select(F.col("query_id").alias("src"), F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("parent"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")), "costs")
-    while state.where("fresh").limit(1).count():
-        step = state.where("fresh").join(e.select(F.col("u").alias("node"), F.col("v").alias("next"), F.col("cost").alias("w")), "node")
-        step = step.join(shut, ["src", "node", "next"], "left_anti")
-        step = step.select("src", F.col("next").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"), (F.col("hops") + 1).alias("hops"))
-        if limit is not None:
-            step = step.where(F.col("cost") <= limit)
-        both = state.select("src", "node", "cost", "parent", "hops", F.lit(False).alias("new")).unionByName(step.withColumn("new", F.lit(True)))
-        merged = both.groupBy("src", "node").agg(best, F.min(F.when(~F.col("new"), F.col("cost"))).alias("before"))
-        state = durable(merged.select("src", "node", "b.cost", "b.parent", "b.hops", (F.col("before").isNull() | (F.col("b.cost") < F.col("before"))).alias("fresh")), "costs")
-    costs = state.drop("fresh")
-    path = back_trace(costs, queries.select(F.col("query_id").alias("src"), F.col("dst").alias("target")))
-    return path.join(costs.select("src", "node", "cost"), ["src", "node"]).select(F.col("src").alias("query_id"), "pos", "node", "cost")
+    own = avoid is not None
+    q = durable(queries.select("query_id", F.col("query_id" if own else "src").alias("src"), F.col("src").alias("from"), F.col("dst").alias("target")), "queries")
+    shut = avoid.withColumnRenamed("query_id", "src") if own else None
+    costs = least_costs(weighted(edges, profile), q.select("src", F.col("from").alias("node")), "cost", limit, shut)
+    path = back_trace(costs, q.select("src", "target")).join(costs.select("src", "node", "cost"), ["src", "node"])
+    return q.join(path, ["src", "target"]).select("query_id", "pos", "node", "cost")
 
 
 def alternatives(edges: DataFrame, queries: DataFrame, profile: str | dict = "adult") -> DataFrame:
