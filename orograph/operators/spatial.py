@@ -102,7 +102,8 @@ def inverse_distance(targets: DataFrame, known: DataFrame, power: float = 2.0, r
     if known.count() > 1_000_000:
         raise ValueError("too many stations for inverse distances over all of them; give a raster instead")
     j = targets.join(F.broadcast(known))
-    d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    # Not hypot: of stations at equal distances, sums of squares tell none apart by rounding.
+    d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
     j = j.withColumn("d", d).withColumn("w", F.when(F.col("d") >= epsilon, F.pow(at_least(F.col("d"), epsilon), F.lit(-power))))
     if radius is not None:
         j = j.withColumn("w", F.when(F.col("d") <= radius, F.col("w")))
