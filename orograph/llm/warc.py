@@ -1,7 +1,7 @@
 """Web archives: writing pages as WARC records, and reading them back from segments.
 
 Archives are written by Spark's text writer, one record a line whose last line feed is the end of the record's closing blank
-lines, so they can be in any store that Spark writes to. A payload over ``segment_bytes`` is cut at character borders into a first record and
+lines, so they can be in any store that Spark writes to. Files are compressed by gzip; reading takes plain ones too. A payload over ``segment_bytes`` is cut at character borders into a first record and
 continuation records, which name the first one as their origin and are numbered from 1. A response's block is an HTTP message with chunked
 transfer framing. Reading parses records by their Content-Length, groups the segments of one origin,
 orders them by number, verifies the total length, and decodes the chunks.
@@ -9,6 +9,7 @@ orders them by number, verifies the total length, and decodes the chunks.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -126,7 +127,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     archive = told.mapInArrow(run, "value string")
     # A record has at most segment_bytes besides its head, so this bounds the bytes of a file.
     each = max(1, FILE_BYTES // (segment_bytes + 1024))
-    archive.write.option("lineSep", "\n").option("maxRecordsPerFile", each).text(path)
+    archive.write.option("lineSep", "\n").option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -167,7 +168,8 @@ def scan(files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                found = list(parse(content.as_py()))
+                data = content.as_py()
+                found = list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
                 kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
                 for i in range(0, len(found), 256):
                     part = found[i : i + 256]
