@@ -14,18 +14,21 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import shared_dir, stored, text_of
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 SEGMENT_BYTES = 16 << 10
 #: An archive file holds about as many bytes; files are read whole.
 FILE_BYTES = 8 << 20
+#: Records that a worker holds at once.
+SLICE = 128
 DATE = "2000-01-01T00:00:00Z"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELDS = ["record_id", "record_type", "page_id", "uri", "digest", "refers_to", "origin", "segment", "total", "block"]
@@ -118,16 +121,17 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     def run(batches):
         done = 0
         for b in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += records(*row, done, segment_bytes)
-                done += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string() if sum(map(len, out)) > 1 << 29 else pa.string())], ["value"])
+            for i in range(0, b.num_rows, SLICE):
+                out = []
+                for row in zip(*(c.to_pylist() for c in b.slice(i, SLICE).columns), strict=True):
+                    out += records(*row, done, segment_bytes)
+                    done += 1
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string() if sum(map(len, out)) > 1 << 29 else pa.string())], ["value"])
 
     archive = told.mapInArrow(run, "value string")
     # A record has at most segment_bytes besides its head, so this bounds the bytes of a file.
     each = max(1, FILE_BYTES // (segment_bytes + 1024))
-    archive.write.option("lineSep", "\n").option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
+    archive.write.option("lineSep", "\n").option("maxRecordsPerFile", each).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -162,28 +166,32 @@ def parse(data: bytes) -> Iterator[dict]:
 _SCHEMA = "record_id string, record_type string, page_id string, uri string, digest string, refers_to string, origin string, segment int, total long, block binary"
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """All records of the archives in ``files`` (rows of binaryFile), segments apart."""
+def scan(files: DataFrame, payloads: bool = False) -> DataFrame:
+    """All records of the archives in ``files`` (rows of binaryFile), segments apart.
+
+    With ``payloads`` a record that is no segment has its payload as block, null for a revisit.
+    """
+
+    def told(r: dict) -> dict:
+        return r | {"block": None if r["record_type"] == "revisit" else payload_of(r["block"])} if payloads and r["origin"] is None else r
 
     def run(batches):
+        kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
             for content in b.column(0):
                 data = content.as_py()
-                found = list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-                kinds = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
-                for i in range(0, len(found), 256):
-                    part = found[i : i + 256]
+                found = map(told, parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+                while part := list(islice(found, SLICE)):
                     yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in part], k) for f, k in zip(_FIELDS, kinds, strict=True)], _FIELDS)
 
     return files.select("content").mapInArrow(run, _SCHEMA)
 
 
-def assembled(found: DataFrame) -> DataFrame:
-    """One row for each whole record: those of several segments joined by number, their number and total length verified.
+def reassembled(found: DataFrame) -> DataFrame:
+    """One row for each record that has segments: joined by number, their number and total length verified.
 
     Segments of one origin are one record's bytes, so a group is as large as a record. Fails where a segment is missing or a length is wrong.
     """
-    alone = found.where("origin is null").drop("origin", "segment", "total")
     parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
     heads = [F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in _FIELDS[:6]]
     groups = found.where("origin is not null").groupBy("origin").agg(*heads, parts.alias("parts"), F.max("total").alias("total"), F.max("segment").alias("most"))
@@ -192,21 +200,24 @@ def assembled(found: DataFrame) -> DataFrame:
     joined = groups.select(*_FIELDS[:6], block.alias("block"), "total", "most", F.size("parts").alias("n"), "origin")
     right = (F.col("n") == F.col("most")) & (F.octet_length("block") == F.col("total")) & F.col("record_id").isNotNull()
     wrong = F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" don't add up"))).cast("binary")
-    return alone.unionByName(joined.select(*_FIELDS[:6], F.when(F.coalesce(right, F.lit(False)), F.col("block")).otherwise(wrong).alias("block")))
+    return joined.select(*_FIELDS[:6], F.when(F.coalesce(right, F.lit(False)), F.col("block")).otherwise(wrong).alias("block"))
 
 
 def read(spark, path: str) -> DataFrame:
     """(page_id string, uri, record_type, digest, refers_to, payload binary) of every record; a revisit's payload is null."""
-    whole = assembled(scan(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)))
+    found = scan(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path), payloads=True)
+    columns = ["page_id", "uri", "record_type", "digest", "refers_to"]
     fields = "page_id string, uri string, record_type string, digest string, refers_to string, payload binary"
 
     def run(batches):
         for b in batches:
-            kind = b.column(2).to_pylist()
-            payload = [payload_of(x) if k != "revisit" else None for x, k in zip(b.column(5).to_pylist(), kind, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(payload, pa.binary())], ["page_id", "uri", "record_type", "digest", "refers_to", "payload"])
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                payload = pa.array(map(payload_of, part.column(5).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], payload], [*columns, "payload"])
 
-    return whole.select("page_id", "uri", "record_type", "digest", "refers_to", "block").mapInArrow(run, fields)
+    whole = found.where("origin is null").select(*columns, F.col("block").alias("payload"))
+    return whole.unionByName(reassembled(found).select(*columns, "block").mapInArrow(run, fields))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -224,13 +235,14 @@ def round_trip(pages: DataFrame, path: str | None = None, segment_bytes: int = S
     def as_id(c: str) -> Column:
         return F.col(c).cast(kind)
 
+    # Stored, as both sides of the join below need it and it is small without the payloads.
     found = read(spark, path).select(
         as_id("page_id").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"),
         F.col("digest").alias("payload_digest"), "record_type", as_id("refers_to").alias("refers_to"),
     )
     same = F.coalesce((F.col("record_type") == "revisit") | (F.col("sha1") == F.col("payload_digest")), F.lit(False))
     wrong = F.raise_error(F.lit("a payload's digest is not the recorded one"))
-    found = found.withColumn("payload_digest", F.when(same, F.col("payload_digest")).otherwise(wrong))
+    found = stored(found.withColumn("payload_digest", F.when(same, F.col("payload_digest")).otherwise(wrong)), "warc-read")
     sizes = found.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("bytes").alias("_bytes"))
     joined = found.join(sizes, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     return joined.select("page_id", F.coalesce("bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
