@@ -136,9 +136,10 @@ def bicubic_surface(spark, sf_dir):
 g AS (SELECT id, sum(CASE WHEN d>=1e-6 AND d<=12.3e0 THEN pow(d,-2) END) AS w, sum(CASE WHEN d>=1e-6 AND d<=12.3e0 THEN pow(d,-2)*capacity END) AS wz, min(d) AS m, arg_min(capacity,(d,px,py,capacity)) AS nz FROM q GROUP BY id)
 SELECT id, {r("CASE WHEN m<1e-6 THEN nz WHEN coalesce(w,0)<=0 THEN nz ELSE wz/w END", "value", 3)} FROM g""", "circles", "facilities")
 def inverse_distance(spark, sf_dir):
-    t = load(spark, sf_dir, "circles").select("id", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"))
-    k = load(spark, sf_dir, "facilities").select((F.col("lon") * 1000).alias("px"), (F.col("lat") * 1000).alias("py"), F.col("capacity").alias("pz"))
-    return rounded_columns(spatial.inverse_distance(t, k, radius=12.3), 3)
+    # In degrees: multiplying before the difference would make other near ties of it than the SQL does.
+    t = load(spark, sf_dir, "circles").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    k = load(spark, sf_dir, "facilities").select(F.col("lon").alias("px"), F.col("lat").alias("py"), F.col("capacity").alias("pz"))
+    return rounded_columns(spatial.inverse_distance(t, k, radius=0.0123, epsilon=1e-9), 3)
 
 
 @query("""SELECT c.id, r.value FROM circles c LEFT JOIN raster_cells r ON r.col=CAST(floor((c.lon-27.0995e0)/0.001e0) AS BIGINT) AND r.row_=CAST(floor((c.lat-38.3995e0)/0.001e0) AS BIGINT)""", "circles", "raster_cells")
