@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.durable import durable
 from ..functions.numbers import at_least, floor_mod
 
 #: Least cosine of a latitude for which cells are widened; beyond 84 degrees cells near a pole would never end.
@@ -45,10 +46,21 @@ def within(points: DataFrame, targets: DataFrame, radius_m: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str, target_key: str) -> DataFrame:
-    """(key, target, dist_m): the nearest target within the radius, the least target key of equals."""
-    pairs = within(points, targets, radius_m)
-    best = pairs.groupBy(key).agg(F.min(F.struct("dist_m", F.col(target_key).alias("t"))).alias("b"))
-    return best.select(key, F.col("b.t").alias(target_key), F.col("b.dist_m").alias("dist_m"))
+    """(key, target, dist_m): the nearest target within the radius, the least target key of equals.
+
+    A target within a small circle is nearer than all outside it, so circles widen, and only points that found nothing go on to the
+    next. Dense places are thus never joined over the whole radius.
+    """
+    found, left = None, points
+    for r in (radius_m / 32, radius_m / 6, radius_m):
+        pairs = within(left, targets, r)
+        best = pairs.groupBy(key).agg(F.min(F.struct("dist_m", F.col(target_key).alias("t"))).alias("b"))
+        if r < radius_m:
+            best = durable(best, "nearest")
+            left = left.join(best, key, "left_anti")
+        found = best if found is None else found.unionByName(best)
+    # Null keys are one group in each pass.
+    return found.groupBy(key).agg(F.min("b").alias("b")).select(key, F.col("b.t").alias(target_key), F.col("b.dist_m").alias("dist_m"))
 
 
 def near_segments(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles
 from ..functions.numbers import INF, rounded
-from ..operators import graph
+from ..operators import graph, pareto
 from ..operators.polylines import rounded_columns
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
@@ -175,3 +175,13 @@ def network_evacuation(spark, sf_dir):
     m = _zone_nodes(spark, sf_dir).where("zone_id in (6, 12, 18)").withColumnRenamed("zone_id", "muster_id")
     h = load(spark, sf_dir, "circles").where("radius_m >= 68").select(F.col("lon").alias("hlon"), F.col("lat").alias("hlat"), "radius_m", F.lit(100.0).alias("severity"))
     return rounded_columns(graph.network_evacuation(_edges(spark, sf_dir), load(spark, sf_dir, "nodes"), o, m, h), 3)
+
+
+@query()
+def tradeoff_routes(spark, sf_dir):
+    """Fastest, flattest and other trade-off routes between nodes two columns and two rows apart. SQL would have to list all simple paths."""
+    n = load(spark, sf_dir, "nodes")
+    a, b = n.where("gx % 10 = 0 and gy % 10 = 0"), n.select(F.col("id").alias("dst"), F.col("gx").alias("x"), F.col("gy").alias("y"))
+    q = a.join(b, (b["x"] == a["gx"] + 2) & (b["y"] == a["gy"] + 2)).select(F.col("id").alias("query_id"), F.col("id").alias("src"), "dst")
+    found = pareto.archetypes(pareto.frontier(pareto.vectors(_edges(spark, sf_dir), n), q, epsilon=0.0))
+    return rounded_columns(found.withColumn("path", F.concat_ws(" ", F.col("path").cast("array<string>"))), 4)
