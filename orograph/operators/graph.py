@@ -112,7 +112,7 @@ def least_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", limit:
     raise RuntimeError("relaxation did not settle")
 
 
-def back_trace(costs: DataFrame, targets: DataFrame, hops_a_round: int = 6) -> DataFrame:
+def back_trace(costs: DataFrame, targets: DataFrame, hops_a_round: int = 12) -> DataFrame:
     """(src, target, pos, node) of the best path to each target (src, target): pos counts from the source, 0."""
     back = durable(costs.select("src", F.col("node").alias("at"), F.col("parent").alias("back")), "parents")
     start = targets.distinct().join(costs.withColumnRenamed("node", "target"), ["src", "target"])
