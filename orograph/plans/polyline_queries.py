@@ -363,7 +363,7 @@ def congested_rings(spark, sf_dir):
 
 @query(f"""WITH p AS (SELECT route_id, row_number() OVER w AS step, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM polylines WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
 q AS (SELECT *, coalesce(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)),0e0) AS d, coalesce(z2-z,0e0) AS dz, sqrt((x-x0)*(x-x0)+(y-y0)*(y-y0)) AS d0, degrees(atan2(x2-x,y2-y)-atan2(x-x0,y-y0)) AS a FROM p WHERE x2 IS NOT NULL OR x0 IS NOT NULL),
-s AS (SELECT *, dz/greatest(d,1e0)*100 AS pct, CASE WHEN a>180 THEN a-360 WHEN a<-180 THEN a+360 ELSE a END AS t FROM q),
+s AS (SELECT *, dz/greatest(d,1e0)*100 AS pct, floor((CASE WHEN a>180 THEN a-360 WHEN a<-180 THEN a+360 ELSE a END)*1e9+0.5e0)/1e9 AS t FROM q),
 m AS (SELECT *, CASE WHEN x0 IS NULL THEN 'DEPART' WHEN x2 IS NULL THEN 'ARRIVE' WHEN t>45 THEN 'TURN_RIGHT' WHEN t<-45 THEN 'TURN_LEFT' WHEN pct>10 THEN 'STEEP_CLIMB' WHEN pct<-10 THEN 'STEEP_DESCENT' ELSE 'STRAIGHT' END AS maneuver FROM s)
 SELECT route_id, step, maneuver, {r("d", "distance_to_next_m")}, {r("pct", "slope_percent")}, {r("dz", "elevation_delta_m")},
  CASE maneuver WHEN 'DEPART' THEN 'Start your route and proceed straight ahead.' WHEN 'ARRIVE' THEN 'You have arrived at your destination.' WHEN 'TURN_RIGHT' THEN 'In '||CAST(floor(d0) AS BIGINT)||' meters, turn right.'
