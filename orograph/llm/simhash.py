@@ -9,11 +9,16 @@ pair's shared positional bytes are tallied; pairs that reach the guaranteed mini
 A list over ``long_list`` fingerprints would make too many pairs. It is linked exactly another way: within it only the
 other two blocks differ, so each fingerprint is joined to itself with each one of their bits turned; fingerprints
 at distance one or two meet at such a neighbour. That is linear in the list's length.
+
+Few bits miss most pairs whose shingle sets are merely alike, as a Jaccard similarity of 0.8 is some ten bits of 64, and bytes guarantee
+nothing there. Those pairs are found without fingerprints and without loss (``alike``): sets that are alike share one of their least hashes,
+each list of such a hash is linked to one of its members first, and only what that leaves apart is compared in pairs.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,25 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit SimHash of a text: a bit is set if it is in over half of its shingles' XXH64; 0 without a word."""
+def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of words in turn; a text of fewer words is one shingle, one without a word has none."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACES).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     hashes = xxhash.xxh64_intdigest
-    h = np.array([hashes(joined[a:z], seed) for a, z in zip(starts, ends[len(words) - n :].tolist(), strict=True)], np.uint64)
+    return np.array([hashes(joined[a:z], seed) for a, z in zip(starts, ends[len(words) - n :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """The signed 64-bit SimHash of a text: a bit is set if it is in over half of its shingles' XXH64; 0 without a word."""
+    h = shingle_hashes(text, shingle, seed)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 14):
         ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -113,16 +126,115 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3, seed: int = 42, bits: int = 2, long_list: int = 24) -> DataFrame:
+def _sketches(documents: DataFrame, least: float, wide: int, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, _text, _fp, n, prefix, mask): per document a hash of its text, its fingerprint, and of its set of ``wide``-word shingles the
+    number, the least hashes (one of which every set at ``least`` shares) and, per bit, if an odd number of hashes fall on it.
+
+    Hashes are in the order of signed numbers, as Spark compares them.
+    """
+
+    def run(batches):
+        for b in batches:
+            fps, sizes, prefixes, masks = [], [], [], []
+            for t in b.column(2).to_pylist():
+                fps.append(fingerprint(t, shingle, seed))
+                h = np.unique(shingle_hashes(t, wide, seed).view(np.int64))
+                sizes.append(len(h))
+                prefixes.append(h[: len(h) - ceil(least * len(h) - 1e-9) + 1])
+                odd = np.bincount(h & 255, minlength=256) % 2 == 1
+                masks.append(np.packbits(odd).view(">i8").astype(np.int64))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, lists), pa.array(masks, lists)],
+                ["doc_id", "_text", "_fp", "n", "prefix", "mask"],
+            )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    given = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("_text"), text_of(documents).alias("text"))
+    return given.mapInArrow(run, f"doc_id {kind}, _text long, _fp long, n long, prefix array<long>, mask array<long>")
+
+
+def _sets(documents: DataFrame, wanted: DataFrame, wide: int, seed: int) -> DataFrame:
+    """(_text, hashes) of the texts in ``wanted``."""
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, wide, seed)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["_text", "hashes"])
+
+    given = documents.select(F.xxhash64(text_of(documents)).alias("_text"), text_of(documents).alias("text"))
+    given = given.join(wanted, "_text", "left_semi").dropDuplicates(["_text"])
+    return given.mapInArrow(run, "_text long, hashes array<long>")
+
+
+def _verified(documents: DataFrame, pairs: DataFrame, least: float, wide: int, seed: int) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets have at least the similarity."""
+    pairs = stored(pairs.select("a", "b").distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("_text")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(documents, wanted, wide, seed), "sets")
+    x, y = sets.toDF("a", "ha"), sets.toDF("b", "hb")
+    both = F.size(F.array_intersect("ha", "hb"))
+    kept = pairs.join(x, "a").join(y, "b").where(both >= least * (F.size("ha") + F.size("hb") - both) - 1e-9)
+    return stored(kept.select("a", "b"), "alike")
+
+
+def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, seed: int = 42) -> DataFrame:
+    """Edges (a, b) of fingerprints that join all texts whose sets of ``wide``-word shingles have a Jaccard similarity of ``least``.
+
+    Sets of n hashes that are alike share at least least * n of them, so one of the least n - ceil(least * n) + 1 of each. In a list of
+    the texts with such a hash all are first compared with one member; then pairs that this doesn't connect are. A pair is not looked at
+    if its sizes, or the bits in which the masks differ (no more than the hashes in one set only), rule it out. Nor are sets compared whole
+    that share too few of their least hashes: what they share besides is beyond those of the set whose least hashes end first.
+    """
+    end, beyond = F.element_at("prefix", -1).alias("end"), (F.col("n") - F.size("prefix")).alias("beyond")
+    info = stored(sketches.where("n > 0").select("_text", "_fp", "n", "mask", end, beyond).dropDuplicates(["_text"]), "texts")
+    posts = sketches.select("_text", F.explode("prefix").alias("key")).distinct()
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("_text").alias("first")).where("size > 1")
+    posts = stored(posts.join(sizes.drop("size"), "key"), "prefixes")
+
+    def possible(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        apart = sum(F.bit_count(F.col(f"{x}.mask")[i].bitwiseXOR(F.col(f"{y}.mask")[i])) for i in range(4))
+        near = (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
+        return near & (apart <= (n + m) * ((1 - least) / (1 + least)) + 1e-9)
+
+    firsts = posts.where("_text <> first").select(F.col("first").alias("a"), F.col("_text").alias("b")).distinct().alias("p")
+    firsts = firsts.join(info.alias("x"), F.col("p.a") == F.col("x._text")).join(info.alias("y"), F.col("p.b") == F.col("y._text"))
+    linked = _verified(documents, firsts.where(possible("x", "y")).select("p.a", "p.b"), least, wide, seed)
+
+    groups = components(linked).withColumnRenamed("node", "_text")
+    named = posts.select("key", "_text").join(groups, "_text", "left").withColumn("group", F.coalesce("component", "_text")).drop("component")
+    named = stored(named, "members")
+    apart = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
+    rest = stored(named.join(apart, "key").join(info, "_text"), "apart")
+    differ = (F.col("x._text") < F.col("y._text")) & (F.col("x.group") != F.col("y.group")) & possible("x", "y")
+    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & differ)
+    most = F.when(F.col("x.end") < F.col("y.end"), F.col("x.beyond")).when(F.col("y.end") < F.col("x.end"), F.col("y.beyond"))
+    most = F.coalesce(most, F.least("x.beyond", "y.beyond"))
+    needed = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - most - 1e-9
+    pairs = pairs.groupBy(F.col("x._text").alias("a"), F.col("y._text").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(needed).alias("needed"))
+    found = linked.unionByName(_verified(documents, pairs.where("shared >= needed"), least, wide, seed))
+    fps = info.select("_text", "_fp")
+    return found.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 3, seed: int = 42, bits: int = 2, long_list: int = 24, least: float | None = None, wide: int = 5) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
-    Fingerprints link at ``bits`` or fewer differing bits. Texts without a word have fingerprint zero and link like any
+    Fingerprints link at ``bits`` or fewer differing bits; with ``least`` also texts whose sets of ``wide``-word shingles have at least that
+    Jaccard similarity, at whatever distance their fingerprints are. Texts without a word have fingerprint zero and link like any
     other. Rows may repeat; rows without doc_id count as links but name no component (one of only such rows has a null
     component_id). Other columns are not looked at. An empty table gives an empty result.
     """
-    rows = stored(fingerprints(documents, shingle, seed), "fingerprints")
+    if least is None:
+        rows = stored(fingerprints(documents, shingle, seed), "fingerprints")
+    else:
+        rows = stored(_sketches(documents, least, wide, shingle, seed), "fingerprints")
     classes = stored(rows.groupBy("_fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = components(links(classes.select("_fp"), bits, long_list))
+    edges = links(classes.select("_fp"), bits, long_list)
+    if least is not None:
+        edges = edges.unionByName(alike(documents, rows, least, wide, seed))
+    joined = components(edges)
     named = classes.join(joined, F.col("_fp") == F.col("node"), "left").select(
         "_fp", "first", F.coalesce("component", "_fp").alias("component")
     )
