@@ -119,7 +119,7 @@ def matched_tracks(spark, sf_dir):
     n = load(spark, sf_dir, "nodes")
     a = n.select(F.col("id").alias("u"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
     b = n.select(F.col("id").alias("v"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    return rounded_columns(matching.match_tracks(load(spark, sf_dir, "gps"), edges.join(a, "u").join(b, "v"), n, gap_s=None), 6)
+    return rounded_columns(matching.match_tracks(load(spark, sf_dir, "tracks"), edges.join(a, "u").join(b, "v"), n, gap_s=None), 6)
 
 
 _WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS begin, count(*) AS n, floor(sum(value)*1e2+0.5e0)/1e2 AS total, max(value) AS most FROM events GROUP BY ALL"
