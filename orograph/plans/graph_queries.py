@@ -140,13 +140,12 @@ def route_costs(spark, sf_dir):
 
 @query(None)
 def route_paths(spark, sf_dir):
-    return rounded_columns(graph.routes(_edges(spark, sf_dir), _pairs(spark, sf_dir), "adult", limit=8000.0), 3)
+    return rounded_columns(graph.routes(_edges(spark, sf_dir), _pairs(spark, sf_dir), "adult"), 3)
 
 
 @query(None)
 def alternative_routes(spark, sf_dir):
-    q = _pairs(spark, sf_dir).where("query_id < 5")
-    return rounded_columns(graph.alternatives(_edges(spark, sf_dir), q, "adult"), 3)
+    return rounded_columns(graph.alternatives(_edges(spark, sf_dir), _pairs(spark, sf_dir), "adult"), 3)
 
 
 @query(_sssp("adult", "cost", 1e300) + f" SELECT a.zone_id AS origin_id, b.zone_id AS destination_id, {r('c', 'cost', 2)} FROM zn a JOIN d ON d.src=a.node JOIN zn b ON b.node=d.node", "nodes", "segments", "zones")
@@ -171,7 +170,7 @@ def multimodal_trips(spark, sf_dir):
 
 @query(None)
 def network_evacuation(spark, sf_dir):
-    o = _zone_nodes(spark, sf_dir).where("zone_id % 5 = 0").withColumnRenamed("zone_id", "origin_id")
+    o = _zone_nodes(spark, sf_dir).withColumnRenamed("zone_id", "origin_id")
     m = _zone_nodes(spark, sf_dir).where("zone_id in (6, 12, 18)").withColumnRenamed("zone_id", "muster_id")
     h = load(spark, sf_dir, "circles").where("radius_m >= 68").select(F.col("lon").alias("hlon"), F.col("lat").alias("hlat"), "radius_m", F.lit(100.0).alias("severity"))
     return rounded_columns(graph.network_evacuation(_edges(spark, sf_dir), load(spark, sf_dir, "nodes"), o, m, h), 3)
@@ -181,7 +180,7 @@ def network_evacuation(spark, sf_dir):
 def tradeoff_routes(spark, sf_dir):
     """Fastest, flattest and other trade-off routes between nodes two columns and two rows apart. SQL would have to list all simple paths."""
     n = load(spark, sf_dir, "nodes")
-    a, b = n.where("gx % 10 = 0 and gy % 10 = 0"), n.select(F.col("id").alias("dst"), F.col("gx").alias("x"), F.col("gy").alias("y"))
+    a, b = n, n.select(F.col("id").alias("dst"), F.col("gx").alias("x"), F.col("gy").alias("y"))
     q = a.join(b, (b["x"] == a["gx"] + 2) & (b["y"] == a["gy"] + 2)).select(F.col("id").alias("query_id"), F.col("id").alias("src"), "dst")
     found = pareto.archetypes(pareto.frontier(pareto.vectors(_edges(spark, sf_dir), n), q, epsilon=0.0))
     return rounded_columns(found.withColumn("path", F.concat_ws(" ", F.col("path").cast("array<string>"))), 4)
