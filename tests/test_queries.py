@@ -26,9 +26,24 @@ def test_without_sql_gives_rows(spark, sf_dir, name):
     assert df.count() > 0
 
 
-def test_entry_imports_without_optional_parts(monkeypatch):
+def test_entry_works_without_optional_parts(monkeypatch):
     import __spark_entry__ as e
 
-    monkeypatch.setattr(e, "find_spec", lambda name: None)
+    def missing(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(e, "import_module", missing)
     assert set(e.queries()) == set(catalog.QUERIES)
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_without_a_shared_folder_only_a_local_session_has_one(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from orograph.functions import durable
+
+    here = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local[2]", applicationId="a"))
+    assert durable.shared_folder(here) == durable.shared_folder(here)
+    here.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_folder(here)
