@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +83,12 @@ def _uri(text: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text or "about:blank")
 
 
-def records(page_id, url, html: str, digest: str, keep, ordinal: int, segment_bytes: int) -> Iterator[str]:
-    """The records of one page: a revisit if ``keep`` names another row's payload, else a response and its continuations."""
-    own = f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}/{ordinal}'.encode()).digest())}>"
+def records(page_id, url, html: str, digest: str, keep, place: str, segment_bytes: int) -> Iterator[str]:
+    """The records of one page: a revisit if ``keep`` names another row's payload, else a response and its continuations.
+
+    ``place`` is the row's alone within the archive, so its records have ids of their own even where page_ids repeat or are null.
+    """
+    own = f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(place.encode()).digest())}>"
     page = [] if page_id is None else [("X-Page-Id", str(page_id))]
     about = [*page, ("WARC-Target-URI", _uri(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -119,12 +123,12 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     told = told.select("page_id", "url", "html", F.sha1("html").alias("digest"), F.when(F.col("keep") != F.col("page_id"), F.col("keep")).alias("keep"))
 
     def run(batches):
-        done = 0
+        done, task = 0, TaskContext.get().partitionId()
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 out = []
                 for row in zip(*(c.to_pylist() for c in b.slice(i, SLICE).columns), strict=True):
-                    out += records(*row, done, segment_bytes)
+                    out += records(*row, f"{task}/{done}", segment_bytes)
                     done += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string() if sum(map(len, out)) > 1 << 29 else pa.string())], ["value"])
 
