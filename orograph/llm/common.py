@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable as stored
+from ..functions.durable import shared_folder as shared_dir
+
+__all__ = ["SPACE", "WORD", "components", "fresh", "keyed", "shared_dir", "stored", "text_of"]
+
 #: The white space of every word and normalisation rule in this subpackage.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="orograph-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def keyed(df: DataFrame, file: str, place: str) -> DataFrame:
+    """``df`` with two number columns that tell its rows apart, whatever they hold, and are the same each time it is read.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    A row of a file is known by a hash of the file's path and its place in it, which don't depend on how a scan is split. What is not
+    as it stands in files is written first; call this once and go on with its result.
+    """
+    try:
+        at = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(at["file_path"]).alias(file), at["row_index"].alias(place))
+    except AnalysisException:
+        return keyed(stored(df, "rows"), file, place)
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
