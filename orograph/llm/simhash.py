@@ -1,14 +1,15 @@
 """SimHash near-duplicates through an inverted index of fingerprint bytes at positions, with count filtering.
 
-Documents with one fingerprint are one class, so copies never meet each other. Two fingerprints that differ in at most
-``bits`` bits differ in at most ``bits`` of their 8 bytes, so they share at least 8 - bits bytes at equal positions. A posting list for
-one byte would hold 1/256 of the corpus, so the lists are for pairs of two-byte blocks (six lists a fingerprint): two differing bytes
-leave at least two of the four blocks whole, and those two form a key that both share. In a list each
-pair's shared positional bytes are tallied; pairs that reach the guaranteed minimum are verified on all bits.
+Documents with one fingerprint are one class, so copies never meet each other. Two fingerprints that differ in at most two bits share
+at least six of their eight bytes at equal positions. A posting list for a single byte would hold 1/256 of the corpus, so a list is for four
+bytes at four positions: the 14 sets of positions (the blocks of the Steiner system S(3,4,8), whose positions' exclusive or is 0). Each three positions are
+in just one set, from which follows in how many lists two fingerprints meet: 14 if no byte differs, 7 if one does, 3 if two do, and at most 1
+beyond. So the tally of shared postings of a pair tells the number of shared positional bytes; pairs that reach the guaranteed minimum are
+retained and verified on all bits.
 
 A list over ``long_list`` fingerprints would make too many pairs. It is linked exactly another way: within it only the
-other two blocks differ, so each fingerprint is joined to itself with each one of their bits turned; fingerprints
-at distance one or two meet at such a neighbour. That is linear in the list's length.
+other four bytes differ, so each fingerprint is joined to itself with each one of their bits turned; fingerprints
+at distance one or two meet at such a neighbour. That is linear in the list's length. A pair in no long list is tallied in full.
 
 Few bits miss most pairs whose shingle sets are merely alike, as a Jaccard similarity of 0.8 is some ten bits of 64, and bytes guarantee
 nothing there. Those pairs are found without fingerprints and without loss (``alike``): sets that are alike share one of their least hashes,
@@ -26,7 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_of
+from .common import components, fresh, keyed, stored, text_of
+
+#: The sets of four byte positions that a posting list is for; each three of the eight positions are in one of them.
+PLACES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
+#: In how many lists fingerprints meet at least that differ in so many bits.
+GUARANTEED = {1: 7, 2: 3}
 
 #: ASCII letters only, as A-Z alone are lower-cased.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -58,26 +64,24 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n).view('>i8')[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, _fp): null text counts as empty, fingerprint 0."""
+def fingerprints(documents: DataFrame, carried: list[str], shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The ``carried`` columns and _fp: null text counts as empty, fingerprint 0."""
+    given = documents.select(*carried, text_of(documents).alias("_text"))
 
     def run(batches):
         for b in batches:
-            found = [fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "_fp"])
+            found = [fingerprint(t, shingle, seed) for t in b.column(len(carried)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.int64())], [*carried, "_fp"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", text_of(documents).alias("text")).mapInArrow(run, f"doc_id {kind}, _fp long")
+    return given.mapInArrow(run, f"{_fields(given, carried)}, _fp long")
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 48 - 16 * i).bitwiseAND(0xFFFF)
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the 8 bytes are equal at their position."""
-    x = a.bitwiseXOR(b)
-    return sum(F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(0xFF) == 0, 1).otherwise(0) for i in range(8))
+def _byte(fp: Column, i: int) -> Column:
+    return F.shiftrightunsigned(fp, 56 - 8 * i).bitwiseAND(0xFF)
 
 
 def links(classes: DataFrame, bits: int = 2, long_list: int = 24) -> DataFrame:
@@ -85,33 +89,25 @@ def links(classes: DataFrame, bits: int = 2, long_list: int = 24) -> DataFrame:
 
     Through long lists an edge may lead by a neighbour that no document has; such nodes connect only what is linked.
     """
-    if not 0 < bits <= 2:
-        raise ValueError("bits must be 1 or 2: four blocks guarantee no two whole ones beyond that")
-    posts = classes.select(
-        "_fp",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("list"), (_block(F.col("_fp"), i) * 65536 + _block(F.col("_fp"), j)).alias("key"))
-                    for k, (i, j) in enumerate(combinations(range(4), 2))
-                ]
-            )
-        ).alias("p"),
-    ).select("_fp", "p.list", "p.key")
+    if bits not in GUARANTEED:
+        raise ValueError("bits must be 1 or 2: the lists guarantee no shared posting beyond that")
+    fp = F.col("_fp")
+    key = lambda p: sum((F.shiftleft(_byte(fp, i), 8 * (3 - k)) for k, i in enumerate(p)), F.lit(0).cast("long"))
+    lists = F.array(*[F.struct(F.lit(k).alias("list"), key(p).alias("key")) for k, p in enumerate(PLACES)])
+    posts = classes.select("_fp", F.explode(lists).alias("p")).select("_fp", "p.list", "p.key")
     sizes = posts.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     posts = stored(posts.join(sizes, ["list", "key"]), "postings")
     short = posts.where(F.col("n") <= long_list)
-    pairs = short.alias("x").join(short.alias("y"), ["list", "key"]).where("x._fp < y._fp")
-    a, b = F.col("x._fp"), F.col("y._fp")
-    near = pairs.where((shared_bytes(a, b) >= 8 - bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits))
-    near = near.select(a.alias("a"), b.alias("b"))
+    met = short.alias("x").join(short.alias("y"), ["list", "key"]).where("x._fp < y._fp")
+    tally = met.groupBy(F.col("x._fp").alias("a"), F.col("y._fp").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    near = tally.where(F.col("shared") >= GUARANTEED[bits]).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    near = near.select("a", "b")
 
-    others = [[i for i in range(4) if i not in kept] for kept in combinations(range(4), 2)]
-    masks = F.lit([[_signed(1 << (63 - 16 * i - t)) for i in pair for t in range(16)] for pair in others])
+    masks = F.lit([[_signed(1 << (63 - 8 * i - t)) for i in range(8) if i not in p for t in range(8)] for p in PLACES])
     turned = F.explode(F.element_at(masks, F.col("list") + 1))
     star = posts.where(F.col("n") > long_list).select(F.col("_fp").alias("a"), turned.alias("m"))
     # A turned fingerprint joins those at distance two through it; for one bit only real ones count.
-    star = star.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("b"))
+    star = star.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("b")).distinct()
     if bits == 1:
         star = star.join(classes.select(F.col("_fp").alias("b")), "b", "left_semi").select("a", "b")
     else:
@@ -126,17 +122,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _sketches(documents: DataFrame, least: float, wide: int, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, _text, _fp, n, prefix, mask): per document a hash of its text, its fingerprint, and of its set of ``wide``-word shingles the
-    number, the least hashes (one of which every set at ``least`` shares) and, per bit, if an odd number of hashes fall on it.
+def _sketches(documents: DataFrame, carried: list[str], least: float, wide: int, shingle: int, seed: int) -> DataFrame:
+    """The ``carried`` columns, _text, _fp, n, prefix, mask: per document a hash of its text, its fingerprint, and of its set of ``wide``-word
+    shingles the number, the least hashes (one of which every set at ``least`` shares) and, per bit, if an odd number of hashes fall on it.
 
     Hashes are in the order of signed numbers, as Spark compares them.
     """
+    given = documents.select(*carried, F.xxhash64(text_of(documents)).alias("_hash"), text_of(documents).alias("_text"))
 
     def run(batches):
         for b in batches:
             fps, sizes, prefixes, masks = [], [], [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(len(carried) + 1).to_pylist():
                 fps.append(fingerprint(t, shingle, seed))
                 h = np.unique(shingle_hashes(t, wide, seed).view(np.int64))
                 sizes.append(len(h))
@@ -144,14 +141,10 @@ def _sketches(documents: DataFrame, least: float, wide: int, shingle: int, seed:
                 odd = np.bincount(h & 255, minlength=256) % 2 == 1
                 masks.append(np.packbits(odd).view(">i8").astype(np.int64))
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, lists), pa.array(masks, lists)],
-                ["doc_id", "_text", "_fp", "n", "prefix", "mask"],
-            )
+            found = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, lists), pa.array(masks, lists)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], [*carried, "_text", "_fp", "n", "prefix", "mask"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    given = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("_text"), text_of(documents).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, _text long, _fp long, n long, prefix array<long>, mask array<long>")
+    return given.mapInArrow(run, f"{_fields(given, carried)}, _text long, _fp long, n long, prefix array<long>, mask array<long>")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, wide: int, seed: int) -> DataFrame:
@@ -218,6 +211,25 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
     return found.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
+def _named(documents: DataFrame, row: list[str], shingle: int, seed: int, bits: int, long_list: int, least: float | None, wide: int) -> DataFrame:
+    """doc_id, the ``row`` columns, _fp and, of the row's component, ``first``: the flag of a null id, the least id and that row's place."""
+    carried = ["doc_id", *row]
+    if least is None:
+        rows = stored(fingerprints(documents, carried, shingle, seed), "fingerprints")
+    else:
+        rows = stored(_sketches(documents, carried, least, wide, shingle, seed), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *row)
+    classes = stored(rows.groupBy("_fp").agg(F.min(order).alias("first")), "classes")
+    edges = links(classes.select("_fp"), bits, long_list)
+    if least is not None:
+        edges = edges.unionByName(alike(documents, rows, least, wide, seed))
+    joined = components(edges)
+    found = classes.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", "first", F.coalesce("component", "_fp").alias("component"))
+    firsts = found.groupBy("component").agg(F.min("first").alias("first"))
+    labels = stored(found.drop("first").join(firsts, "component").select("_fp", "first"), "labels")
+    return rows.join(labels, "_fp").select(*carried, "_fp", "first")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 3, seed: int = 42, bits: int = 2, long_list: int = 24, least: float | None = None, wide: int = 5) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
@@ -226,20 +238,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, seed: int = 42, bits
     other. Rows may repeat; rows without doc_id count as links but name no component (one of only such rows has a null
     component_id). Other columns are not looked at. An empty table gives an empty result.
     """
-    if least is None:
-        rows = stored(fingerprints(documents, shingle, seed), "fingerprints")
-    else:
-        rows = stored(_sketches(documents, least, wide, shingle, seed), "fingerprints")
-    classes = stored(rows.groupBy("_fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges = links(classes.select("_fp"), bits, long_list)
-    if least is not None:
-        edges = edges.unionByName(alike(documents, rows, least, wide, seed))
-    joined = components(edges)
-    named = classes.join(joined, F.col("_fp") == F.col("node"), "left").select(
-        "_fp", "first", F.coalesce("component", "_fp").alias("component")
-    )
-    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = named.join(ids, "component").select("_fp", "component_id")
-    return rows.join(labels, "_fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return _named(documents, [], shingle, seed, bits, long_list, least, wide).select(
+        "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id")
     )
+
+
+def without_near_duplicates(documents: DataFrame, shingle: int = 3, seed: int = 42, bits: int = 2, long_list: int = 24, least: float | None = None, wide: int = 5) -> DataFrame:
+    """The documents, all columns, of which one of each component of ``near_duplicates`` stays: that with the least doc_id, null last.
+
+    Rows are known by their place in the files, so rows that share an id or have none are apart unless their texts are linked; of rows with the
+    least id one stays. Texts without a word are one component. An empty table stays empty.
+    """
+    row = [fresh(documents, "_file"), fresh(documents, "_place")]
+    numbered = keyed(documents, *row)
+    found = _named(numbered, row, shingle, seed, bits, long_list, least, wide)
+    first = F.struct(*[F.col(f"first.{c}") for c in row])
+    gone = found.where(F.struct(*row) != first).select(*row)
+    return numbered.join(gone, row, "left_anti").select(*documents.columns)
