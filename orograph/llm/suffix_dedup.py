@@ -2,14 +2,18 @@
 
 Of each document's suffixes only those at minimisers are retained: among the grams of ``gram`` words inside any window of
 ``window`` words, the one with the least hash (the leftmost of equals). Which one that is depends on the window's words alone,
-so two copies of a passage of ``window`` words retain a common suffix wherever they stand.
+so two copies of a passage of ``window`` words retain a common suffix wherever they stand. A suffix's block is all windows whose minimiser it is.
 
-Suffixes are ordered by the hash of their first gram, then by their surroundings: the block of all windows whose minimiser they are.
-Neighbours in that order with one gram from two documents are candidates. Where all surroundings are equal too the
-whole block repeats. Otherwise one suffix of each different block is extended left and right over its block, window by window,
-and windows are compared across blocks. Comparing classes of equal windows instead of the next suffix alone loses no passage
-that shares less to the right with its neighbour than with a third suffix. Copies are never paired up: equal
-blocks count as one, and every count combines before its shuffle.
+Suffixes whose gram two documents have are hits. Blocks are known by 128 bits of XXH3 of their bytes; copies of one block count as one, and
+where a gram has a single block that block repeats as a whole. The other blocks' suffixes are sorted twice by their words: to the right
+from the minimiser, and to the left from it. In each order every suffix is compared, word by word, with its neighbour before it, which gives the length of
+their match; suffixes within a run of neighbours whose matches have n words or more share n words. A window of ``window`` words with o of them left of its
+minimiser is the same text in two blocks exactly if they are in one run for o words in the left order and in one run for the other words
+in the right order. Extending over runs, not only to the next suffix, loses no passage that shares less to the right with its neighbour
+than with a third suffix.
+
+Orders are range-partitioned by gram and words, so that a gram with very many surroundings is many tasks; a run over a task's border
+goes on by the border's two suffixes, of which there are two a task.
 
 A passage is a run of words, in exact spelling, of at least ``window`` words that stands in two documents or more; white space between the
 words doesn't matter. Its first document (least doc_id) keeps it.
@@ -22,15 +26,20 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, stored, text_of
+from .common import WORD, fresh, keyed, stored, text_of
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: An odd multiplier for hashes of word sequences, and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: A place in a text: the first word of a block, the words from there to its minimiser, and how many windows follow the first one.
+_LOW, _OFF = 1 << 12, 1 << 6
+#: Rows of one record batch.
+SLICE = 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,171 +65,218 @@ class _Powers:
 _powers = _Powers()
 
 
-class Words:
-    """The words of a text and the hash of any run of them."""
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_SPACES).split()
 
-    def __init__(self, text: str):
-        words = text.encode("utf-8", "surrogatepass").translate(_SPACES).split()
-        self.n = len(words)
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(w) for w in words), np.uint64, self.n)
-        up, self._down = _powers(self.n)
-        self._sums = np.r_[np.uint64(0), np.cumsum(hashes * up)]
 
-    def runs(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mixed((self._sums[start + length] - self._sums[start]) * self._down[start])
+def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
+    """A hash of each run of ``gram`` words; equal runs have equal hashes."""
+    n = len(words)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    up, down = _powers(n)
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * up)]
+    start = np.arange(n - gram + 1)
+    return _mixed((sums[start + gram] - sums[start]) * down[start])
 
 
-def anchors(text: str, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """The retained suffixes: gram hash, block hash, first window of the block, and how many windows follow it in the block."""
-    words = Words(text)
-    if words.n < window:
-        empty = np.empty(0, np.uint64)
-        return empty, empty, empty.astype(np.int32), empty.astype(np.int32)
-    grams = words.runs(np.arange(words.n - gram + 1), gram)
+def anchors(text: str, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The retained suffixes: gram hash, 128 bits of the block in two columns, and place (see _LOW), in the order of the text."""
+    words = words_of(text)
+    if len(words) < window:
+        return np.empty(0, np.uint64), np.empty((0, 2), np.int64), np.empty(0, np.int64)
+    grams = gram_hashes(words, gram)
     each = window - gram + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, each).argmin(axis=1) + np.arange(words.n - window + 1)
+    least = np.lib.stride_tricks.sliding_window_view(grams, each).argmin(axis=1) + np.arange(len(words) - window + 1)
     low = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     more = np.diff(np.r_[low, len(least)]) - 1
     at = least[low]
-    shape = ((at - low) << 32 | more).astype(np.uint64)
-    blocks = _mixed(words.runs(low, more + window) ^ _mixed(shape ^ grams[at]))
-    return grams[at], blocks, low.astype(np.int32), more.astype(np.int32)
+    place = low * _LOW + (at - low) * _OFF + more
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = (ends[low] - 1 - np.fromiter(map(len, (words[i] for i in low.tolist())), np.int64, len(low))).tolist()
+    # Where the minimiser stands in its block tells blocks apart that have the same words.
+    shapes = (place % _LOW).tolist()
+    digest = xxhash.xxh3_128_digest
+    blocks = b"".join([digest(joined[a:z], s) for a, z, s in zip(starts, (ends[low + more + window - 1] - 1).tolist(), shapes, strict=True)])
+    return grams[at], np.frombuffer(blocks, ">i8").reshape(-1, 2).astype(np.int64), place
+
 
+_BLOCK = ["gram", "b0", "b1"]
 
-def suffixes(documents: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc, gram, block, lows, more): one row for each different block of a document, with all places where it begins."""
+
+def suffixes(documents: DataFrame, row: list[str], window: int, gram: int) -> DataFrame:
+    """(doc, _file, _place, gram, b0, b1, at): every retained suffix, ``at`` as in ``anchors``."""
+    names = ["doc", "_file", "_place", *_BLOCK, "at"]
 
     def run(batches):
         for b in batches:
-            docs, cols, counts = [], ([], [], [], []), []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                g, k, low, more = anchors(text, window, gram)
-                if not len(g):
-                    continue
-                order = np.lexsort((low, k))
-                g, k, low, more = g[order], k[order], low[order], more[order]
-                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                docs.append(np.full(len(first), i))
-                counts.append(np.diff(np.r_[first, len(k)]))
-                for column, values in zip(cols, (g[first], k[first], low, more[first]), strict=True):
-                    column.append(values)
+            docs, cols = [], []
+            for i, text in enumerate(b.column(3).to_pylist()):
+                found = anchors(text, window, gram)
+                if len(found[0]):
+                    docs.append(np.full(len(found[0]), i))
+                    cols.append(found)
             if not docs:
                 continue
-            g, k, low, more = map(np.concatenate, cols)
-            at = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(np.concatenate(docs))),
-                    pa.array(g.view(np.int64)),
-                    pa.array(k.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(low)),
-                    pa.array(more),
-                ],
-                ["doc", "gram", "block", "lows", "more"],
-            )
+            g, k, at = map(np.concatenate, zip(*cols, strict=True))
+            own = [c.take(pa.array(np.concatenate(docs))) for c in b.columns[:3]]
+            parts = [g.view(np.int64), np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1]), at]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parts)], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return (
-        documents.where("doc_id is not null")
-        .select("doc_id", text_of(documents).alias("text"))
-        .mapInArrow(run, f"doc {kind}, gram long, block long, lows array<int>, more int")
-    )
+    given = documents.where("doc_id is not null").select("doc_id", *row, text_of(documents).alias("_text"))
+    return given.mapInArrow(run, f"doc {kind}, _file long, _place long, gram long, b0 long, b1 long, at long")
 
 
-def _windows(documents: DataFrame, reps: DataFrame, window: int) -> DataFrame:
-    """(block, first, last, hashes): the hash of every window of each representative block."""
-    asked = reps.groupBy("doc").agg(F.collect_list(F.struct("block", "low", "more", "last")).alias("asked"))
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").alias("doc"), text_of(documents).alias("text"))
-    joined = texts.join(asked, "doc").select("doc", "text", "asked")
+def _contexts(documents: DataFrame, row: list[str], reps: DataFrame, window: int) -> DataFrame:
+    """(gram, b0, b1, at, first, last, to_right, to_left): of each representative block the words from its minimiser on and those before it, nearest first.
+
+    Each word is followed by a space, so the order of the strings is one of the words.
+    """
+    asked = reps.groupBy("_file", "_place").agg(F.collect_list(F.struct(*_BLOCK, "at", "first", "last")).alias("asked"))
+    texts = documents.where("doc_id is not null").select(F.col(row[0]).alias("_file"), F.col(row[1]).alias("_place"), text_of(documents).alias("_text"))
+    joined = texts.join(asked, ["_file", "_place"]).select("_text", "asked")
+    names = [*_BLOCK, "at", "first", "last"]
 
     def run(batches):
         for b in batches:
-            blocks, docs, last, counts, hashes = [], [], [], [], []
-            flat = b.column(2).flatten()
-            parts = [flat.field(n).to_numpy(zero_copy_only=False) for n in range(3)]
-            ends = np.cumsum(b.column(2).value_lengths().to_numpy())
-            for i, text in enumerate(b.column(1).to_pylist()):
-                words = Words(text)
-                rows = slice(ends[i - 1] if i else 0, ends[i])
-                low, more = parts[1][rows].astype(np.int64), parts[2][rows].astype(np.int64)
-                ok = low + more + window <= words.n  # a repeated doc_id can have another text
-                low, more = low[ok], more[ok]
-                if not len(low):
-                    continue
-                n = more + 1
-                starts = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hashes.append(words.runs(starts, window))
-                counts.append(n)
-                blocks.append(np.arange(rows.start, rows.stop)[ok])
-                docs.append(np.full(len(low), i))
-            if not docs:
-                continue
-            at = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
-            where = pa.array(np.concatenate(blocks))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    flat.field(0).take(where),
-                    b.column(0).take(pa.array(np.concatenate(docs))),
-                    flat.field(3).take(where),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))),
-                ],
-                ["block", "first", "last", "hashes"],
-            )
+            flat = b.column(1).flatten()
+            places, ends = flat.field(3).to_pylist(), np.cumsum(b.column(1).value_lengths().to_numpy()).tolist()
+            right, left = [], []
+            for text, start, end in zip(b.column(0).to_pylist(), [0, *ends], ends, strict=False):
+                words = words_of(text)
+                for place in places[start:end]:
+                    low, off, more = place // _LOW, place % _LOW // _OFF, place % _OFF
+                    right.append(b" ".join([*words[low + off : low + more + window], b""]).decode("utf-8", "surrogatepass"))
+                    left.append(b" ".join([*reversed(words[low : low + off]), b""]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in range(6)), pa.array(right, pa.string()), pa.array(left, pa.string())], [*names, "to_right", "to_left"])
+
+    kind = reps.schema["first"].dataType.simpleString()
+    return joined.mapInArrow(run, f"gram long, b0 long, b1 long, at long, first {kind}, last {kind}, to_right string, to_left string")
+
+
+def match(a: list[str], b: list[str]) -> int:
+    """How many words two suffixes share from their start."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _runs(contexts: DataFrame, side: str, least: int, most: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """(gram, b0, b1, runs) in the order of ``side``: for each length from least to most the number of the run that the suffix is in; and for runs that
+    began in an earlier task: (number, length) -> the number that it has there.
+
+    A run is numbered by its first suffix. Every task hands on its first and its last suffix, so what comes to the driver is bounded by tasks.
+    """
+    ordered = contexts.select(*_BLOCK, F.col(side).alias("words"))
+    ordered = ordered.repartitionByRange("gram", "words", "b0", "b1").sortWithinPartitions("gram", "words", "b0", "b1")
+    sizes = most - least + 1
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"block long, first {kind}, last {kind}, hashes array<long>")
+    def run(batches):
+        base, n = TaskContext.get().partitionId() << 40, 0
+        gram, words, held, runs = None, [], None, []
 
+        def batch(rows):
+            g, x, y, at, run_of, edge = zip(*rows, strict=True)
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((g, x, y, at, run_of, edge), kinds, strict=True)], [*_BLOCK, "place", "runs", "edge"])
 
-def repeated_windows(documents: DataFrame, window: int = 50) -> DataFrame:
-    """(doc, lows, mask, keeper): windows low + i for each bit i of mask also stand in the document ``keeper``, the first that has them."""
+        for b in batches:
+            out = []
+            for g, x, y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                now = text.split(" ")[:-1]
+                same = match(words, now) if g == gram else 0
+                keep = min(max(same - least + 1, 0), sizes) if g == gram else 0
+                runs = runs[:keep] + [base + n] * (sizes - keep)
+                if held:
+                    out.append(held)
+                held = (g, x, y, base + n, runs, None if n else text)
+                gram, words, n = g, now, n + 1
+            for i in range(0, len(out), SLICE):
+                yield batch(out[i : i + SLICE])
+        if held:
+            yield batch([(*held[:5], " ".join([*words, ""]))])
+
+    found = stored(ordered.mapInArrow(run, "gram long, b0 long, b1 long, place long, runs array<long>, edge string"), f"suffix-{side}")
+    edges = sorted((r["place"], r["gram"], r["edge"].split(" ")[:-1], r["runs"]) for r in found.where("edge is not null").select("place", "gram", "edge", "runs").collect())
+    begun: dict[tuple[int, int], int] = {}
+    for (place, gram, words, runs), (after, gram_after, words_after, _) in zip(edges, edges[1:], strict=False):
+        if place >> 40 != after >> 40 and gram == gram_after:
+            for length in range(least, min(match(words, words_after), most) + 1):
+                own = runs[length - least]
+                begun[after, length] = begun.get((own, length), own)
+    return found.select(*_BLOCK, "runs"), begun
+
+
+def _renamed(flat: DataFrame, run: str, length, begun: dict[tuple[int, int], int]) -> DataFrame:
+    """``flat`` with runs that began in an earlier task under the number that they have there. The table is broadcast: one row a task and length at most."""
+    if not begun:
+        return flat
+    table = flat.sparkSession.createDataFrame([(a, n, z) for (a, n), z in begun.items()], "_own long, _length int, _begun long")
+    joined = flat.join(F.broadcast(table), (F.col(run) == F.col("_own")) & (length == F.col("_length")), "left")
+    return joined.withColumn(run, F.coalesce("_begun", run)).drop("_own", "_length", "_begun")
+
+
+def repeated_windows(documents: DataFrame, row: list[str], window: int = 50) -> DataFrame:
+    """(doc, _file, _place, low, mask, keeper): windows low + i for each bit i of mask also stand in the document ``keeper``, the first that has them."""
     gram = window // 2
     if not 2 <= gram <= 31:
         raise ValueError("window must be from 4 to 63 words")
-    found = stored(suffixes(documents, window, gram), "suffixes")
+    found = stored(suffixes(documents, row, window, gram), "suffixes")
     shared = found.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("gram")
     hits = stored(found.join(shared, "gram", "left_semi"), "suffix-hits")
 
-    blocks = stored(
-        hits.groupBy("gram", "block", "more").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "suffix-blocks"
-    )
+    blocks = stored(hits.groupBy(*_BLOCK).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.expr(f"at % {_OFF}")).alias("more")), "suffix-blocks")
     several = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    whole = blocks.join(several, "gram", "left_anti").select(
-        "block", F.col("first").alias("keeper"), F.expr("shiftleft(2L, more) - 1").alias("mask")
-    )
-    unlike = blocks.join(several, "gram", "left_semi").select("block", "first", "last")
-    reps = hits.join(unlike, (hits["block"] == unlike["block"]) & (hits["doc"] == unlike["first"])).select(
-        hits["doc"], hits["block"], F.col("lows")[0].alias("low"), "more", "last"
-    )
-    windows = stored(_windows(documents, reps, window), "suffix-windows")
-    flat = windows.select("block", "first", "last", F.posexplode("hashes").alias("i", "hash"))
-    repeats = flat.groupBy("hash").agg(F.min("first").alias("keeper"), F.max("last").alias("z")).where("keeper <> z")
-    bits = flat.select("block", "i", "hash").join(repeats.select("hash", "keeper"), "hash")
-    partial = bits.groupBy("block", "keeper").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    masks = whole.select("block", "keeper", "mask").unionByName(partial)
-    return hits.select("doc", "block", "lows").join(masks, "block").where("keeper <> doc").select("doc", "lows", "mask", "keeper")
+    whole = blocks.join(several, "gram", "left_anti").select(*_BLOCK, F.col("first").alias("keeper"), F.expr("shiftleft(2L, cast(more as int)) - 1").alias("mask"))
+    unlike = blocks.join(several, "gram", "left_semi").select(*_BLOCK, "first", "last")
+    rep = F.min(F.struct("_file", "_place", "at")).alias("rep")
+    reps = hits.join(unlike, _BLOCK).where("doc = first").groupBy(*_BLOCK, "first", "last").agg(rep).select(*_BLOCK, "first", "last", "rep.*")
+    contexts = stored(_contexts(documents, row, reps, window), "suffix-contexts")
+    right, right_begun = _runs(contexts, "to_right", gram, window)
+    left, left_begun = _runs(contexts, "to_left", 0, window - gram)
+
+    joined = contexts.drop("to_right", "to_left").join(right.withColumnRenamed("runs", "rights"), _BLOCK).join(left.withColumnRenamed("runs", "lefts"), _BLOCK)
+    # Window low + i has o = off - i words left of its minimiser.
+    flat = joined.withColumn("i", F.explode(F.expr(f"sequence(0, cast(at % {_OFF} as int))"))).withColumn("o", F.expr(f"cast(at % {_LOW} div {_OFF} as int) - i"))
+    flat = flat.select(*_BLOCK, "first", "last", "i", "o", F.expr(f"rights[{window - gram} - o]").alias("r"), F.expr("lefts[o]").alias("l"))
+    flat = _renamed(_renamed(flat, "r", window - F.col("o"), right_begun), "l", F.col("o"), left_begun)
+    flat = stored(flat, "suffix-windows")
+    repeats = flat.groupBy("o", "r", "l").agg(F.min("first").alias("keeper"), F.max("last").alias("z")).where("keeper <> z")
+    bits = flat.select(*_BLOCK, "i", "o", "r", "l").join(repeats.drop("z"), ["o", "r", "l"])
+    partial = bits.groupBy(*_BLOCK, "keeper").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    masks = whole.select(*_BLOCK, "keeper", "mask").unionByName(partial.select(*_BLOCK, "keeper", "mask"))
+    told = hits.join(masks, _BLOCK).where("keeper <> doc")
+    return told.select("doc", "_file", "_place", F.expr(f"cast(at div {_LOW} as int)").alias("low"), "mask", "keeper")
+
+
+def _numbered(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    row = [fresh(documents, "_file"), fresh(documents, "_place")]
+    return keyed(documents, *row), row
 
 
 def repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """Per repeated passage, where it is not the one that stays: doc_id, start_word, end_word, n_words, first_doc_id.
 
     Words are numbered from 0; end_word is after the last. Passages that touch or overlap are one row, with the least
-    of their first documents. Documents are told apart by doc_id: repetition inside one, or between rows with
-    one id, doesn't count, and rows without an id take no part. Null and empty texts have no words. Other columns are
+    of their first documents. Repetition inside one document, or between rows with
+    one id, doesn't count, though each of such rows has its own passages; rows without an id take no part. Null and empty texts have no words. Other columns are
     not looked at. Without repeats, as for an empty table, the result is empty.
     """
-    per = repeated_windows(documents, window).groupBy("doc").agg(F.collect_list(F.struct("lows", "mask", "keeper")).alias("hits"))
+    return _passages(*_numbered(documents), window).drop("_file", "_place")
+
+
+def _passages(documents: DataFrame, row: list[str], window: int) -> DataFrame:
+    per = repeated_windows(documents, row, window).groupBy("doc", "_file", "_place").agg(F.collect_list(F.struct("low", "mask", "keeper")).alias("hits"))
 
     def run(batches):
         for b in batches:
             docs, start, end, first = [], [], [], []
-            for i, hits in enumerate(b.column(1).to_pylist()):
-                marks = []
-                for h in hits:
-                    bits = [k for k in range(window) if h["mask"] >> k & 1]
-                    marks += [(low + k, h["keeper"]) for low in h["lows"] for k in bits]
-                marks.sort()
-                for at, keeper in marks:
+            for i, hits in enumerate(b.column(3).to_pylist()):
+                for at, keeper in sorted((h["low"] + k, h["keeper"]) for h in hits for k in range(window) if h["mask"] >> k & 1):
                     if docs and docs[-1] == i and at <= end[-1]:
                         end[-1] = at + window
                         first[-1] = min(first[-1], keeper)
@@ -229,19 +285,12 @@ def repeats(documents: DataFrame, window: int = 50) -> DataFrame:
                         start.append(at)
                         end.append(at + window)
                         first.append(keeper)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(docs, pa.int64())),
-                    pa.array(start, pa.int32()),
-                    pa.array(end, pa.int32()),
-                    pa.array([z - a for a, z in zip(start, end, strict=True)], pa.int32()),
-                    pa.array(first, b.schema.field(0).type),
-                ],
-                ["doc_id", "start_word", "end_word", "n_words", "first_doc_id"],
-            )
+            spans = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([z - a for a, z in zip(start, end, strict=True)], pa.int32())]
+            own = [c.take(pa.array(docs, pa.int64())) for c in b.columns[:3]]
+            yield pa.RecordBatch.from_arrays([own[0], *spans, pa.array(first, b.schema.field(0).type), *own[1:]], ["doc_id", "start_word", "end_word", "n_words", "first_doc_id", "_file", "_place"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return per.mapInArrow(run, f"doc_id {kind}, start_word int, end_word int, n_words int, first_doc_id {kind}")
+    return per.mapInArrow(run, f"doc_id {kind}, start_word int, end_word int, n_words int, first_doc_id {kind}, _file long, _place long")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -258,11 +307,14 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def cut_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """The documents, all columns, without their repeated passages; n_chars (where there is one) follows the text.
 
-    Documents of which every word stands in an earlier one go; those that had no word stay.
+    Each row loses the passages that ``repeats`` finds in that row, whatever other rows share its doc_id. Documents of which every word stands in an earlier
+    one go; those that had no word stay, as do rows without an id, null and empty texts. An empty table stays empty.
     """
-    cut = fresh(documents, "_spans")
-    found = repeats(documents, window).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias(cut))
-    joined = documents.join(found, "doc_id", "left").select(*documents.columns, cut)
+    numbered, row = _numbered(documents)
+    cut = fresh(numbered, "_spans")
+    found = _passages(numbered, row, window).groupBy("_file", "_place").agg(F.collect_list(F.struct("start_word", "end_word")).alias(cut))
+    found = found.withColumnsRenamed({"_file": row[0], "_place": row[1]})
+    joined = numbered.join(found, row, "left").select(*documents.columns, cut)
     names, at = documents.columns, documents.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
