@@ -12,14 +12,15 @@ other four bytes differ, so each fingerprint is joined to itself with each one o
 at distance one or two meet at such a neighbour. That is linear in the list's length. A pair in no long list is tallied in full.
 
 Few bits miss most pairs whose shingle sets are merely alike, as a Jaccard similarity of 0.8 is some ten bits of 64, and bytes guarantee
-nothing there. Those pairs are found without fingerprints and without loss (``alike``): sets that are alike share one of their least hashes,
-each list of such a hash is linked to one of its members first, and only what that leaves apart is compared in pairs.
+nothing there. Those pairs are found without fingerprints and without loss (``alike``): sets that are alike share one of their first hashes in
+any order that is the same for all. The order puts hashes of frequent shingles last, so few lists are long. Each list of a hash is linked to the member
+with the fewest rare shingles first, and only what that leaves apart is compared in pairs, if sizes and places in the order allow it.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,12 @@ from .common import components, fresh, keyed, stored, text_of
 PLACES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 #: In how many lists fingerprints meet at least that differ in so many bits.
 GUARANTEED = {1: 7, 2: 3}
+#: Shingles that at least so many texts have count as frequent, but no more of them than MOST_FREQUENT; on which do, only the order of hashes depends.
+FREQUENT = 8
+MOST_FREQUENT = 1 << 18
+#: Hashes that a task counts at once, and the ratio of the sizes of a band.
+CHUNK = 1 << 22
+BAND = 1.03
 
 #: ASCII letters only, as A-Z alone are lower-cased.
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -122,29 +129,68 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def frequent(documents: DataFrame, wide: int, seed: int) -> np.ndarray:
+    """The sorted hashes of frequent shingles, at most MOST_FREQUENT: those with the largest counts, by powers of two.
+
+    All texts are counted, CHUNK hashes at a time; what is once in a chunk isn't handed on, so counts are low estimates.
+    """
+
+    def counted(parts):
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+
+    def run(batches):
+        parts, size = [np.empty(0, np.int64)], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                parts.append(np.unique(shingle_hashes(t, wide, seed).view(np.int64)))
+                size += len(parts[-1])
+                if size > CHUNK:
+                    yield counted(parts)
+                    parts, size = [np.empty(0, np.int64)], 0
+        yield counted(parts)
+
+    counts = documents.select(text_of(documents).alias("_text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") >= FREQUENT), "frequent")
+    total, least = 0, None
+    for power, n in sorted(counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1))).collect(), reverse=True):
+        total += n
+        if total > MOST_FREQUENT:
+            break
+        least = 1 << power
+    found = counts.where(F.col("n") >= least).select("key").collect() if least else []
+    return np.array(sorted(r["key"] for r in found), np.int64)
+
+
 def _sketches(documents: DataFrame, carried: list[str], least: float, wide: int, shingle: int, seed: int) -> DataFrame:
-    """The ``carried`` columns, _text, _fp, n, prefix, mask: per document a hash of its text, its fingerprint, and of its set of ``wide``-word
-    shingles the number, the least hashes (one of which every set at ``least`` shares) and, per bit, if an odd number of hashes fall on it.
+    """The ``carried`` columns, _text, _fp, n, rare, prefix, mask: per document a hash of its text, its fingerprint, and of its set of ``wide``-word
+    shingles the number, the share of rare ones, the first hashes (one of which every set at ``least`` shares) and, per bit, if an odd number of hashes fall on it.
 
-    Hashes are in the order of signed numbers, as Spark compares them.
+    Hashes are ordered by whether they are frequent, then as signed numbers.
     """
+    often = documents.sparkSession.sparkContext.broadcast(frequent(documents, wide, seed))  # MOST_FREQUENT numbers
     given = documents.select(*carried, F.xxhash64(text_of(documents)).alias("_hash"), text_of(documents).alias("_text"))
 
     def run(batches):
+        common = often.value
         for b in batches:
-            fps, sizes, prefixes, masks = [], [], [], []
+            fps, sizes, shares, prefixes, masks = [], [], [], [], []
             for t in b.column(len(carried) + 1).to_pylist():
                 fps.append(fingerprint(t, shingle, seed))
                 h = np.unique(shingle_hashes(t, wide, seed).view(np.int64))
+                known = np.zeros(len(h), bool)
+                if len(common):
+                    known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                 sizes.append(len(h))
-                prefixes.append(h[: len(h) - ceil(least * len(h) - 1e-9) + 1])
+                shares.append(1 - float(known.mean()) if len(h) else 0.0)
+                prefixes.append(np.concatenate([h[~known], h[known]])[: len(h) - ceil(least * len(h) - 1e-9) + 1])
                 odd = np.bincount(h & 255, minlength=256) % 2 == 1
                 masks.append(np.packbits(odd).view(">i8").astype(np.int64))
             lists = pa.list_(pa.int64())
-            found = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, lists), pa.array(masks, lists)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], [*carried, "_text", "_fp", "n", "prefix", "mask"])
+            found = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.float64()), pa.array(prefixes, lists), pa.array(masks, lists)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], [*carried, "_text", "_fp", "n", "rare", "prefix", "mask"])
 
-    return given.mapInArrow(run, f"{_fields(given, carried)}, _text long, _fp long, n long, prefix array<long>, mask array<long>")
+    return given.mapInArrow(run, f"{_fields(given, carried)}, _text long, _fp long, n long, rare double, prefix array<long>, mask array<long>")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, wide: int, seed: int) -> DataFrame:
@@ -174,16 +220,15 @@ def _verified(documents: DataFrame, pairs: DataFrame, least: float, wide: int, s
 def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, seed: int = 42) -> DataFrame:
     """Edges (a, b) of fingerprints that join all texts whose sets of ``wide``-word shingles have a Jaccard similarity of ``least``.
 
-    Sets of n hashes that are alike share at least least * n of them, so one of the least n - ceil(least * n) + 1 of each. In a list of
-    the texts with such a hash all are first compared with one member; then pairs that this doesn't connect are. A pair is not looked at
-    if its sizes, or the bits in which the masks differ (no more than the hashes in one set only), rule it out. Nor are sets compared whole
-    that share too few of their least hashes: what they share besides is beyond those of the set whose least hashes end first.
+    Sets of n hashes that are alike share at least least * n of them, so one of the first n - ceil(least * n) + 1 of each. In a list of
+    the texts with such a hash all are first compared with the one that has the smallest share of rare shingles; then pairs that this doesn't connect are. A
+    pair is not looked at if its sizes, or the bits in which the masks differ (no more than the hashes in one set only), rule it out. Nor is it if the
+    hash is so far from the start of one set that fewer than the shared hashes they need are left; a pair that is alike passes at the first hash that it shares.
     """
-    end, beyond = F.element_at("prefix", -1).alias("end"), (F.col("n") - F.size("prefix")).alias("beyond")
-    info = stored(sketches.where("n > 0").select("_text", "_fp", "n", "mask", end, beyond).dropDuplicates(["_text"]), "texts")
-    posts = sketches.select("_text", F.explode("prefix").alias("key")).distinct()
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("_text").alias("first")).where("size > 1")
-    posts = stored(posts.join(sizes.drop("size"), "key"), "prefixes")
+    info = stored(sketches.where("n > 0").select("_text", "_fp", "n", "mask").dropDuplicates(["_text"]), "texts")
+    posts = sketches.where("n > 0").select("_text", "n", "rare", F.posexplode("prefix").alias("place", "key"))
+    several = posts.groupBy("key").agg(F.min("_text").alias("a"), F.max("_text").alias("z")).where("a <> z").select("key")
+    posts = stored(posts.join(several, "key").distinct(), "prefixes")
 
     def possible(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -191,22 +236,31 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
         near = (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
         return near & (apart <= (n + m) * ((1 - least) / (1 + least)) + 1e-9)
 
-    firsts = posts.where("_text <> first").select(F.col("first").alias("a"), F.col("_text").alias("b")).distinct().alias("p")
+    hubs = posts.groupBy("key").agg(F.min(F.struct("rare", "_text"))["_text"].alias("a"))
+    firsts = posts.join(hubs, "key").where("_text <> a").select("a", F.col("_text").alias("b")).distinct().alias("p")
     firsts = firsts.join(info.alias("x"), F.col("p.a") == F.col("x._text")).join(info.alias("y"), F.col("p.b") == F.col("y._text"))
     linked = _verified(documents, firsts.where(possible("x", "y")).select("p.a", "p.b"), least, wide, seed)
 
     groups = components(linked).withColumnRenamed("node", "_text")
-    named = posts.select("key", "_text").join(groups, "_text", "left").withColumn("group", F.coalesce("component", "_text")).drop("component")
-    named = stored(named, "members")
-    apart = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
-    rest = stored(named.join(apart, "key").join(info, "_text"), "apart")
-    differ = (F.col("x._text") < F.col("y._text")) & (F.col("x.group") != F.col("y.group")) & possible("x", "y")
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & differ)
-    most = F.when(F.col("x.end") < F.col("y.end"), F.col("x.beyond")).when(F.col("y.end") < F.col("x.end"), F.col("y.beyond"))
-    most = F.coalesce(most, F.least("x.beyond", "y.beyond"))
-    needed = (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - most - 1e-9
-    pairs = pairs.groupBy(F.col("x._text").alias("a"), F.col("y._text").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(needed).alias("needed"))
-    found = linked.unionByName(_verified(documents, pairs.where("shared >= needed"), least, wide, seed))
+    members = posts.join(groups, "_text", "left").withColumn("group", F.coalesce("component", "_text")).drop("component", "rare")
+    members = stored(members, "members")
+    apart = members.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
+    rest = stored(members.join(apart, "key").join(info.select("_text", "mask"), "_text"), "apart")
+    # Of a pair x has no more hashes than y. What x needs to share with a set of its own size bounds its place; y is listed for
+    # the bands of sizes that its place leaves to x. Two sets of n and m hashes need (n + m) * need shared ones.
+    need = least / (1 + least)
+    band = lambda n: F.floor(F.log(n) / log(BAND) + 1e-9).cast("int")
+    small = rest.where(F.col("place") <= F.col("n") * (1 - 2 * need) + 1e-9).withColumn("band", band(F.col("n").cast("double")))
+    most = F.least(F.col("n").cast("double"), (F.col("n") - F.col("place")) / need - F.col("n") + 1e-6)
+    large = rest.withColumn("fewest", F.greatest(F.lit(1.0), least * F.col("n") - 1e-6)).withColumn("most", most).where("most >= fewest")
+    large = large.withColumn("band", F.explode(F.sequence(band(F.col("fewest")), band(F.col("most"))))).drop("fewest", "most")
+    x, y = small.alias("x"), large.alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x._text") < F.col("y._text")))
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= (F.col("x.n") + F.col("y.n")) * need - 1e-6
+    fits = ordered & left & (F.col("x.group") != F.col("y.group")) & possible("x", "y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & fits)
+    pairs = pairs.select(F.col("x._text").alias("a"), F.col("y._text").alias("b"))
+    found = linked.unionByName(_verified(documents, pairs, least, wide, seed))
     fps = info.select("_text", "_fp")
     return found.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
