@@ -1,8 +1,9 @@
 """Main text of web pages: flat blocks, their neighbours' word counts and link densities, and a trained decision tree.
 
-Markup is cut into blocks at block-level tags. Each block has its words, the share of them in links, the same of the blocks before and after it,
-whether it is a heading or list item, and the zone it stands in: what the nearest landmark element, role or class name around it says.
-A classification tree, trained on the labelled table below, decides which blocks are main text.
+Markup is cut into blocks at block-level tags. A block's features are its words, the share of them in links, the same of the blocks before and after it,
+whether it is a heading or a list item, and what the elements around it say: which landmark is the nearest (one of the article, or one of what
+stands beside it), how far the nearest landmark of each kind is, and whether the block is within a form. A landmark is an element, role or
+whole class name. A classification tree, trained on the labelled pages below, decides which blocks are main text.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .labelled_pages import PAGES
 
-OPEN, MAIN, SIDE = 0, 1, 2
+OPEN, MAIN, SIDE, STRONG = 0, 1, 2, 3
 #: Elements whose content is no text of the page.
-_RAW = "script|style|noscript|template|title|textarea|select|button|iframe|object|svg|math|canvas|audio|video|head"
+_RAW = "script|style|noscript|template|title|textarea|select|button|iframe|object|svg|math|canvas|audio|video"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{_RAW.replace('|head', '')})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -33,54 +36,85 @@ _BLOCKS = frozenset(
 )
 #: Elements that hold blocks; they are on the stack until they are closed.
 _HOLDERS = _BLOCKS - frozenset("p li h1 h2 h3 h4 h5 h6 hr html body dt dd td th tr tbody thead tfoot pre caption".split())
-_ZONE_OF = {"article": MAIN, "main": MAIN} | dict.fromkeys("nav header footer aside form dialog menu".split(), SIDE)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: Landmarks among elements and roles. A form is none: whole pages may be one.
+_ELEMENTS = {"article": MAIN, "main": MAIN, "nav": STRONG, "footer": STRONG, "aside": SIDE, "dialog": STRONG, "menu": STRONG, "header": SIDE}
+_ROLES = {"main": MAIN, "article": MAIN} | dict.fromkeys("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar alert form".split(), SIDE)
+#: Whole class names and ids that name what stands beside an article (after a number or prefix is cut off), and those that name an article.
 _SIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
-    " dialog disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup"
-    " promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe"
-    " subscription toolbar widget contentinfo complementary alert".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs"
+    " cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent consent-banner gdpr disclaimer footer site-footer page-footer global-footer header"
+    " site-header page-header masthead login menu main-menu nav-menu modal nav navbar main-nav site-nav top-nav navigation newsletter newsletter-signup notice notification notifications pager pagination"
+    " popup promo promoted promotion recommended recommendations related related-articles related-posts related-links search search-form search-box searchbox"
+    " share share-buttons share-links sharing social social-links social-share sidebar side-bar left-sidebar right-sidebar sidebar-left sidebar-right signup sign-up skip-link"
+    " sponsor sponsored sponsors subscribe subscription toolbar topbar widget widget-area widgets alert signin tags tag-list author-bio outbrain taboola".split()
 )
-_MAIN_NAMES = frozenset("article content entry main post story body".split())
+_STRONG_NAMES = frozenset("comment comments commentlist comment-list comment-section comments-area comments-section disqus disqus_thread replies respond".split())
+_MAIN_NAMES = frozenset(
+    "article article-body article-content article-text articlebody content content-body entry entry-content main main-content maincontent post post-body post-content"
+    " post-text postbody story story-body story-content text-body body-text page-content blog-post".split()
+)
+_NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+#: How far a landmark can be, in landmarks and holders, before it counts as none.
+FAR = 9
+
 
+def landmark(tag: str, rest: str) -> int:
+    """What an element says of its content: MAIN, SIDE, STRONG (beside the article for sure, such as a menu, comments or hidden parts) or OPEN.
 
-def _zone(tag: str, rest: str, around: int, in_main: bool) -> int:
-    """The zone of an element: by its names, else by its tag, else that around it. Inside a SIDE zone only SIDE is left."""
-    if around == SIDE:
+    Names that say MAIN win over those that say SIDE, as in "content has-sidebar"; parts of names say nothing.
+    """
+    kind = _ELEMENTS.get(tag, OPEN)
+    if not rest or ("=" not in rest and "hidden" not in rest):
+        return kind
+    if _HIDDEN.search(rest):
+        return STRONG
+    said = set()
+    for m in _NAMED.finditer(rest):
+        names = (m[2] or m[3] or m[4] or "").lower().split()
+        if m[1].lower() == "role":
+            said |= {_ROLES.get(n, OPEN) for n in names}
+        else:
+            said |= {STRONG if n in _STRONG_NAMES else MAIN if n in _MAIN_NAMES else SIDE if n in _SIDE_NAMES or n.rstrip("0123456789-_") in _SIDE_NAMES else OPEN for n in names}
+    if MAIN in said and kind in (OPEN, MAIN):
+        return MAIN
+    if STRONG in said:
+        return STRONG
+    if kind == OPEN and SIDE in said:
         return SIDE
-    if rest and ("=" in rest or "hidden" in rest):
-        if _HIDDEN.search(rest):
-            return SIDE
-        names = {n for m in _NAMED.finditer(rest) for n in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        main = names & _MAIN_NAMES
-        side = names & _SIDE_NAMES
-        if side and not (in_main and side <= {"header"}) and not (main and side <= {"header", "footer", "form", "widget", "notice"}):
-            return SIDE
-        if main and tag not in _ZONE_OF:
-            return MAIN
-    zone = _ZONE_OF.get(tag, around)
-    return around if tag == "header" and in_main else zone
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, linked words, zone, is heading, is list item) of each block with a word, in page order.
-
-    Character references are decoded, white space becomes one space. Unclosed comments, scripts and the like last to the end.
+    return STRONG if SIDE in said else kind
+
+
+def blocks(page: str) -> list[tuple]:
+    """(text, words, linked words, is heading, is list item, nearest landmark, steps to a MAIN one, steps to a SIDE or STRONG one, form, in a STRONG one) of
+    each block with a word, in page order. form: 2 within a form of the article, 1 within one that may hold the whole page.
+
+    Character references are decoded, white space becomes one space. Unclosed comments, scripts and the like last to the end. End tags without a
+    start are passed over.
     """
-    out: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[tuple] = []
+    #: Open holders: tag, and for what is in it: nearest landmark, steps to MAIN, steps to SIDE, form, in a STRONG one.
+    stack: list[tuple[str, int, int, int, int, int]] = []
+    open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked = link = heading = item = 0
-    own: int | None = None  # the zone that a block's own tag gives it
+    outside = (OPEN, FAR, FAR, 0, 0)
+    own: tuple[int, int, int, int, int] | None = None  # what a block's own tag says
+
+    def within(kind: int, tag: str) -> tuple[int, int, int, int, int]:
+        near, main, side, form, strong = stack[-1][1:] if stack else outside
+        if tag == "form":
+            form = 1 if main == FAR else 2
+        if kind == OPEN:
+            return near, main, side, form, strong
+        return kind, 0 if kind == MAIN else min(FAR, main + 1), 0 if kind != MAIN else min(FAR, side + 1), form, int(strong or kind == STRONG)
 
     def close() -> None:
         nonlocal linked
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                zone = stack[-1][1] if stack else OPEN
-                out.append((" ".join(words), len(words), min(linked, len(words)), zone if own is None else own, heading, item))
+                out.append((" ".join(words), len(words), min(linked, len(words)), heading, item, *(own or (stack[-1][1:] if stack else outside))))
             parts.clear()
         linked = 0
 
@@ -105,60 +139,46 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             heading = item = link = 0
             own = None
             if m["end"]:
-                if tag in _HOLDERS and any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if open_tags.get(tag):
+                    while True:
+                        gone = stack.pop()[0]
+                        open_tags[gone] -= 1
+                        if gone == tag:
+                            break
                 continue
-            around = stack[-1][1] if stack else OPEN
-            zone = _zone(tag, m["rest"], around, around == MAIN)
+            said = within(landmark(tag, m["rest"]), tag)
             if tag in _HOLDERS:
                 if not m["rest"].endswith("/"):
-                    stack.append((tag, zone))
+                    stack.append((tag, *said))
+                    open_tags[tag] = open_tags.get(tag, 0) + 1
             else:
-                own = zone if zone != around else None
+                own = said
                 heading, item = int(tag[0] == "h" and tag[1:].isdigit()), int(tag in ("li", "dt", "dd", "td", "th"))
-        elif tag in ("head", "span", "b", "i", "em", "strong"):
-            pass
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-FEATURES = ("zone", "heading", "item", "words", "links", "words_before", "links_before", "words_after", "links_after")
+FEATURES = (
+    "heading", "item", "landmark", "to_main", "to_side", "form", "strong", "words", "links", "words_before", "links_before", "words_after", "links_after", "page_main",
+)
 
 
 def features(found: list[tuple]) -> np.ndarray:
+    """A row for each block; page_main is 1 on pages that have a MAIN landmark with words in it."""
     n = len(found)
     x = np.zeros((n + 2, 2))
-    rows = np.array([b[1:] for b in found], float).reshape(n, 5)
+    rows = np.array([b[1:] for b in found], float).reshape(n, 9)
     x[1:-1, 0], x[1:-1, 1] = rows[:, 0], rows[:, 1] / np.maximum(rows[:, 0], 1)
-    return np.column_stack([rows[:, 2], rows[:, 3], rows[:, 4], x[1:-1], x[:-2], x[2:]])
-
-
-#: The labelled table: pages of blocks (zone, kind, words, linked words, is main text). Kinds: p paragraph, h heading, l list item.
-LABELLED = [
-    # a page with landmarks
-    [(2, "l", 1, 1, 0), (2, "l", 1, 1, 0), (2, "l", 2, 2, 0), (2, "p", 8, 0, 0), (1, "h", 9, 0, 1), (1, "p", 60, 1, 1), (1, "p", 1, 0, 1), (1, "p", 35, 0, 1), (2, "p", 14, 0, 0)],
-    [(2, "p", 30, 2, 0), (2, "p", 45, 0, 0), (1, "h", 4, 0, 1), (1, "p", 2, 0, 1), (1, "p", 120, 4, 1), (1, "l", 6, 0, 1), (1, "l", 9, 1, 1), (2, "p", 25, 0, 0), (2, "p", 60, 0, 0)],
-    [(1, "h", 1, 0, 1), (1, "p", 1, 0, 1), (2, "p", 5, 0, 0), (2, "h", 1, 0, 0), (2, "p", 33, 0, 0)],
-    [(1, "p", 12, 0, 1), (1, "p", 3, 3, 0), (1, "p", 80, 2, 1), (1, "l", 4, 4, 0), (1, "l", 3, 3, 0), (1, "l", 6, 6, 0)],
-    [(2, "l", 3, 3, 0), (1, "h", 12, 0, 1), (1, "p", 4, 0, 1), (1, "p", 7, 0, 1), (1, "h", 3, 0, 1), (1, "p", 300, 9, 1), (1, "p", 2, 0, 1), (2, "p", 90, 0, 0), (2, "h", 2, 0, 0)],
-    [(1, "h", 7, 7, 1), (1, "p", 22, 0, 1), (1, "p", 18, 18, 0), (1, "p", 55, 10, 1)],
-    # pages without landmarks
-    [(0, "l", 1, 1, 0), (0, "l", 1, 1, 0), (0, "l", 1, 1, 0), (0, "h", 7, 0, 1), (0, "p", 45, 1, 1), (0, "p", 70, 0, 1), (0, "p", 12, 0, 1), (0, "p", 38, 2, 1), (0, "p", 5, 0, 0), (0, "l", 2, 2, 0), (0, "l", 2, 2, 0)],
-    [(0, "p", 3, 3, 0), (0, "p", 4, 2, 0), (0, "h", 5, 0, 1), (0, "p", 25, 0, 1), (0, "p", 9, 0, 1), (0, "p", 90, 3, 1), (0, "p", 6, 4, 0), (0, "p", 7, 1, 0)],
-    [(0, "p", 2, 0, 0), (0, "p", 6, 5, 0), (0, "h", 10, 0, 1), (0, "p", 150, 2, 1), (0, "l", 8, 0, 1), (0, "l", 11, 0, 1), (0, "p", 44, 1, 1), (0, "p", 8, 8, 0), (0, "p", 9, 0, 0)],
-    [(0, "l", 2, 2, 0), (0, "l", 3, 3, 0), (0, "p", 4, 0, 0), (0, "l", 1, 1, 0), (0, "p", 5, 1, 0), (0, "l", 2, 2, 0)],
-    [(0, "p", 40, 0, 1), (0, "p", 3, 0, 1), (0, "p", 66, 0, 1), (0, "p", 21, 0, 1)],
-    [(0, "h", 6, 0, 1), (0, "p", 18, 0, 1), (0, "p", 16, 1, 1), (0, "p", 30, 15, 0), (0, "l", 5, 5, 0)],
-]
+    some = np.full((n, 1), float((rows[:, 4] == MAIN).any()))
+    return np.column_stack([rows[:, 2], rows[:, 3], rows[:, 4:9], x[1:-1], x[:-2], x[2:], some])
 
 
 class Tree:
     """A classification tree by Gini impurity. Nodes are (feature, limit, at most, above), leaves a class."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 1):
         self.root = self._grow(x, y, depth, least)
 
     def _grow(self, x, y, depth, least):
@@ -169,15 +189,16 @@ class Tree:
         for f in range(x.shape[1]):
             order = np.argsort(x[:, f], kind="stable")
             v, ones = x[order, f], np.cumsum(y[order])
-            n = np.arange(1, len(y) + 1)
-            for k in np.flatnonzero(v[:-1] < v[1:]):
-                a, b = n[k], len(y) - n[k]
-                if min(a, b) < least:
-                    continue
-                p, q = ones[k] / a, (ones[-1] - ones[k]) / b
-                gain = share * (1 - share) - (a * p * (1 - p) + b * q * (1 - q)) / len(y)
-                if gain > best[0] + 1e-12:
-                    best = (gain, f, (v[k] + v[k + 1]) / 2)
+            k = np.flatnonzero(v[:-1] < v[1:])
+            if not len(k):
+                continue
+            a, b = k + 1, len(y) - k - 1
+            p, q = ones[k] / a, (ones[-1] - ones[k]) / b
+            gain = share * (1 - share) - (a * p * (1 - p) + b * q * (1 - q)) / len(y)
+            gain[np.minimum(a, b) < least] = 0
+            i = int(gain.argmax())
+            if gain[i] > best[0] + 1e-12:
+                best = (float(gain[i]), f, (v[k[i]] + v[k[i] + 1]) / 2)
         _, f, limit = best
         if f is None:
             return int(share >= 0.5)
@@ -188,6 +209,8 @@ class Tree:
         out = np.zeros(len(x), bool)
 
         def go(node, rows):
+            if not len(rows):
+                return
             if not isinstance(node, tuple):
                 out[rows] = bool(node)
                 return
@@ -199,13 +222,40 @@ class Tree:
         return out
 
 
+_MARK = re.compile(r"([+-])(\d+)")
+
+
+def labelled(page: str, rng: np.random.Generator | None = None) -> tuple[str, list[bool]]:
+    """A labelled page as markup and its blocks' labels, in order: +9 stands for nine words of main text, -9 for nine others.
+
+    With a generator the numbers of words vary by up to a third.
+    """
+    marks: list[bool] = []
+
+    def fill(m: re.Match) -> str:
+        n = int(m[2])
+        if rng is not None:
+            n = max(1, round(n * float(rng.uniform(0.67, 1.33))))
+        return f"{'yes' if m[1] == '+' else 'no'} " + "word " * (n - 1)
+
+    text = _MARK.sub(fill, page)
+    marks = [b[0].startswith("yes") for b in blocks(text)]
+    return text, marks
+
+
 @cache
-def tree() -> Tree:
+def tree(leave_out: int | None = None, variations: int = 6) -> Tree:
+    """Trained on all labelled pages, or all but every fifth from ``leave_out`` on (to measure it on those)."""
     x, y = [], []
-    for page in LABELLED:
-        x.append(features([("", n, links, zone, int(kind == "h"), int(kind == "l")) for zone, kind, n, links, _ in page]))
-        y += [b[4] for b in page]
-    return Tree(np.concatenate(x), np.array(y))
+    rng = np.random.default_rng(5)
+    for i, page in enumerate(PAGES):
+        if leave_out is not None and i % 5 == leave_out:
+            continue
+        for k in range(variations):
+            text, marks = labelled(page, rng if k else None)
+            x.append(features(blocks(text)))
+            y += marks
+    return Tree(np.concatenate(x), np.array(y, float))
 
 
 def main_text(page: str) -> str:
@@ -219,8 +269,8 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (main blocks joined by line feeds, empty if there are none) and n_chars, its code points.
 
-    Null html counts as empty. Rows may repeat; null ids and urls stay null. Other columns are not looked at. An empty table gives an
-    empty result.
+    Null html counts as empty. Rows may repeat, alike or under one id, and are each looked at alone; null ids and urls stay null. Other columns are not looked
+    at. Nesting may be as deep as the page is long. An empty table gives an empty result.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
