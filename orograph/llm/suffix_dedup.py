@@ -40,6 +40,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW, _OFF = 1 << 12, 1 << 6
 #: Rows of one record batch.
 SLICE = 4096
+#: A key is hot that has more than one row in so many; at most so many are.
+HOT = 1000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -128,6 +130,13 @@ def suffixes(documents: DataFrame, row: list[str], window: int, gram: int) -> Da
     return given.mapInArrow(run, f"doc {kind}, _file long, _place long, gram long, b0 long, b1 long, at long")
 
 
+def _matched(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``. The keys in ``hot``, at most HOT, are joined by broadcast, so that no task has to take all rows of one."""
+    hot = F.broadcast(hot)
+    often = rows.join(F.broadcast(table.join(hot, on, "left_semi")), on, how)
+    return often.unionByName(rows.join(hot, on, "left_anti").join(table.join(hot, on, "left_anti"), on, how))
+
+
 def _contexts(documents: DataFrame, row: list[str], reps: DataFrame, window: int) -> DataFrame:
     """(gram, b0, b1, at, first, last, to_right, to_left): of each representative block the words from its minimiser on and those before it, nearest first.
 
@@ -226,10 +235,13 @@ def repeated_windows(documents: DataFrame, row: list[str], window: int = 50) ->
     if not 2 <= gram <= 31:
         raise ValueError("window must be from 4 to 63 words")
     found = stored(suffixes(documents, row, window, gram), "suffixes")
-    shared = found.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("gram")
-    hits = stored(found.join(shared, "gram", "left_semi"), "suffix-hits")
+    shared = found.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z")
+    shared = stored(shared.select("gram", "n"), "suffix-grams")
+    hot = shared.where(F.col("n") * HOT > found.count()).select("gram")
+    hits = stored(_matched(found, shared.select("gram"), ["gram"], hot, "left_semi"), "suffix-hits")
 
-    blocks = stored(hits.groupBy(*_BLOCK).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.expr(f"at % {_OFF}")).alias("more")), "suffix-blocks")
+    of = [F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.expr(f"at % {_OFF}")).alias("more"), F.count(F.lit(1)).alias("n")]
+    blocks = stored(hits.groupBy(*_BLOCK).agg(*of), "suffix-blocks")
     several = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     whole = blocks.join(several, "gram", "left_anti").select(*_BLOCK, F.col("first").alias("keeper"), F.expr("shiftleft(2L, cast(more as int)) - 1").alias("mask"))
     unlike = blocks.join(several, "gram", "left_semi").select(*_BLOCK, "first", "last")
@@ -249,7 +261,8 @@ def repeated_windows(documents: DataFrame, row: list[str], window: int = 50) ->
     bits = flat.select(*_BLOCK, "i", "o", "r", "l").join(repeats.drop("z"), ["o", "r", "l"])
     partial = bits.groupBy(*_BLOCK, "keeper").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.select(*_BLOCK, "keeper", "mask").unionByName(partial.select(*_BLOCK, "keeper", "mask"))
-    told = hits.join(masks, _BLOCK).where("keeper <> doc")
+    hot = blocks.where(F.col("n") * HOT > hits.count()).select(*_BLOCK)
+    told = _matched(hits, stored(masks, "suffix-masks"), _BLOCK, hot).where("keeper <> doc")
     return told.select("doc", "_file", "_place", F.expr(f"cast(at div {_LOW} as int)").alias("low"), "mask", "keeper")
 
 
