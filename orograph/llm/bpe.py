@@ -151,44 +151,49 @@ class Transducer:
 
 
 class Utf8Machine:
-    """Incremental UTF-8: feed() gives the characters that are complete and holds the rest. Bad bytes become U+FFFD."""
+    """Incremental UTF-8: a state machine that takes bytes and gives characters as they are complete.
+
+    A state is how many continuation bytes must follow, the range of the next, the bits so far and how many bytes were read. Bytes that fit no sequence
+    become U+FFFD, one for each longest start of a sequence, as Unicode recommends; ``bad`` counts them.
+    """
+
+    IDLE = (0, 0, 0, 0)
 
     def __init__(self):
-        self.held = b""
+        self.state, self.bad = self.IDLE, 0
 
     @staticmethod
-    def _next(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
-        """state: continuation bytes that must follow, and the range of the next. None: an error."""
-        need, low, high = state
+    def step(state: tuple[int, int, int, int], byte: int) -> tuple[tuple[int, int, int, int], str, int]:
+        """The next state, the characters that are certain now, and how many of them stand for bad bytes."""
+        need, low, high, bits = state
+        wrong = ""
         if need:
-            return (need - 1, 0x80, 0xBF) if low <= byte <= high else None
+            if low <= byte <= high:
+                bits = bits << 6 | byte & 0x3F
+                return ((need - 1, 0x80, 0xBF, bits), "", 0) if need > 1 else (Utf8Machine.IDLE, chr(bits), 0)
+            wrong = "\ufffd"  # the sequence ends here, and this byte begins anew
         if byte < 0x80:
-            return 0, 0, 0
+            return Utf8Machine.IDLE, wrong + chr(byte), len(wrong)
         if 0xC2 <= byte <= 0xDF:
-            return 1, 0x80, 0xBF
+            return (1, 0x80, 0xBF, byte & 0x1F), wrong, len(wrong)
         if 0xE0 <= byte <= 0xEF:
-            return 2, 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+            return (2, 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF, byte & 0x0F), wrong, len(wrong)
         if 0xF0 <= byte <= 0xF4:
-            return 3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
-        return None
+            return (3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF, byte & 0x07), wrong, len(wrong)
+        return Utf8Machine.IDLE, wrong + "\ufffd", len(wrong) + 1
 
     def feed(self, data: bytes, final: bool = False) -> str:
-        data = self.held + data
-        cut = len(data)
-        for back in range(1, 4) if not final else ():
-            if back > len(data):
-                break
-            if data[-back] >= 0xC0:  # the last lead byte: is its sequence complete?
-                state = (0, 0, 0)
-                for byte in data[-back:]:
-                    state = state and self._next(state, byte)
-                if state and state[0]:
-                    cut = len(data) - back
-                break
-            if data[-back] < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out = []
+        for byte in data:
+            self.state, made, bad = self.step(self.state, byte)
+            self.bad += bad
+            if made:
+                out.append(made)
+        if final and self.state[0]:
+            self.state = self.IDLE
+            self.bad += 1
+            out.append("\ufffd")
+        return "".join(out)
 
 
 class SpaceMemo:
@@ -231,11 +236,13 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self._pieces: dict[str, bytes] = {}
         self.packed = SpaceMemo(lambda chunks: [self._run(c) for c in chunks], self._run)
-        size = max(ranks.values()) + 1
-        by_id = [self.machine.bytes_of.get(i, b"") for i in range(size)]
-        self._length = np.fromiter(map(len, by_id), np.int64, size)
-        self._at = np.cumsum(self._length) - self._length
-        self._blob = np.frombuffer(b"".join(by_id), np.uint8)
+        #: What the machine makes of a token's bytes from its idle state, for tokens that leave it idle and have no bad byte.
+        self._whole: dict[int, str] = {}
+        for i, token in self.machine.bytes_of.items():
+            m = Utf8Machine()
+            text = m.feed(token)
+            if m.state == m.IDLE and not m.bad:
+                self._whole[i] = text
 
     def _run(self, text: str) -> bytes:
         out = []
@@ -254,15 +261,23 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), "<u4")
 
-    def decode(self, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
-        """The text of ``ids`` in parts, however the ids' bytes split its characters. Unknown ids give nothing."""
-        machine = Utf8Machine()
+    def decode(self, ids: np.ndarray, step: int = 1 << 16) -> Iterator[tuple[bytes, str, int]]:
+        """The bytes of ``ids`` in parts, the characters that are complete with each, and how many stand for bad bytes. Unknown ids give nothing.
+
+        From its idle state the machine's moves over whole tokens are known; only tokens that begin or end inside a character are fed byte by byte.
+        """
+        machine, whole, bytes_of = Utf8Machine(), self._whole.get, self.machine.bytes_of
         for i in range(0, max(len(ids), 1), step):
-            part = ids[i : i + step].astype(np.int64)
-            part = part[part < len(self._at)]
-            n = self._length[part]
-            where = np.repeat(self._at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield machine.feed(self._blob[where].tobytes(), final=i + step >= len(ids))
+            part = ids[i : i + step].tolist()
+            made = list(map(whole, part))
+            before = machine.bad
+            if machine.state != machine.IDLE or None in made:
+                for k, token in enumerate(part):
+                    if made[k] is None or machine.state != machine.IDLE:
+                        made[k] = machine.feed(bytes_of.get(token, b""))
+            if i + step >= len(ids):
+                made.append(machine.feed(b"", final=True))
+            yield b"".join([bytes_of.get(token, b"") for token in part]), "".join(made), machine.bad - before
 
 
 @cache
@@ -295,7 +310,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            texts = ["".join(c.decode(np.frombuffer(x or b"", "<u4"))) for x in b.column(1).to_pylist()]
+            texts = ["".join([text for _, text, _ in c.decode(np.frombuffer(x or b"", "<u4"))]) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
@@ -304,30 +319,31 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document the digests of its ids and of the text decoded from them: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """Per document the digests of its ids and of the bytes decoded from them: doc_id, n_tokens, ids_sha256, decoded_sha256, and decoded_chars, the
+    characters that the UTF-8 machine made of those bytes, and bad_chars, those that stand for bad bytes.
 
     Encodes and decodes in the same task, so ids never leave it. Null text counts as empty. Rows may repeat or lack an id;
     other columns are not looked at. An empty table gives an empty result.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars", "bad_chars"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def told(c: Codec, text: str) -> tuple:
+        ids = c.packed(text)
+        decoded, chars, wrong = hashlib.sha256(), 0, 0
+        for data, part, bad in c.decode(np.frombuffer(ids, "<u4")):
+            decoded.update(data)
+            chars += len(part)
+            wrong += bad
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), chars, wrong
 
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            n, ids_digest, text_digest = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = c.packed(text)
-                decoded = hashlib.sha256()
-                for part in c.decode(np.frombuffer(ids, "<u4")):
-                    decoded.update(part.encode())
-                n.append(len(ids) // 4)
-                ids_digest.append(hashlib.sha256(ids).hexdigest())
-                text_digest.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            rows = [told(c, text) for text in b.column(1).to_pylist()]
+            cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names)
 
-    return documents.select("doc_id", text_of(documents).alias("text")).mapInArrow(
-        run,
-        f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long, bad_chars long"
+    return documents.select("doc_id", text_of(documents).alias("text")).mapInArrow(run, fields)

@@ -244,10 +244,31 @@ def test_byte_bpe_on_odd_texts(tik):
         ids = c.encode(t)
         assert ids.tolist() == tik.encode_ordinary(t)
         for step in (1, 2, 3, 1 << 16):
-            assert "".join(c.decode(ids, step)) == t
+            assert "".join(text for _, text, _ in c.decode(ids, step)) == t
         assert list(c.machine.stream(t.encode()[:50])) == c.machine.encode(t.encode()[:50]) or not t
 
 
+def test_utf8_machine_like_the_decoder_of_python():
+    rng = np.random.default_rng(2)
+    pool = np.frombuffer("aé日🎉".encode() + bytes(range(0x7E, 0x100)), np.uint8)
+    for _ in range(3000):
+        data = bytes(rng.choice(pool, int(rng.integers(0, 12))))
+        cut = int(rng.integers(0, len(data) + 1))
+        m = bpe.Utf8Machine()
+        assert m.feed(data[:cut]) + m.feed(data[cut:], final=True) == data.decode("utf-8", "replace")
+
+
+def test_decoding_ids_that_split_characters(tik):
+    c = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        ids = rng.integers(0, 50256, 20).astype("<u4")
+        parts = list(c.decode(ids, 3))
+        raw = tik.decode_bytes(ids.tolist())
+        assert b"".join(p[0] for p in parts) == raw
+        assert "".join(p[1] for p in parts) == raw.decode("utf-8", "replace")
+
+
 def test_language_of_held_out_documents(spark):
     got = queries.op10_language_id(spark, BIG).join(spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
     rows = got.where("held_out and lang is not null and text is not null").collect()
