@@ -1,22 +1,27 @@
 """Quality rules: plain counts, and how well public vocabularies fit a text.
 
-Each word is encoded by the public vocabularies on its own. Three figures come of it: code points per token, the share of tokens that are
-single bytes because no piece fits, and the entropy of the tokens. A text in the wrong encoding, of symbols or random letters has few
-characters a token or many byte tokens; a text that says one thing again and again has little entropy. Which values are
-rejected depends on the script that most of its letters are in.
+Each word is encoded by the public vocabularies on its own. Four figures come of it: code points per token in a piece vocabulary and in a byte-level one, the
+share of the pieces that are single bytes because no piece fits, and the entropy of the pieces. A text in the wrong encoding, of symbols or random letters has few
+characters a token or many byte tokens; a text that says one thing again and again has little entropy.
+
+What is rejected depends on the language, or where that is not given or rare on the script that most letters are in. The bands are set from the figures of all documents of that
+language or script which pass the plain rules: the median and so many times a robust spread (the distance of the quartiles). A script with too few documents
+has the fixed band below.
 """
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,29 +32,37 @@ MEMO = 200_000
 
 @dataclass(frozen=True)
 class Band:
-    """What is kept: code points a token within limits, at most a share of byte tokens, at least an entropy (bits a token).
-
-    ``tokens`` is the least number of tokens for which the entropy says anything.
-    """
+    """What is kept: code points a token within limits, at most a share of byte tokens, at least an entropy (bits a token)."""
 
     least_chars: float
     most_chars: float
     byte_share: float
     entropy: float = 3.0
-    tokens: int = 100
 
 
-#: Rejection bands by script. Alphabets have a few characters a token, scripts of syllables and words about one or less.
+#: Rejection bands of scripts with too few documents. Alphabets have a few characters a token, scripts of syllables and words about one or less; texts
+#: without a letter are "none".
 BANDS = {
-    "latin": Band(1.2, 12.0, 0.25),
-    "cyrillic": Band(0.9, 12.0, 0.40),
-    "greek": Band(0.7, 12.0, 0.60),
-    "arabic": Band(0.5, 12.0, 0.90),
-    "hebrew": Band(0.5, 12.0, 0.90),
-    "indic": Band(0.25, 12.0, 1.0),
-    "cjk": Band(0.25, 8.0, 1.0),
-    "other": Band(0.25, 12.0, 1.0),
+    "latin": Band(1.6, 12.0, 0.25),
+    "cyrillic": Band(1.2, 12.0, 0.40),
+    "greek": Band(0.8, 12.0, 0.60),
+    "arabic": Band(0.6, 12.0, 0.80),
+    "hebrew": Band(0.6, 12.0, 0.80),
+    "indic": Band(0.4, 12.0, 0.80),
+    "cjk": Band(0.4, 8.0, 0.85),
+    "other": Band(0.4, 12.0, 0.85),
+    "none": Band(1.3, 12.0, 0.25),
 }
+#: A language or script is calibrated with so many documents; the entropy says something from so many tokens on.
+LEAST_DOCUMENTS = 50
+LEAST_TOKENS = 100
+#: Texts of fewer tokens have wider bands, by the root of the ratio.
+SCATTER = 200
+#: How many spreads a band reaches from the median, and the least width of one, in characters a token, share and bits.
+REACH = 10.0
+WIDTHS = (0.2, 0.25, 1.0)
+
+
 #: Code points at which a script's range begins; each lasts to the next.
 _STARTS = np.array([0x0, 0x41, 0x5B, 0x61, 0x7B, 0xAA, 0xAB, 0xC0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x1000,
                     0x1E00, 0x1F00, 0x2000, 0x2E80, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB1D, 0xFB50, 0xFE00, 0xFE70, 0xFF00, 0x1F000, 0x20000, 0x40000])
@@ -58,9 +71,11 @@ _NAMES = ["", "latin", "", "latin", "", "latin", "", "latin", "other", "greek",
 
 
 def script(text: str) -> str:
-    """The script of most letters; "other" for a text without one."""
+    """The script of most letters; "none" for a text without one."""
     if text.isascii():
-        return "latin" if any(map(str.isalpha, text)) else "other"
+        return "latin" if any(map(str.isalpha, text)) else "none"
+    if not any(map(str.isalpha, text)):
+        return "none"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     seen = np.bincount(np.searchsorted(_STARTS, points, "right") - 1, minlength=len(_STARTS))
     totals: dict[str, int] = {}
@@ -71,30 +86,37 @@ def script(text: str) -> str:
 
 
 class Vocabularies:
-    """A piece vocabulary with byte fallback, whose tokens are counted, and a byte-level one for a second opinion on length."""
+    """A piece vocabulary with byte fallback, whose tokens are looked at, and a byte-level one, whose tokens are counted."""
 
     def __init__(self, pieces: str, byte_level: str, pattern: str):
         import sentencepiece
-
-        from .bpe import codec
+        import tiktoken
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.codec = codec(byte_level, pattern)
+        with open(byte_level, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.level = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.memo: dict[bytes, bytes] = {}
+        self.counts: dict[bytes, int] = {}
 
-    def packed(self, words: list[bytes]) -> bytes:
-        """The piece ids of all words, each encoded alone, as unsigned 16-bit numbers."""
-        found = list(map(self.memo.get, words))
+    def packed(self, words: list[bytes]) -> tuple[bytes, int]:
+        """The piece ids of all words, each encoded alone, as unsigned 16-bit numbers; and how many byte-level tokens they have, each after a space."""
+        found, counts = list(map(self.memo.get, words)), list(map(self.counts.get, words))
         if None in found:
             new = list({w for w, x in zip(words, found, strict=True) if x is None})
-            coded = self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-            made = {w: np.array(ids, "<u2").tobytes() for w, ids in zip(new, coded, strict=True)}
+            texts = [w.decode("utf-8", "replace") for w in new]
+            made = {w: np.array(ids, "<u2").tobytes() for w, ids in zip(new, self.pieces.encode(texts, num_threads=1), strict=True)}
+            own = {w: len(self.level.encode_ordinary(" " + t)) for w, t in zip(new, texts, strict=True)}
             found = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            counts = [own[w] if x is None else x for w, x in zip(words, counts, strict=True)]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            self.memo.update((w, x) for w, x in made.items() if len(w) < 64)
-        return b"".join(found)
+                self.counts.clear()
+            short = [w for w in new if len(w) < 64]
+            self.memo.update((w, made[w]) for w in short)
+            self.counts.update((w, own[w]) for w in short)
+        return b"".join(found), sum(counts)
 
 
 @cache
@@ -134,53 +156,78 @@ def entropy(ids: np.ndarray) -> float:
 
 
 def measure(text: str, vocab: Vocabularies) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens, chars_per_token, byte_share, token_entropy, script)"""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens, chars_per_token, level_chars, byte_share, token_entropy, script)"""
     words = text.encode("utf-8", "surrogatepass").translate(_BYTE_SPACES).split()
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     chars = len(text) - sum(map(text.count, SPACES))
     repeats = repeated_words(words)
-    ids = np.frombuffer(vocab.packed(words), "<u2")
+    packed, level = vocab.packed(words)
+    ids = np.frombuffer(packed, "<u2")
     n = len(ids)
     share = float(vocab.byte[ids].mean()) if n else 0.0
     failed = len(words) < 20 or 100 * repeats > 30 * len(words)
     symbols = sum(map(text.count, SYMBOLS))
     return (
-        len(words), chars, symbols, len(lines) - len(set(lines)), repeats, failed, n, chars / n if n else 0.0, share, entropy(ids), script(text),
+        len(words), chars, symbols, len(lines) - len(set(lines)), repeats, failed, n, chars / n if n else 0.0, chars / level if level else 0.0, share,
+        entropy(ids), script(text),
     )
 
 
-def accepted(n: int, chars: float, share: float, bits: float, band: Band) -> bool:
-    return n > 0 and band.least_chars <= chars <= band.most_chars and share <= band.byte_share and (n < band.tokens or bits >= band.entropy)
+_OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, level_chars double, byte_share double, token_entropy double, script string"
 
 
-_OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string, kept boolean"
-
-
-def assess(documents: DataFrame, pieces: str, byte_level: str, pattern: str, bands: dict[str, Band] | None = None) -> DataFrame:
-    """Per document: doc_id, the plain counts, base_failed, the vocabulary's figures, and kept.
-
-    base_failed: under 20 words, or over 30 % of the words in repeated windows. Kept: not base_failed, and within the script's band; where the
-    piece vocabulary has too few characters a token, the byte-level one is asked too and either may accept. Null text counts as
-    empty: no words, not kept. Rows may repeat and lack an id; other columns are not looked at. An empty table gives an empty result.
-    """
-    bands = bands or BANDS
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+def figures(documents: DataFrame, pieces: str, byte_level: str, pattern: str) -> DataFrame:
+    """doc_id, lang (null where there is no such column) and the counts and figures of every document."""
     names = [x.split()[0] for x in _OUT.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64()] + [pa.float64()] * 4 + [pa.string()]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
 
     def run(batches):
         vocab = vocabularies(pieces, byte_level, pattern)
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                row = measure(text, vocab)
-                band = bands[row[-1]]
-                keep = not row[5] and accepted(*row[6:10], band)
-                if not keep and not row[5] and row[7] < band.least_chars:
-                    n = len(vocab.codec.packed(text)) // 4
-                    keep = accepted(n, row[1] / max(1, n), row[8], row[9], band)
-                rows.append((*row, keep))
+            rows = [measure(text, vocab) for text in b.column(2).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "lang", *names])
+
+    return documents.select("doc_id", lang.alias("lang"), text_of(documents).alias("_text")).mapInArrow(run, f"doc_id {kind}, lang string, {_OUT}")
+
+
+def calibrated(found: DataFrame, by: str) -> DataFrame:
+    """(by, bands) of each language or script with LEAST_DOCUMENTS or more that pass the plain rules."""
+
+    def band(c: str, width: float) -> list[Column]:
+        low, mid, high = (F.percentile_approx(c, q, 10_000) for q in (0.25, 0.5, 0.75))
+        reach = F.greatest(REACH * (high - low) / 1.35, F.lit(width))
+        return [mid.alias(f"mid_{c}"), reach.alias(f"reach_{c}")]
 
-    return documents.select("doc_id", text_of(documents).alias("text")).mapInArrow(run, f"doc_id {kind}, {_OUT}")
+    chars, share, bits = WIDTHS
+    bands = [*band("chars_per_token", chars), *band("level_chars", chars), *band("byte_share", share), *band("token_entropy", bits)]
+    passing = found.where(~F.col("base_failed") & F.col(by).isNotNull())
+    told = passing.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *bands).where(F.col("n") >= LEAST_DOCUMENTS)
+    return told.select(by, F.struct(*[c for c in told.columns if c not in (by, "n")]).alias(f"_{by}"))
+
+
+def assess(documents: DataFrame, pieces: str, byte_level: str, pattern: str, bands: dict[str, Band] | None = None) -> DataFrame:
+    """Per document: doc_id, the plain counts, base_failed, the vocabularies' figures, and kept.
+
+    base_failed: under 20 words, or over 30 % of the words in repeated windows. Kept: not base_failed, and within the band of the document's language, else of its script, else
+    the script's fixed one (there one vocabulary with enough characters a token is enough). Null text counts as
+    empty: no words, not kept; a null lang is none. Rows may repeat and lack an id, and equal rows are judged alike; other columns are not looked at. An empty table gives an empty result.
+    """
+    found = stored(figures(documents, pieces, byte_level, pattern), "figures")
+    joined = found.join(calibrated(found, "lang"), "lang", "left").join(calibrated(found, "script"), "script", "left")
+    own = F.coalesce("_lang", "_script")
+    # Figures of few tokens scatter more.
+    wider = F.sqrt(F.greatest(F.lit(1.0), SCATTER / F.greatest(F.lit(1), F.col("n_tokens"))))
+    off = lambda c: (F.col(c) - own[f"mid_{c}"]) / own[f"reach_{c}"] / wider
+    long_enough = F.col("n_tokens") >= LEAST_TOKENS
+    by_own = (F.abs(off("chars_per_token")) <= 1) & (F.abs(off("level_chars")) <= 1) & (off("byte_share") <= 1)
+    by_own &= ~long_enough | (off("token_entropy") >= -1)
+    fixed = F.lit(False)
+    for name, b in (bands or BANDS).items():
+        enough = F.greatest("chars_per_token", "level_chars") >= b.least_chars
+        fits = enough & (F.col("chars_per_token") <= b.most_chars) & (F.col("byte_share") <= b.byte_share) & (~long_enough | (F.col("token_entropy") >= b.entropy))
+        fixed |= (F.col("script") == name) & fits
+    kept = ~F.col("base_failed") & F.when(own.isNull(), fixed).otherwise(by_own)
+    return joined.select("doc_id", *[x.split()[0] for x in _OUT.split(", ")], kept.alias("kept"))
