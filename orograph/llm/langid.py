@@ -23,6 +23,7 @@ FILTERS = 10
 #: The training sample: at most so many documents of each language, and so many windows of each document.
 SAMPLE_DOCUMENTS = 300
 SAMPLE_WINDOWS = 6
+HELD_BACK = 5
 UNDETERMINED = "und"
 
 
@@ -45,6 +46,8 @@ class ByteNet:
     bias: np.ndarray
     weights: np.ndarray  # [feature, language]
     offset: np.ndarray
+    #: The score under which a prediction is no language for sure; from held-back rows of the sample.
+    limit: float = 0.0
 
     def __post_init__(self):
         self._pairs = None
@@ -166,14 +169,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _window_texts(text: Column) -> Column:
+    """At most SAMPLE_WINDOWS parts of a text of WINDOW characters each, evenly spread: all that training looks at."""
+    last = F.greatest(F.lit(0), F.ceil(F.length(text) / WINDOW) - 1)
+    at = lambda i: F.floor(last * i / (SAMPLE_WINDOWS - 1)).cast("int") * WINDOW + 1
+    parts = F.array_distinct(F.array(*[F.struct(at(i).alias("at"), F.substring(text, at(i), F.lit(WINDOW)).alias("part")) for i in range(SAMPLE_WINDOWS)]))
+    return F.transform(parts, lambda p: p["part"])
+
+
 def fit(documents: DataFrame) -> ByteNet:
     """Train on a bounded sample of the learnable rows: SAMPLE_DOCUMENTS of each language, those with the least hash of the id.
 
     Languages are the lang values of learnable rows; they are assumed to be a few hundred at most. Null and blank texts are
-    left out of the sample. Rows that repeat count once.
+    left out of the sample. Rows that repeat count once. Every HELD_BACK-th row is not learned from but sets the limit of ``accepted``: halfway between
+    an even guess and the least score that such a row has with a right prediction, so that it leaves room below all of them. Of each text at most SAMPLE_WINDOWS parts of WINDOW characters come to the driver.
     """
     rows = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        F.col("lang").alias("lang"), F.col("text").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
+        F.col("lang").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
     )
     # Spark keeps the first rows of each language in every task, so no language's rows meet in one.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
@@ -184,41 +196,53 @@ def fit(documents: DataFrame) -> ByteNet:
     within = F.lit(False)
     for r in limits:
         within = within | ((F.col("lang") == r["lang"]) & (F.col("_order") <= r["most"]))
-    chosen = rows.where(within & F.col("text").isNotNull()).groupBy("lang", "_order").agg(F.min("text").alias("text"))
-    found = sorted((r["lang"], r["_order"], r["text"]) for r in chosen.where("trim(text) <> ''").collect())
-    return train([r[2] for r in found], [r[0] for r in found])
+    chosen = rows.where(within & F.col("text").isNotNull()).where("trim(text) <> ''").select("lang", "_order", _window_texts(F.col("text")).alias("parts"))
+    found = sorted((r["lang"], r["_order"], r["parts"]) for r in chosen.groupBy("lang", "_order").agg(F.min("parts").alias("parts")).collect())
+    parts = [(r[0], p) for i, r in enumerate(found) if i % HELD_BACK for p in r[2] if p.strip()]
+    net = train([p for _, p in parts], [lang for lang, _ in parts])
+    held = [(r[0], "".join(r[2])) for i, r in enumerate(found) if i % HELD_BACK == 0]
+    scores = [s for (lang, _), name, s in zip(held, *net.predict([t for _, t in held]), strict=True) if lang == name]
+    if scores:
+        net.limit = (min(scores) + 1 / len(net.languages)) / 2
+    return net
 
 
-def predict(documents: DataFrame, net: ByteNet) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document's whole text; ``und`` and 0 without a text or a letter.
+def predict(documents: DataFrame, net: ByteNet, also: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document's whole text, and the columns in ``also``; ``und`` and 0 without a text or a letter.
 
     Rows may repeat; a null doc_id counts as the empty string for held_out. Other columns are not looked at. An empty table
     gives an empty result; a network that has learned no language predicts ``und``.
     """
     net._pairs = None
     shared = documents.sparkSession.sparkContext.broadcast(net)  # its size is fixed by FILTERS and the languages
+    also = also or []
 
     def run(batches):
         for b in batches:
             names, scores = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
+                [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *b.columns[3:]],
+                ["doc_id", "held_out", "lang_pred", "score", *also],
             )
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    )
+    kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in also)
+    given = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *also)
+    return given.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double{kinds}")
 
 
 def identify(documents: DataFrame) -> DataFrame:
+    """``predict`` by a network that is fitted on the same table; equal texts are predicted alike."""
     return predict(documents, fit(documents))
 
 
-def accepted(documents: DataFrame, net: ByteNet, least: float) -> DataFrame:
-    """The documents, all columns, whose prediction is a language with a score of ``least`` or more."""
+def accepted(documents: DataFrame, net: ByteNet, least: float | None = None) -> DataFrame:
+    """The documents, all columns, whose prediction is a language with a score of ``least`` (the network's own limit) or more.
+
+    Rows are judged one by one, so repeated rows and ids are no matter; null, empty and letterless texts go. An empty table stays empty.
+    """
+    net._pairs = None
     shared = documents.sparkSession.sparkContext.broadcast(net)
+    least = net.limit if least is None else least
     at = documents.columns.index("text")
 
     def run(batches):
