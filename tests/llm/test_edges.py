@@ -138,3 +138,40 @@ def test_pages(spark):
     assert len(text[5]) == 399_999
     empty = spark.createDataFrame([], schema)
     assert warc.round_trip(empty).collect() == html_text.extract(empty).collect() == []
+
+
+@pytest.mark.parametrize("ids", [(None, None), (7, 7)])
+def test_large_pages_with_one_id_or_none_come_back_whole(spark, ids):
+    rows = [(i, "u", "x y " * 9000 + end) for i, end in zip(ids, "ab", strict=True)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = warc.round_trip(df).collect()
+    assert len({r["payload_digest"] for r in got}) == 2 and {r["payload_bytes"] for r in got} == {36001}
+
+
+def test_stages_tell_rows_with_one_id_apart(spark):
+    """Different texts under one doc_id: no stage loses or cuts one for what another row with its id has."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    near = passage.replace("p30", "zz")
+    other = " ".join(f"q{i}" for i in range(80))
+    stages = dict(corpus_pipeline.STAGES)
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = lambda df: sorted(r["text"] for r in df.select("text").collect())
+    assert texts(stages["exact_dedup"](spark, docs((5, passage, "en"), (5, other, "en"), (1, passage, "en")), "")) == [passage, other]
+    assert texts(stages["simhash_near_dedup"](spark, docs((1, " ".join([passage] * 3), "en"), (5, " ".join([passage, near, passage]), "en"), (5, other, "en")), ""))[1:] == [other]
+    cut = stages["suffix_array_dedup"](spark, docs((1, passage, "en"), (2, f"x {passage} y", "en"), (2, other, "en")), "")
+    assert texts(cut) == [passage, other, "x y"]
+    packed = stages["best_fit_packing"](spark, docs((2, passage, "en"), (2, other, "en")), "")
+    assert packed.count() == 2
+
+
+def test_row_keys_don_t_depend_on_how_a_scan_is_split(spark, tmp_path):
+    from orograph.llm.common import keyed
+
+    spark.range(4000).repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    a = {tuple(r) for r in keyed(df, "f", "p").collect()}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    b = {tuple(r) for r in keyed(df, "f", "p").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert a == b and len({r[1:] for r in a}) == 4000
