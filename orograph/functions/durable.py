@@ -33,6 +33,13 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Free the files of durable tables that nothing reads any longer: each is overwritten by an empty one."""
+    for df in tables:
+        if files := df.inputFiles():
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def durable_counting(df: DataFrame, condition: str, name: str = "table") -> tuple[DataFrame, int]:
     """``durable`` and how many rows meet the condition, counted by the same job that writes."""
     seen = Observation()
