@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import durable as stored
+from ..functions.durable import release
 from ..functions.durable import shared_folder as shared_dir
 
-__all__ = ["SPACE", "WORD", "components", "fresh", "keyed", "shared_dir", "stored", "text_of"]
+__all__ = ["SPACE", "WORD", "components", "fresh", "keyed", "release", "shared_dir", "stored", "text_of"]
 
 #: The white space of every word and normalisation rule in this subpackage.
 SPACE = r"\x20\x09-\x0D"
@@ -71,7 +72,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     sign = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).alias("s")
     before = now.agg(sign).first()[0]
     for _ in range(max_rounds):
+        last = now
         now = stored(star(star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "edges")
+        release(last)
         after = now.agg(sign).first()[0]
         if after == before:
             break

@@ -181,8 +181,8 @@ def fit(documents: DataFrame) -> ByteNet:
     """Train on a bounded sample of the learnable rows: SAMPLE_DOCUMENTS of each language, those with the least hash of the id.
 
     Languages are the lang values of learnable rows; they are assumed to be a few hundred at most. Null and blank texts are
-    left out of the sample. Rows that repeat count once. Every HELD_BACK-th row is not learned from but sets the limit of ``accepted``: halfway between
-    an even guess and the least score that such a row has with a right prediction, so that it leaves room below all of them. Of each text at most SAMPLE_WINDOWS parts of WINDOW characters come to the driver.
+    left out of the sample. Rows that repeat count once. Every HELD_BACK-th row is not learned from but sets the limit of ``accepted``: a quarter of the way from
+    an even guess to the least score that such a row has with a right prediction, so that it leaves much room below all of them. Of each text at most SAMPLE_WINDOWS parts of WINDOW characters come to the driver.
     """
     rows = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("lang").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
@@ -203,31 +203,30 @@ def fit(documents: DataFrame) -> ByteNet:
     held = [(r[0], "".join(r[2])) for i, r in enumerate(found) if i % HELD_BACK == 0]
     scores = [s for (lang, _), name, s in zip(held, *net.predict([t for _, t in held]), strict=True) if lang == name]
     if scores:
-        net.limit = (min(scores) + 1 / len(net.languages)) / 2
+        net.limit = 0.75 / len(net.languages) + 0.25 * min(scores)
     return net
 
 
-def predict(documents: DataFrame, net: ByteNet, also: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document's whole text, and the columns in ``also``; ``und`` and 0 without a text or a letter.
+def predict(documents: DataFrame, net: ByteNet) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document's whole text; ``und`` and 0 without a text or a letter.
 
     Rows may repeat; a null doc_id counts as the empty string for held_out. Other columns are not looked at. An empty table
     gives an empty result; a network that has learned no language predicts ``und``.
     """
     net._pairs = None
     shared = documents.sparkSession.sparkContext.broadcast(net)  # its size is fixed by FILTERS and the languages
-    also = also or []
 
     def run(batches):
         for b in batches:
             names, scores = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *b.columns[3:]],
-                ["doc_id", "held_out", "lang_pred", "score", *also],
+                [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in also)
-    given = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *also)
-    return given.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double{kinds}")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    given = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, keyed, stored, text_of
+from .common import components, fresh, keyed, release, stored, text_of
 
 #: The sets of four byte positions that a posting list is for; each three of the eight positions are in one of them.
 PLACES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
@@ -159,6 +159,7 @@ def frequent(documents: DataFrame, wide: int, seed: int) -> np.ndarray:
             break
         least = 1 << power
     found = counts.where(F.col("n") >= least).select("key").collect() if least else []
+    release(counts)
     return np.array(sorted(r["key"] for r in found), np.int64)
 
 
@@ -214,7 +215,9 @@ def _verified(documents: DataFrame, pairs: DataFrame, least: float, wide: int, s
     x, y = sets.toDF("a", "ha"), sets.toDF("b", "hb")
     both = F.size(F.array_intersect("ha", "hb"))
     kept = pairs.join(x, "a").join(y, "b").where(both >= least * (F.size("ha") + F.size("hb") - both) - 1e-9)
-    return stored(kept.select("a", "b"), "alike")
+    kept = stored(kept.select("a", "b"), "alike")
+    release(pairs, sets)
+    return kept
 
 
 def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, seed: int = 42) -> DataFrame:
@@ -262,6 +265,7 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
     pairs = pairs.select(F.col("x._text").alias("a"), F.col("y._text").alias("b"))
     found = linked.unionByName(_verified(documents, pairs, least, wide, seed))
     fps = info.select("_text", "_fp")
+    release(posts, members, rest)
     return found.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, keyed, stored, text_of
+from .common import WORD, fresh, keyed, release, stored, text_of
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: An odd multiplier for hashes of word sequences, and its inverse modulo 2 ** 64.
@@ -239,6 +239,7 @@ def repeated_windows(documents: DataFrame, row: list[str], window: int = 50) ->
     shared = stored(shared.select("gram", "n"), "suffix-grams")
     hot = shared.where(F.col("n") * HOT > found.count()).select("gram")
     hits = stored(_matched(found, shared.select("gram"), ["gram"], hot, "left_semi"), "suffix-hits")
+    release(found, shared)
 
     of = [F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.expr(f"at % {_OFF}")).alias("more"), F.count(F.lit(1)).alias("n")]
     blocks = stored(hits.groupBy(*_BLOCK).agg(*of), "suffix-blocks")
@@ -262,7 +263,9 @@ def repeated_windows(documents: DataFrame, row: list[str], window: int = 50) ->
     partial = bits.groupBy(*_BLOCK, "keeper").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = whole.select(*_BLOCK, "keeper", "mask").unionByName(partial.select(*_BLOCK, "keeper", "mask"))
     hot = blocks.where(F.col("n") * HOT > hits.count()).select(*_BLOCK)
-    told = _matched(hits, stored(masks, "suffix-masks"), _BLOCK, hot).where("keeper <> doc")
+    masks = stored(masks, "suffix-masks")
+    release(flat, contexts, right, left)
+    told = _matched(hits, masks, _BLOCK, hot).where("keeper <> doc")
     return told.select("doc", "_file", "_place", F.expr(f"cast(at div {_LOW} as int)").alias("low"), "mask", "keeper")
 
 
