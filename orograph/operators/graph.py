@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, profiles
-from ..functions.durable import durable, durable_counting
+from ..functions.durable import durable, durable_counting, release
 from ..functions.numbers import INF, at_least
 
 
@@ -68,12 +68,12 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     now = durable(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().select("node", F.col("node").alias("component")), "labels")
     for _ in range(max_rounds):
         told = both.join(now.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("c"))
-        hook = now.join(told.withColumnRenamed("u", "node"), "node", "left").select("node", F.least("component", "c").alias("component"))
-        hook = durable(hook, "labels")
+        hook = now.join(told.withColumnRenamed("u", "node"), "node", "left")
+        hook = durable(hook.select("node", F.col("component").alias("before"), F.least("component", "c").alias("component")), "labels")
         jump = hook.alias("a").join(hook.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
-        after = durable(jump.select("node", F.least("component", "next").alias("component")), "labels")
-        changed = after.join(now.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
-        now = after
+        after, changed = durable_counting(jump.select("node", "before", F.least("component", "next").alias("component")), "component <> before", "labels")
+        release(now, hook)
+        now = after.drop("before")
         if not changed:
             return now
     raise RuntimeError("components did not settle")

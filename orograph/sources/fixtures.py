@@ -32,10 +32,8 @@ FROM {_NUMBERED}
 GPS = """
 SELECT user_id AS track_id, seq, ts, 27.10e0 + seq*0.0003e0 + ((event_id*31) % 21 - 10)*0.00001e0 AS lon,
        38.40e0 + (user_id % 10)*0.001e0 + ((event_id*17) % 21 - 10)*0.00001e0 AS lat, abs(value)/20e0 AS speed_ms
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM events) q WHERE seq <= 40
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM events) q
 """
-#: The same without an end: every event of every user.
-TRACKS = GPS.replace(" WHERE seq <= 40", "")
 ZONES = """
 SELECT CAST(c_nationkey AS BIGINT) AS zone_id, 27.10e0 + (c_nationkey % 5)*0.006e0 AS lon,
        38.40e0 + floor(c_nationkey/5e0)*0.006e0 AS lat, CAST(count(*) AS DOUBLE)*10e0 AS population
@@ -71,7 +69,6 @@ _SOURCES = {
     "polylines": (POLYLINES, ["lineitem"]),
     "routes": (ROUTES, ["polylines"]),
     "gps": (GPS, ["events"]),
-    "tracks": (TRACKS, ["events"]),
     "zones": (ZONES, ["customer"]),
     "facilities": (FACILITIES, ["supplier"]),
     "stop_times": (STOP_TIMES, ["lineitem"]),
