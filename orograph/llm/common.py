@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from ..functions.durable import durable as stored
 from ..functions.durable import release
 from ..functions.durable import shared_folder as shared_dir
 
-__all__ = ["SPACE", "WORD", "components", "fresh", "keyed", "release", "shared_dir", "stored", "text_of"]
+__all__ = ["SPACE", "WORD", "components", "fresh", "keyed", "release", "shared_dir", "slices", "stored", "text_of"]
 
 #: The white space of every word and normalisation rule in this subpackage.
 SPACE = r"\x20\x09-\x0D"
@@ -30,6 +33,13 @@ def keyed(df: DataFrame, file: str, place: str) -> DataFrame:
         return keyed(stored(df, "rows"), file, place)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``, so that a task holds Python objects of few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 WIDTHS = (2, 3, 4)
 WINDOW = 192
@@ -217,7 +219,7 @@ def predict(documents: DataFrame, net: ByteNet) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(net)  # its size is fixed by FILTERS and the languages
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, scores = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -245,7 +247,7 @@ def accepted(documents: DataFrame, net: ByteNet, least: float | None = None) ->
     at = documents.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, scores = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

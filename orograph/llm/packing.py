@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SpaceMemo
-from .common import stored, text_of
+from .common import slices, stored, text_of
 
 
 def grouped(counts: dict[int, int], over: int, groups: int) -> dict[int, int]:
@@ -231,7 +231,7 @@ def pieces(documents: DataFrame, path: str, capacity: int, end: int = 0) -> Data
 
     def run(batches):
         packed, stop = _tokens(path), np.array([end], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = memoryview(packed(text) + stop)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, keyed, release, stored, text_of
+from .common import components, fresh, keyed, release, slices, stored, text_of
 
 #: The sets of four byte positions that a posting list is for; each three of the eight positions are in one of them.
 PLACES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
@@ -76,7 +76,7 @@ def fingerprints(documents: DataFrame, carried: list[str], shingle: int = 3, see
     given = documents.select(*carried, text_of(documents).alias("_text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [fingerprint(t, shingle, seed) for t in b.column(len(carried)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.int64())], [*carried, "_fp"])
 
@@ -141,7 +141,7 @@ def frequent(documents: DataFrame, wide: int, seed: int) -> np.ndarray:
 
     def run(batches):
         parts, size = [np.empty(0, np.int64)], 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 parts.append(np.unique(shingle_hashes(t, wide, seed).view(np.int64)))
                 size += len(parts[-1])
@@ -174,7 +174,7 @@ def _sketches(documents: DataFrame, carried: list[str], least: float, wide: int,
 
     def run(batches):
         common = often.value
-        for b in batches:
+        for b in slices(batches):
             fps, sizes, shares, prefixes, masks = [], [], [], [], []
             for t in b.column(len(carried) + 1).to_pylist():
                 fps.append(fingerprint(t, shingle, seed))
@@ -198,7 +198,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, wide: int, seed: int) -> Data
     """(_text, hashes) of the texts in ``wanted``."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [np.unique(shingle_hashes(t, wide, seed)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["_text", "hashes"])
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, keyed, release, stored, text_of
+from .common import WORD, fresh, keyed, release, slices, stored, text_of
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: An odd multiplier for hashes of word sequences, and its inverse modulo 2 ** 64.
@@ -111,7 +111,7 @@ def suffixes(documents: DataFrame, row: list[str], window: int, gram: int) -> Da
     names = ["doc", "_file", "_place", *_BLOCK, "at"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             docs, cols = [], []
             for i, text in enumerate(b.column(3).to_pylist()):
                 found = anchors(text, window, gram)
@@ -148,7 +148,7 @@ def _contexts(documents: DataFrame, row: list[str], reps: DataFrame, window: int
     names = [*_BLOCK, "at", "first", "last"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             flat = b.column(1).flatten()
             places, ends = flat.field(3).to_pylist(), np.cumsum(b.column(1).value_lengths().to_numpy()).tolist()
             right, left = [], []
@@ -335,7 +335,7 @@ def cut_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             spans = b.column(b.num_columns - 1).to_pylist()
             keep = []
