@@ -87,7 +87,8 @@ def equity_scorecard(spark, sf_dir):
 
 @query(_RANKED + f""" SELECT 0 AS rank, 0e0 AS pop_share, 0e0 AS acc_share UNION ALL SELECT CAST(rk AS INTEGER), {r("ps", "pop_share")}, {r("as_", "acc_share")} FROM k WHERE (rk-1)%greatest(1,n//20)=0 OR rk=n""", "zones", "facilities")
 def lorenz_curve(spark, sf_dir):
-    return rounded_columns(access.lorenz(access.ranked(access.catchment_scores(load(spark, sf_dir, "zones"), load(spark, sf_dir, "facilities")))), 4)
+    curve = access.lorenz(access.ranked(access.catchment_scores(load(spark, sf_dir, "zones"), load(spark, sf_dir, "facilities"))))
+    return rounded_columns(curve.withColumn("rank", F.col("rank").cast("int")), 4)
 
 
 _HAV2 = hav("{0}", "{1}", "{2}", "{3}").replace("6371008.8e0", "6371000e0")
@@ -246,7 +247,14 @@ def truck_clearance(spark, sf_dir):
     return rounded_columns(t, 4, "max_slope_pct")
 
 
-@query(None)
+@query(f"""WITH s AS (SELECT facility_id AS site_id, (lon-27.1e0)*87000e0 AS x, (lat-38.4e0)*110540e0 AS y, 10e0 AS z FROM facilities),
+o AS (SELECT id AS obstacle_id, (lon-27.1e0)*87000e0 AS ox, (lat-38.4e0)*110540e0 AS oy, height_m AS oz FROM circles),
+p AS (SELECT *, sqrt(pow(ox-x,2)+pow(oy-y,2)) AS dist FROM s JOIN o ON abs(ox-x)<=500 AND abs(oy-y)<=500),
+h AS (SELECT *, unnest([0e0,45e0,90e0,135e0,180e0,225e0,270e0,315e0]) AS heading FROM p WHERE dist<=500),
+v AS (SELECT site_id, obstacle_id, heading, CASE WHEN dist<=30 THEN CASE WHEN oz>z+0.5e0 THEN oz-z END
+  WHEN degrees(acos(least(1e0,greatest(-1e0,(sin(radians(heading))*(ox-x)+cos(radians(heading))*(oy-y))/greatest(dist,1e-4)))))<=15 AND oz>z+(dist-30)/8 THEN oz-(z+(dist-30)/8) END AS above FROM h),
+b AS (SELECT site_id, max(above) AS m, count(DISTINCT obstacle_id) AS n, count(DISTINCT heading) AS k FROM v WHERE above IS NOT NULL GROUP BY site_id)
+SELECT site_id, {r("coalesce(m,0e0)", "max_intrusion_m")}, coalesce(n,0) AS critical_obstacles, 8-coalesce(k,0) AS safe_headings, coalesce(k,0)<8 AND coalesce(m,0e0)=0 AS is_safe FROM s LEFT JOIN b USING (site_id)""", "facilities", "circles")
 def landing_zones(spark, sf_dir):
     s = _planar(load(spark, sf_dir, "facilities"), F.col("facility_id").alias("site_id")).withColumn("z", F.lit(10.0))
     o = _planar(load(spark, sf_dir, "circles"), F.col("id").alias("obstacle_id"), F.col("height_m").alias("oz")).withColumnsRenamed({"x": "ox", "y": "oy"})
