@@ -148,7 +148,10 @@ def isochrones(edges: DataFrame, origins: DataFrame, nodes: DataFrame, minutes:
     costs = least_costs(e, origins, "seconds", 60.0 * max(cuts))
     bands = costs.select("src", "node", "cost", F.explode(F.array(*map(F.lit, cuts))).alias("cutoff_min")).where(F.col("cost") <= F.col("cutoff_min") * 60.0)
     placed = bands.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node")
-    g = placed.groupBy("src", "cutoff_min").agg(F.count(F.lit(1)).alias("node_count"), F.array_sort(F.collect_set(F.struct("lon", "lat"))).alias("p"))
+    # The hull of the hulls of strips is the hull, and a strip's points are few.
+    strips = placed.groupBy("src", "cutoff_min", F.floor(F.col("lat") / 0.005).alias("strip")).agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_set(F.struct("lon", "lat"))).alias("p"))
+    hulls = strips.select("src", "cutoff_min", "k", convex_hull(F.col("p")).alias("p"))
+    g = hulls.groupBy("src", "cutoff_min").agg(F.sum("k").alias("node_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
     return g.select("src", "cutoff_min", "node_count", (ring_area_m2(convex_hull(F.col("p"))) / 1e4).alias("area_ha"))
 
 
@@ -244,6 +247,28 @@ def matrix(edges: DataFrame, origins: DataFrame, destinations: DataFrame, profil
     return sums.join(o, "src").join(d, "target").select("origin_id", "destination_id", "cost", "seconds", "length_m")
 
 
+def shared_ends(trips: DataFrame, nodes: DataFrame, membership: DataFrame, radius_m: float = 2500.0) -> DataFrame:
+    """(query_id, src, dst, dist_m): the nodes at which each trip (query_id, olon, olat, dlon, dlat) joins the network.
+
+    Of the components (node, component) that have nodes within the radius of both ends, that with the least way to them, then the one with most nodes;
+    ``dist_m`` is that way. Without such a component both ends go to the node nearest to each, null where there is none, and ``dist_m`` is null.
+    """
+    from .spatial import within
+
+    n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat")).join(membership.select("node", "component"), "node")
+    sizes = membership.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+    def ends(lon: str, lat: str, name: str) -> DataFrame:
+        near = within(trips.select("query_id", F.col(lon).alias("lon"), F.col(lat).alias("lat")), n, radius_m)
+        return durable(near.groupBy("query_id", "component").agg(F.min(F.struct("dist_m", "node")).alias(name)), name)
+
+    a, b = ends("olon", "olat", "a"), ends("dlon", "dlat", "b")
+    both = a.join(b, ["query_id", "component"]).join(sizes, "component")
+    best = both.groupBy("query_id").agg(F.min(F.struct((F.col("a.dist_m") + F.col("b.dist_m")).alias("d"), (-F.col("size")).alias("size"), F.col("a.node").alias("src"), F.col("b.node").alias("dst"))).alias("s"))
+    alone = trips.select("query_id").join(a.groupBy("query_id").agg(F.min("a").alias("a")), "query_id", "left").join(b.groupBy("query_id").agg(F.min("b").alias("b")), "query_id", "left")
+    return alone.join(best, "query_id", "left").select("query_id", F.coalesce("s.src", "a.node").alias("src"), F.coalesce("s.dst", "b.node").alias("dst"), F.col("s.d").alias("dist_m"))
+
+
 def multi_stop(edges: DataFrame, stops: DataFrame, profile: str | dict = "adult") -> DataFrame:
     """(route_id, leg, pos, node, cost) through each route's stops (route_id, seq, node) in order; a route with a leg that has no path has no rows."""
     w = Window.partitionBy("route_id").orderBy("seq")

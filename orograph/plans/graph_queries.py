@@ -75,7 +75,7 @@ def edge_costs_wheelchair(spark, sf_dir):
     return rounded_columns(graph.weighted(_edges(spark, sf_dir), "wheelchair").select("u", "v", "length_m", "slope_pct", "cost", "seconds"), 4)
 
 
-@query(None)
+@query(f"""WITH {_edge_sql('adult')} SELECT u, v, {r(f"greatest(0.01e0,cost*CASE WHEN u%3>0 OR v%2>0 THEN greatest(0.6e0,1e0+CASE WHEN u%3>0 THEN (u%10)/10e0*{0.5 / 3.8 * 1.8!r}e0 ELSE 0e0 END-CASE WHEN v%2>0 THEN (v%10)/10e0*{0.5 / 3.8 * 0.4!r}e0 ELSE 0e0 END) ELSE 1e0 END)", "cost")} FROM e""", "segments")
 def edge_costs_with_rasters(spark, sf_dir):
     p = profiles.resolve("adult")
     e = _edges(spark, sf_dir).withColumn("lst", F.when(F.col("u") % 3 > 0, F.col("u") % 10 / 10.0)).withColumn("green", F.when(F.col("v") % 2 > 0, F.col("v") % 10 / 10.0))
@@ -91,13 +91,33 @@ def graph_build(spark, sf_dir):
     return edges.agg(F.count_distinct("u").alias("from_nodes"), F.count(F.lit(1)).alias("edges"), F.count_if(F.col("highway") == "steps").alias("steps"))
 
 
-@query("""WITH RECURSIVE b AS MATERIALIZED (SELECT u, v FROM segments WHERE highway IN ('residential','tertiary') UNION ALL SELECT v, u FROM segments WHERE highway IN ('residential','tertiary')),
-c(node, comp) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(c.comp) FROM c JOIN b ON b.u=c.node JOIN recurring.c AS o ON o.node=b.v WHERE c.comp<o.comp GROUP BY b.v)
-SELECT node, comp AS component FROM c""", "segments")
+_ISLANDS = """WITH RECURSIVE b AS MATERIALIZED (SELECT u, v FROM segments WHERE highway IN ('residential','tertiary') UNION ALL SELECT v, u FROM segments WHERE highway IN ('residential','tertiary')),
+c(node, comp) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(c.comp) FROM c JOIN b ON b.u=c.node JOIN recurring.c AS o ON o.node=b.v WHERE c.comp<o.comp GROUP BY b.v)"""
+
+
+@query(f"{_ISLANDS} SELECT node, comp AS component FROM c", "segments")
 def network_components(spark, sf_dir):
     return graph.components(load(spark, sf_dir, "segments").where("highway in ('residential', 'tertiary')").select("u", "v"))
 
 
+_ENDS = """SELECT id AS query_id, lon+0.00013e0 AS olon, lat+0.00021e0 AS olat, 27.10017e0+((id*7)%31)*0.001e0 AS dlon, 38.40011e0+((id*13)%29)*0.001e0 AS dlat FROM circles"""
+
+
+def _near_sql(lon: str, lat: str, name: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT query_id, comp, min(d) AS d, arg_min(node,(d,node)) AS node FROM (SELECT query_id, comp, node, {hav(lon, lat, 'lon', 'lat')} AS d FROM t JOIN m ON abs(lon-{lon})<0.01e0 AND abs(lat-{lat})<0.008e0) q WHERE d<=600 GROUP BY query_id, comp)"
+
+
+@query(f"""{_ISLANDS}, t AS ({_ENDS}), m AS MATERIALIZED (SELECT c.node, c.comp, n.lon, n.lat FROM c JOIN nodes n ON n.id=c.node), z AS (SELECT comp, count(*) AS size FROM c GROUP BY comp),
+{_near_sql("olon", "olat", "na")}, {_near_sql("dlon", "dlat", "nb")},
+k AS (SELECT query_id, na.node AS src, nb.node AS dst, na.d+nb.d AS d, row_number() OVER (PARTITION BY query_id ORDER BY na.d+nb.d, -size, na.node, nb.node) AS rn FROM na JOIN nb USING (query_id, comp) JOIN z USING (comp)),
+x AS (SELECT query_id, arg_min(node,(d,node)) AS node FROM na GROUP BY query_id), y AS (SELECT query_id, arg_min(node,(d,node)) AS node FROM nb GROUP BY query_id)
+SELECT t.query_id, coalesce(k.src,x.node) AS src, coalesce(k.dst,y.node) AS dst, {r("k.d", "dist_m", 3)} FROM t LEFT JOIN k ON k.query_id=t.query_id AND rn=1 LEFT JOIN x ON x.query_id=t.query_id LEFT JOIN y ON y.query_id=t.query_id""", "segments", "circles")
+def shared_ends(spark, sf_dir):
+    islands = graph.components(load(spark, sf_dir, "segments").where("highway in ('residential', 'tertiary')").select("u", "v"))
+    trips = spark.sql(_ENDS.replace("FROM circles", "FROM {circles}"), circles=load(spark, sf_dir, "circles"))
+    return rounded_columns(graph.shared_ends(trips, load(spark, sf_dir, "nodes"), islands, 600.0), 3)
+
+
 def _sssp(profile: str, weight: str, limit: float) -> str:
     return f"""WITH RECURSIVE {_ZN}, {_edge_sql(profile)},
 d(src, node, c) USING KEY (src, node) AS (SELECT node, node, 0e0 FROM zn UNION SELECT d.src, e.v, min(d.c+e.{weight}) FROM d JOIN e ON e.u=d.node LEFT JOIN recurring.d AS o ON o.src=d.src AND o.node=e.v
