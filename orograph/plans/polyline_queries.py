@@ -96,7 +96,12 @@ def route_kpis_car(spark, sf_dir):
     return P.rounded_columns(P.statistics(load(spark, sf_dir, "routes"), "car", "vehicle", 50.0, interval=12.0), 2)
 
 
-@query(None)
+_SO_FAR = "OVER (PARTITION BY route_id ORDER BY seg, step ROWS BETWEEN UNBOUNDED PRECEDING AND {0})"
+_TIRED = f"""least(1e0,greatest(0.45e0,exp(-0.35e0*(0.12e0*coalesce(sum(d) {_SO_FAR.format("1 PRECEDING")},0e0)/1000
+ +0.25e0*sum(CASE WHEN dz>0 AND d IS NOT NULL THEN dz ELSE 0e0 END) {_SO_FAR.format("CURRENT ROW")}/100))))"""
+
+
+@query(_kpi_oracle(_TOBLER.format(base="3.2e0") + "*" + _TIRED, _MINETTI), "routes")
 def route_kpis_senior(spark, sf_dir):
     return P.rounded_columns(P.statistics(load(spark, sf_dir, "routes"), "senior", "pedestrian", 3.2, interval=12.0), 2)
 
@@ -150,7 +155,11 @@ def _with_steps(points):
     return points.groupBy("route_id").count().where("count > 1")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS rn, lon, lat FROM routes),
+f AS (SELECT route_id, rn, lon, lat, CAST(1 AS INTEGER) AS n FROM p WHERE rn = 1
+ UNION ALL SELECT route_id, rn, CASE WHEN far THEN lon ELSE flon END, CASE WHEN far THEN lat ELSE flat END, CAST(n + far::INTEGER AS INTEGER)
+ FROM (SELECT p.*, f.n, f.lon AS flon, f.lat AS flat, {hav("f.lon", "f.lat", "p.lon", "p.lat")}>0.05e0 AS far FROM f JOIN p ON p.route_id=f.route_id AND p.rn=f.rn+1) q)
+SELECT route_id, max(n) AS n FROM f GROUP BY route_id""", "routes")
 def deduplicate_adjacent(spark, sf_dir):
     return P.without_repeats(load(spark, sf_dir, "routes")).select("route_id", F.size("points").alias("n"))
 
