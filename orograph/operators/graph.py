@@ -139,7 +139,13 @@ def back_trace(costs: DataFrame, targets: DataFrame, hops_a_round: int = 12) ->
 
 
 def isochrones(edges: DataFrame, origins: DataFrame, nodes: DataFrame, minutes: list[float], profile: str | dict = "adult") -> DataFrame:
-    """(src, cutoff_min, node_count, area_ha): what each origin (src, node) reaches in time, with the area of the convex hull.
+    """(src, cutoff_min, node_count, area_ha): what each origin (src, node) reaches in time, with the area of the convex hull."""
+    b = isochrone_bands(edges, origins, nodes, minutes, profile)
+    return b.select("src", "cutoff_min", "node_count", "area_ha")
+
+
+def isochrone_bands(edges: DataFrame, origins: DataFrame, nodes: DataFrame, minutes: list[float], profile: str | dict = "adult") -> DataFrame:
+    """The areas of ``isochrones`` with their outlines: src, cutoff_min, node_count, area_ha and ring, an array of (lon, lat).
 
     Impassable edges are those of infinite cost; what adds up is travel time.
     """
@@ -152,7 +158,8 @@ def isochrones(edges: DataFrame, origins: DataFrame, nodes: DataFrame, minutes:
     strips = placed.groupBy("src", "cutoff_min", F.floor(F.col("lat") / 0.005).alias("strip")).agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_set(F.struct("lon", "lat"))).alias("p"))
     hulls = strips.select("src", "cutoff_min", "k", convex_hull(F.col("p")).alias("p"))
     g = hulls.groupBy("src", "cutoff_min").agg(F.sum("k").alias("node_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p"))
-    return g.select("src", "cutoff_min", "node_count", (ring_area_m2(convex_hull(F.col("p"))) / 1e4).alias("area_ha"))
+    ringed = g.select("src", "cutoff_min", "node_count", convex_hull(F.col("p")).alias("ring"))
+    return ringed.select("*", (ring_area_m2(F.col("ring")) / 1e4).alias("area_ha"))
 
 
 def cutoffs(minutes: list) -> list[float]:

@@ -88,6 +88,19 @@ def evacuate(origins: DataFrame, musters: DataFrame, hazards: DataFrame, walk_km
     )
 
 
+def evacuation_summary(plan: DataFrame, origins: DataFrame) -> DataFrame:
+    """One row over ``evacuate``'s plan: population, mean_minutes, max_minutes, and the muster point that takes most people (of ties the least id).
+
+    ``origins`` are (origin_id, population); a missing population is 50. All is added up before the shuffle; no row of the plan is collected.
+    """
+    people = F.coalesce("population", F.lit(50.0))
+    total = origins.agg(F.coalesce(F.sum(people), F.lit(0.0)).alias("population"))
+    times = plan.agg(F.coalesce(F.avg("minutes"), F.lit(0.0)).alias("mean_minutes"), F.coalesce(F.max("minutes"), F.lit(0.0)).alias("max_minutes"))
+    use = plan.join(origins.select("origin_id", people.alias("n")), "origin_id").groupBy("muster_id").agg(F.sum("n").alias("n"))
+    most = use.agg(F.min(F.struct((-F.col("n")).alias("n"), "muster_id")).alias("m")).select("m.muster_id")
+    return total.join(times).join(most)
+
+
 def drone_corridor(flights: DataFrame, buildings: DataFrame, cruise: float = 60.0, max_agl: float = 120.0, clearance: float = 25.0, speed_ms: float = 15.0, range_km: float = 18.0) -> DataFrame:
     """Per flight (flight_id, x0, y0, z0, x1, y1, z1): safe height over the buildings' boxes (bx0, by0, bx1, by1, height) it passes."""
     h = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))

@@ -8,6 +8,7 @@ from ..functions import profiles
 from ..functions.numbers import INF, rounded
 from ..operators import graph, pareto
 from ..operators.polylines import rounded_columns
+from ..sources import exports
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
 
@@ -143,6 +144,13 @@ def isochrone_areas(spark, sf_dir):
     return rounded_columns(graph.isochrones(_edges(spark, sf_dir), o, load(spark, sf_dir, "nodes"), [5.0, 10.0]), 3)
 
 
+@query(None)
+def export_isochrones(spark, sf_dir):
+    """The areas in reach of each zone's node as GeoJSON."""
+    o = _zone_nodes(spark, sf_dir).select(F.col("node").alias("src"), "node").distinct()
+    return exports.band_collections(graph.isochrone_bands(_edges(spark, sf_dir), o, load(spark, sf_dir, "nodes"), [5.0, 10.0]))
+
+
 _NEAR = "q AS (SELECT zone_id AS query_id, zn.node AS src, z2.node AS dst FROM zn JOIN zn z2(zone_id2, node) ON z2.zone_id2=(zn.zone_id+1)%25 WHERE zn.node<>z2.node)"
 
 

@@ -202,18 +202,33 @@ def _planar(df, *columns):
 _HZ = "SELECT (lon-27.1e0)*87000e0 AS hx, (lat-38.4e0)*110540e0 AS hy, radius_m AS radius FROM circles WHERE radius_m>=68"
 
 
-@query(f"""WITH o AS (SELECT zone_id, (lon-27.1e0)*87000e0 AS x, (lat-38.4e0)*110540e0 AS y, 10e0 AS z FROM zones), mu AS (SELECT facility_id, (lon-27.1e0)*87000e0 AS mx, (lat-38.4e0)*110540e0 AS my, capacity AS mz FROM facilities WHERE capacity>=90),
+def _evacuated(spark, sf_dir):
+    o = _planar(load(spark, sf_dir, "zones"), F.col("zone_id").alias("origin_id")).withColumn("z", F.lit(10.0))
+    m = _planar(load(spark, sf_dir, "facilities").where("capacity >= 90"), F.col("facility_id").alias("muster_id"), F.col("capacity").alias("z"))
+    h = _planar(load(spark, sf_dir, "circles").where("radius_m >= 68"), F.col("radius_m").alias("radius")).withColumnsRenamed({"x": "hx", "y": "hy"})
+    return planning.evacuate(o, m, h)
+
+
+_EVACUATED = f"""WITH o AS (SELECT zone_id, (lon-27.1e0)*87000e0 AS x, (lat-38.4e0)*110540e0 AS y, 10e0 AS z FROM zones), mu AS (SELECT facility_id, (lon-27.1e0)*87000e0 AS mx, (lat-38.4e0)*110540e0 AS my, capacity AS mz FROM facilities WHERE capacity>=90),
 h AS ({_HZ}), p AS (SELECT *, sqrt(pow(mx-x,2)+pow(my-y,2)) AS d, sqrt(pow(mx-x,2)+pow(my-y,2)+pow(mz-z,2)) AS d3, greatest(mz-z,0e0) AS g FROM o, mu),
 s AS (SELECT zone_id, facility_id, x+k/CAST(st AS DOUBLE)*(mx-x) AS sx, y+k/CAST(st AS DOUBLE)*(my-y) AS sy FROM (SELECT *, unnest(range(st+1)) AS k FROM (SELECT *, CAST(greatest(2,floor(d/100)) AS BIGINT) AS st FROM p) a) b),
 c AS (SELECT zone_id, facility_id, min(sqrt(pow(sx-hx,2)+pow(sy-hy,2))-radius) AS c FROM s, h GROUP BY zone_id, facility_id),
 q AS (SELECT p.*, coalesce(c.c,9999e0) AS c FROM p LEFT JOIN c USING (zone_id, facility_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY d3+CASE WHEN c<0 THEN 10000e0 ELSE 1000/greatest(1e0,c) END, facility_id) AS n FROM q)
+k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY d3+CASE WHEN c<0 THEN 10000e0 ELSE 1000/greatest(1e0,c) END, facility_id) AS n FROM q)"""
+
+
+@query(f"""{_EVACUATED}
 SELECT zone_id AS origin_id, facility_id AS muster_id, {r("d3", "distance_m", 3)}, {r("g", "gain_m", 3)}, {r("d3/(4.5e0/3.6e0*greatest(0.5e0,1-2*g/greatest(1e0,d)))/60", "minutes", 3)}, {r("c", "clearance_m", 3)}, c>50 AS is_safe FROM k WHERE n=1""", "zones", "facilities", "circles")
 def evacuate_straight(spark, sf_dir):
-    o = _planar(load(spark, sf_dir, "zones"), F.col("zone_id").alias("origin_id")).withColumn("z", F.lit(10.0))
-    m = _planar(load(spark, sf_dir, "facilities").where("capacity >= 90"), F.col("facility_id").alias("muster_id"), F.col("capacity").alias("z"))
-    h = _planar(load(spark, sf_dir, "circles").where("radius_m >= 68"), F.col("radius_m").alias("radius")).withColumnsRenamed({"x": "hx", "y": "hy"})
-    return rounded_columns(planning.evacuate(o, m, h), 3)
+    return rounded_columns(_evacuated(spark, sf_dir), 3)
+
+
+@query(f"""{_EVACUATED}, e AS (SELECT zone_id, facility_id, population, d3/(4.5e0/3.6e0*greatest(0.5e0,1-2*g/greatest(1e0,d)))/60 AS minutes FROM k JOIN zones USING (zone_id) WHERE n=1)
+SELECT (SELECT sum(population) FROM zones) AS population, {r("avg(minutes)", "mean_minutes", 3)}, {r("max(minutes)", "max_minutes", 3)},
+ (SELECT facility_id FROM (SELECT facility_id, sum(population) AS n FROM e GROUP BY facility_id) u ORDER BY n DESC, facility_id LIMIT 1) AS muster_id FROM e""", "zones", "facilities", "circles")
+def evacuation_summary(spark, sf_dir):
+    o = load(spark, sf_dir, "zones").select(F.col("zone_id").alias("origin_id"), "population")
+    return rounded_columns(planning.evacuation_summary(_evacuated(spark, sf_dir), o), 3)
 
 
 @query(f"""WITH f AS (SELECT facility_id AS flight_id, (lon-27.1e0)*87000e0 AS x0, (lat-38.4e0)*110540e0 AS y0, 5e0 AS z0, 1500e0 AS x1, 1500e0 AS y1, 8e0 AS z1 FROM facilities),

@@ -40,3 +40,22 @@ def wkt_lines(points: DataFrame, key: str, order: str = "seq") -> DataFrame:
     place = F.format_string("%.6f %.6f %.2f", "lon", "lat", F.coalesce("z", F.lit(0.0)))
     lines = points.where("lon is not null and lat is not null").groupBy(key).agg(_in_order(order, place, ", ").alias("c"))
     return lines.select(key, F.concat(F.lit("LINESTRING Z ("), "c", F.lit(")")).alias("value"))
+
+
+def band_collections(bands: DataFrame, profile: str = "adult") -> DataFrame:
+    """(src, value): a GeoJSON FeatureCollection of each origin's bands (src, cutoff_min, node_count, area_ha, ring), the widest first.
+
+    A band of under three points has a null geometry. There are at most twelve bands an origin.
+    """
+    ring = F.concat("ring", F.slice("ring", 1, 1))
+    places = F.array_join(F.transform(ring, lambda p: F.format_string("[%.6f,%.6f]", p["lon"], p["lat"])), ",")
+    shape = F.when(F.size("ring") >= 3, F.format_string('{"type":"Polygon","coordinates":[[%s]]}', places)).otherwise("null")
+    told = F.to_json(F.struct(
+        F.col("cutoff_min").alias("time_cutoff_min"), F.col("node_count").alias("reachable_node_count"), F.round("area_ha", 2).alias("approx_area_ha"),
+        F.round(F.col("area_ha") / 100.0, 4).alias("area_sqkm"), F.size("ring").alias("boundary_points_count"),
+    ))
+    feature = F.format_string('{"type":"Feature","geometry":%s,"properties":%s}', shape, told)
+    g = bands.groupBy("src").agg(F.max("node_count").alias("n"), F.sort_array(F.collect_list(F.struct("cutoff_min", feature.alias("t"))), asc=False).alias("f"))
+    head = F.to_json(F.struct(F.lit(profile).alias("profile_key"), F.col("n").alias("total_reachable_nodes")))
+    all_of = F.array_join(F.transform("f", lambda f: f["t"]), ",")
+    return g.select("src", F.format_string('{"type":"FeatureCollection","properties":%s,"features":[%s]}', head, all_of).alias("value"))

@@ -1,11 +1,13 @@
 """Tours, trips over hubs, evacuations and areas in reach against the same worked out in plain Python on the smallest grid."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from orograph.operators import graph, planning
+from orograph.sources import exports
 from orograph.sources.fixtures import load
 
 R = 6371008.8
@@ -137,3 +139,24 @@ def test_ends_without_a_shared_component_go_to_the_nearest_node(spark):
     assert [(got[k]["src"], got[k]["dst"]) for k in (1, 2, 3)] == [(1, 2), (3, None), (None, None)]
     assert got[1]["dist_m"] == pytest.approx(metres((27.1002, 38.4), (27.10, 38.4))) and got[2]["dist_m"] is None
     assert graph.shared_ends(trips.where(F.lit(False)), nodes, member).count() == 0
+
+
+def test_bands_become_polygons_the_widest_first_and_lines_have_none(spark):
+    square = [(27.1, 38.4), (27.11, 38.4), (27.11, 38.41), (27.1, 38.41)]
+    rows = [(1, 5.0, 2, 0.0, square[:2]), (1, 10.0, 9, 96.714, square)]
+    bands = spark.createDataFrame(rows, "src long, cutoff_min double, node_count long, area_ha double, ring array<struct<lon:double,lat:double>>")
+    (row,) = exports.band_collections(bands).collect()
+    got = json.loads(row["value"])
+    assert got["properties"] == {"profile_key": "adult", "total_reachable_nodes": 9}
+    wide, narrow = got["features"]
+    assert wide["geometry"] == {"type": "Polygon", "coordinates": [[list(p) for p in [*square, square[0]]]]}
+    assert wide["properties"] == {"time_cutoff_min": 10.0, "reachable_node_count": 9, "approx_area_ha": 96.71, "area_sqkm": 0.9671, "boundary_points_count": 4}
+    assert narrow["geometry"] is None and narrow["properties"]["boundary_points_count"] == 2
+
+
+def test_summary_of_an_evacuation_counts_people_and_takes_the_least_of_ties(spark):
+    plan = spark.createDataFrame([(1, 7, 10.0), (2, 5, 20.0), (3, 5, 60.0)], "origin_id long, muster_id long, minutes double")
+    origins = spark.createDataFrame([(1, 100.0), (2, None), (3, 50.0)], "origin_id long, population double")
+    assert tuple(planning.evacuation_summary(plan, origins).first()) == (200.0, 30.0, 60.0, 5)
+    none = planning.evacuation_summary(plan.limit(0), origins.limit(0)).first()
+    assert tuple(none) == (0.0, 0.0, 0.0, None)
