@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, langid, licenses, packing, quality, simhash, suffix_dedup, warc
+from . import bpe, exact_dedup, html_text, langid, licenses, mixing, packing, periodic_runs, quality, simhash, suffix_dedup, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +61,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(table(spark, sf_dir, "documents"), plant=True, full=False)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_best_fit_packing, op3_simhash, op4_licenses, op5_warc, op6_token_fertility, op7_html_text,
-        op8_suffix_dedup, op9_byte_bpe, op10_language_id,
+        op8_suffix_dedup, op9_byte_bpe, op10_language_id, op11_pivotal_mixing, op12_periodic_runs, op13_vector_codes,
     )
 }
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
