@@ -13,34 +13,71 @@ from ..functions import geo
 from ..functions.durable import durable
 from ..functions.numbers import at_least, floor_mod
 
-#: Least cosine of a latitude for which cells are widened; beyond 84 degrees cells near a pole would never end.
-_POLAR = 0.1
+#: Rows of cells that reach beyond this latitude are one cell each: cells of equal degrees would be slivers there.
+_POLAR = 84.0
+#: A little under the metres of a degree on the sphere that distances are measured on, so that reaches in degrees are wide enough.
+_DEGREE_M = 111_150.0
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
+def _columns(size: float) -> int:
+    """How many cells go round the earth: a whole number, so that the last one ends where the first begins."""
+    return max(1, int(360.0 / size))
 
 
-def cells_of_box(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Column, pad_m: float, size: float) -> DataFrame:
-    """Each row once for every cell (_cx, _cy) of ``size`` degrees that its box, padded by metres, touches."""
-    pad_lat = pad_m / geo.LAT_M
-    top = F.greatest(F.abs(lat1), F.abs(lat2)) + pad_lat
-    pad_lon = pad_m / (geo.LON_M * at_least(F.cos(F.radians(top)), _POLAR))
-    return df.withColumn("_cx", F.explode(_cells(F.least(lon1, lon2) - pad_lon, F.greatest(lon1, lon2) + pad_lon, size))).withColumn(
-        "_cy", F.explode(_cells(F.least(lat1, lat2) - pad_lat, F.greatest(lat1, lat2) + pad_lat, size))
+def _row(lat: Column, size: float) -> Column:
+    return F.floor(lat / size).cast("long")
+
+
+def _polar(row: Column, size: float) -> Column:
+    return F.greatest(F.abs(row * size), F.abs((row + 1) * size)) > _POLAR
+
+
+def _column(lon: Column, size: float) -> Column:
+    """Counted on beyond 180 degrees; modulo ``_columns`` it is a cell's."""
+    return F.floor((lon + 180.0) / (360.0 / _columns(size))).cast("long")
+
+
+def beside(lon: Column, other: Column) -> Column:
+    """The longitude as the number of degrees that is within 180 of ``other``; unchanged if it is already."""
+    return F.when(F.abs(lon - other) > 180.0, lon - 360.0 * F.round((lon - other) / 360.0)).otherwise(lon)
+
+
+def cells_of_box(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Column, pad_m: float | Column, size: float) -> DataFrame:
+    """Each row once for every cell (_cx, _cy) of ``size`` degrees that its box, padded by metres, touches.
+
+    The box goes the short way round from lon1 to lon2. Cells go on over the 180th meridian; near a pole the whole circle is in reach. ``_turn`` is by how many
+    degrees a place in the cell has to count on so that it is beside the box.
+    """
+    pad = pad_m if isinstance(pad_m, Column) else F.lit(float(pad_m))
+    high = pad / _DEGREE_M
+    far = F.greatest(F.abs(lat1), F.abs(lat2))
+    # Points within an angle of a place are within this many degrees of its meridian, unless the pole is as near.
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(high)) / F.greatest(F.lit(1e-9), F.cos(F.radians(far))))))
+    wide = F.when(far + high < 89.9, wide * 1.0001 + 1e-9).otherwise(180.0)
+    other = beside(lon2, lon1)
+    n = _columns(size)
+    first, last = _column(F.least(lon1, other) - wide, size), _column(F.greatest(lon1, other) + wide, size)
+    rows = df.withColumns({"_first": first, "_last": last}).withColumn(
+        "_cy", F.explode(F.sequence(_row(F.least(lat1, lat2) - high, size), _row(F.greatest(lat1, lat2) + high, size)))
     )
+    polar = _polar(F.col("_cy"), size)
+    rows = rows.withColumn("_cx", F.explode(F.when(polar, F.array("_first")).otherwise(F.sequence("_first", F.least(F.col("_last"), F.col("_first") + n - 1)))))
+    turn = F.when(polar, 0.0).otherwise(360.0 * F.floor(F.col("_cx") / n))
+    return rows.withColumns({"_turn": turn, "_cx": F.when(polar, F.lit(0).cast("long")).otherwise(F.pmod("_cx", F.lit(n)).cast("long"))}).drop("_first", "_last")
 
 
 def with_cell(df: DataFrame, lon: Column, lat: Column, size: float) -> DataFrame:
-    return df.withColumn("_cx", F.floor(lon / size).cast("long")).withColumn("_cy", F.floor(lat / size).cast("long"))
+    row = _row(lat, size)
+    column = F.pmod(_column(lon, size), F.lit(_columns(size))).cast("long")
+    return df.withColumns({"_cx": F.when(_polar(row, size), F.lit(0).cast("long")).otherwise(column), "_cy": row})
 
 
 def within(points: DataFrame, targets: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of ``points`` (lon, lat, ...) and ``targets`` (tlon, tlat, ...) at most ``radius_m`` apart, with ``dist_m``."""
+    """Pairs of ``points`` (lon, lat, ...) and ``targets`` (tlon, tlat, ...) at most ``radius_m`` apart, with ``dist_m``; over the 180th meridian and the poles too."""
     size = max(1e-4, radius_m / geo.LAT_M)
     left = with_cell(points, F.col("lon"), F.col("lat"), size)
     right = cells_of_box(targets, F.col("tlon"), F.col("tlat"), F.col("tlon"), F.col("tlat"), radius_m, size)
-    joined = left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
+    joined = left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy", "_turn")
     d = geo.haversine(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))
     return joined.withColumn("dist_m", d).where(F.col("dist_m") <= radius_m)
 
@@ -66,12 +103,13 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str, ta
 def near_segments(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of points and segments (lon1, lat1, lon2, lat2, ...) within the radius: fraction, snap_lon, snap_lat, dist_m.
 
-    The nearest place is found in degrees, its distance is great-circle.
+    The nearest place is found in degrees, its distance is great-circle. Across the 180th meridian lon, lon2 and snap_lon count on beside lon1.
     """
     size = max(1e-3, 4 * radius_m / geo.LAT_M)
     left = with_cell(points, F.col("lon"), F.col("lat"), size)
     right = cells_of_box(segments, F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), radius_m, size)
-    j = left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy")
+    j = left.join(right.withColumn("lon2", beside(F.col("lon2"), F.col("lon1"))), ["_cx", "_cy"])
+    j = j.withColumn("lon", F.col("lon") + F.col("_turn")).drop("_cx", "_cy", "_turn")
     j = j.withColumn("fraction", geo.fraction_on_segment(*(F.col(c) for c in ("lon", "lat", "lon1", "lat1", "lon2", "lat2"))))
     j = j.withColumn("snap_lon", F.col("lon1") + F.col("fraction") * (F.col("lon2") - F.col("lon1")))
     j = j.withColumn("snap_lat", F.col("lat1") + F.col("fraction") * (F.col("lat2") - F.col("lat1")))
@@ -87,7 +125,8 @@ def corridor_distance(points: DataFrame, segments: DataFrame, buffer_m: float, k
     size = max(1e-3, 2 * buffer_m / geo.LAT_M)
     left = with_cell(points, F.col("lon"), F.col("lat"), size)
     right = cells_of_box(segments, F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), buffer_m, size)
-    j = left.join(right, ["_cx", "_cy"])
+    j = left.join(right.withColumn("lon2", beside(F.col("lon2"), F.col("lon1"))), ["_cx", "_cy"])
+    j = j.withColumn("lon", F.col("lon") + F.col("_turn"))
     j = j.withColumn("d", geo.metres_to_segment(*(F.col(c) for c in ("lon", "lat", "lon1", "lat1", "lon2", "lat2")))).where(F.col("d") <= buffer_m)
     k = F.cos(F.radians("lat")) * geo.LON_M
     zero = F.lit(0.0)
