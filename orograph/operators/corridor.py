@@ -27,29 +27,28 @@ SPACING = {"mapped": 5.0, "park": 8.0, "row": 9.0}
 OFFSETS, STEP_M, LEAST_GREEN, USUAL_GREEN = (-24.0, -16.0, -9.0, 9.0, 16.0, 24.0), 18.0, 0.15, 0.55
 
 
-def segment_fraction(lon: Column, lat: Column) -> Column:
-    """Where on its segment (lon1, lat1, lon2, lat2) the place nearest to a point is, in the plane of the segment's middle latitude."""
-    k = F.cos(F.radians((F.col("lat1") + F.col("lat2")) * 0.5)) * geo.LON_M
-    dx, dy = (F.col("lon2") - F.col("lon1")) * k, (F.col("lat2") - F.col("lat1")) * geo.LAT_M
-    n = dx * dx + dy * dy
-    dot = (lon - F.col("lon1")) * k * dx + (lat - F.col("lat1")) * geo.LAT_M * dy
-    return F.when(n > 1e-9, clamp(dot / F.when(n > 1e-9, n).otherwise(1.0), 0, 1)).otherwise(0.0)
-
-
 def route_distances(points: DataFrame, segments: DataFrame, radius_m: float, *key: str) -> DataFrame:
     """(key..., dist_m, route_z) of points (key..., lon, lat) with a route within the radius: the nearest one's distance and height there.
 
-    Of equally near segments the first by (route_id, seq) counts; a height that is missing is 0.
+    The nearest place of a segment is found in the plane of its middle latitude, its distance is great-circle. Of equally near segments the first by (route_id, seq) counts; a height that is missing is 0.
     """
-    size = max(1e-3, 2 * radius_m / geo.LAT_M)
-    named = segments.select("route_id", "seq", "lon1", "lat1", F.coalesce("z1", F.lit(0.0)).alias("z1"), beside(F.col("lon2"), F.col("lon1")).alias("lon2"), "lat2", F.coalesce("z2", F.lit(0.0)).alias("z2"))
-    named = cells_of_box(named, F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), radius_m, size)
-    j = with_cell(points.select(*key, "lon", "lat"), F.col("lon"), F.col("lat"), size).join(named, ["_cx", "_cy"])
-    j = j.withColumn("f", segment_fraction(F.col("lon") + F.col("_turn"), F.col("lat")))
-    at = [F.col(f"{c}1") + F.col("f") * (F.col(f"{c}2") - F.col(f"{c}1")) for c in ("lon", "lat", "z")]
-    d = geo.haversine(F.col("lon"), F.col("lat"), *at[:2])
-    best = j.select(*key, F.struct(d.alias("d"), "route_id", "seq", at[2].alias("z")).alias("_best")).where(F.col("_best.d") <= radius_m)
-    return best.groupBy(*key).agg(F.min("_best").alias("_best")).select(*key, F.col("_best.d").alias("dist_m"), F.col("_best.z").alias("route_z"))
+    size = max(2e-4, radius_m / geo.LAT_M)
+    # All that a pair of point and segment doesn't need both for is worked out before they meet.
+    k = F.cos(F.radians((F.col("lat1") + F.col("lat2")) * 0.5)) * geo.LON_M
+    s = segments.select(F.struct("route_id", "seq").alias("_of"), F.col("lon1").alias("_x"), F.col("lat1").alias("_y"), beside(F.col("lon2"), F.col("lon1")).alias("_x2"), F.col("lat2").alias("_y2"),
+                        F.coalesce("z1", F.lit(0.0)).alias("_z"), F.coalesce("z2", F.lit(0.0)).alias("_z2"), k.alias("_k"))
+    dx, dy = (F.col("_x2") - F.col("_x")) * F.col("_k"), (F.col("_y2") - F.col("_y")) * geo.LAT_M
+    s = s.withColumns({"_dx": dx, "_dy": dy, "_n": dx * dx + dy * dy})
+    s = cells_of_box(s, F.col("_x"), F.col("_y"), F.col("_x2"), F.col("_y2"), radius_m, size)
+    j = with_cell(points.select(*key, "lon", "lat"), F.col("lon"), F.col("lat"), size).join(s, ["_cx", "_cy"])
+    dot = (F.col("lon") + F.col("_turn") - F.col("_x")) * F.col("_k") * F.col("_dx") + (F.col("lat") - F.col("_y")) * geo.LAT_M * F.col("_dy")
+    f = F.when(F.col("_n") > 1e-9, clamp(dot / F.when(F.col("_n") > 1e-9, F.col("_n")).otherwise(1.0), 0, 1)).otherwise(0.0)
+    j = j.select(*key, "lon", "lat", "_of", "_x", "_y", "_x2", "_y2", "_z", "_z2", f.alias("_f"))
+    at = [F.col(f"_{c}") + F.col("_f") * (F.col(f"_{c}2") - F.col(f"_{c}")) for c in "xyz"]
+    best = j.select(*key, F.struct(geo.haversine(F.col("lon"), F.col("lat"), *at[:2]).alias("d"), "_of", at[2].alias("z")).alias("_best"))
+    # The radius is applied to the nearest one, not to each pair, whose distance would then be worked out twice.
+    best = best.groupBy(*key).agg(F.min("_best").alias("_best")).where(F.col("_best.d") <= radius_m)
+    return best.select(*key, F.col("_best.d").alias("dist_m"), F.col("_best.z").alias("route_z"))
 
 
 def buildings_beside(corners: DataFrame, segments: DataFrame, buffer_m: float = BUFFER_M) -> DataFrame:
@@ -167,7 +166,7 @@ def trees_beside(segments: DataFrame, buildings: DataFrame, mapped: DataFrame |
             F.lit(9.0).alias("height_m"), F.lit(3.8).alias("canopy_m"), F.lit("broadleaf").alias("kind"), F.lit(0.9).alias("greenery"),
         )
         parts.append((p, "park", buffer_m))
-    rows = planted_rows(segments, buffer_m)
+    rows = durable(planted_rows(segments, buffer_m), "rows")
     rows = rows.withColumn("green", F.lit(None).cast("double")) if green is None else rows.join(green, ["route_id", "seq", "step", "side"], "left")
     rows = rows.withColumn("greenery", F.coalesce(F.when(~F.isnan("green"), F.col("green")), F.lit(USUAL_GREEN))).where(F.col("greenery") >= LEAST_GREEN)
     h = F.crc32(F.concat_ws(" ", F.format_number("lon", 5), F.format_number("lat", 5)).cast("binary"))
