@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.durable import shared_folder
 from ..functions.numbers import rounded
 from ..operators import corridor
 from ..operators.polylines import rounded_columns
+from ..sources import geotiff
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
 
@@ -68,3 +72,26 @@ def corridor_trees(spark, sf_dir):
     mapped = f.select(F.col("facility_id").alias("tree_id"), F.col("lon") + 0.0001, (F.col("lat") + 0.00005).alias("lat"), F.lit(8.0).alias("height_m"), F.lit(3.0).alias("canopy_m"), F.lit("deciduous").alias("kind")).toDF("tree_id", "lon", "lat", "height_m", "canopy_m", "kind")
     t = corridor.trees_beside(_streets(spark, sf_dir), buildings, mapped)
     return rounded_columns(t.select("stage", "a", "b", "c", "d", "dist_m", "base_m", "height_m", "canopy_m", "trunk_m", "trunk_radius_m", "kind"), 3)
+
+
+def _terrain_files(spark, sf_dir):
+    """The nodes' heights as raster files of 64 x 64 cells in the shared folder, a cell a node; rows go up."""
+    at = f"{shared_folder(spark)}/terrain-{uuid.uuid4().hex}"
+    cells = load(spark, sf_dir, "nodes").select(F.col("gx").alias("col"), F.col("gy").alias("row_"), F.col("z").alias("value"))
+    geotiff.write_cells(cells, at, 27.0995, 38.3995, 0.001, 0.001, sheet=64, tile=16)
+    return at
+
+
+@query("SELECT CAST(gx AS BIGINT) AS col, CAST(gy AS BIGINT) AS row_, z AS value FROM nodes", "nodes")
+def raster_file_cells(spark, sf_dir):
+    """Heights written as raster files and read back."""
+    cells = geotiff.read_cells(spark, _terrain_files(spark, sf_dir)).where("value is not null")
+    return cells.select(F.rint((F.col("x") - 27.1) / 0.001).cast("long").alias("col"), F.rint((F.col("y") - 38.4) / 0.001).cast("long").alias("row_"), "value")
+
+
+@query("""SELECT c.id, n.z AS value FROM (SELECT id, lon+(id%9-4)*0.0001e0 AS lon, lat+(id%7-3)*0.0001e0 AS lat FROM circles) c
+LEFT JOIN nodes n ON n.gx=CAST(floor((c.lon-27.0995e0)/0.001e0) AS BIGINT) AND n.gy=CAST(floor((c.lat-38.3995e0)/0.001e0) AS BIGINT)""", "circles", "nodes")
+def raster_file_samples(spark, sf_dir):
+    """Heights at places, from the tiles of raster files that they are in."""
+    p = load(spark, sf_dir, "circles").select("id", (F.col("lon") + (F.col("id") % 9 - 4) * 0.0001).alias("x"), (F.col("lat") + (F.col("id") % 7 - 3) * 0.0001).alias("y"))
+    return geotiff.sample(p, _terrain_files(spark, sf_dir), "id")
