@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -25,6 +25,8 @@ FROM_ROUTE = {"mapped": 1.0, "park": 4.0, "row": 4.5}
 SPACING = {"mapped": 5.0, "park": 8.0, "row": 9.0}
 #: Metres beside a route at which rows are planted, and along it; green shares under the least have no trees.
 OFFSETS, STEP_M, LEAST_GREEN, USUAL_GREEN = (-24.0, -16.0, -9.0, 9.0, 16.0, 24.0), 18.0, 0.15, 0.55
+#: Soft edge of masks around routes, and columns that a block of a grid row has.
+EDGE_M, BLOCK = 10.0, 1024
 
 
 def route_distances(points: DataFrame, segments: DataFrame, radius_m: float, *key: str) -> DataFrame:
@@ -186,3 +188,63 @@ def trees_beside(segments: DataFrame, buildings: DataFrame, mapped: DataFrame |
     trunk = F.when(planted, rounded(1.5 + (F.floor(F.col("height_m") * 10).cast("long") % 18) * 0.08, 1)).when(F.col("stage") == 2, 2.2).otherwise(rounded(F.col("height_m") * 0.3, 1))
     girth = F.when(planted, rounded(0.2 + (F.floor(F.col("canopy_m") * 10).cast("long") % 12) * 0.015, 2)).when(F.col("stage") == 2, 0.32).otherwise(rounded(F.greatest(F.lit(0.18), F.col("canopy_m") * 0.08), 2))
     return stand.select(*_ORDER, "lon", "lat", "dist_m", F.col("route_z").alias("base_m"), "height_m", "canopy_m", trunk.alias("trunk_m"), girth.alias("trunk_radius_m"), "kind", "greenery")
+
+
+def _nearest_m(lon: Column, lat: Column) -> Column:
+    """Great-circle metres from a place to that place of the segment (_x, _y, _x2, _y2) which is nearest in the plane of the place's latitude."""
+    k = F.cos(F.radians(lat))
+    dx, dy = (F.col("_x2") - F.col("_x")) * k, F.col("_y2") - F.col("_y")
+    n = dx * dx + dy * dy
+    t = F.when(n > 0, clamp(((lon - F.col("_x")) * k * dx + (lat - F.col("_y")) * dy) / F.when(n > 0, n).otherwise(1.0), 0, 1)).otherwise(0.0)
+    return geo.haversine(lon, lat, F.col("_x") + t * (F.col("_x2") - F.col("_x")), F.col("_y") + t * (F.col("_y2") - F.col("_y")))
+
+
+def grid_cells(segments: DataFrame, x0: float, top: float, res: float, width: int, height: int, buffer_m: float = BUFFER_M) -> DataFrame:
+    """(col, row_, lon, lat) of the cells of a grid whose centres are within the buffer and EDGE_M of a route.
+
+    The grid has ``width`` x ``height`` cells of ``res`` degrees, from the corner (x0, top) to the right and down. What is within a distance of a segment is a capsule, which a grid row cuts in one interval, so
+    each segment gives an interval of columns for each row that it reaches, and no other cell is ever made. Intervals of a row are put together, BLOCK columns at a time: of those that begin in one column the longest stays
+    before the shuffle, so routes that share a street, however many, are as few rows as one. Segments without a place don't count; the grid doesn't go over the 180th meridian.
+    """
+    reach = buffer_m + EDGE_M
+    rho = reach / _DEGREE
+    s = segments.where("lon1 is not null and lat1 is not null and lon2 is not null and lat2 is not null").select(
+        F.col("lon1").alias("_x"), F.col("lat1").alias("_y"), F.col("lon2").alias("_x2"), F.col("lat2").alias("_y2")
+    ).distinct()
+    first = F.floor((top - F.greatest("_y", "_y2")) / res - 0.5 - rho / res * 1.001)
+    last = F.ceil((top - F.least("_y", "_y2")) / res - 0.5 + rho / res * 1.001)
+    s = s.withColumns({"_a": F.greatest(first, F.lit(0)).cast("long"), "_z": F.least(last, F.lit(height - 1)).cast("long")}).where("_a <= _z")
+    s = s.withColumn("row_", F.explode(F.sequence("_a", "_z"))).withColumn("lat", top - (F.col("row_") + 0.5) * res)
+    s = s.withColumn("k", F.cos(F.radians("lat"))).withColumns({"x1": F.col("_x") * F.col("k"), "x2": F.col("_x2") * F.col("k"), "y1": F.col("_y") - F.col("lat"), "y2": F.col("_y2") - F.col("lat")})
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length = F.when(F.hypot(dx, dy) > 0, F.hypot(dx, dy))
+    wide = rho * 1.0001  # the ends are then found exactly
+    half = lambda y: F.when(F.abs(F.col(y)) <= wide, F.sqrt(wide * wide - F.col(y) * F.col(y)))
+    s = s.withColumns({"_h1": half("y1"), "_h2": half("y2"), "_nx": -dy / length * wide, "_ny": dx / length * wide})
+    ends = [F.col("x1") - F.col("_h1"), F.col("x1") + F.col("_h1"), F.col("x2") - F.col("_h2"), F.col("x2") + F.col("_h2")]
+    for side in (1.0, -1.0):
+        t = -(F.col("y1") + side * F.col("_ny")) / F.when(dy != 0, dy)
+        ends.append(F.when((t >= 0) & (t <= 1), F.col("x1") + side * F.col("_nx") + t * dx))
+    column = lambda x: F.floor((x / F.col("k") - x0) / res - 0.5).cast("long")
+    s = s.withColumns({"_lo": column(F.least(*ends)), "_hi": column(F.greatest(*ends))}).select("row_", "lat", "_x", "_y", "_x2", "_y2", "_lo", "_hi")
+    inside = lambda c: _nearest_m(x0 + (c + 0.5) * res, F.col("lat")) <= reach
+    near = lambda c, n: F.filter(F.sequence(c, c + n), inside)
+    # Of an interval whose ends are off by a cell at most the exact ends are among the nearest cells; a short one is looked at as a whole.
+    s = s.withColumn("_lo2", F.array_min(near(F.col("_lo"), F.least(F.lit(3), F.greatest(F.lit(0), F.col("_hi") - F.col("_lo") + 1)))))
+    s = s.withColumn("_hi2", F.array_max(F.filter(F.sequence(F.greatest(F.col("_lo"), F.col("_hi") - 1), F.col("_hi") + 1), inside)))
+    s = s.select("row_", F.coalesce("_lo2", "_hi2").alias("lo"), F.coalesce("_hi2", "_lo2").alias("hi"))
+    s = s.select("row_", F.when(F.col("lo") < 0, 0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("hi") >= width, width - 1).otherwise(F.col("hi")).alias("hi"))
+    # Segments that miss a row have no blocks. A filter instead would be moved down, and all of the above be worked out twice.
+    s = s.withColumn("block", F.explode(F.when(F.col("lo") <= F.col("hi"), F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK)))))
+    s = s.select("row_", "block", F.greatest("lo", F.col("block") * BLOCK).alias("lo"), F.least("hi", F.col("block") * BLOCK + BLOCK - 1).alias("hi"))
+    s = s.groupBy("row_", "block", "lo").agg(F.max("hi").alias("hi"))
+    before = Window.partitionBy("row_", "block").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # BLOCK rows at most
+    s = s.withColumn("done", F.coalesce(F.max("hi").over(before), F.lit(-1).cast("long"))).withColumn("lo", F.greatest("lo", F.col("done") + 1)).where("lo <= hi")
+    cells = s.select(F.explode(F.sequence("lo", "hi")).alias("col"), "row_")
+    return cells.select("col", "row_", (x0 + (F.col("col") + 0.5) * res).alias("lon"), (top - (F.col("row_") + 0.5) * res).alias("lat"))
+
+
+def masked_grid(cells: DataFrame, segments: DataFrame, x0: float, top: float, res: float, width: int, height: int, buffer_m: float = BUFFER_M) -> DataFrame:
+    """``cells`` (col, row_, value, ...) of a grid with null values outside ``grid_cells``."""
+    near = grid_cells(segments, x0, top, res, width, height, buffer_m).select("col", "row_", F.lit(True).alias("_in"))
+    return cells.join(near, ["col", "row_"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import shared_folder
 from ..functions.numbers import rounded
-from ..operators import corridor
+from ..operators import corridor, spatial
 from ..operators.polylines import rounded_columns
 from ..sources import geotiff
 from ..sources.fixtures import load, oracle
@@ -74,6 +74,58 @@ def corridor_trees(spark, sf_dir):
     return rounded_columns(t.select("stage", "a", "b", "c", "d", "dist_m", "base_m", "height_m", "canopy_m", "trunk_m", "trunk_radius_m", "kind"), 3)
 
 
+#: Cells of 0.0003 degrees over the whole network, from a corner a little outside it.
+_RES, _X0, _Y0 = 0.0003, 27.0991, 38.3991
+_GRID = """w AS (SELECT CAST(ceil((max(gx)*0.001e0+0.0018e0)/0.0003e0) AS BIGINT) AS width, CAST(ceil((max(gy)*0.001e0+0.0018e0)/0.0003e0) AS BIGINT) AS height FROM nodes),
+t AS (SELECT *, 38.3991e0+height*0.0003e0 AS top FROM w),
+c AS (SELECT col, row_, 27.0991e0+(col+0.5e0)*0.0003e0 AS lon, top-(row_+0.5e0)*0.0003e0 AS lat FROM (SELECT *, unnest(range(width)) AS col FROM (SELECT *, unnest(range(height)) AS row_ FROM t) a) b)"""
+
+
+def _grid(spark, sf_dir) -> dict:
+    x, y = load(spark, sf_dir, "nodes").agg(F.ceil((F.max("gx") * 0.001 + 0.0018) / _RES), F.ceil((F.max("gy") * 0.001 + 0.0018) / _RES)).first()
+    return {"x0": _X0, "top": _Y0 + y * _RES, "res": _RES, "width": x, "height": y}
+
+
+_NEAR_CELLS = f"""{_GRID},
+p AS (SELECT c.col, c.row_, c.lon, c.lat, s.*, cos(radians(lat)) AS k FROM c JOIN segments s ON lon BETWEEN least(lon1,lon2)-0.0004e0 AND greatest(lon1,lon2)+0.0004e0 AND lat BETWEEN least(lat1,lat2)-0.0004e0 AND greatest(lat1,lat2)+0.0004e0
+ WHERE highway NOT IN ('motorway', 'primary')),
+q AS (SELECT *, least(1e0,greatest(0e0,((lon-lon1)*k*(lon2-lon1)*k+(lat-lat1)*(lat2-lat1))/(pow((lon2-lon1)*k,2)+pow(lat2-lat1,2)))) AS f FROM p),
+near AS (SELECT DISTINCT col, row_ FROM q WHERE {hav("lon", "lat", "(lon1+f*(lon2-lon1))", "(lat1+f*(lat2-lat1))")}<=25)"""
+
+
+def _lanes(spark, sf_dir):
+    """A corridor is asked along all but the largest roads."""
+    return _streets(spark, sf_dir).where("highway not in ('motorway', 'primary')")
+
+
+@query(f"WITH {_NEAR_CELLS} SELECT col, row_ FROM near", "nodes", "segments")
+def corridor_grid(spark, sf_dir):
+    """Cells within 15 m, and the edge of 10 m, of all smaller streets."""
+    return corridor.grid_cells(_lanes(spark, sf_dir), **_grid(spark, sf_dir), buffer_m=15.0).select("col", "row_")
+
+
+@query(f"WITH {_NEAR_CELLS} SELECT c.col, c.row_, CASE WHEN near.col IS NULL THEN NULL ELSE CAST(c.col*3+c.row_ AS DOUBLE) END AS value FROM c LEFT JOIN near ON near.col=c.col AND near.row_=c.row_", "nodes", "segments")
+def corridor_masked_grid(spark, sf_dir):
+    """A layer over the whole network whose values stay near smaller streets only."""
+    g = _grid(spark, sf_dir)
+    cells = spark.range(g["width"] * g["height"]).select((F.col("id") % g["width"]).alias("col"), F.floor(F.col("id") / g["width"]).alias("row_"))
+    return corridor.masked_grid(cells.withColumn("value", (F.col("col") * 3 + F.col("row_")).cast("double")), _lanes(spark, sf_dir), **g, buffer_m=15.0)
+
+
+_CELLS = """SELECT col, row_, 27.10e0+col*0.001e0+(row_%5)*0.0001e0 AS lon, 38.40e0+row_*0.001e0+(col%6)*0.0001e0 AS lat, value FROM"""
+
+
+@query(f"""WITH c AS ({_CELLS} raster_cells),
+q AS (SELECT c.*, (lon1-lon)*cos(radians(lat))*111320e0 AS ax, (lat1-lat)*110540e0 AS ay, (lon2-lon)*cos(radians(lat))*111320e0 AS bx, (lat2-lat)*110540e0 AS by_ FROM c JOIN segments ON lon BETWEEN least(lon1,lon2)-0.001e0 AND greatest(lon1,lon2)+0.001e0 AND lat BETWEEN least(lat1,lat2)-0.001e0 AND greatest(lat1,lat2)+0.001e0),
+t AS (SELECT *, least(1e0,greatest(0e0,(-ax*(bx-ax)-ay*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS t FROM q),
+n AS (SELECT DISTINCT col, row_ FROM t WHERE sqrt(pow(ax+t*(bx-ax),2)+pow(ay+t*(by_-ay),2))<=22)
+SELECT c.col, c.row_, CASE WHEN n.col IS NULL THEN NULL ELSE value END AS value FROM c LEFT JOIN n ON n.col=c.col AND n.row_=c.row_""", "raster_cells", "segments")
+def raster_masked(spark, sf_dir):
+    """Raster cells at places of their own, masked to 12 m and the edge of 10 m around streets."""
+    c = spark.sql(_CELLS + " {c}", c=load(spark, sf_dir, "raster_cells")).withColumn("layer", F.lit("dem"))
+    return spatial.masked_cells(c, _streets(spark, sf_dir), 12.0).select("col", "row_", "value")
+
+
 def _terrain_files(spark, sf_dir):
     """The nodes' heights as raster files of 64 x 64 cells in the shared folder, a cell a node; rows go up."""
     at = f"{shared_folder(spark)}/terrain-{uuid.uuid4().hex}"

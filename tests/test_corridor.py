@@ -101,3 +101,34 @@ def test_buildings_with_odd_corners(spark):
     c = (sum(p[2] for p in ring) / 1000, sum(p[3] for p in ring) / 1000)
     assert abs(got[0]["reach_m"] - 3 - max(metres(c, p[2:4]) for p in ring)) < 1e-6 and abs(got[0]["dist_m"] - nearest(c)[0]) < 1e-6
     assert corridor.buildings_beside(df.limit(0), spark.createDataFrame(STREETS, SEGMENTS)).collect() == []
+
+
+@pytest.mark.parametrize("buffer_m", [0.0, 20.0, 90.0])
+def test_grid_cells_are_those_near_a_route(spark, buffer_m):
+    """Against all cells and all segments, over grids that cut routes off on each side."""
+    rng = np.random.default_rng(6)
+    at = lambda: (float(27.1 + rng.uniform(-0.002, 0.012)), float(38.4 + rng.uniform(-0.002, 0.008)))
+    rows = [(i, 0, *at(), 0.0, *at(), 0.0) for i in range(12)]
+    rows += [(20, 0, 27.1, 38.403, 0.0, 27.109, 38.403, 0.0), (21, 0, 27.103, 38.4, 0.0, 27.103, 38.406, 0.0), (22, 0, 27.105, 38.4041, 0.0, 27.105, 38.4041, 0.0), (23, 0, None, 38.4, 0.0, 27.1, 38.4, 0.0)]
+    x0, top, res, width, height = 27.1, 38.406, 0.00013, 70, 47
+
+    def near(lon, lat, s):
+        k = math.cos(math.radians(lat))
+        ax, ay, bx, by = (s[2] - lon) * k, s[3] - lat, (s[5] - lon) * k, s[6] - lat
+        dx, dy = bx - ax, by - ay
+        n = dx * dx + dy * dy
+        t = max(0.0, min(1.0, -(ax * dx + ay * dy) / n)) if n else 0.0
+        return metres((lon, lat), (s[2] + t * (s[5] - s[2]), s[3] + t * (s[6] - s[3])))
+
+    want = set()
+    for r in range(height):
+        for c in range(width):
+            lon, lat = x0 + (c + 0.5) * res, top - (r + 0.5) * res
+            if any(s[2] is not None and near(lon, lat, s) <= buffer_m + 10 for s in rows):
+                want.add((c, r))
+    segments = spark.createDataFrame(rows + rows[:3], SEGMENTS)
+    got = [(r["col"], r["row_"]) for r in corridor.grid_cells(segments, x0, top, res, width, height, buffer_m).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < width * height
+    cells = spark.createDataFrame([(3, 4, 1.0), (69, 46, None), (200, 3, 2.0)], "col long, row_ long, value double")
+    masked = {(r["col"], r["row_"]): r["value"] for r in corridor.masked_grid(cells, segments, x0, top, res, width, height, buffer_m).collect()}
+    assert masked == {(3, 4): 1.0 if (3, 4) in want else None, (69, 46): None, (200, 3): None}
