@@ -228,10 +228,11 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
     pair is not looked at if its sizes, or the bits in which the masks differ (no more than the hashes in one set only), rule it out. Nor is it if the
     hash is so far from the start of one set that fewer than the shared hashes they need are left; a pair that is alike passes at the first hash that it shares.
     """
-    info = stored(sketches.where("n > 0").select("_text", "_fp", "n", "mask").dropDuplicates(["_text"]), "texts")
-    posts = sketches.where("n > 0").select("_text", "n", "rare", F.posexplode("prefix").alias("place", "key"))
+    info = stored(sketches.where("n > 0").select("_text", "_fp", "n", "rare", "prefix", "mask").dropDuplicates(["_text"]), "texts")
+    posts = info.select("_text", "n", "rare", F.posexplode("prefix").alias("place", "key"))
     several = posts.groupBy("key").agg(F.min("_text").alias("a"), F.max("_text").alias("z")).where("a <> z").select("key")
-    posts = stored(posts.join(several, "key").distinct(), "prefixes")
+    posts = stored(posts.join(several, "key"), "prefixes")
+    info = info.drop("rare", "prefix")
 
     def possible(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -247,8 +248,10 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
     groups = components(linked).withColumnRenamed("node", "_text")
     members = posts.join(groups, "_text", "left").withColumn("group", F.coalesce("component", "_text")).drop("component", "rare")
     members = stored(members, "members")
+    release(posts)
     apart = members.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
     rest = stored(members.join(apart, "key").join(info.select("_text", "mask"), "_text"), "apart")
+    release(members)
     # Of a pair x has no more hashes than y. What x needs to share with a set of its own size bounds its place; y is listed for
     # the bands of sizes that its place leaves to x. Two sets of n and m hashes need (n + m) * need shared ones.
     need = least / (1 + least)
@@ -265,7 +268,7 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
     pairs = pairs.select(F.col("x._text").alias("a"), F.col("y._text").alias("b"))
     found = linked.unionByName(_verified(documents, pairs, least, wide, seed))
     fps = info.select("_text", "_fp")
-    release(posts, members, rest)
+    release(rest)
     return found.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
