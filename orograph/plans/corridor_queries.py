@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.durable import shared_folder
+from ..functions.durable import durable, shared_folder
 from ..functions.numbers import rounded
 from ..operators import corridor, spatial
 from ..operators.polylines import rounded_columns
-from ..sources import geotiff
+from ..sources import geotiff, urban
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
 
@@ -147,3 +147,53 @@ def raster_file_samples(spark, sf_dir):
     """Heights at places, from the tiles of raster files that they are in."""
     p = load(spark, sf_dir, "circles").select("id", (F.col("lon") + (F.col("id") % 9 - 4) * 0.0001).alias("x"), (F.col("lat") + (F.col("id") % 7 - 3) * 0.0001).alias("y"))
     return geotiff.sample(p, _terrain_files(spark, sf_dir), "id")
+
+
+#: One document a part: a street, a building, a tree, a row of trees and a lawn around it, with tags of all sorts.
+_URBAN = """SELECT id, lon, lat, radius_m*0.00001e0 AS d, CASE id%4 WHEN 0 THEN 'x' WHEN 1 THEN NULL WHEN 2 THEN concat(CAST(id%9 AS VARCHAR(9)), '.6') ELSE CAST(id%9 AS VARCHAR(9)) END AS levels,
+ CASE id%5 WHEN 0 THEN NULL WHEN 1 THEN 'tall' WHEN 2 THEN concat(CAST(id%50 AS VARCHAR(9)), ' m') ELSE concat(CAST(id%50 AS VARCHAR(9)), '.5') END AS height, CASE id%3 WHEN 0 THEN NULL WHEN 1 THEN concat(CAST(id%30 AS VARCHAR(9)), 'm') ELSE 'wide' END AS crown,
+ CASE id%7 WHEN 0 THEN 'Stone Pine' WHEN 1 THEN NULL ELSE 'oak' END AS species, CASE id%6 WHEN 0 THEN 'needleleaved' ELSE 'broadleaved' END AS leaf FROM"""
+
+
+def _urban(spark, sf_dir):
+    c = spark.sql(_URBAN + " {c}", c=load(spark, sf_dir, "circles"))
+    at = lambda x, y: F.struct((F.col("lat") + y * F.col("d")).alias("lat"), (F.col("lon") + x * F.col("d")).alias("lon"))
+    ring = F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, -1))
+    element = lambda i, kind, tags, **more: F.to_json(F.struct(F.lit(kind).alias("type"), (F.col("id") * 10 + i).alias("id"), F.struct(*[F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in tags.items()]).alias("tags"), *[v.alias(k) for k, v in more.items()]))
+    node = lambda i: F.to_json(F.struct(F.lit("node").alias("type"), (F.col("id") * 10 + i).alias("id"), (F.col("lat") + i * F.col("d")).alias("lat"), F.col("lon")))
+    made = [
+        node(5), node(6), element(0, "way", {"highway": "residential", "name": "Way", "oneway": F.when(F.col("id") % 2 == 0, "yes").otherwise("-1")}, nodes=F.array(F.col("id") * 10 + 5, F.col("id") * 10 + 9, F.col("id") * 10 + 6)),
+        element(1, "way", {"building": "house", "building:levels": F.col("levels"), "height": F.col("height")}, geometry=ring),
+        element(2, "node", {"natural": "tree", "species": F.col("species"), "leaf_type": F.col("leaf"), "height": F.col("height"), "diameter_crown": F.col("crown")}, lat=F.col("lat"), lon=F.col("lon") + F.col("d")),
+        element(3, "way", {"natural": "tree_row"}, geometry=F.array(at(0, 2), F.struct(F.lit(None).cast("double").alias("lat"), F.lit(1.0).alias("lon")), at(0, 3))),
+        element(4, "way", {"landuse": "grass", "natural": "scrub"}, geometry=F.array(at(2, 0), at(3, 0), at(3, 1))),
+    ]
+    texts = c.select("id", F.concat(F.lit('{"elements":['), F.concat_ws(",", *made), F.lit("]}")).alias("value"))
+    return urban.elements(texts, "id")
+
+
+_METRES = "try_cast(trim(replace({0}, 'm', '')) AS DOUBLE)"
+_H, _C = _METRES.format("height"), _METRES.format("crown")
+
+
+@query(f"""WITH u AS ({_URBAN} circles), f AS (SELECT *, CAST(floor(try_cast(levels AS DOUBLE)) AS BIGINT) AS lv, {_H} AS h, {_C} AS cr FROM u),
+b AS (SELECT *, CASE WHEN (levels IS NULL AND h IS NULL) OR (levels IS NOT NULL AND lv IS NULL) THEN 12e0 WHEN levels IS NULL THEN greatest(h,3e0) ELSE greatest(lv,1)*3.2e0 END AS bh, CASE WHEN (levels IS NULL AND h IS NULL) OR (levels IS NOT NULL AND lv IS NULL) THEN 4 WHEN levels IS NULL THEN greatest(CAST(floor(greatest(h,3e0)/3.2e0) AS BIGINT),1) ELSE greatest(lv,1) END AS bl,
+ CASE WHEN h IS NULL THEN 8e0 ELSE least(35e0,greatest(3e0,h)) END AS th FROM f),
+a AS (SELECT 'road' AS kind, CAST(id*10 AS VARCHAR) AS id, CASE WHEN id%2=0 THEN 'oneway' ELSE 'both' END AS told, k AS seq, lon AS x, lat+(5+k/2)*d AS y, CAST(NULL AS DOUBLE) AS height_m, CAST(NULL AS DOUBLE) AS size FROM b, (SELECT unnest([0,2]) AS k) q
+ UNION ALL SELECT 'building', CAST(id*10+1 AS VARCHAR), 'house', k, lon+[-1,1,1,-1][k+1]*d, lat+[-1,-1,1,-1][k+1]*d, bh, CAST(bl AS DOUBLE) FROM b, range(4) r(k)
+ UNION ALL SELECT 'tree', CAST(id*10+2 AS VARCHAR), CASE WHEN id%6=0 OR id%7=0 THEN 'conifer' ELSE 'deciduous' END, 0, lon+d, lat, th, CASE WHEN cr IS NULL THEN least(8e0,greatest(1.5e0,th*0.38e0)) ELSE least(10e0,greatest(1.5e0,cr*0.5e0)) END FROM b
+ UNION ALL SELECT 'tree', concat(CAST(id*10+3 AS VARCHAR), '_', CAST(k AS VARCHAR)), 'deciduous', 0, lon, lat+(2+k/2)*d, 7.5e0, 2.6e0 FROM b, (SELECT unnest([0,2]) AS k) q
+ UNION ALL SELECT 'park', CAST(id*10+4 AS VARCHAR), 'grass', k, lon+[2,3,3][k+1]*d, lat+[0,0,1][k+1]*d, NULL, NULL FROM b, range(3) r(k))
+SELECT kind, id, told, CAST(seq AS BIGINT) AS seq, {r("x", "x", 7)}, {r("y", "y", 7)}, {r("height_m", "height_m", 3)}, {r("size", "size", 3)} FROM a""", "circles")
+def import_urban(spark, sf_dir):
+    """Streets, buildings, trees and lawns around all parts, written as OpenStreetMap-style documents and read back."""
+    e = durable(_urban(spark, sf_dir), "elements")
+    none, place = F.lit(None).cast("double"), (F.col("lon").alias("x"), F.col("lat").alias("y"))
+    parts = [
+        urban.roads(e).select(F.lit("road").alias("kind"), F.col("road_id").alias("id"), F.when(F.col("oneway"), "oneway").otherwise("both").alias("told"), "seq", *place, none.alias("height_m"), none.alias("size")),
+        urban.buildings(e).select(F.lit("building").alias("kind"), F.col("building_id").alias("id"), F.col("use").alias("told"), "seq", *place, "height_m", F.col("levels").cast("double").alias("size")),
+        urban.trees(e).select(F.lit("tree").alias("kind"), F.col("tree_id").alias("id"), F.col("kind").alias("told"), F.lit(0).alias("seq"), *place, "height_m", F.col("canopy_m").alias("size")),
+        urban.parks(e).select(F.lit("park").alias("kind"), F.col("park_id").alias("id"), F.col("use").alias("told"), "seq", *place, none.alias("height_m"), none.alias("size")),
+    ]
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return all_.select("kind", "id", "told", F.col("seq").cast("long").alias("seq"), *[rounded(F.col(c), 7).alias(c) for c in "xy"], *[rounded(F.col(c), 3).alias(c) for c in ("height_m", "size")])
