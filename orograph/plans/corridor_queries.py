@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import projection as P
 from ..functions.durable import durable, shared_folder
 from ..functions.numbers import rounded
 from ..operators import corridor, spatial
 from ..operators.polylines import rounded_columns
-from ..sources import geotiff, urban
+from ..sources import geotiff, networks, urban
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
 
@@ -197,3 +198,42 @@ def import_urban(spark, sf_dir):
     ]
     all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return all_.select("kind", "id", "told", F.col("seq").cast("long").alias("seq"), *[rounded(F.col(c), 7).alias(c) for c in "xy"], *[rounded(F.col(c), 3).alias(c) for c in ("height_m", "size")])
+
+
+def _krueger(code: str) -> str:
+    """(x, y) of rows (id, lon, lat, code) by the same series, told anew for a zone in ``code``."""
+    terms = lambda a, b: "+".join(f"{f!r}*{a}({2 * j}e0*xi)*{b}({2 * j}e0*eta)" for j, f in enumerate(P._TO, 1))
+    return f"""s AS (SELECT *, radians(lon)-radians(({code}%100)*6e0-183e0) AS lam, sinh(atanh(sin(radians(lat)))-{P._E!r}*atanh({P._E!r}*sin(radians(lat)))) AS t FROM p),
+e AS (SELECT *, atan2(t, cos(lam)) AS xi, asinh(sin(lam)/sqrt(t*t+cos(lam)*cos(lam))) AS eta FROM s),
+k AS (SELECT *, 500000e0+0.9996e0*{P._A!r}*(eta+{terms("cos", "sinh")}) AS e, CASE WHEN {code}>32700 THEN 10000000e0 ELSE 0e0 END+0.9996e0*{P._A!r}*(xi+{terms("sin", "cosh")}) AS n FROM e)"""
+
+
+#: Nodes moved over the earth, each in a plane of its own: its zone, web Mercator, or degrees.
+_MOVED = """SELECT id, lon+(id%13-6)*11e0 AS lon, CASE WHEN id%2=0 THEN lat ELSE lat-70e0 END AS lat, id%4 AS way FROM"""
+
+
+@query(f"""WITH m AS ({_MOVED} nodes), p AS (SELECT *, CASE WHEN way=0 THEN 3857 WHEN way=1 THEN 4326 ELSE CAST(floor((lon+180e0)/6e0) AS BIGINT)%60+1+CASE WHEN lat>=0 THEN 32600 ELSE 32700 END END AS code FROM m),
+{_krueger("code")} SELECT id, CAST(code AS BIGINT) AS code, {r("CASE WHEN code=3857 THEN 6378137e0*radians(lon) WHEN code=4326 THEN lon ELSE e END", "x", 3)}, {r("CASE WHEN code=3857 THEN 6378137e0*asinh(tan(radians(lat))) WHEN code=4326 THEN lat ELSE n END", "y", 3)},
+{r("lon", "back_lon", 7)}, {r("lat", "back_lat", 7)} FROM k""", "nodes")
+def projected_nodes(spark, sf_dir):
+    """Places all over the earth in planes of their own, and back: the way back is checked against where they were."""
+    n = spark.sql(_MOVED + " {n}", n=load(spark, sf_dir, "nodes"))
+    n = n.withColumn("code", F.when(F.col("way") == 0, P.WEB).when(F.col("way") == 1, P.DEGREES).otherwise(P.zone_of(F.col("lon"), F.col("lat"))))
+    there = P.to_plane(n.select("id", "lon", "lat", "code"), F.col("code"))
+    back = P.to_degrees(there, F.col("code"), lon="back_lon", lat="back_lat")
+    return back.select("id", F.col("code").cast("long").alias("code"), *[rounded(F.col(c), 3).alias(c) for c in "xy"], *[rounded(F.col(c), 7).alias(c) for c in ("back_lon", "back_lat")])
+
+
+@query(f"""SELECT u, v, CASE WHEN is_oneway AND (u+v)%2=0 THEN {r("lon2", "lon1", 7).rpartition(" AS ")[0]} ELSE {r("lon1", "lon1", 7).rpartition(" AS ")[0]} END AS lon1, CASE WHEN is_oneway AND (u+v)%2=0 THEN {r("lat1", "lat2", 7).rpartition(" AS ")[0]} ELSE {r("lat2", "lat2", 7).rpartition(" AS ")[0]} END AS lat2,
+ CASE WHEN is_oneway AND (u+v)%2=0 THEN z2 ELSE z1 END AS z1, highway, surface, is_oneway FROM segments""", "segments")
+def import_table(spark, sf_dir):
+    """Segments as lines of text in the metres of their zone, a table with columns of its own names, read back as a network."""
+    s = load(spark, sf_dir, "segments")
+    a = P.to_plane(s, 32635, "lon1", "lat1", "x1", "y1")
+    b = P.to_plane(a, 32635, "lon2", "lat2", "x2", "y2")
+    number = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("LINESTRING Z ("), F.concat_ws(", ", F.concat_ws(" ", *map(number, ("x1", "y1", "z1"))), F.concat_ws(" ", *map(number, ("x2", "y2", "z2")))), F.lit(")"))
+    against = F.when(F.col("is_oneway") & ((F.col("u") + F.col("v")) % 2 == 0), "reverse").when(F.col("is_oneway"), "true").otherwise("no")
+    t = b.select(F.struct("u", "v").alias("k"), line.alias("shape"), F.col("highway").alias("class"), "surface", against.alias("direction"))
+    got = networks.table_segments(t, "k", "shape", 32635, highway="class", oneway="direction")
+    return got.select("seq.doc.u", "seq.doc.v", rounded(F.col("lon1"), 7).alias("lon1"), rounded(F.col("lat2"), 7).alias("lat2"), "z1", "highway", "surface", "is_oneway")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, projection
 from ..functions.numbers import finite_or
+from ..functions.projection import DEGREES
 
 _TAGS = "highway string, surface string, lanes string, oneway string, junction string"
 _POINTS = "array<array<string>>"
@@ -44,11 +45,11 @@ def _rules(df: DataFrame) -> DataFrame:
     )
 
 
-def _segments(points: DataFrame, line: list[str], order: str) -> DataFrame:
-    """Consecutive points of each line as segments of 0.1 m or more. Points have lon, lat, z and the line's rules."""
+def _segments(points: DataFrame, line: list[str], order: str, least_m: float = 0.1) -> DataFrame:
+    """Consecutive points of each line as segments of ``least_m`` or more. Points have lon, lat, z and the line's rules."""
     w = Window.partitionBy(*line).orderBy(order)
     s = points.select("*", *[F.lead(c).over(w).alias(f"_{c}") for c in ("lon", "lat", "z")]).where("_lon is not null")
-    s = s.where(geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) >= 0.1)
+    s = s.where(geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) >= least_m)
     pick = lambda a, b, name: F.when(F.col("swap"), F.col(b)).otherwise(F.col(a)).alias(name)
     seq = F.struct(*line, F.col(order).alias("pos")).alias("seq")
     return s.select(
@@ -86,6 +87,31 @@ def osm_segments(texts: DataFrame, name: str = "name") -> DataFrame:
     return _segments(p, ["doc", "way"], "pos")
 
 
+def table_segments(table: DataFrame, key: str, geometry: str = "geometry", epsg: int | Column = DEGREES, highway: str | None = "highway", surface: str | None = "surface", oneway: str | None = "oneway") -> DataFrame:
+    """Segments of a table's lines: ``geometry`` is their text (LINESTRING or MULTILINESTRING, with or without heights), in degrees or in the plane that ``epsg`` names, by a column too.
+
+    The columns of the road's kind, surface and direction are named; what the table doesn't have, and nulls, are residential, asphalt and both ways. A line against its direction (-1, reverse) is turned round. Other
+    geometries, empty ones, points that aren't numbers or that the plane doesn't hold give nothing; a height that is no number is 0. ``key`` tells rows apart.
+    """
+    named = {c.lower(): c for c in table.columns}
+    value = lambda c, usual: F.coalesce(table[named[c.lower()]].cast("string"), F.lit(usual)) if c and c.lower() in named else F.lit(usual)
+    one = F.lower(F.trim(value(oneway, "no")))
+    text = F.upper(F.trim(table[geometry].cast("string")))
+    lines = F.when(text.rlike(r"^(MULTI)?LINESTRING\b"), F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1)))
+    code = epsg if isinstance(epsg, Column) else F.lit(epsg)
+    lined = table.select(
+        table[key].alias("doc"), code.alias("_epsg"), value(highway, "residential").alias("_highway"), value(surface, "asphalt").alias("_surface"), F.lit(1).cast("long").alias("_lanes"),
+        one.isin("yes", "true", "1", "-1", "reverse").alias("is_oneway"), one.isin("-1", "reverse").alias("swap"), F.posexplode(lines).alias("line", "_text"),
+    )
+    p = lined.withColumn("_points", F.split("_text", r"\s*,\s*")).drop("_text").select("*", F.posexplode("_points").alias("pos", "_p")).drop("_points")
+    p = p.withColumn("_c", F.split(F.trim("_p"), r"\s+"))
+    number = lambda i, usual: finite_or(F.try_element_at("_c", F.lit(i)).try_cast("double"), usual)
+    p = p.withColumns({"x": number(1, None), "y": number(2, None), "z": F.coalesce(number(3, 0.0), F.lit(0.0))}).drop("_p", "_c")
+    # A filter would be moved below the projection and work it out twice; points without a place have an empty list to be made rows of instead.
+    p = projection.to_degrees(p, F.col("_epsg")).withColumn("_live", F.explode(F.when(F.col("lon").isNotNull(), F.array(F.lit(True)))))
+    return _segments(p, ["doc", "line"], "pos", 0.0)
+
+
 def gpx_points(texts: DataFrame, name: str = "name") -> DataFrame:
     """(``name``, seq, lon, lat, z) of the track points in GPX texts, attributes in any order. Bad heights are 0, points with a bad place are dropped."""
     found = F.regexp_extract_all("value", F.lit(r"(?s)<trkpt\b[^>]*?/>|<trkpt\b.*?</trkpt>"), F.lit(0))
