@@ -33,13 +33,13 @@ def planar_steps(points: DataFrame) -> DataFrame:
     return p.withColumn("d", F.sqrt(F.col("h") * F.col("h") + F.col("dz") * F.col("dz")))
 
 
-def densify(points: DataFrame, interval: float = 6.0, max_points: int = 100_000) -> DataFrame:
+def densify(points: DataFrame, interval: float = 6.0, max_points: int | None = 100_000) -> DataFrame:
     """(route_id, seg, step, lon, lat, z): each pair cut into ceil(distance / interval) steps, and every route's last point.
 
-    The interval is at least 0.5 m, and wider on routes that would get over ``max_points`` points. seg is the pair's seq,
+    The interval is at least 0.5 m, and wider on routes that would get over ``max_points`` points, unless that is None. seg is the pair's seq,
     so attributes of edges follow by a join. A route of one point keeps it.
     """
-    limit = max(1_000, min(1_000_000, max_points))
+    limit = float("inf") if max_points is None else max(1_000, min(1_000_000, max_points))
     w = along("route_id")
     p = points.select(
         "route_id", "seq", "lon", "lat", F.coalesce("z", F.lit(0.0)).alias("z"), *[F.lead(c).over(w).alias(f"{c}2") for c in ("lon", "lat", "z")]

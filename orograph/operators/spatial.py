@@ -178,18 +178,19 @@ def _keys(x: Column, derivative: bool = False, a: float = -0.5) -> Column:
 def bicubic(points: DataFrame, cells: DataFrame, cell_x_m: float = 10.0, cell_y_m: float = 10.0) -> DataFrame:
     """Surface at points (id, gx, gy in cell units) from the 4 x 4 cells around: height, slope, aspect and curvature.
 
-    Cells that are missing or null count as 0. Each point meets its 16 cells in one equi-join.
+    Cells that are missing or null count as 0. Each point meets its 16 cells in one equi-join. Points with columns cell_x_m and cell_y_m have cells of their own sizes.
     """
-    p = points.select("id", F.floor("gx").alias("c0"), F.floor("gy").alias("r0"), "gx", "gy")
-    p = p.select("id", "c0", "r0", (F.col("gx") - F.col("c0")).alias("u"), (F.col("gy") - F.col("r0")).alias("v"))
+    own = [F.col(c).alias(f"_{c}") if c in points.columns else F.lit(float(v)).alias(f"_{c}") for c, v in (("cell_x_m", cell_x_m), ("cell_y_m", cell_y_m))]
+    p = points.select("id", F.floor("gx").alias("c0"), F.floor("gy").alias("r0"), "gx", "gy", *own)
+    p = p.select("id", "_cell_x_m", "_cell_y_m", "c0", "r0", (F.col("gx") - F.col("c0")).alias("u"), (F.col("gy") - F.col("r0")).alias("v"))
     p = p.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(2))))
     p = p.withColumn("col", F.col("c0") + F.col("i")).withColumn("row_", F.col("r0") + F.col("j"))
     q = p.join(cells.select("col", "row_", "value"), ["col", "row_"], "left").withColumn("z", F.coalesce("value", F.lit(0.0)))
     x, y = F.col("u") - F.col("i"), F.col("v") - F.col("j")
     g = q.groupBy("id").agg(
-        F.sum(F.col("z") * _keys(x) * _keys(y)).alias("elevation_m"), F.sum(F.col("z") * _keys(x, True) * _keys(y)).alias("du"), F.sum(F.col("z") * _keys(x) * _keys(y, True)).alias("dv"),
+        F.max("_cell_x_m").alias("_cell_x_m"), F.max("_cell_y_m").alias("_cell_y_m"), F.sum(F.col("z") * _keys(x) * _keys(y)).alias("elevation_m"), F.sum(F.col("z") * _keys(x, True) * _keys(y)).alias("du"), F.sum(F.col("z") * _keys(x) * _keys(y, True)).alias("dv"),
     )
-    dx, dy = F.col("du") / max(0.001, cell_x_m), F.col("dv") / max(0.001, cell_y_m)
+    dx, dy = (F.col(d) / at_least(F.col(c), 0.001) for d, c in (("du", "_cell_x_m"), ("dv", "_cell_y_m")))
     m = F.hypot(dx, dy)
     curvature = (F.col("du") * F.col("du") + F.col("dv") * F.col("dv")) / at_least(F.pow(1 + m * m, F.lit(1.5)), 0.001)
     return g.select(

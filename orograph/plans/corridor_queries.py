@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import projection as P
 from ..functions.durable import durable, shared_folder
 from ..functions.numbers import rounded
-from ..operators import corridor, spatial
+from ..operators import corridor, spatial, surface
 from ..operators.polylines import rounded_columns
-from ..sources import geotiff, networks, urban
+from ..sources import elevation_store, geotiff, networks, urban
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
 
@@ -237,3 +237,82 @@ def import_table(spark, sf_dir):
     t = b.select(F.struct("u", "v").alias("k"), line.alias("shape"), F.col("highway").alias("class"), "surface", against.alias("direction"))
     got = networks.table_segments(t, "k", "shape", 32635, highway="class", oneway="direction")
     return got.select("seq.doc.u", "seq.doc.v", rounded(F.col("lon1"), 7).alias("lon1"), rounded(F.col("lat2"), 7).alias("lat2"), "z1", "highway", "surface", "is_oneway")
+
+
+#: Three layers of heights with steps of their own: fine with holes, coarse over a part, and coarsest over all.
+_LAYERS = {
+    "l0": ("SELECT gx AS col, 40-gy AS row_, CASE WHEN (gx+gy)%5=1 THEN CAST('NaN' AS DOUBLE) ELSE z END AS value FROM nodes WHERE (gx+2*gy)%3<>0", 27.0995, 38.4405, 0.001, 0.001),
+    "l1": ("SELECT CAST(floor(gx/3e0) AS BIGINT) AS col, CAST(floor((60-gy)/2e0) AS BIGINT) AS row_, 100e0+avg(z) AS value FROM nodes WHERE gx%12<8 GROUP BY CAST(floor(gx/3e0) AS BIGINT), CAST(floor((60-gy)/2e0) AS BIGINT)", 27.0995, 38.4605, 0.003, 0.002),
+    "l2": ("SELECT CAST(floor(gx/10e0) AS BIGINT) AS col, CAST(floor((90-gy)/10e0) AS BIGINT) AS row_, 200e0+min(z) AS value FROM nodes GROUP BY CAST(floor(gx/10e0) AS BIGINT), CAST(floor((90-gy)/10e0) AS BIGINT)", 27.0995, 38.4905, 0.01, 0.01),
+}
+
+
+def _layers(spark, sf_dir):
+    n = load(spark, sf_dir, "nodes")
+    return [surface.Layer(durable(spark.sql(sql.replace("FROM nodes", "FROM {n}"), n=n), "cells"), *geo_) for sql, *geo_ in _LAYERS.values()]
+
+
+def _layer_join(points: str, lon: str, lat: str) -> str:
+    joins = "".join(f" LEFT JOIN {k} ON {k}.col=CAST(floor(({lon}-{x0!r})/{dx!r}) AS BIGINT) AND {k}.row_=CAST(floor(({top!r}-{lat})/{dy!r}) AS BIGINT) AND NOT isnan({k}.value)" for k, (_, x0, top, dx, dy) in _LAYERS.items())
+    return f"{points}{joins}"
+
+
+_LAYER_CTES = ", ".join(f"{k} AS ({sql})" for k, (sql, *_) in _LAYERS.items())
+
+
+@query(f"""WITH {_LAYER_CTES}, c AS (SELECT id, lon+(id%11-5)*0.0007e0+0.00013e0 AS lon, lat+(id%13-6)*0.0009e0+0.00017e0 AS lat FROM circles)
+SELECT id, coalesce(l0.value,l1.value,l2.value) AS value, CASE WHEN l0.value IS NOT NULL THEN 0 WHEN l1.value IS NOT NULL THEN 1 WHEN l2.value IS NOT NULL THEN 2 END AS layer FROM {_layer_join("c", "c.lon", "c.lat")}""", "circles", "nodes")
+def surface_layers(spark, sf_dir):
+    """Heights at places, from the first of three layers that has one."""
+    p = load(spark, sf_dir, "circles").select("id", (F.col("lon") + (F.col("id") % 11 - 5) * 0.0007 + 0.00013).alias("lon"), (F.col("lat") + (F.col("id") % 13 - 6) * 0.0009 + 0.00017).alias("lat"))
+    return surface.first_of(p, _layers(spark, sf_dir), "id")
+
+
+_ENDS = """SELECT u, v, lon1+0.00013e0 AS lon1, lat1+0.00017e0 AS lat1, CASE WHEN (u+v)%3=0 THEN z1 END AS z1, CASE WHEN v%17=0 THEN lon1 ELSE lon2 END+0.00013e0 AS lon2, CASE WHEN v%17=0 THEN lat1 ELSE lat2 END+0.00017e0 AS lat2, CASE WHEN v%4=0 THEN z2 END AS z2 FROM"""
+
+
+@query(f"""WITH {_LAYER_CTES}, s AS ({_ENDS} segments), a AS (SELECT s.*, coalesce(z1,l0.value,l1.value,l2.value) AS h1 FROM {_layer_join("s", "s.lon1", "s.lat1")}),
+b AS (SELECT a.*, coalesce(z2,l0.value,l1.value,l2.value) AS h2, {hav("lon1", "lat1", "lon2", "lat2")} AS m FROM {_layer_join("a", "a.lon2", "a.lat2")}),
+c AS (SELECT u, v, m<0.1e0 AS short, h1 IS NULL OR h2 IS NULL AS unknown, (h2-h1)/m*100 AS sl, degrees(atan2((lon2-lon1)*cos(radians((lat1+lat2)*0.5e0)),lat2-lat1)) AS az FROM b),
+d AS (SELECT u, v, short, unknown, CASE WHEN short OR unknown THEN 0e0 ELSE sl END AS sl, CASE WHEN short OR unknown THEN 0e0 WHEN az<0 THEN az+360 ELSE az END AS az FROM c)
+SELECT u, v, {r("sl", "slope_pct", 3)}, {r("az", "aspect_deg", 3)}, {r("CASE WHEN short THEN 0.5e0 WHEN unknown THEN 1e0 ELSE least(1e0,greatest(0e0,sin(radians(55e0))*cos(atan(abs(sl)/100))+cos(radians(55e0))*sin(atan(abs(sl)/100))*cos(radians(180e0-az)))) END", "light", 4)} FROM d""", "segments", "nodes")
+def segment_slopes(spark, sf_dir):
+    """Slope, direction and light of all segments, whose heights are partly their own, partly from layers."""
+    s = spark.sql(_ENDS + " {s}", s=load(spark, sf_dir, "segments"))
+    found = surface.slopes(s, _layers(spark, sf_dir), "u", "v")
+    return found.select("u", "v", rounded(F.col("slope_pct"), 3).alias("slope_pct"), rounded(F.col("aspect_deg"), 3).alias("aspect_deg"), rounded(F.col("light"), 4).alias("light"))
+
+
+_KEYS_SQL = """k AS (SELECT *, CASE WHEN abs(x)<=1 THEN 1.5e0*pow(abs(x),3)-2.5e0*x*x+1 WHEN abs(x)<2 THEN -0.5e0*pow(abs(x),3)+2.5e0*x*x-4*abs(x)+2 ELSE 0e0 END AS wx,
+ CASE WHEN abs(y)<=1 THEN 1.5e0*pow(abs(y),3)-2.5e0*y*y+1 WHEN abs(y)<2 THEN -0.5e0*pow(abs(y),3)+2.5e0*y*y-4*abs(y)+2 ELSE 0e0 END AS wy,
+ CASE WHEN x>=0 THEN 1 ELSE -1 END*CASE WHEN abs(x)<=1 THEN 4.5e0*x*x-5*abs(x) WHEN abs(x)<2 THEN -1.5e0*x*x+5*abs(x)-4 ELSE 0e0 END AS dx,
+ CASE WHEN y>=0 THEN 1 ELSE -1 END*CASE WHEN abs(y)<=1 THEN 4.5e0*y*y-5*abs(y) WHEN abs(y)<2 THEN -1.5e0*y*y+5*abs(y)-4 ELSE 0e0 END AS dy FROM q)"""
+
+
+@query(f"""WITH w AS (SELECT max(gx)+1 AS width, max(gy)+1 AS height FROM nodes), g AS (SELECT gx AS col, (SELECT height FROM w)-1-gy AS row_, z FROM nodes),
+l AS (SELECT route_id, seq, lon, lat, lead(lon) OVER o AS lon2, lead(lat) OVER o AS lat2 FROM routes WINDOW o AS (PARTITION BY route_id ORDER BY seq)),
+m AS (SELECT *, CASE WHEN lon2 IS NULL THEN 1 ELSE greatest(1,CAST(ceil({hav("lon", "lat", "lon2", "lat2")}/25e0) AS BIGINT)) END AS steps FROM l WHERE route_id IN (SELECT route_id FROM routes GROUP BY route_id HAVING count(*)>1)),
+p AS (SELECT route_id, seq AS seg, k AS step, CASE WHEN lon2 IS NULL THEN lon ELSE lon+(lon2-lon)*(k/CAST(steps AS DOUBLE)) END AS lon, CASE WHEN lat2 IS NULL THEN lat ELSE lat+(lat2-lat)*(k/CAST(steps AS DOUBLE)) END AS lat FROM (SELECT *, unnest(range(steps)) AS k FROM m) a),
+i AS (SELECT *, (lon-27.0995e0)/0.001e0-0.5e0 AS gx, (38.3995e0+height*0.001e0-lat)/0.001e0-0.5e0 AS gy, lon>=27.0995e0 AND lon<=27.0995e0+width*0.001e0 AND lat>=38.3995e0 AND lat<=38.3995e0+height*0.001e0 AS ok FROM p, w),
+e AS (SELECT *, floor(gx) AS c0, floor(gy) AS r0, gx-floor(gx) AS uu, gy-floor(gy) AS vv, di, dj FROM i, (SELECT unnest([-1,0,1,2]) AS di) a, (SELECT unnest([-1,0,1,2]) AS dj) b WHERE ok),
+q AS (SELECT e.*, coalesce(g.z,0e0) AS zz, uu-di AS x, vv-dj AS y FROM e LEFT JOIN g ON g.col=c0+di AND g.row_=r0+dj), {_KEYS_SQL},
+s AS (SELECT route_id, seg, step, max(lat) AS lat, sum(zz*wx*wy) AS el, sum(zz*dx*wy) AS du, sum(zz*wx*dy) AS dv FROM k GROUP BY route_id, seg, step),
+t AS (SELECT i.route_id, i.seg, i.step, coalesce(el,0e0) AS el, coalesce(du/(0.001e0*111320e0*cos(radians(i.lat))),0e0) AS zx, coalesce(dv/(0.001e0*111320e0),0e0) AS zy FROM i LEFT JOIN s USING (route_id, seg, step))
+SELECT route_id, seg, CAST(step AS BIGINT) AS step, {r("el", "elevation_m", 3)}, {r("sqrt(zx*zx+zy*zy)*100", "slope_pct", 3)} FROM t""", "routes", "nodes")
+def smooth_profiles(spark, sf_dir):
+    """All routes in steps of 25 m on the smooth surface through the nodes' heights."""
+    width, height = load(spark, sf_dir, "nodes").agg(F.max("gx") + 1, F.max("gy") + 1).first()
+    cells = load(spark, sf_dir, "nodes").select(F.col("gx").alias("col"), (height - 1 - F.col("gy")).alias("row_"), F.col("z").alias("value"))
+    layer = surface.Layer(cells, 27.0995, 38.3995 + height * 0.001, 0.001, 0.001)
+    p = surface.smooth_profile(load(spark, sf_dir, "routes"), layer, width, height, 25.0)
+    return p.select("route_id", "seg", F.col("step").cast("long").alias("step"), rounded(F.col("elevation_m"), 3).alias("elevation_m"), rounded(F.col("slope_pct"), 3).alias("slope_pct"))
+
+
+@query(f"""SELECT id, CASE WHEN id%2=0 THEN z ELSE {r("lon*10+lat", "v").rpartition(" AS ")[0]} END AS value FROM nodes""", "nodes")
+def stored_heights(spark, sf_dir):
+    """Heights of all nodes: every other one is known beforehand, the rest are asked for, of a service that tells a sum of coordinates, and kept."""
+    n = load(spark, sf_dir, "nodes")
+    at = f"{shared_folder(spark)}/heights-{uuid.uuid4().hex}"
+    elevation_store.seed(n.where("id % 2 = 0").select("lon", "lat", F.col("z").alias("value")), at)
+    elevation_store.prefetch(n, at, lambda places: [x * 10 + y for x, y in places])
+    return elevation_store.heights(n, at, "id").select("id", rounded(F.col("value"), 4).alias("value"))
