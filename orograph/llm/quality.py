@@ -4,9 +4,9 @@ Each word is encoded by the public vocabularies on its own. Four figures come of
 share of the pieces that are single bytes because no piece fits, and the entropy of the pieces. A text in the wrong encoding, of symbols or random letters has few
 characters a token or many byte tokens; a text that says one thing again and again has little entropy.
 
-What is rejected depends on the language, or where that is not given or rare on the script that most letters are in. The bands are set from the figures of all documents of that
-language or script which pass the plain rules: the median and so many times a robust spread (the distance of the quartiles). A script with too few documents
-has the fixed band below.
+What is rejected depends on the language and the script that most letters are in. The bands are set from the figures of all documents of that
+language which pass the plain rules: the median and so many times a robust spread (the distance of the quartiles). They lean towards the script's bands as if these spoke for PRIOR documents more,
+and these towards the fixed ones below in the same way; so nothing turns on a number of documents, and the first of a language are judged by its script. Texts without a letter are judged by their fixed band alone.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class Band:
     entropy: float = 3.0
 
 
-#: Rejection bands of scripts with too few documents. Alphabets have a few characters a token, scripts of syllables and words about one or less; texts
+#: Rejection bands that a script's own lean on. Alphabets have a few characters a token, scripts of syllables and words about one or less; texts
 #: without a letter are "none".
 BANDS = {
     "latin": Band(1.6, 12.0, 0.25),
@@ -53,8 +53,8 @@ BANDS = {
     "other": Band(0.4, 12.0, 0.85),
     "none": Band(1.3, 12.0, 0.25),
 }
-#: A language or script is calibrated with so many documents; the entropy says something from so many tokens on.
-LEAST_DOCUMENTS = 50
+#: For how many documents a script's band counts in a language's, and a fixed one in a script's; the entropy says something from so many tokens on.
+PRIOR = {"lang": 10.0, "script": 100.0}
 LEAST_TOKENS = 100
 #: Texts of fewer tokens have wider bands, by the root of the ratio.
 SCATTER = 200
@@ -193,41 +193,63 @@ def figures(documents: DataFrame, pieces: str, byte_level: str, pattern: str) ->
     return documents.select("doc_id", lang.alias("lang"), text_of(documents).alias("_text")).mapInArrow(run, f"doc_id {kind}, lang string, {_OUT}")
 
 
+#: Figures that bands are for. best_chars is the better of both vocabularies: one that fits the text is enough where nothing else is known.
+_FIGURES = ["chars_per_token", "level_chars", "best_chars", "byte_share", "token_entropy"]
+
+
 def calibrated(found: DataFrame, by: str) -> DataFrame:
-    """(by, bands) of each language or script with LEAST_DOCUMENTS or more that pass the plain rules."""
+    """(by, _n_by, _by) of each language or script: how many of its documents pass the plain rules, and per figure the median (mid), and how far from it figures may be below (down) and above (up)."""
 
-    def band(c: str, width: float) -> list[Column]:
+    def band(c: str, width: float) -> Column:
         low, mid, high = (F.percentile_approx(c, q, 10_000) for q in (0.25, 0.5, 0.75))
         reach = F.greatest(REACH * (high - low) / 1.35, F.lit(width))
-        return [mid.alias(f"mid_{c}"), reach.alias(f"reach_{c}")]
+        return F.struct(mid.alias("mid"), reach.alias("down"), reach.alias("up")).alias(c)
 
     chars, share, bits = WIDTHS
-    bands = [*band("chars_per_token", chars), *band("level_chars", chars), *band("byte_share", share), *band("token_entropy", bits)]
+    bands = [band(c, w) for c, w in zip(_FIGURES, (chars, chars, chars, share, bits), strict=True)]
     passing = found.where(~F.col("base_failed") & F.col(by).isNotNull())
-    told = passing.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *bands).where(F.col("n") >= LEAST_DOCUMENTS)
-    return told.select(by, F.struct(*[c for c in told.columns if c not in (by, "n")]).alias(f"_{by}"))
+    return passing.groupBy(by).agg(F.count(F.lit(1)).alias(f"_n_{by}"), F.struct(*bands).alias(f"_{by}"))
+
+
+def _fixed(bands: dict[str, Band], figure: str, part: str) -> Column:
+    """The fixed band of the row's script as mid, down and up. Neither vocabulary alone has to fit, and shares and entropies have one side."""
+    out = F.lit(None).cast("double")
+    for name, b in bands.items():
+        mid = 2 * b.least_chars
+        told = {
+            "chars_per_token": (mid, mid, b.most_chars - mid), "level_chars": (mid, mid, b.most_chars), "best_chars": (mid, b.least_chars, b.most_chars),
+            "byte_share": (0.0, 1.0, b.byte_share), "token_entropy": (b.entropy + 2, 2.0, 20.0),
+        }[figure]
+        out = F.when(F.col("script") == name, told[("mid", "down", "up").index(part)]).otherwise(out)
+    return out
 
 
 def assess(documents: DataFrame, pieces: str, byte_level: str, pattern: str, bands: dict[str, Band] | None = None) -> DataFrame:
     """Per document: doc_id, the plain counts, base_failed, the vocabularies' figures, and kept.
 
-    base_failed: under 20 words, or over 30 % of the words in repeated windows. Kept: not base_failed, and within the band of the document's language, else of its script, else
-    the script's fixed one (there one vocabulary with enough characters a token is enough). Null text counts as
-    empty: no words, not kept; a null lang is none. Rows may repeat and lack an id, and equal rows are judged alike; other columns are not looked at. An empty table gives an empty result.
+    base_failed: under 20 words, or over 30 % of the words in repeated windows. Kept: not base_failed, and within the band of the document's language and script. A text of few tokens has wider bands. Null text counts as
+    empty: no words, not kept; a null lang is none, and the script's band holds. Rows may repeat and lack an id, and equal rows are judged alike, so there are no ties; very long texts are measured whole; other columns are not
+    looked at. An empty table gives an empty result.
     """
-    found = stored(figures(documents, pieces, byte_level, pattern), "figures")
+    found = stored(figures(documents, pieces, byte_level, pattern), "figures").withColumn("best_chars", F.greatest("chars_per_token", "level_chars"))
     joined = found.join(calibrated(found, "lang"), "lang", "left").join(calibrated(found, "script"), "script", "left")
-    own = F.coalesce("_lang", "_script")
+    fixed = bands or BANDS
+
+    def limit(figure: str, part: str) -> Column:
+        """Of the language, leaning on the script's, which leans on the fixed one."""
+        out = _fixed(fixed, figure, part)
+        for by in ("script", "lang"):
+            n = F.when(F.col("script") == "none", 0).otherwise(F.coalesce(F.col(f"_n_{by}"), F.lit(0)))
+            out = (n * F.coalesce(F.col(f"_{by}")[figure][part], F.lit(0.0)) + PRIOR[by] * out) / (n + PRIOR[by])
+        return out
+
+    joined = joined.select("*", *[limit(f, p).alias(f"_{f}_{p}") for f in _FIGURES for p in ("mid", "down", "up")])
     # Figures of few tokens scatter more.
     wider = F.sqrt(F.greatest(F.lit(1.0), SCATTER / F.greatest(F.lit(1), F.col("n_tokens"))))
-    off = lambda c: (F.col(c) - own[f"mid_{c}"]) / own[f"reach_{c}"] / wider
-    long_enough = F.col("n_tokens") >= LEAST_TOKENS
-    by_own = (F.abs(off("chars_per_token")) <= 1) & (F.abs(off("level_chars")) <= 1) & (off("byte_share") <= 1)
-    by_own &= ~long_enough | (off("token_entropy") >= -1)
-    fixed = F.lit(False)
-    for name, b in (bands or BANDS).items():
-        enough = F.greatest("chars_per_token", "level_chars") >= b.least_chars
-        fits = enough & (F.col("chars_per_token") <= b.most_chars) & (F.col("byte_share") <= b.byte_share) & (~long_enough | (F.col("token_entropy") >= b.entropy))
-        fixed |= (F.col("script") == name) & fits
-    kept = ~F.col("base_failed") & F.when(own.isNull(), fixed).otherwise(by_own)
+    above = lambda f: F.col(f) >= F.col(f"_{f}_mid") - wider * F.col(f"_{f}_down")
+    below = lambda f: F.col(f) <= F.col(f"_{f}_mid") + wider * F.col(f"_{f}_up")
+    fits = below("byte_share") & ((F.col("n_tokens") < LEAST_TOKENS) | above("token_entropy"))
+    for f in ("chars_per_token", "level_chars", "best_chars"):
+        fits &= above(f) & below(f)
+    kept = ~F.col("base_failed") & fits
     return joined.select("doc_id", *[x.split()[0] for x in _OUT.split(", ")], kept.alias("kept"))

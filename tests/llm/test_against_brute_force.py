@@ -296,6 +296,23 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
             assert r["kept"], r
 
 
+def test_no_verdict_turns_on_a_count_of_documents(spark):
+    """Around the 50 documents of a language that once made a difference, and without any: nothing jumps, and clean documents stay."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{BIG}/documents.parquet").where("lang = 'en'").collect()}
+    clean = [t for d, t in sorted(docs.items()) if len(t) > 300 and not re.search(r"\*\*\*|!!|&&&|\|", t)]
+    rng = np.random.default_rng(1)
+    letters = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9)))) for _ in range(150))
+    from orograph.llm import quality
+
+    P, told = public_tokenizers, []
+    for n in (45, 49, 50, 60):
+        rows = [(i, t, "en") for i, t in enumerate(clean[:n])] + [(-1, docs[37], "en"), (-2, docs[44], "en"), (-3, letters, "en"), (-4, "#$% " * 3 + "## $$ %% && || << >> ** #% $#" * 9, None)]
+        got = quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+        assert all(r["kept"] for r in got if r["doc_id"] >= 0 and not r["base_failed"])
+        told.append({r["doc_id"]: r["kept"] for r in got if r["doc_id"] < 0})
+    assert all(t == told[0] for t in told) and not told[0][-3] and not told[0][-4]
+
+
 def brute_repeats(texts: dict, window: int) -> set[tuple[int, int]]:
     """(doc, word) of all words in windows that also stand in an earlier document."""
     first: dict[tuple, int] = {}
