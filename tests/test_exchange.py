@@ -126,3 +126,25 @@ def test_checks_of_values(spark):
     assert [(r["a"], r["l"]) for r in rows] == [(1.5, 1), (7.0, None), (7.0, None), (7.0, 3)]
     b = spark.range(1).select(validation.normal_box(F.lit(1.0), F.lit(float("nan")), F.lit(2.0), F.lit(3.0)).alias("b")).first()["b"]
     assert b["problem"] == "invalid coordinates" and b["lon1"] is None
+
+
+@pytest.mark.parametrize(("block", "fan"), [(2, 2), (5, 3), (1000, 4)])
+def test_matching_by_blocks_is_that_of_whole_tracks(spark, block, fan):
+    """Tracks of many blocks and levels against the sequence found over all their points at once."""
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(i * 20 + j, 27.0 + i * 0.001, 38.0 + j * 0.001) for i in range(20) for j in range(20)], "id long, lon double, lat double")
+    at = {r["id"]: (r["lon"], r["lat"]) for r in nodes.collect()}
+    pairs = [(a, b) for a in at for b in (a + 1, a + 20, a - 1, a - 20) if b in at and abs(at[a][0] - at[b][0]) + abs(at[a][1] - at[b][1]) < 0.0015]
+    edges = spark.createDataFrame([(a, b, *at[a], *at[b]) for a, b in pairs], "u long, v long, lon1 double, lat1 double, lon2 double, lat2 double")
+    rows = []
+    for track, n in (("a", 90), ("b", 7), ("c", 1), ("d", 2), (None, 30)):
+        x, y = 27.005, 38.005
+        for k in range(n):
+            x, y = x + rng.normal(0, 2e-4), y + rng.normal(0, 2e-4)
+            rows.append((track, k * (1 if track != "b" else 3), float(x), float(y)))
+    points = spark.createDataFrame(rows, "track_id string, seq long, lon double, lat double").where("track_id is not null")
+    whole = matching.match_tracks(points, edges, nodes, block=10**6)
+    parts = matching.match_tracks(points, edges, nodes, block=block, fan=fan)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    got = key(parts)
+    assert got == key(whole) and len(got) > 95 and not any(r[0] == "c" for r in got)
