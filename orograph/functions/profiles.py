@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def resolve(key: str | dict, strict: bool = True) -> dict:
     return found or profiles()["adult"]
 
 
+#: Names of a profile's values in preset files; hierarchy_weights has those of ranks 1 to 5.
+_JSON = {
+    "key": "key", "category": "category", "base_speed_kmh": "base_kmh", "max_slope_pct": "max_slope_pct", "stair_penalty": "stair_penalty", "slope_sensitivity": "slope_w", "heat_sensitivity": "heat_w",
+    "green_preference": "green_w", "surface_smoothness_req": "smooth",
+}
+
+
+def to_json(profile: str | dict) -> str:
+    """A profile as the text of a preset file."""
+    p = resolve(profile)
+    told = {name: p[own] for name, own in _JSON.items()} | {"stair_allowed": bool(p["stairs"]), "hierarchy_weights": {str(i): p[f"h{i}"] for i in range(1, 6)}}
+    return json.dumps(told, indent=2)
+
+
+def from_json(text: str) -> dict:
+    """The profile of a preset file's text, for wherever a profile is asked for. What is missing is as in ``adult``, but for key and category; other entries, as names and icons, are passed over."""
+    given = json.loads(text)
+    if not isinstance(given, dict) or not {"key", "category"} <= set(given):
+        raise ValueError("a preset is an object with key and category at least")
+    base = profiles()["adult"]
+    out = base | {own: (str if own in ("key", "category") else float)(given[name]) for name, own in _JSON.items() if name in given}
+    if "stair_allowed" in given:
+        out["stairs"] = float(bool(given["stair_allowed"]))
+    return out | {f"h{i}": float(given.get("hierarchy_weights", {}).get(str(i), base[f"h{i}"])) for i in range(1, 6)}
+
+
 def profile_table(spark: SparkSession) -> DataFrame:
     """All profiles as rows, to join a sweep with."""
     return spark.createDataFrame([tuple(p[f] for f in _FIELDS) for p in profiles().values()], _FIELDS)

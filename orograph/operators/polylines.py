@@ -155,6 +155,23 @@ def statistics(points: DataFrame, profile: str = "adult", category: str = "pedes
     )
 
 
+def elevation_profile(points: DataFrame, category: str = "pedestrian", mass: float = 70.0) -> DataFrame:
+    """(route_id, seq, distance_km, elevation_m, slope_pct, calories_kcal) at each point of routes (route_id, seq, lon, lat, z): what an elevation profile is drawn from. Distance and energy run up from 0; engines take none, so theirs is null.
+
+    Routes of one point have no profile; a missing height is 0.
+    """
+    w = along("route_id")
+    p = points.where("lon is not null and lat is not null").select("route_id", "seq", "lon", "lat", F.coalesce("z", F.lit(0.0)).alias("z"))
+    before = [F.lag(c).over(w) for c in ("lon", "lat", "z")]
+    p = p.select("route_id", "seq", "z", F.lead("z").over(w).isNull().alias("last"), before[2].isNull().alias("first"), F.coalesce(geo.haversine(before[0], before[1], F.col("lon"), F.col("lat")), F.lit(0.0)).alias("m"), (F.col("z") - before[2]).alias("dz"))
+    p = p.where("not (first and last)").withColumn("slope_pct", F.when(F.col("m") > 0, F.col("dz") / F.when(F.col("m") > 0, F.col("m")) * 100.0).otherwise(0.0))
+    slope, m = F.col("slope_pct") / 100.0, F.col("m")
+    joules = kinematics.cycling_joules(slope, mass, m) if category == "micromobility" else kinematics.minetti_joules(slope, mass, m)
+    p = p.withColumn("kcal", F.when(F.lit(category != "vehicle"), F.coalesce(joules, F.lit(0.0)) / 4184.0))
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    return p.select("route_id", "seq", (F.sum("m").over(up) / 1000.0).alias("distance_km"), F.col("z").alias("elevation_m"), "slope_pct", F.sum("kcal").over(up).alias("calories_kcal"))
+
+
 def cue_sheet(points: DataFrame, max_slope_pct: float = 25.0, straight_m: float = 400.0) -> DataFrame:
     """(route_id, step, direction, distance_m, elevation_delta_m, slope_pct, instruction, warning).
 

@@ -10,8 +10,8 @@ from ..functions import projection as P
 from ..functions.durable import durable, shared_folder
 from ..functions.numbers import rounded
 from ..operators import corridor, spatial, surface
-from ..operators.polylines import rounded_columns
-from ..sources import elevation_store, geotiff, networks, urban
+from ..operators.polylines import elevation_profile, rounded_columns
+from ..sources import elevation_store, exports, geotiff, networks, urban
 from ..sources.fixtures import load, oracle
 from .polyline_queries import hav, r
 
@@ -316,3 +316,21 @@ def stored_heights(spark, sf_dir):
     elevation_store.seed(n.where("id % 2 = 0").select("lon", "lat", F.col("z").alias("value")), at)
     elevation_store.prefetch(n, at, lambda places: [x * 10 + y for x, y in places])
     return elevation_store.heights(n, at, "id").select("id", rounded(F.col("value"), 4).alias("value"))
+
+
+@query(f"""WITH l AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0, lag(z) OVER w AS z0, count(*) OVER (PARTITION BY route_id) AS n FROM routes WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+m AS (SELECT *, coalesce({hav("lon0", "lat0", "lon", "lat")},0e0) AS m FROM l WHERE n>1), s AS (SELECT *, CASE WHEN m>0 THEN (z-z0)/m*100 ELSE 0e0 END AS sl FROM m),
+c AS (SELECT *, greatest(-0.5e0,least(0.5e0,sl/100)) AS g FROM s), e AS (SELECT *, greatest(0.6e0,280.5e0*pow(g,5)-58.7e0*pow(g,4)-76.8e0*pow(g,3)+51.9e0*g*g+19.6e0*g+2.5e0)*70e0*m/4184e0 AS kcal FROM c)
+SELECT route_id, seq, {r("sum(m) OVER u/1000", "distance_km")}, {r("z", "elevation_m")}, {r("sl", "slope_pct", 3)}, {r("sum(kcal) OVER u", "calories_kcal", 3)} FROM e WINDOW u AS (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""", "routes")
+def elevation_profiles(spark, sf_dir):
+    """What the elevation profiles of all routes on foot are drawn from."""
+    p = elevation_profile(load(spark, sf_dir, "routes"))
+    return p.select("route_id", "seq", rounded(F.col("distance_km"), 4).alias("distance_km"), rounded(F.col("elevation_m"), 4).alias("elevation_m"), rounded(F.col("slope_pct"), 3).alias("slope_pct"), rounded(F.col("calories_kcal"), 3).alias("calories_kcal"))
+
+
+@query("""SELECT route_id, concat('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="orograph" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>', route_id, '</name></metadata><trk><trkseg>',
+ string_agg(printf('<trkpt lat="%.6f" lon="%.6f"><ele>%.2f</ele><extensions><residual_m>%.2f</residual_m><slope_pct>%.1f</slope_pct></extensions></trkpt>', lat, lon, z, coalesce(CASE WHEN seq%3<>0 THEN seq*0.25e0 END,0e0), seq*0.5e0), '' ORDER BY seq), '</trkseg></trk></gpx>') AS value FROM routes GROUP BY route_id""", "routes")
+def export_matched_gpx(spark, sf_dir):
+    """All routes as GPX whose points carry how far off they were, unknown for every third, and the slope."""
+    p = load(spark, sf_dir, "routes").withColumns({"residual_m": F.when(F.col("seq") % 3 != 0, F.col("seq") * 0.25), "slope_pct": F.col("seq") * 0.5})
+    return exports.gpx_matched(p, "route_id")

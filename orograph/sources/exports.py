@@ -35,6 +35,17 @@ def gpx_lines(points: DataFrame, key: str, order: str = "seq", creator: str = "o
     return lines.select(key, F.concat(F.lit(head), F.col(key).cast("string"), F.lit("</name><trkseg>"), "c", F.lit("</trkseg></trk></gpx>")).alias("value"))
 
 
+def gpx_matched(points: DataFrame, key: str, order: str = "seq", creator: str = "orograph") -> DataFrame:
+    """(key, value): a GPX 1.1 document with one track for each matched line of points (key, order, lon, lat, z, residual_m, slope_pct), whose points carry how far off they were and the slope. What is missing there is 0."""
+    of = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    point = F.format_string(
+        '<trkpt lat="%.6f" lon="%.6f"><ele>%.2f</ele><extensions><residual_m>%.2f</residual_m><slope_pct>%.1f</slope_pct></extensions></trkpt>', "lat", "lon", of("z"), of("residual_m"), of("slope_pct")
+    )
+    lines = points.where("lon is not null and lat is not null").groupBy(key).agg(_in_order(order, point, "").alias("c"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="{creator}" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>'
+    return lines.select(key, F.concat(F.lit(head), F.col(key).cast("string"), F.lit("</name></metadata><trk><trkseg>"), "c", F.lit("</trkseg></trk></gpx>")).alias("value"))
+
+
 def wkt_lines(points: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """(key, value): LINESTRING Z text."""
     place = F.format_string("%.6f %.6f %.2f", "lon", "lat", F.coalesce("z", F.lit(0.0)))

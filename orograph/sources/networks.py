@@ -23,6 +23,33 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+#: What a table of segments has at least.
+SEGMENT = ["lon1", "lat1", "lon2", "lat2"]
+
+
+def network(spark: SparkSession, source: str | DataFrame, key: str = "id", **columns: object) -> DataFrame:
+    """Segments from whatever a network is given as: a table of segments as it is, a table of lines (``key``, geometry, ...; more is as in ``table_segments``), or the path of .geojson or .json files of features or elements.
+
+    A path that isn't there, another kind of file and a table with neither are errors, as an empty network would only fail later.
+    """
+    if isinstance(source, DataFrame):
+        if set(SEGMENT) <= set(source.columns):
+            return source
+        if str(columns.get("geometry", "geometry")) in source.columns:
+            return table_segments(source, key, **columns)
+        raise ValueError(f"a table of a network has {', '.join(SEGMENT)}, or a geometry; this one has {', '.join(source.columns)}")
+    ending = source.rstrip("/").rpartition(".")[2].lower() if "." in source.rpartition("/")[2] else ""
+    if ending not in ("json", "geojson"):
+        raise ValueError(f"{source}: networks are read from .geojson and .json files")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        raise FileNotFoundError(f"no network at {source}")
+    texts = documents(spark, source).withColumn("name", F.col("_metadata.file_path"))
+    elements = F.get_json_object("value", "$.elements").isNotNull()
+    return geojson_segments(texts.where(~elements)).withColumn("seq", F.to_json("seq")).unionByName(osm_segments(texts.where(elements)).withColumn("seq", F.to_json("seq")))
+
+
 def _features(value: Column) -> Column:
     """Features of a document: those of a collection, of a list, the document itself, or one around a bare geometry."""
     own = f"struct<type:string, geometry:{_GEOMETRY}, properties:string>"
