@@ -96,9 +96,9 @@ _ISLANDS = """WITH RECURSIVE b AS MATERIALIZED (SELECT u, v FROM segments WHERE
 c(node, comp) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(c.comp) FROM c JOIN b ON b.u=c.node JOIN recurring.c AS o ON o.node=b.v WHERE c.comp<o.comp GROUP BY b.v)"""
 
 
-@query(f"{_ISLANDS} SELECT node, comp AS component FROM c", "segments")
+@query(_ISLANDS.replace(" WHERE highway IN ('residential','tertiary')", "") + " SELECT node, comp AS component FROM c", "segments")
 def network_components(spark, sf_dir):
-    return graph.components(load(spark, sf_dir, "segments").where("highway in ('residential', 'tertiary')").select("u", "v"))
+    return graph.components(load(spark, sf_dir, "segments").select("u", "v"))
 
 
 _ENDS = """SELECT id AS query_id, lon+0.00013e0 AS olon, lat+0.00021e0 AS olat, 27.10017e0+((id*7)%31)*0.001e0 AS dlon, 38.40011e0+((id*13)%29)*0.001e0 AS dlat FROM circles"""
@@ -114,6 +114,7 @@ k AS (SELECT query_id, na.node AS src, nb.node AS dst, na.d+nb.d AS d, row_numbe
 x AS (SELECT query_id, arg_min(node,(d,node)) AS node FROM na GROUP BY query_id), y AS (SELECT query_id, arg_min(node,(d,node)) AS node FROM nb GROUP BY query_id)
 SELECT t.query_id, coalesce(k.src,x.node) AS src, coalesce(k.dst,y.node) AS dst, {r("k.d", "dist_m", 3)} FROM t LEFT JOIN k ON k.query_id=t.query_id AND rn=1 LEFT JOIN x ON x.query_id=t.query_id LEFT JOIN y ON y.query_id=t.query_id""", "segments", "circles")
 def shared_ends(spark, sf_dir):
+    """Ends of trips on one island of the streets that are neither main roads nor paths; over all streets there is a single island and nothing to choose."""
     islands = graph.components(load(spark, sf_dir, "segments").where("highway in ('residential', 'tertiary')").select("u", "v"))
     trips = spark.sql(_ENDS.replace("FROM circles", "FROM {circles}"), circles=load(spark, sf_dir, "circles"))
     return rounded_columns(graph.shared_ends(trips, load(spark, sf_dir, "nodes"), islands, 600.0), 3)

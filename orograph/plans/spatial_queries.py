@@ -157,14 +157,17 @@ def raster_normalised(spark, sf_dir):
 _SEGD = "sqrt(pow(ax+t*(bx-ax),2)+pow(ay+t*(by_-ay),2))"
 
 
-@query(f"""WITH s AS (SELECT u, v, lon1, lat1, z1, lon2, lat2, z2 FROM segments WHERE lat1=lat2 AND lat1<38.4005e0),
-q AS (SELECT c.id, s.*, (s.lon1-c.lon)*cos(radians(c.lat))*111320e0 AS ax, (s.lat1-c.lat)*110540e0 AS ay, (s.lon2-c.lon)*cos(radians(c.lat))*111320e0 AS bx, (s.lat2-c.lat)*110540e0 AS by_ FROM circles c, s),
+@query(f"""WITH c AS (SELECT id, lon+(id%9-4)*0.0013e0+0.00013e0 AS lon, lat+(id%7-3)*0.0017e0+0.00021e0 AS lat FROM circles), s AS (SELECT u, v, lon1, lat1, z1, lon2, lat2, z2 FROM segments),
+q AS (SELECT c.id, s.*, (s.lon1-c.lon)*cos(radians(c.lat))*111320e0 AS ax, (s.lat1-c.lat)*110540e0 AS ay, (s.lon2-c.lon)*cos(radians(c.lat))*111320e0 AS bx, (s.lat2-c.lat)*110540e0 AS by_
+ FROM c JOIN s ON c.lon BETWEEN least(lon1,lon2)-0.004e0 AND greatest(lon1,lon2)+0.004e0 AND c.lat BETWEEN least(lat1,lat2)-0.004e0 AND greatest(lat1,lat2)+0.004e0),
 t AS (SELECT *, least(1e0,greatest(0e0,(-ax*(bx-ax)-ay*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS t FROM q),
-d AS (SELECT *, {_SEGD} AS d FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, u) AS n FROM d WHERE d<=1500)
+d AS (SELECT *, {_SEGD} AS d FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, u, v) AS n FROM d WHERE d<=250)
 SELECT id, {r("d", "dist_m", 3)}, {r("z1+t*(z2-z1)", "route_z", 3)} FROM k WHERE n=1""", "circles", "segments")
 def corridor_distance(spark, sf_dir):
-    s = load(spark, sf_dir, "segments").where("lat1 = lat2 and lat1 < 38.4005").withColumn("route_id", F.lit(0)).withColumn("seq", F.col("u"))
-    return rounded_columns(spatial.corridor_distance(load(spark, sf_dir, "circles").select("id", "lon", "lat"), s, 1500.0), 3)
+    """Each place's distance from the nearest street within 250 m, and the street's height there."""
+    s = load(spark, sf_dir, "segments").withColumnsRenamed({"u": "route_id", "v": "seq"})
+    p = load(spark, sf_dir, "circles").select("id", (F.col("lon") + (F.col("id") % 9 - 4) * 0.0013 + 0.00013).alias("lon"), (F.col("lat") + (F.col("id") % 7 - 3) * 0.0017 + 0.00021).alias("lat"))
+    return rounded_columns(spatial.corridor_distance(p, s, 250.0), 3)
 
 
 @query(f"""WITH l AS (SELECT track_id AS id, seq*10e0 AS t, lon, lat, lead(seq*10e0) OVER w AS t2, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM gps WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
