@@ -106,8 +106,11 @@ def least_costs(edges: DataFrame, sources: DataFrame, cost: str = "cost", limit:
         merged = both.groupBy("src", "node").agg(best)
         # What an earlier hop of this round found has been relaxed in it already.
         after = merged.select("src", "node", "b.cost", "b.parent", "b.hops", (F.col("b.k") == hops_a_round).alias("fresh"))
+        last = state
         state, left = durable_counting(after, "fresh", "costs")
+        release(last)
         if not left:
+            release(*(t for t in (e, shut) if t is not None))
             return state.drop("fresh")
     raise RuntimeError("relaxation did not settle")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinematics, profiles
-from ..functions.durable import durable, durable_counting
+from ..functions.durable import durable, durable_counting, release
 from ..functions.numbers import at_least, rounded
 
 SUMS = ("time_s", "ascent_m", "heat_dose", "energy_kcal")
@@ -74,8 +74,11 @@ def frontier(edges: DataFrame, queries: DataFrame, epsilon: float = 0.03, max_ro
         done = merged.where("node = dst").groupBy("query_id").agg(F.collect_list(F.struct(*SUMS)).alias("done"))
         open_ = merged.join(done, "query_id", "left")
         beaten = F.exists(F.coalesce("done", F.array()), lambda y: dominates(y, F.struct(*SUMS), epsilon))
+        last = labels
         labels, left = durable_counting(open_.where((F.col("node") == F.col("dst")) | ~beaten).drop("done"), "fresh and node <> dst", "labels")
+        release(last, merged)
         if not left:
+            release(e)
             return labels.where("node = dst").select("query_id", *SUMS, "path")
     raise RuntimeError("the frontier did not settle")
 
