@@ -230,8 +230,8 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
     """
     info = stored(sketches.where("n > 0").select("_text", "_fp", "n", "rare", "prefix", "mask").dropDuplicates(["_text"]), "texts")
     posts = info.select("_text", "n", "rare", F.posexplode("prefix").alias("place", "key"))
-    several = posts.groupBy("key").agg(F.min("_text").alias("a"), F.max("_text").alias("z")).where("a <> z").select("key")
-    posts = stored(posts.join(several, "key"), "prefixes")
+    hubs = posts.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("rare", "_text"))["_text"].alias("hub")).where("many > 1").drop("many")
+    posts = stored(posts.drop("rare").join(hubs, "key"), "prefixes")
     info = info.drop("rare", "prefix")
 
     def possible(x: str, y: str) -> Column:
@@ -240,13 +240,12 @@ def alike(documents: DataFrame, sketches: DataFrame, least: float, wide: int, se
         near = (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
         return near & (apart <= (n + m) * ((1 - least) / (1 + least)) + 1e-9)
 
-    hubs = posts.groupBy("key").agg(F.min(F.struct("rare", "_text"))["_text"].alias("a"))
-    firsts = posts.join(hubs, "key").where("_text <> a").select("a", F.col("_text").alias("b")).distinct().alias("p")
+    firsts = posts.where("_text <> hub").select(F.col("hub").alias("a"), F.col("_text").alias("b")).distinct().alias("p")
     firsts = firsts.join(info.alias("x"), F.col("p.a") == F.col("x._text")).join(info.alias("y"), F.col("p.b") == F.col("y._text"))
     linked = _verified(documents, firsts.where(possible("x", "y")).select("p.a", "p.b"), least, wide, seed)
 
     groups = components(linked).withColumnRenamed("node", "_text")
-    members = posts.join(groups, "_text", "left").withColumn("group", F.coalesce("component", "_text")).drop("component", "rare")
+    members = posts.join(groups, "_text", "left").withColumn("group", F.coalesce("component", "_text")).drop("component", "hub")
     members = stored(members, "members")
     release(posts)
     apart = members.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
