@@ -53,17 +53,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def looked_up(df: DataFrame, lookup: DataFrame, key: str, most: int = 20_000, salts: int = 64) -> DataFrame:
-    """Each row of ``df`` with the other columns of ``lookup``, which has one row a key; null keys are alike.
+def looked_up(df: DataFrame, lookup: DataFrame, key: str, how: str = "inner", most: int = 20_000, salts: int = 64) -> DataFrame:
+    """Each row of ``df`` with the other columns of ``lookup``, which has one row a key; null keys are alike. Rows whose key it doesn't have go, or with ``how`` left have nulls there.
 
     A lookup of at most ``most`` rows, which are counted, is broadcast. A larger one is repeated ``salts`` times, so that a hot key is as many tasks.
     """
     own = lookup.withColumnRenamed(key, "_key")
     if own.count() <= most:
-        return df.join(F.broadcast(own), df[key].eqNullSafe(own["_key"])).drop("_key")
+        return df.join(F.broadcast(own), df[key].eqNullSafe(own["_key"]), how).drop("_key")
     own = own.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return salted.join(own, salted[key].eqNullSafe(own["_key"]) & (salted["_salt"] == own["_salt2"])).drop("_key", "_salt", "_salt2")
+    return salted.join(own, salted[key].eqNullSafe(own["_key"]) & (salted["_salt"] == own["_salt2"]), how).drop("_key", "_salt", "_salt2")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import looked_up, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -232,7 +232,9 @@ def assess(documents: DataFrame, pieces: str, byte_level: str, pattern: str, ban
     looked at. An empty table gives an empty result.
     """
     found = stored(figures(documents, pieces, byte_level, pattern), "figures").withColumn("best_chars", F.greatest("chars_per_token", "level_chars"))
-    joined = found.join(calibrated(found, "lang"), "lang", "left").join(calibrated(found, "script"), "script", "left")
+    joined = found
+    for by in ("lang", "script"):
+        joined = looked_up(joined, stored(calibrated(found, by), "bands"), by, "left")
     fixed = bands or BANDS
 
     def limit(figure: str, part: str) -> Column:
