@@ -2,6 +2,7 @@
 
 Each is the skeleton of a page: +9 stands for nine words of main text, -9 for nine other words. The shapes are those of usual publishing systems: pages with
 landmark elements, with classes only, with neither, wrapped in layout containers or in one form, dialogue, lists, recipes, forums and pages without an article.
+The labelled names tell what the words in class names and ids say of an element's content.
 """
 
 from __future__ import annotations
@@ -9,6 +10,38 @@ from __future__ import annotations
 _NAV = "<nav><ul><li><a>-1</a></li><li><a>-1</a></li><li><a>-2</a></li></ul></nav>"
 _FOOT = "<footer><p>-12</p><ul><li><a>-1</a></li><li><a>-2</a></li></ul></footer>"
 
+#: Names of what stands beside an article.
+SIDE_NAMES = (
+    "ad ads ad-slot ad-container advert adverts advertisement advertising adsense article-ad billboard sponsor sponsored promo promotion banner breadcrumb breadcrumbs"
+    " cookie cookies cookie-consent cookie-notice consent consent-overlay gdpr disclaimer footer site-footer page-footer header site-header page-header masthead login signin"
+    " menu main-menu nav navbar main-nav site-nav post-nav navigation post-navigation newsletter signup subscribe subscription notice notification pagination pager popup modal"
+    " overlay recommended recommendations related related-posts article-related read-next more-stories most-read trending search search-form share share-buttons post-share"
+    " social social-links sidebar article-sidebar content-sidebar right-rail side-bar skip-link toolbar topbar widget widget-area alert tags post-tags author-bio outbrain taboola"
+    " toc table-of-contents teaser-list onetrust"
+).split()
+#: Names of what readers say.
+STRONG_NAMES = "comment comments commentlist comment-list comment-thread comment-content comment-body post-comments article-comments disqus replies respond".split()
+#: Names of articles.
+MAIN_NAMES = (
+    "article article-body article-content article-text articlebody content content-body entry entry-content main main-content maincontent post post-body post-content post-text"
+    " story story-body story-content body-text text-body page-content blog-post"
+).split()
+#: Names that say nothing of their content.
+OPEN_NAMES = (
+    "container wrapper wrap row col column page site layout inner section block grid card box has-sidebar no-sidebar with-sidebar content-sidebar-wrap has-ads no-comments"
+    " content-wrapper main-wrapper page-wrapper text-center text-lg article-header entry-header post-header header-image article-footer post-title article-list search-page has-nav"
+    " with-menu figure body text list item"
+).split()
+#: Phrases that head what stands beside an article, in lower case without numbers and marks.
+CUES = frozenset(
+    "comments|comment|leave a comment|leave a reply|add a comment|post a comment|reader comments|join the discussion|join the conversation|related|related articles|related posts"
+    "|related stories|more stories|more from this author|you may also like|you might also like|recommended|recommended for you|read next|up next|most read|most popular|popular posts"
+    "|trending|trending now|advertisement|sponsored|sponsored content|newsletter|subscribe|subscribe to our newsletter|sign up|share this|share this article|follow us|tags|archives"
+    "|recent posts|recent comments|navigation|navigation menu|main menu|contents|table of contents|on this page|about the author|cookie settings|we value your privacy"
+    "|kommentare|kommentar schreiben|leserkommentare|ähnliche artikel|verwandte artikel|das könnte sie auch interessieren|meistgelesen|anzeige|inhaltsverzeichnis|mehr zum thema"
+    "|commentaires|laisser un commentaire|articles similaires|à lire aussi|sommaire|publicité|comentarios|deja un comentario|artículos relacionados|te puede interesar|publicidad".split("|")
+)
+
 PAGES = [
     # Landmark elements.
     f"{_NAV}<div class=ad>-8</div><article><h1>+9</h1><p>+60 <a>+1</a></p><p>+1</p><p>+35</p></article><footer>-14</footer>",
@@ -64,4 +97,27 @@ PAGES = [
     f"{_NAV}<form><p>-3</p><label>-1</label><label>-2</label></form>{_FOOT}",
     f"{_NAV}<div class=cookie-banner><p>-30</p></div><footer>-12</footer>",
     f"<div class=login><h2>-2</h2><p>-12</p></div>{_FOOT}",
+    # Comments, adverts, overlays, teasers and lists of contents inside and beside articles.
+    f"{_NAV}<article><h1>+6</h1><p>+48</p><p>+17</p><ul class=comment-thread><li class=comment-item><p>-21</p></li><li class=comment-item><p>-44</p></li></ul></article>{_FOOT}",
+    f"{_NAV}<article><h1>+9</h1><p>+26</p><p>+57</p></article><section><h2>Comments</h2><p>-18</p><p>-40</p><p>-3</p></section>{_FOOT}",
+    "<h1>+5</h1><p>+44</p><p>+62</p><p>+13</p><h3>Leave a comment</h3><p>-16</p><p>-35</p>",
+    "<article><h1>+7</h1><p>+30</p><h2>+2</h2><p>+51</p><h2>Comments</h2><div><h4>-2</h4><p>-27</p></div><div><h4>-1</h4><p>-60</p></div></article>",
+    f"{_NAV}<main><h1>+4</h1><p>+39</p><h2>+3</h2><p>+24</p><section><header><h3>Related articles</h3></header><p>-12</p><p>-14</p></section></main>{_FOOT}",
+    "<div class=post><h2>+6</h2><p>+47</p><div class=ad-slot><p>-11</p></div><p>+33</p><p>+20</p></div><div><h3>Recent posts</h3><ul><li><a>-5</a></li><li><a>-7</a></li></ul></div>",
+    "<div class=cookie-consent><p>-33</p><p>-14</p></div><div class=content><h1>+5</h1><p>+28</p><div class=ad>-9</div><p>+61</p><p>Advertisement</p><p>+18</p></div>",
+    "<div id=toc><h2>Contents</h2><ul><li><a>-2</a></li><li><a>-3</a></li></ul></div><h1>+4</h1><p>+58</p><h2>+2</h2><p>+40</p>",
+    f"{_NAV}<article><h1>+5</h1><div class=toc><ul><li>-3</li><li>-4</li></ul></div><h2>+3</h2><p>+66</p><h2>+2</h2><p>+29</p></article>{_FOOT}",
+    f"{_NAV}<article><h1>+5</h1><p>+43</p><p>+25</p></article><a><h3>-6</h3><p>-19</p></a><a><p>-14</p></a>{_FOOT}",
+    "<h1>+6</h1><p>+31</p><p>+54</p><p>+12</p><a><p>-17</p></a><a><p>-22</p></a><a><p>-9</p></a>",
+    "<article><h1>+5</h1><p>+36</p><p>+72</p><a><p>-18</p></a><a><p>-11</p></a></article>",
+    "<div class=row><div class=col-md-8><h1>+6</h1><p>+50</p><p>+21</p></div><div class=col-md-4><h4>-2</h4><p>-30</p><p>-15</p></div></div>",
+    "<div class=row><div class=col-md-3><ul><li><a>-1</a></li><li><a>-2</a></li></ul><p>-25</p></div><div class=col-md-9><h1>+4</h1><p>+37</p><p>+8</p></div></div>",
+    "<div class=grid><div class='large-8 columns'><h1>+7</h1><p>+52</p><p>+30</p></div><div class='large-4 columns'><h4>-3</h4><p>-45</p><p>-20</p></div></div>",
+    "<div class=row><div class=span9><p>+41</p><p>+66</p></div><div class=span3><h3>-2</h3><p>-38</p><ul><li><a>-3</a></li></ul></div></div>",
+    f"{_NAV}<div class=row><div class=col-sm-2><p>-17</p></div><div class=col-sm-8><h2>+5</h2><p>+33</p><p>+9</p></div><div class=col-sm-2><p>-26</p></div></div>{_FOOT}",
+    "<div class=row><div class=col-md-4><p>+20</p></div><div class=col-md-4><p>+31</p></div><div class=col-md-4><p>+24</p></div></div>",
+    f"{_NAV}<main><h1>+5</h1><ol><li class=comment><p>-20</p></li><li class=comment><p>-38</p></li></ol><p>+45</p><p>+33</p></main>{_FOOT}",
+    "<article><h1>+6</h1><ol><li><p>+14</p></li><li><p>+19</p><p>+8</p></li></ol><table><tr><td><p>+5</p></td><td>+9</td></tr></table><p>+30</p></article>",
+    "<div class=overlay><div><p>-28</p></div></div><h1>+5</h1><p>+46</p><p>+17</p><div class=newsletter><h3>-4</h3><p>-12</p></div>",
+    f"{_NAV}<article><h1>+7</h1><p>+39</p><p><a>+6</a></p><p>+23</p><p><a>+3</a> <a>+4</a></p><p>+15</p></article>{_FOOT}",
 ]
