@@ -6,8 +6,10 @@ notices (``unknown``) and plain text (``none``), trained on the wordings below a
 Every line of every document is classified; neighbouring lines of a paragraph that aren't plain text are one notice, whose words are classified as a whole, so a
 notice that is wrapped over lines, or stands within a longer paragraph, is one finding.
 
-Probabilities are calibrated by a temperature that is fitted on variations that training has not seen. A family whose probability is under ``sure`` becomes
-``unknown``; that limit is fitted on notices of families that training leaves out. A family is confirmed where the notice and one of the family's templates share enough word triples.
+``unknown`` is also trained on grants that are put together from their usual parts, and on sentences that put something under a licence with a made-up name.
+Probabilities are calibrated by a temperature; a text is a notice if all notices together reach the limit ``notice``, and a family whose probability is under ``sure`` becomes
+``unknown``. All three are fitted on models that leave out some families each, kin together: on variations which these have not seen, and on the notices of the families left out, which are unknown to them. A family is confirmed where the notice and one of the
+family's templates share enough word triples.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "This project is available under the terms of the MIT License.",
+        "https://opensource.org/licenses/MIT",
     ],
     "Apache-2.0": [
         "Apache License Version 2.0, January 2004",
@@ -66,6 +69,7 @@ TEMPLATES: dict[str, list[str]] = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
         "This code is released under the GNU GPL v2.",
+        "https://www.gnu.org/licenses/gpl-3.0.html",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
@@ -91,6 +95,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
         "Licensed under CC BY-NC-SA 4.0.",
+        "https://creativecommons.org/licenses/by-nc/4.0/",
+        "http://creativecommons.org/licenses/by-nc-sa/3.0/",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     ],
     "CC-BY": [
@@ -102,6 +108,8 @@ TEMPLATES: dict[str, list[str]] = {
         "SPDX-License-Identifier: CC-BY-4.0",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
         "Licensed under CC BY-SA 4.0.",
+        "https://creativecommons.org/licenses/by/4.0/",
+        "http://creativecommons.org/licenses/by-sa/3.0/",
     ],
     "Public-domain": [
         "This is free and unencumbered software released into the public domain.",
@@ -135,6 +143,9 @@ TEMPLATES: dict[str, list[str]] = {
         "The license of this data set is described in the accompanying document.",
         "Released under a custom license, see the terms of use.",
         "No part of this publication may be reproduced without the permission of the publisher.",
+        "Jede Vervielfältigung ohne Zustimmung des Herausgebers ist untersagt und darf nur auszugsweise erfolgen.",
+        "Dieses Buch darf ohne Genehmigung weder kopiert noch gespeichert oder anders vervielfältigt werden.",
+        "Queda prohibida la reproducción total o parcial de esta obra sin permiso del editor.",
         "Distributed under the Boost Software License, Version 1.0.",
         "Licensed under the Eclipse Public License.",
     ],
@@ -165,7 +176,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Le chemin de la ville passe par les champs et les bois avant la riviere.",
     ],
 }
-#: Notices of families that training never sees: from them follows how sure a finding must be to be named.
+#: Notices of families that neither training nor calibration sees, to measure on.
 LEFT_OUT = [
     "Licensed under the European Union Public Licence, version 1.2.",
     "The contents of this file are subject to the terms of the Common Development and Distribution License (the License).",
@@ -198,7 +209,61 @@ USES = [
     "Licensed under {}.", "Released under {}", "This project is licensed under {}.", "This document is available under {}", "Use of this software is governed by {}.",
     "Distributed under {}, see the file for details.", "The contents of this file are subject to the terms of {}.", "This program is published under {}", "License: {}",
     "You may use this under the terms of {}.", "This font is covered by {}.", "Dieser Text steht unter {}.", "{} licensed", "This crate is {} licensed.", "Available under {}.",
+    "Ce programme est publié sous la licence {}.", "Ce texte est mis à disposition sous {}.", "Dieses Programm wird unter der Lizenz {} verbreitet.", "Veröffentlicht unter {}.",
+    "L'application est diffusée sous licence {}.", "Sous licence {}", "Este programa se distribuye bajo la licencia {}.", "Esta biblioteca se publica bajo {}.", "Publicado bajo {}.", "{}", "You can redistribute it and/or modify it under {}.",
 ]
+#: Parts of grants by sentence; each sentence takes one choice of each part. They are of no licence in particular.
+GRANTS = [
+    (
+        "Anyone is free|Permission is granted|Permission is hereby given|Permission is hereby granted to anyone|You are free|Anyone is allowed|Everyone is permitted|You may|You are hereby granted the right|Licensee may|Users are permitted",
+        "to use|to copy and share|to use, copy and distribute|to merge, embed and modify|to publish, compile or pass on|to do what they want with|to reproduce, display and execute|to redistribute|to alter and redistribute|to use, study, modify and embed|to sell copies of",
+        "this software in any form|this software|the program|this font|the font software|the data|this document|the work|the library and its documentation|modified or unmodified copies|the code in source or object form|it freely",
+        "for any purpose|without fee|free of charge|for commercial and private use|without a written agreement|subject to the following conditions:|as long as the name is changed|as you like"
+        "|provided that this notice is kept|provided that credit is given|, including commercial applications,",
+    ),
+    (
+        "The authors|In no event shall the university|In no event will the contributors|The copyright holders|Neither the company nor its suppliers|Under no circumstances shall the owner",
+        "make no representations about the suitability of|be liable for any damages arising out of the use of|accept liability for loss caused by|disclaim all warranties with regard to",
+        "this software|this program|these files|the materials|its documentation",
+        "|, even if advised of the possibility of such damage|, whether in contract or tort|and have no obligation to provide support",
+    ),
+    (
+        "This software|The program|This package|The material|The font|The database", "is provided as-is|comes with no warranty|is distributed without any guarantee|is offered on an as is basis",
+        "without any express or implied warranty|to the extent permitted by law|and the user bears all risk|and without support",
+    ),
+    (
+        "This notice|The copyright notices|A copy of these terms|This permission notice|The above statement|The names of the authors",
+        "must be kept in|must not be removed from|shall appear in|has to be included with|may not be used to promote|may not be used for publicity or advertising of", "all copies|any source distribution|derived works|products derived from it|every redistribution",
+    ),
+    (
+        "Altered versions|Modified files|Derivative works|Products that use it|Reserved names|Changes", "must be marked as such|must not be sold by themselves|may not use the original name|must be released under the same terms"
+        "|must be plainly described|are not to be misrepresented as the original", "|unless permission is given by the author|in writing|and must stay under this license",
+    ),
+    (
+        "It|This library|This module|The script|The collection", "is free software;|is freeware:|is shareware,|is open source and", "you can redistribute it and/or modify it|you may copy it as much as you like|use it",
+        "under the same terms as the language itself|under the terms of its own license|but a donation is encouraged|at your own risk|for whatever you want",
+    ),
+    (
+        "The package|This editor|The tool|This plugin|The software|The game", "is licensed, not sold.|is donationware:|is postcardware:|is charity supported.|is published as a gift.",
+        "You can use and copy it|Do with it what you want|You bear all risk of using it|The contributors exclude all guarantees", "freely|but please make a donation|and buy the author a drink|and its conditions|for good causes only",
+    ),
+]
+#: Plain sentences in the manner of grants, put together likewise.
+PLAIN = [
+    ("Permission was granted|You are free|Anyone is allowed|The guests were permitted|You may|He had the right|Users of the pool are asked|They were free",
+     "to use|to copy|to share|to sell|to alter|to open|to leave|to study", "the kitchen|the boat|this room|the road|his letters|the old piano|the garden and its paths|apples|the picture",
+     "for any purpose|without a fee|free of charge|for private use|as long as it is clean|as they liked|under the conditions of the day|provided that it was dry|before dinner"),
+    ("The authors|The university|The company|The owner|The suppliers|The library and its staff|In no event would the crowd|Under no circumstances should a child",
+     "made no claim about|be left alone with|accept the loss of|is offering a guarantee for|are known for|took no part in|published the results of|are closed during",
+     "the study|the cause of the fire|the use of the bridge|these animals|the works of the artist|the repairs|the festival", "|without any conditions|in writing|to the public|last year|on Sundays"),
+    ("This program|The software|The material|The font|The document|The book|The source of the river|A copy of the novel", "is on the radio|was slow|is hard to read|is made of wool|was found in a drawer|is sold at the fair|lies on the desk",
+     "without any warning|and free for everyone|to the extent that it can|and the reader is lost|and without a name"),
+    ("Changes in the law|Modified engines|The name of the author|The notice on the door|Original parts|Works of that kind|Versions of the tale", "must be described|must be tested|should appear|has to be read|may not be moved|are sold|were kept",
+     "to the public|by the owner|in all copies of the book|before the race|without permission of the mayor|under the same roof|in the village"),
+    ("It|The music|This ticket|The collection|The entry", "is free;|is cheap and|is open and", "you can use it|you may take it along|you can see it", "as you like|at your own risk|, said the man about the boat|every Monday|but bring a friend"),
+]
+#: Families that models leave out together for calibration: kin would be named for one another.
+FOLDS = [("GPL", "LGPL", "AGPL"), ("CC-BY", "CC-BY-NC", "Public-domain"), ("MIT", "ISC", "BSD"), ("Apache-2.0", "MPL-2.0")]
 #: SPDX identifiers by how they begin, longest first where one begins another.
 SPDX = {
     "MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-": "BSD", "GPL-": "GPL", "LGPL-": "LGPL", "AGPL-": "AGPL", "MPL-2.0": "MPL-2.0",
@@ -209,8 +274,8 @@ _COMMENT = re.compile(r"^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|<!--|%+|\|)?[ \t]*|[
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*(.+)", re.IGNORECASE)
 DIMENSIONS = 1 << 15
 MEMO = 400_000
-#: Largest share of left-out notices that may be named as a known family.
-MISNAMED = 0.1
+#: Largest share of plain sentences that may be taken for notices.
+MISTAKEN = 0.002
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -220,7 +285,8 @@ def words_of(text: str) -> list[str]:
 
 @cache
 def _known() -> frozenset[str]:
-    return frozenset(w for name, texts in TEMPLATES.items() if name != NONE for t in texts for w in words_of(t))
+    grants = [x for parts in GRANTS for part in parts for x in part.split("|")]
+    return frozenset(w for texts in ([x for n, ts in TEMPLATES.items() if n != NONE for x in ts], grants) for t in texts for w in words_of(t))
 
 
 class _Hashes:
@@ -267,8 +333,9 @@ def features(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _strange(words: list[str], rng: np.random.Generator) -> str:
-    """A sentence of made-up words, words of plain text and up to three of a wording's: no notice."""
-    made = ["".join(rng.choice(list("abdefghilmnorstuéäñ"), int(rng.integers(1, 12)))) for _ in range(max(0, int(rng.integers(-10, 40))))]
+    """A sentence of made-up words, words of plain text and up to three of a wording's, every third a short one: no notice."""
+    size = int(rng.integers(0, 6)) if rng.random() < 0.4 else max(0, int(rng.integers(-10, 40)))
+    made = ["".join(rng.choice(list("abdefghilmnorstuéäñ"), int(rng.integers(1, 12)))) for _ in range(size)]
     plain = [w for t in TEMPLATES[NONE] for w in words_of(t)]
     extra = [*rng.choice(plain, int(rng.integers(0, len(made) + 3))), *rng.choice(words, int(rng.integers(0 if made else 1, 4)))]
     for w in extra:
@@ -305,14 +372,73 @@ def _using(name: str | None, rng: np.random.Generator) -> str:
     if name is None:
         made = " ".join("".join(rng.choice(list("abdefghilmnorstu"), int(rng.integers(3, 10)))).capitalize() for _ in range(int(rng.integers(1, 4))))
         kind = rng.choice(["License", "Public License", "Licence", "Public Licence", "Open Source License", "Documentation License", "Source License", "agreement"])
-        name = f"the {made} {kind}" + str(rng.choice(["", "", ", version 1", " version 2.0", " 1.1"]))
-    return USES[int(rng.integers(len(USES)))].format(name)
+        name = f"the {made} {kind}" + str(rng.choice(["", "", ", version 1", " version 2.0", " 1.1", " version 2"]))
+    text = USES[int(rng.integers(len(USES)))].format(name)
+    return text.upper() if rng.random() < 0.15 else text
+
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _told(p: np.ndarray, none: int, limit: float) -> np.ndarray:
+    """The class of each row: ``none`` where all notices together are less likely than ``limit``, else the likeliest notice."""
+    rest = p.copy()
+    rest[:, none] = -1
+    return np.where(1 - p[:, none] < limit, none, rest.argmax(axis=1))
+
+
+def _grant(rng: np.random.Generator, sentences: list[tuple[str, ...]] = GRANTS) -> str:
+    """One to three sentences of a grant, at times without where they begin and end, as a wrapped line is."""
+    said = []
+    for k in rng.permutation(len(sentences))[: int(rng.integers(1, 4))]:
+        said.append(" ".join(str(rng.choice(part.split("|"))) for part in sentences[k]).strip() + ".")
+    words = " ".join(said).replace(" ,", ",").split()
+    if len(words) > 9 and rng.random() < 0.6:
+        size = int(rng.integers(6, min(16, len(words))))
+        a = int(rng.integers(0, len(words) - size + 1))
+        words = words[a : a + size]
+    text = " ".join(words)
+    return text.upper() if rng.random() < 0.2 else text
 
 
 class Classifier:
-    def __init__(self, seed: int = 11, epochs: int = 10, batch: int = 32, templates: dict[str, list[str]] = TEMPLATES):
+    def __init__(self, seed: int = 11, epochs: int = 6, templates: dict[str, list[str]] = TEMPLATES):
         self.classes = sorted(templates)
         rng = np.random.default_rng(seed)
+        rows, held = self._examples(templates, rng)
+        unknown = self.classes.index(UNKNOWN)
+        # Calibration: what models without some families say of variations that they have not seen, and of those families, which are unknown to them.
+        said, marks, new = [], [], []
+        for fold in FOLDS:
+            out = [k for k, name in enumerate(self.classes) if name in fold]
+            self.weights = self._train([r for r in rows if r[1] not in out], rng, epochs // 3)
+            at, starts = features([words_of(t) for t, _ in held])
+            said.append(self._scores(at, starts, np.diff(np.r_[starts, len(at)])))
+            left = np.isin([k for _, k in held], out)
+            marks.append(np.where(left, unknown, [k for _, k in held]))
+            new.append(left)
+        z, marks, new = np.concatenate(said), np.concatenate(marks), np.concatenate(new)
+        loss = lambda t: -np.log(_normal(z / t)[np.arange(len(marks)), marks] + 1e-12).mean()
+        self.temperature = min(np.geomspace(0.1, 10, 41).tolist(), key=loss)
+        plain = _normal(z / self.temperature)[marks == self.classes.index(NONE), self.classes.index(NONE)]
+        self.notice = next((t for t in np.arange(0.5, 0.96, 0.025).tolist() if (1 - plain >= t).mean() <= MISTAKEN), 0.95)
+        p, best = _normal(z / self.temperature).max(axis=1), z.argmax(axis=1)
+        named = ~np.isin(best, (unknown, self.classes.index(NONE)))
+        right, wrong = named & (best == marks) & ~new, named & new
+        # As many as can be are named rightly, less those of families left out that are misnamed, by their shares.
+        gain = lambda s: (right & (p >= s)).sum() / max(1, right.sum()) - (wrong & (p >= s)).sum() / max(1, new.sum())
+        self.sure = max(np.arange(0.1, 0.96, 0.025).tolist(), key=gain)
+        self.weights = self._train(rows, rng, epochs)
+        self.shingles = {
+            name: [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in map(words_of, texts)]
+            for name, texts in templates.items()
+            if name not in (NONE, UNKNOWN)
+        }
+
+    def _examples(self, templates: dict[str, list[str]], rng: np.random.Generator) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+        """(text, class) to train on, and to calibrate with."""
         rows, held = [], []
         for k, name in enumerate(self.classes):
             for text in templates[name]:
@@ -321,23 +447,31 @@ class Classifier:
                 held += made[-5:]
         for k, name in enumerate(self.classes):
             names = NAMES.get(name, [None] if name == UNKNOWN else [])
-            made = [(_using(n, rng), k) for n in names for _ in range(12 if n else 400)]
+            made = [(_using(n, rng), k) for n in names for _ in range(32 if n else 700)]
+            if name == UNKNOWN:
+                made += [(_grant(rng), k) for _ in range(2600)]
             rows += made[::2] + made[1::4]
             held += made[3::4]
         every, none = sorted(_known()), self.classes.index(NONE)
-        rows += [(_strange(every, rng), none) for _ in range(4000)]
-        held += [(_strange(every, rng), none) for _ in range(300)]
-        x = [words_of(t) for t, _ in rows]
+        rows += [(_strange(every, rng), none) for _ in range(8000)] + [(_grant(rng, PLAIN), none) for _ in range(600)]
+        held += [(_strange(every, rng), none) for _ in range(1000)] + [(_grant(rng, PLAIN), none) for _ in range(200)]
+        return rows, held
+
+    def _train(self, rows: list[tuple[str, int]], rng: np.random.Generator, epochs: int, batch: int = 64) -> np.ndarray:
+        """Weights by adaptive gradient steps over batches; features are made once."""
         y = np.array([k for _, k in rows])
+        every, begin = features([words_of(t) for t, _ in rows])
+        size = np.diff(np.r_[begin, len(every)])
         self.weights = np.zeros((DIMENSIONS + 9, len(self.classes)))
         squares = np.full_like(self.weights, 1e-6)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for i in range(0, len(rows), batch):
                 own = order[i : i + batch]
-                at, starts = features([x[j] for j in own])
-                counts = np.diff(np.r_[starts, len(at)])
-                g = self._softmax(at, starts, counts, 1.0)
+                counts = size[own]
+                starts = np.cumsum(counts) - counts
+                at = every[np.repeat(begin[own] - starts, counts) + np.arange(counts.sum())]
+                g = _normal(self._scores(at, starts, counts))
                 g[np.arange(len(own)), y[own]] -= 1
                 steps = np.repeat(g / np.sqrt(counts)[:, None], counts, axis=0)
                 sort = np.argsort(at, kind="stable")
@@ -345,35 +479,22 @@ class Classifier:
                 total, own_rows = np.add.reduceat(steps[sort], first, axis=0), at[sort][first]
                 squares[own_rows] += total * total
                 self.weights[own_rows] -= 0.15 * total / np.sqrt(squares[own_rows])
-        held_words, marks = [words_of(t) for t, _ in held], np.array([k for _, k in held])
-        self.temperature = 1.0
-        loss = lambda t: -np.log(self.probabilities(held_words, t)[np.arange(len(marks)), marks] + 1e-12).sum()
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
-        p = self.probabilities([words_of(t) for t in LEFT_OUT])
-        named = ~np.isin(np.array(self.classes)[p.argmax(axis=1)], (NONE, UNKNOWN))
-        self.sure = next((s for s in np.arange(0.5, 0.96, 0.05).tolist() if (named & (p.max(axis=1) >= s)).mean() <= MISNAMED), 0.95)
-        self.shingles = {
-            name: [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in map(words_of, texts)]
-            for name, texts in templates.items()
-            if name not in (NONE, UNKNOWN)
-        }
+        return self.weights
 
-    def _softmax(self, at: np.ndarray, starts: np.ndarray, counts: np.ndarray, temperature: float) -> np.ndarray:
-        z = np.add.reduceat(self.weights[at], starts, axis=0) / np.sqrt(counts)[:, None] / temperature
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+    def _scores(self, at: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.weights[at], starts, axis=0) / np.sqrt(counts)[:, None]
 
     def probabilities(self, lines: list[list[str]], temperature: float | None = None) -> np.ndarray:
         if not lines:
             return np.empty((0, len(self.classes)))
         at, starts = features(lines)
-        return self._softmax(at, starts, np.diff(np.r_[starts, len(at)]), temperature or self.temperature)
+        return _normal(self._scores(at, starts, np.diff(np.r_[starts, len(at)])) / (temperature or self.temperature))
 
     def classify(self, notice: str) -> tuple[str, float, float]:
         """(family, probability, template similarity); the similarity is to the family that was most likely, 0 for none."""
         words = words_of(notice)
         p = self.probabilities([words])[0]
-        k = int(p.argmax())
+        k = int(_told(p[None], self.classes.index(NONE), self.notice)[0])
         family, sure = self.classes[k], float(p[k])
         if family == NONE:
             return NONE, sure, 0.0
@@ -390,8 +511,9 @@ class Classifier:
         best, odds = np.full(len(words), none), np.zeros(len(words))
         for i in range(0, len(full), 4096):
             p = self.probabilities([words[j] for j in full[i : i + 4096]])
-            best[full[i : i + 4096]] = p.argmax(axis=1)
-            odds[full[i : i + 4096]] = p.max(axis=1)
+            told = _told(p, none, self.notice)
+            best[full[i : i + 4096]] = told
+            odds[full[i : i + 4096]] = p[np.arange(len(p)), told]
         out, at = [], 0
         for own in lines:
             found: list[tuple] = []
@@ -437,7 +559,8 @@ def scan(documents: DataFrame, confirm: float = 0.5) -> DataFrame:
     """Per notice found: doc_id, paragraph (number of its first line from 0), lines, family, probability, similarity, confirmed, notice (without comment marks).
 
     family is ``unknown`` for notices of no known family; an SPDX expression gives a row for each family in it. confirmed: the notice shares at least
-    ``confirm`` of the word triples of the shorter of itself and a template of the family; a notice of fewer than three words has none. Null and empty texts have none. Rows may repeat
+    ``confirm`` of the word triples of the shorter of itself and a template of the family; a notice of fewer than three words has none.
+    Of families that are equally likely the first by name counts. A notice of several paragraphs is a finding for each of them. Texts of any length are read whole. Null and empty texts have none. Rows may repeat
     and lack an id, and equal texts have equal findings; other columns are not looked at. An empty table gives an empty result.
     """
     shared = documents.sparkSession.sparkContext.broadcast(classifier())  # DIMENSIONS rows of weights, whatever the input

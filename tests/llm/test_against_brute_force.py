@@ -166,6 +166,54 @@ def test_licence_notices_in_new_wordings():
     assert sum(any(x[2] not in ("unknown",) for x in model.findings([t])[0]) for t in licenses.LEFT_OUT) <= 0.2 * len(licenses.LEFT_OUT)
 
 
+#: Grants and notices of families that training doesn't name, and of known ones in other languages or forms. Public wordings.
+GRANTS = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute,\nexecute, and transmit the Software",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph appear in all copies.",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify, redistribute, and sell modified and unmodified copies of the Font Software",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Vim is Charityware. You can use and copy it as much as you like, but you are encouraged to make a donation for needy children in Uganda.",
+    "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",
+    "This library is free software; you may redistribute it and/or modify it under the same terms as Perl itself.",
+    "https://creativecommons.org/licenses/by/4.0/",
+    "Ce logiciel est distribué sous licence MIT.",
+    "Este software se publica bajo la licencia Apache 2.0.",
+    "The software is licensed as-is. You bear the risk of using it. The contributors give no express warranties, guarantees or conditions.",
+    "The Software shall be used for Good, not Evil.",
+    "As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return.",
+    "Except as contained in this notice, the name of a copyright holder shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose.",
+    "This database is made available under the Open Database License.",
+    "Dieses Werk darf nicht ohne schriftliche Genehmigung vervielfältigt werden.",
+    "You may redistribute it and/or modify it under either the terms of the 2-clause BSDL, or the conditions below",
+]
+#: Plain text in words that grants use.
+LIKE_GRANTS = [
+    "You may use the kitchen for any purpose as long as it is kept clean.", "The authors of the study make no claim about the cause of the loss.", "In no event did the crowd leave before the end of the game.",
+    "This program on the radio was free of charge for everyone.", "The company is offering a guarantee without any conditions.", "Permission to enter the building was given by the owner.",
+    "The font on the page is small, and the document is hard to read.", "Modified engines must be tested by the owner before the race.", "The name of the author appears on all copies of the novel.",
+    "See the map for details.", "Veröffentlicht unter großem Beifall erschien das Buch im Mai.", "Publicado bajo el sol de agosto.",
+]
+
+
+def test_licence_notices_of_families_that_training_leaves_out():
+    model = licenses.classifier()
+    wanted = GRANTS + licenses.LEFT_OUT
+    found = sum(bool(model.findings([t])[0]) for t in wanted)
+    assert found >= 0.8 * len(wanted)
+    assert sum(bool(model.findings([t])[0]) for t in LIKE_GRANTS) <= 1
+    assert 0.1 < model.temperature < 10 and model.notice < 0.95 and 0.1 < model.sure < 0.95
+
+
+def test_licence_scan_of_odd_rows(spark):
+    notice = "Released under the MIT License."
+    rows = [(None, notice, 1, "x"), (1, None, None, None), (2, "", 3, "y"), (3, notice, 4, "z"), (3, notice, 4, "z"), (4, "word " * 200_000 + "\n" + notice, 5, "w")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, lines long, family string")).collect()
+    assert sorted((r["doc_id"] or 0, r["family"], r["paragraph"]) for r in got) == [(0, "MIT", 0), (3, "MIT", 0), (3, "MIT", 0), (4, "MIT", 1)]
+
+
 def test_licence_scan_finds_the_lines_that_name_a_licence(spark, texts):
     rule = re.compile(r"licen[sc]e|all rights reserved", re.IGNORECASE)
     want = {(d, n) for d, t in texts.items() for n, line in enumerate(t.split("\n")) if rule.search(line)}
