@@ -279,6 +279,32 @@ def shared_ends(trips: DataFrame, nodes: DataFrame, membership: DataFrame, radiu
     return alone.join(best, "query_id", "left").select("query_id", F.coalesce("s.src", "a.node").alias("src"), F.coalesce("s.dst", "b.node").alias("dst"), F.col("s.d").alias("dist_m"))
 
 
+def shared_stops(stops: DataFrame, nodes: DataFrame, membership: DataFrame, radius_m: float = 2500.0) -> DataFrame:
+    """(route_id, seq, node, component, dist_m): where the stops (route_id, seq, lon, lat) of each route, as many as there are, join the network, so that every leg has a path.
+
+    Of the components (node, component) that have nodes within the radius of all stops of a route, that with the least way to them, then the one with most nodes, then the
+    least one; in it each stop takes its nearest node. Without such a component every stop takes the node nearest to it, null where there is none. A stop with
+    a null coordinate is near to none. Of stops with one number all count, and repeated ones are one. Other columns are not looked at; an empty table gives an empty result.
+    """
+    from .spatial import within
+
+    s = durable(stops.select("route_id", "seq", "lon", "lat").distinct(), "stops")
+    n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat")).join(membership.select("node", "component"), "node")
+    sizes = membership.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    place = ["route_id", "seq", "lon", "lat"]
+    near = within(s.where("lon is not null and lat is not null"), n, radius_m)
+    near = durable(near.groupBy(*place, "component").agg(F.min(F.struct("dist_m", "node")).alias("best")), "near")
+    ways = near.groupBy("route_id", "component").agg(F.count(F.lit(1)).alias("met"), F.sum("best.dist_m").alias("way"))
+    every = s.groupBy("route_id").agg(F.count(F.lit(1)).alias("met"))
+    full = ways.join(every, ["route_id", "met"]).join(sizes, "component")
+    chosen = full.groupBy("route_id").agg(F.min(F.struct("way", (-F.col("size")).alias("size"), "component")).alias("c")).select("route_id", F.col("c.component").alias("chosen"))
+    # A stop's own component if it is the chosen one, else the nearest: one minimum over both.
+    told = near.join(chosen, "route_id", "left").where("chosen is null or chosen = component")
+    told = told.groupBy(*place).agg(F.min(F.struct("best.dist_m", "best.node", "component")).alias("t"))
+    same = [s[c].eqNullSafe(told[c]) for c in place]
+    return s.join(told, same[0] & same[1] & same[2] & same[3], "left").select(s["route_id"], s["seq"], "t.node", "t.component", "t.dist_m")
+
+
 def multi_stop(edges: DataFrame, stops: DataFrame, profile: str | dict = "adult") -> DataFrame:
     """(route_id, leg, pos, node, cost) through each route's stops (route_id, seq, node) in order; a route with a leg that has no path has no rows."""
     w = Window.partitionBy("route_id").orderBy("seq")

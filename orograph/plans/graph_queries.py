@@ -120,6 +120,25 @@ def shared_ends(spark, sf_dir):
     return rounded_columns(graph.shared_ends(trips, load(spark, sf_dir, "nodes"), islands, 600.0), 3)
 
 
+_STOPS = """SELECT id AS route_id, k AS seq, 27.1e0+((id*7+k*11)%31)*0.001e0+0.00013e0 AS lon, 38.4e0+((id*13+k*5)%29)*0.001e0+0.00021e0 AS lat FROM (SELECT id, 0 AS k FROM circles UNION ALL SELECT id, 1 FROM circles
+UNION ALL SELECT id, 2 FROM circles UNION ALL SELECT id, 3 FROM circles)"""
+
+
+@query(f"""WITH RECURSIVE {_edge_sql("wheelchair")}, b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+c(node, comp) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(c.comp) FROM c JOIN b ON b.u=c.node JOIN recurring.c AS o ON o.node=b.v WHERE c.comp<o.comp GROUP BY b.v),
+t AS MATERIALIZED ({_STOPS}), m AS MATERIALIZED (SELECT c.node, c.comp, n.lon AS nlon, n.lat AS nlat FROM c JOIN nodes n ON n.id=c.node), z AS (SELECT comp, count(*) AS size FROM c GROUP BY comp),
+near AS MATERIALIZED (SELECT route_id, seq, comp, min(d) AS d, arg_min(node,(d,node)) AS node FROM (SELECT route_id, seq, comp, node, {hav("lon", "lat", "nlon", "nlat")} AS d FROM t JOIN m ON abs(nlon-lon)<0.01e0 AND abs(nlat-lat)<0.008e0) q WHERE d<=600 GROUP BY ALL),
+w AS (SELECT route_id, comp, sum(d) AS way, count(*) AS met FROM near GROUP BY ALL),
+k AS (SELECT route_id, arg_min(comp,(way,-size,comp)) AS chosen FROM w JOIN z USING (comp) WHERE met=4 GROUP BY route_id),
+g AS (SELECT route_id, seq, arg_min(node,(d,node)) AS node, arg_min(comp,(d,node)) AS component, min(d) AS d FROM near LEFT JOIN k USING (route_id) WHERE chosen IS NULL OR chosen=comp GROUP BY ALL)
+SELECT t.route_id, t.seq, g.node, g.component, {r("g.d", "dist_m", 3)} FROM t LEFT JOIN g ON g.route_id=t.route_id AND g.seq=t.seq""", "nodes", "segments", "circles")
+def shared_stops(spark, sf_dir):
+    """Four stops a route, on one island of what a wheelchair can pass."""
+    islands = graph.components(graph.weighted(_edges(spark, sf_dir), "wheelchair").select("u", "v"))
+    stops = spark.sql(_STOPS.replace("FROM circles", "FROM {circles}"), circles=load(spark, sf_dir, "circles"))
+    return rounded_columns(graph.shared_stops(stops, load(spark, sf_dir, "nodes"), islands, 600.0), 3)
+
+
 def _sssp(profile: str, weight: str, limit: float) -> str:
     return f"""WITH RECURSIVE {_ZN}, {_edge_sql(profile)},
 d(src, node, c) USING KEY (src, node) AS (SELECT node, node, 0e0 FROM zn UNION SELECT d.src, e.v, min(d.c+e.{weight}) FROM d JOIN e ON e.u=d.node LEFT JOIN recurring.d AS o ON o.src=d.src AND o.node=e.v

@@ -141,6 +141,19 @@ def test_ends_without_a_shared_component_go_to_the_nearest_node(spark):
     assert graph.shared_ends(trips.where(F.lit(False)), nodes, member).count() == 0
 
 
+def test_all_stops_of_a_route_join_one_component_where_they_can(spark):
+    nodes = spark.createDataFrame([(1, 27.10, 38.40), (2, 27.11, 38.40), (4, 27.12, 38.40), (3, 27.1002, 38.40), (5, 27.1102, 38.40)], "id long, lon double, lat double")
+    member = spark.createDataFrame([(1, 1), (2, 1), (4, 1), (3, 3), (5, 3)], "node long, component long")
+    three = [(27.1002, 38.4), (27.1102, 38.4), (27.12, 38.4)]
+    rows = [(1, i, *p) for i, p in enumerate(three)] + [(2, i, *p) for i, p in enumerate(three[:2])]
+    rows += [(3, 0, 27.1002, 38.4), (3, 1, 28.0, 38.4), (4, 0, 27.12, 38.4), (4, 1, None, 38.4), (2, 0, *three[0]), (None, 0, 27.12, 38.4)]
+    stops = spark.createDataFrame([(*x, "n") for x in rows], "route_id long, seq int, lon double, lat double, node string")
+    got = sorted(((x["route_id"] or 0, x["seq"], x["node"], x["component"]) for x in graph.shared_stops(stops, nodes, member, 300.0).collect()), key=repr)
+    # The third stop is near to the first island only, so the others go there too; two stops stay where they are nearest, and none is shared by the third and fourth routes.
+    assert got == sorted([(1, 0, 1, 1), (1, 1, 2, 1), (1, 2, 4, 1), (2, 0, 3, 3), (2, 1, 5, 3), (3, 0, 3, 3), (3, 1, None, None), (4, 0, 4, 1), (4, 1, None, None), (0, 0, 4, 1)], key=repr)
+    assert graph.shared_stops(stops.limit(0), nodes, member).count() == 0
+
+
 def test_bands_become_polygons_the_widest_first_and_lines_have_none(spark):
     square = [(27.1, 38.4), (27.11, 38.4), (27.11, 38.41), (27.1, 38.41)]
     rows = [(1, 5.0, 2, 0.0, square[:2]), (1, 10.0, 9, 96.714, square)]
