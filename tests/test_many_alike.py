@@ -21,3 +21,14 @@ def test_weights_of_decisions_need_no_join(spark):
     for r in got.collect():
         assert (r["weight"], r["lambda_max"]) == pytest.approx((w[r["i"] - 1], (a @ w / w).mean()))
         assert r["is_consistent"] and r["consistency_ratio"] == pytest.approx(((a @ w / w).mean() - 3) / 2 / 0.58)
+
+
+def test_landing_sites_and_obstacles_at_one_place_each(spark):
+    """800 million pairs of rows, one of places."""
+    sites = spark.range(20_000).select(F.col("id").alias("site_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("z"))
+    o = spark.range(40_000).select(F.col("id").alias("obstacle_id"), F.lit(0.0).alias("ox"), F.lit(100.0).alias("oy"), (30.0 + F.col("id") % 2).alias("oz"))
+    # One obstacle stands at two places, and one has no number.
+    o = o.union(spark.createDataFrame([(0, 100.0, 0.0, 90.0), (None, 0.0, 100.0, 60.0)], "obstacle_id long, ox double, oy double, oz double"))
+    got = planning.landing_zones(sites, o)
+    assert got.count() == 20_000
+    assert got.drop("site_id").distinct().collect() == [(90.0 - 10.0 - 70.0 / 8, 40_000, 6, False)]
