@@ -32,3 +32,24 @@ def test_landing_sites_and_obstacles_at_one_place_each(spark):
     got = planning.landing_zones(sites, o)
     assert got.count() == 20_000
     assert got.drop("site_id").distinct().collect() == [(90.0 - 10.0 - 70.0 / 8, 40_000, 6, False)]
+
+
+def test_tours_of_many_stops_at_few_places(spark):
+    """As worked out stop by stop, with stops that share places; and 60,000 stops at 50 places are ordered as soon."""
+    stops = [(s, 27.1 + s * 7 % 11 * 0.001, 38.4 + s * 13 % 11 * 0.0013) for s in range(60)]
+    df = spark.createDataFrame([(1, *s) for s in stops], "tour_id long, seq long, lon double, lat double")
+    lon, lat = (np.radians([s[c] for s in stops]) for c in (1, 2))
+    a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    d = 2 * 6371008.8 * np.arcsin(np.sqrt(a))
+    order, rest, n = [0], set(range(1, 60)), 60
+    while rest:
+        order.append(min(rest, key=lambda k: (d[order[-1], k], k)))
+        rest.remove(order[-1])
+    end = lambda i, k: d[i, order[k + 1]] if k + 1 < n else 0
+    while gain := next(((i, k) for i in range(1, n - 1) for k in range(i + 1, n) if d[order[i - 1], order[i]] + end(order[k], k) - d[order[i - 1], order[k]] - end(order[i], k) > 0.01), None):
+        order[gain[0] : gain[1] + 1] = order[gain[0] : gain[1] + 1][::-1]
+    got = planning.tour_order(df).collect()
+    assert [r["seq"] for r in sorted(got, key=lambda r: r["position"])] == order
+    many = spark.range(60_000).select(F.lit(1).cast("long").alias("tour_id"), F.col("id").alias("seq"), (27.1 + F.col("id") % 50 * 0.001).alias("lon"), F.lit(38.4).alias("lat"))
+    got = planning.tour_order(many)
+    assert got.agg(F.count_distinct("position"), F.max("position")).first() == (60_000, 59_999)
