@@ -53,3 +53,12 @@ def test_tours_of_many_stops_at_few_places(spark):
     many = spark.range(60_000).select(F.lit(1).cast("long").alias("tour_id"), F.col("id").alias("seq"), (27.1 + F.col("id") % 50 * 0.001).alias("lon"), F.lit(38.4).alias("lat"))
     got = planning.tour_order(many)
     assert got.agg(F.count_distinct("position"), F.max("position")).first() == (60_000, 59_999)
+
+
+def test_evacuations_past_any_number_of_musters_and_hazards(spark):
+    o = spark.createDataFrame([(1, 0.0, 0.0, 10.0)], "origin_id long, x double, y double, z double")
+    m = spark.range(2100).select((F.col("id") + 1).alias("muster_id"), F.when(F.col("id") % 2 == 0, 300.0).otherwise(-400.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("z"))
+    h = spark.range(2000).select(F.lit(150.0).alias("hx"), F.lit(0.0).alias("hy"), (F.col("id") % 60).cast("double").alias("radius"))
+    (r,) = planning.evacuate(o, m, h).collect()
+    # Samples of the way to the first muster are at 0, 100, 200 and 300 m, 50 m from the middle of a hazard of 59 m.
+    assert (r["muster_id"], r["distance_m"], r["clearance_m"]) == (2, 400.0, 150.0 - 59.0)
