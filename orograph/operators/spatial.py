@@ -148,19 +148,20 @@ def inverse_distance(targets: DataFrame, known: DataFrame, power: float = 2.0, r
     """(id, value): heights at ``targets`` (id, x, y) from all ``known`` (px, py, pz) by inverse distance.
 
     A known point at the place gives its value; without one in the radius the nearest does. All known points count for each target, so
-    it pairs both sides: known points are a set of stations, checked to be at most a million.
+    it pairs both sides, but only their different places.
     """
-    if known.count() > 1_000_000:
-        raise ValueError("too many stations for inverse distances over all of them; give a raster instead")
-    j = targets.join(F.broadcast(known))
+    k = known.groupBy("px", "py").agg(F.count("pz").alias("n"), F.sum("pz").alias("sum"), F.min("pz").alias("pz"))
+    # The number is given so that few bytes, which stand for many pairs, stay many tasks.
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = targets.select("x", "y").repartition(tasks, "x", "y").distinct().join(k)
     # Not hypot: of stations at equal distances, sums of squares tell none apart by rounding.
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
     j = j.withColumn("d", d).withColumn("w", F.when(F.col("d") >= epsilon, F.pow(at_least(F.col("d"), epsilon), F.lit(-power))))
     if radius is not None:
         j = j.withColumn("w", F.when(F.col("d") <= radius, F.col("w")))
-    g = j.groupBy("id").agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("pz")).alias("wz"), F.min(F.struct("d", "px", "py", "pz")).alias("n"),
-    )
+    at = j.groupBy("x", "y").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum(F.col("w") * F.col("sum")).alias("wz"), F.min(F.struct("d", "px", "py", "pz")).alias("n"))
+    at = at.withColumnsRenamed({"x": "_x", "y": "_y"})
+    g = targets.join(at, F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y"))).groupBy("id").agg(F.sum("w").alias("w"), F.sum("wz").alias("wz"), F.min("n").alias("n"))
     value = F.when(F.col("n.d") < epsilon, F.col("n.pz")).when(F.coalesce(F.col("w"), F.lit(0.0)) <= 0, F.col("n.pz")).otherwise(F.col("wz") / F.when(F.col("w") > 0, F.col("w")).otherwise(1.0))
     return g.select("id", value.alias("value"))
 

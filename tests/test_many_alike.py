@@ -62,3 +62,12 @@ def test_evacuations_past_any_number_of_musters_and_hazards(spark):
     (r,) = planning.evacuate(o, m, h).collect()
     # Samples of the way to the first muster are at 0, 100, 200 and 300 m, 50 m from the middle of a hazard of 59 m.
     assert (r["muster_id"], r["distance_m"], r["clearance_m"]) == (2, 400.0, 150.0 - 59.0)
+
+
+def test_inverse_distances_from_any_number_of_stations(spark):
+    """A million stations and more are taken, at the few places where they stand."""
+    known = spark.range(1_000_001).select((F.col("id") % 2).cast("double").alias("px"), F.lit(0.0).alias("py"), (F.col("id") % 2 * 10).cast("double").alias("pz"))
+    targets = spark.createDataFrame([(k, 0.5, 0.0) for k in range(300)] + [(1000, 1.0, 0.0)], "id long, x double, y double")
+    got = {r["id"]: r["value"] for r in spatial.inverse_distance(targets, known).collect()}
+    assert len(got) == 301 and got[1000] == 10.0
+    assert got[7] == pytest.approx(10.0 * 500_000 / 1_000_001)
