@@ -71,3 +71,16 @@ def test_inverse_distances_from_any_number_of_stations(spark):
     got = {r["id"]: r["value"] for r in spatial.inverse_distance(targets, known).collect()}
     assert len(got) == 301 and got[1000] == 10.0
     assert got[7] == pytest.approx(10.0 * 500_000 / 1_000_001)
+
+
+def test_obstacles_near_two_points_of_a_route_count_once(spark):
+    points = [(1, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 100.0, 200.0))] + [(2, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 10.0, 10.0, 300.0))] + [(3, 0, 0.0, 500.0, 0.0), (3, 1, 50.0, 500.0, 0.0)]
+    kinds = [(k, 5.0, 5.0, 4.0 if k % 2 else 5.0, 30.0 + k % 20, k % 3 == 0) for k in range(2000)] + [(1, 100.0, 0.0, 4.0, 31.0, False)]
+    got = planning.truck_clearance(
+        spark.createDataFrame(points, "route_id long, seq long, x double, y double, z double"),
+        spark.createDataFrame(kinds, "obstacle_id long, ox double, oy double, max_height double, max_tons double, no_hazmat boolean"), hazmat=True,
+    )
+    want = (1000, 1000, 667)
+    got = {r["route_id"]: (r["height_violations"], r["weight_violations"], r["hazmat_violations"], r["is_feasible"]) for r in got.collect()}
+    # The obstacle at two places is near two points of the first route.
+    assert got == {1: (*want, False), 2: (*want, False), 3: (0, 0, 0, True)}
