@@ -84,3 +84,12 @@ def test_obstacles_near_two_points_of_a_route_count_once(spark):
     got = {r["route_id"]: (r["height_violations"], r["weight_violations"], r["hazmat_violations"], r["is_feasible"]) for r in got.collect()}
     # The obstacle at two places is near two points of the first route.
     assert got == {1: (*want, False), 2: (*want, False), 3: (0, 0, 0, True)}
+
+
+def test_flights_over_one_line_and_buildings_of_one_box(spark):
+    """600 million pairs of samples and buildings, six of lines and boxes."""
+    f = spark.range(20_000).select(F.col("id").alias("flight_id"), *[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "z0", "x1", "y1", "z1"), (0.0, 0.0, 5.0, 60.0, 0.0, 5.0), strict=True)])
+    b = spark.range(10_000).select(F.lit(-50.0).alias("bx0"), F.lit(-50.0).alias("by0"), F.lit(90.0).alias("bx1"), F.lit(90.0).alias("by1"), (F.col("id") % 41).cast("double").alias("height"))
+    got = planning.drone_corridor(f, b)
+    assert got.count() == 20_000
+    assert got.select("distance_m", "clearance_m").distinct().collect() == [(60.0 + 60.0 + 60.0, 20.0)]
