@@ -120,10 +120,11 @@ def near_segments(points: DataFrame, segments: DataFrame, radius_m: float) -> Da
 def corridor_distance(points: DataFrame, segments: DataFrame, buffer_m: float, key: str = "id") -> DataFrame:
     """(key, dist_m, route_z): nearest of the routes' segments within the buffer, and the route's height at the nearest place.
 
-    Of equally near segments the first by (route_id, seq) wins.
+    Of equally near segments the first by (route_id, seq) wins. Points at one place are looked up once.
     """
     size = max(1e-3, 2 * buffer_m / geo.LAT_M)
-    left = with_cell(points, F.col("lon"), F.col("lat"), size)
+    places = points.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
+    left = with_cell(places.select("*", F.col("_lon").alias("lon"), F.col("_lat").alias("lat")), F.col("lon"), F.col("lat"), size)
     right = cells_of_box(segments, F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), buffer_m, size)
     j = left.join(right.withColumn("lon2", beside(F.col("lon2"), F.col("lon1"))), ["_cx", "_cy"])
     j = j.withColumn("lon", F.col("lon") + F.col("_turn"))
@@ -133,7 +134,8 @@ def corridor_distance(points: DataFrame, segments: DataFrame, buffer_m: float, k
     ax, ay = (F.col("lon1") - F.col("lon")) * k, (F.col("lat1") - F.col("lat")) * geo.LAT_M
     bx, by = (F.col("lon2") - F.col("lon")) * k, (F.col("lat2") - F.col("lat")) * geo.LAT_M
     z = F.col("z1") + geo.fraction_on_segment(zero, zero, ax, ay, bx, by) * (F.col("z2") - F.col("z1"))
-    best = j.groupBy(key).agg(F.min(F.struct("d", "route_id", "seq", z.alias("z"))).alias("b"))
+    best = j.groupBy("_lon", "_lat").agg(F.min(F.struct("d", "route_id", "seq", z.alias("z"))).alias("b"))
+    best = points.select(key, "lon", "lat").join(best, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))).groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col("b.d").alias("dist_m"), F.col("b.z").alias("route_z"))
 
 
