@@ -263,14 +263,14 @@ def shared_ends(trips: DataFrame, nodes: DataFrame, membership: DataFrame, radiu
     Of the components (node, component) that have nodes within the radius of both ends, that with the least way to them, then the one with most nodes;
     ``dist_m`` is that way. Without such a component both ends go to the node nearest to each, null where there is none, and ``dist_m`` is null.
     """
-    from .spatial import within
-
     n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat")).join(membership.select("node", "component"), "node")
     sizes = membership.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
     def ends(lon: str, lat: str, name: str) -> DataFrame:
-        near = within(trips.select("query_id", F.col(lon).alias("lon"), F.col(lat).alias("lat")), n, radius_m)
-        return durable(near.groupBy("query_id", "component").agg(F.min(F.struct("dist_m", "node")).alias(name)), name)
+        place = trips.select("query_id", F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+        near = _near_components(place, n, radius_m, name)
+        near = place.join(near, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")))
+        return durable(near.groupBy("query_id", "component").agg(F.min("best").alias(name)), name)
 
     a, b = ends("olon", "olat", "a"), ends("dlon", "dlat", "b")
     both = a.join(b, ["query_id", "component"]).join(sizes, "component")
@@ -372,3 +372,12 @@ def network_evacuation(edges: DataFrame, nodes: DataFrame, origins: DataFrame, m
     t = hop.groupBy("query_id").agg((F.sum("seconds") / 60.0).alias("minutes")).join(r, "query_id", "left").fillna({"risk": 0.0, "clearance_m": 9999.0})
     best = t.groupBy("query_id.origin_id").agg(F.min(F.struct((F.col("minutes") + F.col("risk") / 60.0).alias("score"), F.col("query_id.muster_id").alias("muster_id"), "minutes", "risk", "clearance_m")).alias("b"))
     return best.select("origin_id", "b.muster_id", "b.minutes", "b.risk", "b.clearance_m")
+
+
+def _near_components(places: DataFrame, nodes: DataFrame, radius_m: float, name: str) -> DataFrame:
+    """(_lon, _lat, component, best): the nearest node (dist_m, node) of each component within the radius of each different place (lon, lat)."""
+    from .spatial import within
+
+    near = within(places.select("lon", "lat").where("lon is not null and lat is not null").distinct(), nodes, radius_m)
+    best = near.groupBy(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "component").agg(F.min(F.struct("dist_m", "node")).alias("best"))
+    return durable(best, name)
