@@ -34,6 +34,46 @@ def test_landing_sites_and_obstacles_at_one_place_each(spark):
     assert got.drop("site_id").distinct().collect() == [(90.0 - 10.0 - 70.0 / 8, 40_000, 6, False)]
 
 
+def test_flights_over_one_line_and_buildings_of_one_box(spark):
+    """600 million pairs of samples and buildings, six of lines and boxes."""
+    f = spark.range(20_000).select(F.col("id").alias("flight_id"), *[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "z0", "x1", "y1", "z1"), (0.0, 0.0, 5.0, 60.0, 0.0, 5.0), strict=True)])
+    b = spark.range(10_000).select(F.lit(-50.0).alias("bx0"), F.lit(-50.0).alias("by0"), F.lit(90.0).alias("bx1"), F.lit(90.0).alias("by1"), (F.col("id") % 41).cast("double").alias("height"))
+    got = planning.drone_corridor(f, b)
+    assert got.count() == 20_000
+    assert got.select("distance_m", "clearance_m").distinct().collect() == [(60.0 + 60.0 + 60.0, 20.0)]
+
+
+def test_obstacles_near_two_points_of_a_route_count_once(spark):
+    points = [(1, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 100.0, 200.0))] + [(2, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 10.0, 10.0, 300.0))] + [(3, 0, 0.0, 500.0, 0.0), (3, 1, 50.0, 500.0, 0.0)]
+    kinds = [(k, 5.0, 5.0, 4.0 if k % 2 else 5.0, 30.0 + k % 20, k % 3 == 0) for k in range(2000)] + [(1, 100.0, 0.0, 4.0, 31.0, False)]
+    got = planning.truck_clearance(
+        spark.createDataFrame(points, "route_id long, seq long, x double, y double, z double"),
+        spark.createDataFrame(kinds, "obstacle_id long, ox double, oy double, max_height double, max_tons double, no_hazmat boolean"), hazmat=True,
+    )
+    want = (1000, 1000, 667)
+    got = {r["route_id"]: (r["height_violations"], r["weight_violations"], r["hazmat_violations"], r["is_feasible"]) for r in got.collect()}
+    # The obstacle at two places is near two points of the first route.
+    assert got == {1: (*want, False), 2: (*want, False), 3: (0, 0, 0, True)}
+
+
+def test_inverse_distances_from_any_number_of_stations(spark):
+    """A million stations and more are taken, at the few places where they stand."""
+    known = spark.range(1_000_001).select((F.col("id") % 2).cast("double").alias("px"), F.lit(0.0).alias("py"), (F.col("id") % 2 * 10).cast("double").alias("pz"))
+    targets = spark.createDataFrame([(k, 0.5, 0.0) for k in range(300)] + [(1000, 1.0, 0.0)], "id long, x double, y double")
+    got = {r["id"]: r["value"] for r in spatial.inverse_distance(targets, known).collect()}
+    assert len(got) == 301 and got[1000] == 10.0
+    assert got[7] == pytest.approx(10.0 * 500_000 / 1_000_001)
+
+
+def test_evacuations_past_any_number_of_musters_and_hazards(spark):
+    o = spark.createDataFrame([(1, 0.0, 0.0, 10.0)], "origin_id long, x double, y double, z double")
+    m = spark.range(2100).select((F.col("id") + 1).alias("muster_id"), F.when(F.col("id") % 2 == 0, 300.0).otherwise(-400.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("z"))
+    h = spark.range(2000).select(F.lit(150.0).alias("hx"), F.lit(0.0).alias("hy"), (F.col("id") % 60).cast("double").alias("radius"))
+    (r,) = planning.evacuate(o, m, h).collect()
+    # Samples of the way to the first muster are at 0, 100, 200 and 300 m, 50 m from the middle of a hazard of 59 m.
+    assert (r["muster_id"], r["distance_m"], r["clearance_m"]) == (2, 400.0, 150.0 - 59.0)
+
+
 def test_tours_of_many_stops_at_few_places(spark):
     """As worked out stop by stop, with stops that share places; and 60,000 stops at 50 places are ordered as soon."""
     stops = [(s, 27.1 + s * 7 % 11 * 0.001, 38.4 + s * 13 % 11 * 0.0013) for s in range(60)]
@@ -55,41 +95,9 @@ def test_tours_of_many_stops_at_few_places(spark):
     assert got.agg(F.count_distinct("position"), F.max("position")).first() == (60_000, 59_999)
 
 
-def test_evacuations_past_any_number_of_musters_and_hazards(spark):
-    o = spark.createDataFrame([(1, 0.0, 0.0, 10.0)], "origin_id long, x double, y double, z double")
-    m = spark.range(2100).select((F.col("id") + 1).alias("muster_id"), F.when(F.col("id") % 2 == 0, 300.0).otherwise(-400.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("z"))
-    h = spark.range(2000).select(F.lit(150.0).alias("hx"), F.lit(0.0).alias("hy"), (F.col("id") % 60).cast("double").alias("radius"))
-    (r,) = planning.evacuate(o, m, h).collect()
-    # Samples of the way to the first muster are at 0, 100, 200 and 300 m, 50 m from the middle of a hazard of 59 m.
-    assert (r["muster_id"], r["distance_m"], r["clearance_m"]) == (2, 400.0, 150.0 - 59.0)
-
-
-def test_inverse_distances_from_any_number_of_stations(spark):
-    """A million stations and more are taken, at the few places where they stand."""
-    known = spark.range(1_000_001).select((F.col("id") % 2).cast("double").alias("px"), F.lit(0.0).alias("py"), (F.col("id") % 2 * 10).cast("double").alias("pz"))
-    targets = spark.createDataFrame([(k, 0.5, 0.0) for k in range(300)] + [(1000, 1.0, 0.0)], "id long, x double, y double")
-    got = {r["id"]: r["value"] for r in spatial.inverse_distance(targets, known).collect()}
-    assert len(got) == 301 and got[1000] == 10.0
-    assert got[7] == pytest.approx(10.0 * 500_000 / 1_000_001)
-
-
-def test_obstacles_near_two_points_of_a_route_count_once(spark):
-    points = [(1, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 100.0, 200.0))] + [(2, k, x, 0.0, 0.0) for k, x in enumerate((0.0, 10.0, 10.0, 300.0))] + [(3, 0, 0.0, 500.0, 0.0), (3, 1, 50.0, 500.0, 0.0)]
-    kinds = [(k, 5.0, 5.0, 4.0 if k % 2 else 5.0, 30.0 + k % 20, k % 3 == 0) for k in range(2000)] + [(1, 100.0, 0.0, 4.0, 31.0, False)]
-    got = planning.truck_clearance(
-        spark.createDataFrame(points, "route_id long, seq long, x double, y double, z double"),
-        spark.createDataFrame(kinds, "obstacle_id long, ox double, oy double, max_height double, max_tons double, no_hazmat boolean"), hazmat=True,
-    )
-    want = (1000, 1000, 667)
-    got = {r["route_id"]: (r["height_violations"], r["weight_violations"], r["hazmat_violations"], r["is_feasible"]) for r in got.collect()}
-    # The obstacle at two places is near two points of the first route.
-    assert got == {1: (*want, False), 2: (*want, False), 3: (0, 0, 0, True)}
-
-
-def test_flights_over_one_line_and_buildings_of_one_box(spark):
-    """600 million pairs of samples and buildings, six of lines and boxes."""
-    f = spark.range(20_000).select(F.col("id").alias("flight_id"), *[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "z0", "x1", "y1", "z1"), (0.0, 0.0, 5.0, 60.0, 0.0, 5.0), strict=True)])
-    b = spark.range(10_000).select(F.lit(-50.0).alias("bx0"), F.lit(-50.0).alias("by0"), F.lit(90.0).alias("bx1"), F.lit(90.0).alias("by1"), (F.col("id") % 41).cast("double").alias("height"))
-    got = planning.drone_corridor(f, b)
-    assert got.count() == 20_000
-    assert got.select("distance_m", "clearance_m").distinct().collect() == [(60.0 + 60.0 + 60.0, 20.0)]
+def test_places_of_many_points_are_looked_up_once(spark):
+    """400 million pairs of points and segments, of which one place meets 20,000."""
+    at = spark.range(20_000).select("id", F.lit(27.1).alias("lon"), F.lit(38.4).alias("lat"))
+    s = spark.range(20_000).select(F.lit(1).alias("route_id"), F.col("id").alias("seq"), F.lit(27.1).alias("lon1"), (38.4001 + F.col("id") * 1e-9).alias("lat1"), F.lit(1.0).alias("z1"), F.lit(27.1001).alias("lon2"), (38.4001 + F.col("id") * 1e-9).alias("lat2"), F.lit(1.0).alias("z2"))
+    got = spatial.corridor_distance(at, s, 50.0)
+    assert got.count() == 20_000 and got.select("dist_m").distinct().first()["dist_m"] == pytest.approx(11.054, abs=1e-3)
