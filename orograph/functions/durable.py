@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Tables of more bytes in memory are never sent to the driver to be broadcast. Spark goes by the size of their compressed files.
+BROADCAST_BYTES = 10 << 20
 
 #: The folder of a local session that names none, by application.
 _LOCAL: dict[str, str] = {}
@@ -27,10 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Written to the shared folder and read back: no lineage, and no partitioning that a planner could take for granted."""
+    """Written to the shared folder and read back: no lineage, and no partitioning that a planner could take for granted.
+
+    Rows are counted as they are written, and a table of many is joined by merging.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.hint("merge") if seen.get.get("n", 0) * _width(df.schema) > BROADCAST_BYTES else back
+
+
+def _width(kind: T.DataType) -> int:
+    """About how many bytes a value of the type takes in memory."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(_width(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return 16 + 4 * _width(kind.elementType)
+    return 32 if isinstance(kind, T.StringType | T.BinaryType | T.MapType) else 8
 
 
 def release(*tables: DataFrame) -> None:
