@@ -87,7 +87,8 @@ def spaced(candidates: DataFrame, *order: str) -> DataFrame:
 
     That is the sequence's own result, found in rounds without going through it: a candidate is placed as soon as no undecided one before it is within its spacing, and those
     after it that are too near to it go. Cells are so small that two of one cell are always too near, so only the first undecided candidate of a cell can be
-    next, and a placed one is alone in its cell: each candidate meets a fixed number of others, however many stand in one place. A round is two joins by cell. Where the order jumps about, rounds grow with the
+    next, and a placed one is alone in its cell: each candidate meets a fixed number of others, however many stand in one place. A round is two joins by larger cells, so wide that
+    what is near to a candidate is in two or three of them on average. Where the order jumps about, rounds grow with the
     logarithm of the number of candidates; where each waits for the one before it along a line, with the number of links.
 
     ``order`` tells candidates apart: of rows equal in it one counts. Rows without a place or without a positive spacing are never placed.
@@ -99,6 +100,7 @@ def spaced(candidates: DataFrame, *order: str) -> DataFrame:
         return candidates.limit(0)
     size = 0.999 * least / sqrt(2) / _DEGREE
     place = F.struct(*order)
+    wide = 4.0 * most / _DEGREE
     open_ = with_cell(asked.select(place.alias("o"), "lon", "lat", "spacing_m"), F.col("lon"), F.col("lat"), size)
     open_ = durable(open_, "open")
     placed, parts = None, []
@@ -106,15 +108,15 @@ def spaced(candidates: DataFrame, *order: str) -> DataFrame:
 
     def around(df: DataFrame, reach: Column | None = None) -> DataFrame:
         p = df.select(F.col("o").alias("po"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.col("spacing_m").alias("ps"))
-        return cells_of_box(p, F.col("plon"), F.col("plat"), F.col("plon"), F.col("plat"), F.col("ps") if reach is None else reach, size).drop("_turn")
+        return cells_of_box(p, F.col("plon"), F.col("plat"), F.col("plon"), F.col("plat"), F.col("ps") if reach is None else reach, wide).drop("_turn")
 
     while True:
+        met = with_cell(open_.drop("_cx", "_cy"), F.col("lon"), F.col("lat"), wide)
         heads = open_.groupBy("_cx", "_cy").agg(F.min(F.struct("o", "lon", "lat", "spacing_m")).alias("h")).select("h.*")
-        waits = open_.join(around(heads), ["_cx", "_cy"]).where((F.col("o") < F.col("po")) & (apart < F.col("ps"))).select(F.col("po").alias("o")).distinct()
+        waits = met.join(around(heads), ["_cx", "_cy"]).where((F.col("o") < F.col("po")) & (apart < F.col("ps"))).select(F.col("po").alias("o")).distinct()
         free = durable(heads.join(waits, "o", "left_anti"), "placed")
         parts.append(free)
-        met = open_.join(around(free, F.lit(float(most))), ["_cx", "_cy"])
-        gone = met.where((F.col("o") == F.col("po")) | ((F.col("o") > F.col("po")) & (apart < F.col("spacing_m")))).select("o").distinct()
+        gone = met.join(around(free, F.lit(float(most))), ["_cx", "_cy"]).where((F.col("o") == F.col("po")) | ((F.col("o") > F.col("po")) & (apart < F.col("spacing_m")))).select("o").distinct()
         left, n = durable_counting(open_.join(gone, "o", "left_anti"), "true", "open")
         release(open_)
         open_ = left

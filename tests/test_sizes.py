@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions import geo
 from orograph.functions.durable import durable
+from orograph.operators import corridor
 from orograph.operators import polylines as P
 from orograph.sources.fixtures import load
 
@@ -41,3 +42,20 @@ def test_half_right_angles_are_slight_turns_on_either_side(spark):
     """What an arc tangent adds in the last digit made some of them full turns."""
     a = spark.createDataFrame([(-45.00000000000003,), (-45.0,), (45.00000000000003,), (-45.001,), (15.00000000000003,)], "a double")
     assert [r[0] for r in a.select(geo.turn_direction(F.col("a"))).collect()] == ["slight_left", "slight_left", "slight_right", "left", "slight_left"]
+
+
+def test_spaced_candidates_are_sent_to_few_cells(spark, monkeypatch):
+    """Each was sent to every small cell in its reach, here some 40."""
+    asked = []
+
+    def counted(df, *args):
+        out = corridor_cells(df, *args)
+        asked.append((df.count(), out.count()))
+        return out
+
+    corridor_cells = corridor.cells_of_box
+    monkeypatch.setattr(corridor, "cells_of_box", counted)
+    n = spark.range(900).select("id", (27.1 + (F.col("id") % 30) * 0.001).alias("lon"), (38.4 + F.floor(F.col("id") / 30) * 0.001).alias("lat"), (100.0 + (F.col("id") % 3) * 40).alias("spacing_m"))
+    assert corridor.spaced(n, "id").count() > 100
+    rows, sent = map(sum, zip(*asked, strict=True))
+    assert rows > 900 and sent < 3 * rows
