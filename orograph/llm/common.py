@@ -9,8 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable as stored
-from ..functions.durable import release
+from ..functions.durable import release, stored
 from ..functions.durable import shared_folder as shared_dir
 
 __all__ = ["SPACE", "WORD", "components", "fresh", "keyed", "looked_up", "release", "shared_dir", "slices", "stored", "text_of"]
