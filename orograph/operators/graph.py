@@ -268,14 +268,12 @@ def shared_stops(stops: DataFrame, nodes: DataFrame, membership: DataFrame, radi
     least one; in it each stop takes its nearest node. Without such a component every stop takes the node nearest to it, null where there is none. A stop with
     a null coordinate is near to none. Of stops with one number all count, and repeated ones are one. Other columns are not looked at; an empty table gives an empty result.
     """
-    from .spatial import within
-
     s = durable(stops.select("route_id", "seq", "lon", "lat").distinct(), "stops")
     n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat")).join(membership.select("node", "component"), "node")
     sizes = membership.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     place = ["route_id", "seq", "lon", "lat"]
-    near = within(s.where("lon is not null and lat is not null"), n, radius_m)
-    near = durable(near.groupBy(*place, "component").agg(F.min(F.struct("dist_m", "node")).alias("best")), "near")
+    met = _near_components(s, n, radius_m, "met")
+    near = durable(s.join(met, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))).select(*place, "component", "best"), "near")
     ways = near.groupBy("route_id", "component").agg(F.count(F.lit(1)).alias("met"), F.sum("best.dist_m").alias("way"))
     every = s.groupBy("route_id").agg(F.count(F.lit(1)).alias("met"))
     full = ways.join(every, ["route_id", "met"]).join(sizes, "component")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orograph.operators import planning, spatial
+from orograph.operators import graph, planning, spatial
 
 
 def joins(df):
@@ -101,3 +101,16 @@ def test_places_of_many_points_are_looked_up_once(spark):
     s = spark.range(20_000).select(F.lit(1).alias("route_id"), F.col("id").alias("seq"), F.lit(27.1).alias("lon1"), (38.4001 + F.col("id") * 1e-9).alias("lat1"), F.lit(1.0).alias("z1"), F.lit(27.1001).alias("lon2"), (38.4001 + F.col("id") * 1e-9).alias("lat2"), F.lit(1.0).alias("z2"))
     got = spatial.corridor_distance(at, s, 50.0)
     assert got.count() == 20_000 and got.select("dist_m").distinct().first()["dist_m"] == pytest.approx(11.054, abs=1e-3)
+
+
+def test_stops_of_many_routes_at_two_places_are_looked_up_twice(spark, monkeypatch):
+    looked, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda places, *a: looked.append(places.count()) or within(places, *a))
+    nodes = spark.range(200).select("id", (27.0 + F.col("id") % 20 * 0.0001).alias("lon"), (38.0 + F.floor(F.col("id") / 20) * 0.0001).alias("lat"), F.lit(0.0).alias("z"))
+    member = nodes.select(F.col("id").alias("node"), (F.col("id") % 2).alias("component"))
+    stops = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("route_id"), (F.col("id") % 2).alias("seq"), (27.0 + F.col("id") % 2 * 0.0002).alias("lon"), F.lit(38.0).alias("lat"))
+    got = graph.shared_stops(stops, nodes, member, 300.0)
+    assert got.count() == 20_000
+    # The component of even nodes has one at each place.
+    assert sorted(map(tuple, got.select("seq", "node", "component").distinct().collect())) == [(0, 0, 0), (1, 2, 0)]
+    assert looked == [2]
