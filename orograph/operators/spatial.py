@@ -117,6 +117,23 @@ def near_segments(points: DataFrame, segments: DataFrame, radius_m: float) -> Da
     return j.where(F.col("dist_m") <= radius_m)
 
 
+def places_of(points: DataFrame) -> DataFrame:
+    """(_lon, _lat, lon, lat): the different places of points, twice, as a join may turn lon; points find theirs by ``at_place``."""
+    return points.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct().select("*", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+
+
+def at_place(points: DataFrame, found: DataFrame) -> DataFrame:
+    """Points without their lon and lat, with what was found for their place (_lon, _lat, ...)."""
+    p = points.withColumnsRenamed({"lon": "_plon", "lat": "_plat"})
+    return p.join(found, (F.col("_plon") == F.col("_lon")) & (F.col("_plat") == F.col("_lat"))).drop("_plon", "_plat", "_lon", "_lat")
+
+
+def segments_in_reach(points: DataFrame, segments: DataFrame, radius_m: float, *keys: str) -> DataFrame:
+    """(keys, n, dist_m): how many segments are within the radius of each point, and how far the nearest is; points at one place are looked up once."""
+    near = near_segments(places_of(points), segments, radius_m).groupBy("_lon", "_lat").agg(F.count(F.lit(1)).alias("n"), F.min("dist_m").alias("dist_m"))
+    return at_place(points.select(*keys, "lon", "lat"), near).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("dist_m").alias("dist_m"))
+
+
 def corridor_distance(points: DataFrame, segments: DataFrame, buffer_m: float, key: str = "id") -> DataFrame:
     """(key, dist_m, route_z): nearest of the routes' segments within the buffer, and the route's height at the nearest place.
 
