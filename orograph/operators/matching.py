@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.durable import durable
-from .spatial import near_segments, within
+from .spatial import at_place, near_segments, places_of, within
 
 _OUT = "track_id {kind}, part int, seq long, u long, v long, lon double, lat double, residual_m double"
 #: Numbers of points (by seq) that are a block, and blocks or nodes that are a node of the tree.
@@ -188,15 +188,17 @@ def match_tracks(
         p = p.withColumn("_gap", silent).withColumn("part", F.sum("_gap").over(w).cast("int"))
     else:
         p = p.withColumn("part", F.lit(0))
-    p = p.select("track_id", "part", "seq", "lon", "lat")
-    columns = ["track_id", "part", "seq", "lon", "lat", "u", "v", "snap_lon", "snap_lat", "dist_m"]
-    near = near_segments(p, edges, radius_m).select(*columns)
-    lost = p.join(near.select("track_id", "seq").distinct(), ["track_id", "seq"], "left_anti")
+    p = durable(p.select("track_id", "part", "seq", "lon", "lat"), "points")
+    # Points at one place have the same candidates in the same order.
+    columns = ["_lon", "_lat", "lon", "lat", "u", "v", "snap_lon", "snap_lat", "dist_m", "_k"]
+    places = durable(places_of(p), "places")
+    rank = F.row_number().over(Window.partitionBy("_lon", "_lat").orderBy("dist_m", "u", "v"))
+    near = durable(near_segments(places, edges, radius_m).withColumn("_k", rank).where(F.col("_k") <= candidates).select(*columns), "near")
+    lost = places.join(near.select("_lon", "_lat").distinct(), ["_lon", "_lat"], "left_anti")
     n = nodes.select(F.col("id").alias("u"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
-    other = within(lost, n, 100 * radius_m).select("track_id", "part", "seq", "lon", "lat", "u", F.col("u").alias("v"), F.col("tlon").alias("snap_lon"), F.col("tlat").alias("snap_lat"), "dist_m")
-    other = other.withColumn("_k", F.row_number().over(Window.partitionBy("track_id", "seq").orderBy("dist_m", "u"))).where("_k = 1")
-    rank = F.row_number().over(Window.partitionBy("track_id", "seq").orderBy("dist_m", "u", "v"))
-    every = near.withColumn("_k", rank).where(F.col("_k") <= candidates).unionByName(other)
+    nearest = F.row_number().over(Window.partitionBy("_lon", "_lat").orderBy("dist_m", "u"))
+    other = within(lost, n, 100 * radius_m).withColumn("_k", nearest).where("_k = 1").withColumns({"v": F.col("u"), "snap_lon": F.col("tlon"), "snap_lat": F.col("tlat")})
+    every = at_place(p, durable(near.unionByName(other.select(*columns)), "found"))
 
     return _paths(every, max(1e-4, sigma), max(1e-4, beta), block, fan, points.schema["track_id"].dataType.simpleString())
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orograph.operators import graph, planning, spatial
+from orograph.operators import graph, matching, planning, spatial
 
 
 def joins(df):
@@ -114,3 +114,22 @@ def test_stops_of_many_routes_at_two_places_are_looked_up_twice(spark, monkeypat
     # The component of even nodes has one at each place.
     assert sorted(map(tuple, got.select("seq", "node", "component").distinct().collect())) == [(0, 0, 0), (1, 2, 0)]
     assert looked == [2]
+
+
+def test_points_of_many_tracks_at_few_places_meet_segments_once(spark, monkeypatch):
+    looked, near = [], spatial.near_segments
+    spy = lambda points, *a: looked.append(points.count()) or near(points, *a)
+    monkeypatch.setattr(spatial, "near_segments", spy)
+    monkeypatch.setattr(matching, "near_segments", spy)
+    points = spark.range(60).select((F.col("id") / 3).cast("long").alias("track_id"), (F.col("id") % 3).alias("seq"), (27.0 + F.col("id") % 3 * 0.0002).alias("lon"), F.lit(38.0).alias("lat"))
+    lines = [(1, 2, 27.0, 38.0001, 27.0003, 38.0001), (2, 1, 27.0003, 38.0001, 27.0, 38.0001), (2, 3, 27.0003, 38.0001, 27.0005, 38.0001)]
+    edges = spark.createDataFrame(lines, "u long, v long, lon1 double, lat1 double, lon2 double, lat2 double")
+    nodes = spark.createDataFrame([(1, 27.0, 38.0001), (2, 27.0003, 38.0001), (3, 27.0005, 38.0001)], "id long, lon double, lat double")
+    got = spatial.segments_in_reach(points, edges, 35.0, "track_id", "seq")
+    assert got.count() == 60
+    assert {(r["seq"], r["n"]) for r in got.select("seq", "n").distinct().collect()} == {(0, 3), (1, 3), (2, 3)}
+    assert got.agg(F.max("dist_m")).first()[0] < 15.0
+    matched = matching.match_tracks(points, edges, nodes, gap_s=None)
+    assert matched.count() == 60
+    assert matched.select("seq", "u", "v").distinct().count() == 3
+    assert looked == [3, 3]
