@@ -173,3 +173,10 @@ def test_summary_of_an_evacuation_counts_people_and_takes_the_least_of_ties(spar
     assert tuple(planning.evacuation_summary(plan, origins).first()) == (200.0, 30.0, 60.0, 5)
     none = planning.evacuation_summary(plan.limit(0), origins.limit(0)).first()
     assert tuple(none) == (0.0, 0.0, 0.0, None)
+
+
+def test_segments_are_made_once_and_costs_are_not_worked_out_in_a_filter(spark, sf_dir):
+    """A filter on costs was moved to where segments are made, for either way, and told lengths anew for each mention."""
+    plan = graph.weighted(graph.edges_of(load(spark, sf_dir, "segments")))._jdf.queryExecution().executedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert not any("ATAN2" in x.upper() for x in filters) and "Generate inline" in plan
