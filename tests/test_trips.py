@@ -175,6 +175,17 @@ def test_summary_of_an_evacuation_counts_people_and_takes_the_least_of_ties(spar
     assert tuple(none) == (0.0, 0.0, 0.0, None)
 
 
+def test_legs_of_one_profile_are_one_search(spark, edges, sf_dir, monkeypatch):
+    """Access and egress on foot were searched one after the other."""
+    asked, measured = [], graph.measured
+    monkeypatch.setattr(graph, "measured", lambda e, pairs, mode: asked.append(mode) or measured(e, pairs, mode))
+    trips = spark.createDataFrame([(1, 0, 140), (2, 140, 3)], "trip_id long, src long, dst long")
+    hubs = spark.createDataFrame([(30,), (100,)], "hub long")
+    got = graph.multimodal(edges, trips, hubs, load(spark, sf_dir, "nodes")).collect()
+    assert sorted(asked) == ["adult", "car"]
+    assert sorted(r["trip_id"] for r in got) == [1, 2] and {r["transfers"] for r in got} == {2}
+
+
 def test_segments_are_made_once_and_costs_are_not_worked_out_in_a_filter(spark, sf_dir):
     """A filter on costs was moved to where segments are made, for either way, and told lengths anew for each mention."""
     plan = graph.weighted(graph.edges_of(load(spark, sf_dir, "segments")))._jdf.queryExecution().executedPlan().toString()
