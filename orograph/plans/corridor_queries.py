@@ -157,7 +157,9 @@ _URBAN = """SELECT id, lon, lat, radius_m*0.00001e0 AS d, CASE id%4 WHEN 0 THEN
 
 
 def _urban(spark, sf_dir):
-    c = spark.sql(_URBAN + " {c}", c=load(spark, sf_dir, "circles"))
+    # Parts are few bytes of files, and so few tasks, but documents take long to write and read.
+    parts = load(spark, sf_dir, "circles").repartition(3 * spark.sparkContext.defaultParallelism, "id")
+    c = spark.sql(_URBAN + " {c}", c=parts)
     at = lambda x, y: F.struct((F.col("lat") + y * F.col("d")).alias("lat"), (F.col("lon") + x * F.col("d")).alias("lon"))
     ring = F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, -1))
     element = lambda i, kind, tags, **more: F.to_json(F.struct(F.lit(kind).alias("type"), (F.col("id") * 10 + i).alias("id"), F.struct(*[F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in tags.items()]).alias("tags"), *[v.alias(k) for k, v in more.items()]))

@@ -6,7 +6,7 @@ feature, of the first kind that its tags say: a road, a building, a tree, a row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, finite_or
@@ -39,12 +39,16 @@ def elements(texts: DataFrame, name: str = "name") -> DataFrame:
     return e.withColumn("kind", kind.when((tag("natural") == "tree_row") & way, "row").when(park & way, "park"))
 
 
+def _nodes(found: DataFrame) -> DataFrame:
+    """(doc, id, lon, lat) of each document's nodes."""
+    return found.where("type = 'node'").groupBy("doc", "id").agg(F.first(_number(F.col("lon")), True).alias("lon"), F.first(_number(F.col("lat")), True).alias("lat"))
+
+
 def corners(found: DataFrame) -> DataFrame:
     """(doc, at, kind, seq, lon, lat) of the features' places, in order: those that aren't two finite numbers are left out, and so are nodes that the document doesn't have."""
     own = found.where("kind is not null and kind <> 'tree'")
     given = own.where("geometry is not null").select("doc", "at", "kind", F.posexplode("geometry").alias("seq", "p")).select("doc", "at", "kind", "seq", _number(F.col("p.lon")).alias("lon"), _number(F.col("p.lat")).alias("lat"))
-    nodes = found.where("type = 'node'").groupBy("doc", "id").agg(F.first(_number(F.col("lon")), True).alias("lon"), F.first(_number(F.col("lat")), True).alias("lat"))
-    named = own.where("geometry is null").select("doc", "at", "kind", F.posexplode("nodes").alias("seq", "id")).join(nodes, ["doc", "id"]).select("doc", "at", "kind", "seq", "lon", "lat")
+    named = own.where("geometry is null").select("doc", "at", "kind", F.posexplode("nodes").alias("seq", "id")).join(_nodes(found), ["doc", "id"]).select("doc", "at", "kind", "seq", "lon", "lat")
     return given.unionByName(named).where("lon is not null and lat is not null")
 
 
@@ -58,11 +62,17 @@ def outlines(found: DataFrame) -> DataFrame:
 
 
 def _with_corners(found: DataFrame, kind: str, least: int, *columns: Column) -> DataFrame:
-    """Corners of the features of a kind that have enough of them, with the columns."""
-    c = corners(found.where((F.col("kind") == kind) | (F.col("type") == "node"))).where(F.col("kind") == kind)
-    enough = c.groupBy("doc", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    own = found.where(F.col("kind") == kind).select("doc", "at", *columns).join(enough, ["doc", "at"]).drop("n")
-    return own.join(c.select("doc", "at", "seq", "lon", "lat"), ["doc", "at"]).drop("at")
+    """Corners of the features of a kind that have enough of them, with the columns. A feature with places of its own meets no other row; one with a node list meets its nodes."""
+    own = found.where((F.col("kind") == kind) & F.col("doc").isNotNull())
+    names = found.select("doc", *columns).columns
+    numbered = F.transform("geometry", lambda p, i: F.struct(i.alias("seq"), _number(p["lon"]).alias("lon"), _number(p["lat"]).alias("lat")))
+    given = own.where("geometry is not null").select("doc", *columns, F.filter(numbered, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull()).alias("_c"))
+    given = given.select(*names, F.inline(F.when(F.size("_c") >= least, F.col("_c"))))
+    w = Window.partitionBy("doc", "at")
+    named = own.where("geometry is null").select("doc", "at", *columns, F.posexplode("nodes").alias("seq", "_node"))
+    named = named.join(_nodes(found).withColumnRenamed("id", "_node"), ["doc", "_node"]).where("lon is not null and lat is not null")
+    named = named.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
+    return given.unionByName(named.select(*names, "seq", "lon", "lat"))
 
 
 def roads(found: DataFrame) -> DataFrame:

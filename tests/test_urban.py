@@ -62,3 +62,13 @@ def test_documents_that_are_none(spark):
     for text in ("", "not json", "{}", '{"elements": []}'):
         found = read(spark, text=text)
         assert found.count() == urban.roads(found).count() == urban.buildings(found).count() == urban.trees(found).count() == urban.counts(found).count() == 0
+
+
+def test_documents_are_dealt_to_tasks_and_outlines_meet_no_other_rows(spark, sf_dir):
+    """All documents were made by one task, as parts are one small file; outlines were joined by document and place, so documents of one name had each other's corners."""
+    from orograph.plans import corridor_queries
+
+    assert corridor_queries._urban(spark, sf_dir).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    docs = [("a", json.dumps({"elements": [building(i)]})) for i in (1, 2)]
+    got = urban.buildings(urban.elements(spark.createDataFrame(docs, "name string, value string"))).collect()
+    assert sorted((r["building_id"], r["seq"]) for r in got) == [(i, k) for i in "12" for k in range(4)]
