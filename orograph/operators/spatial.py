@@ -195,27 +195,41 @@ def _keys(x: Column, derivative: bool = False, a: float = -0.5) -> Column:
     return F.when(t <= 1, inner).when(t < 2, outer).otherwise(0.0)
 
 
-def bicubic(points: DataFrame, cells: DataFrame, cell_x_m: float = 10.0, cell_y_m: float = 10.0) -> DataFrame:
-    """Surface at points (id, gx, gy in cell units) from the 4 x 4 cells around: height, slope, aspect and curvature.
+def bicubic(points: DataFrame, cells: DataFrame, cell_x_m: float = 10.0, cell_y_m: float = 10.0, *keep: str) -> DataFrame:
+    """Surface at points (id, gx, gy in cell units) from the 4 x 4 cells around: height, slope, aspect and curvature; ``keep`` names the columns that come along, id where none is named.
 
-    Cells that are missing or null count as 0. Each point meets its 16 cells in one equi-join. Points with columns cell_x_m and cell_y_m have cells of their own sizes.
+    Cells that are missing or null count as 0. Points of one cell share its surroundings: the different cells that points are in meet the 16 around each,
+    and each point meets one row, so points themselves aren't multiplied; they are read twice. Points with columns cell_x_m and cell_y_m have cells of their own sizes.
     """
     own = [F.col(c).alias(f"_{c}") if c in points.columns else F.lit(float(v)).alias(f"_{c}") for c, v in (("cell_x_m", cell_x_m), ("cell_y_m", cell_y_m))]
-    p = points.select("id", F.floor("gx").alias("c0"), F.floor("gy").alias("r0"), "gx", "gy", *own)
-    p = p.select("id", "_cell_x_m", "_cell_y_m", "c0", "r0", (F.col("gx") - F.col("c0")).alias("u"), (F.col("gy") - F.col("r0")).alias("v"))
-    p = p.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(2))))
-    p = p.withColumn("col", F.col("c0") + F.col("i")).withColumn("row_", F.col("r0") + F.col("j"))
-    q = p.join(cells.select("col", "row_", "value"), ["col", "row_"], "left").withColumn("z", F.coalesce("value", F.lit(0.0)))
-    x, y = F.col("u") - F.col("i"), F.col("v") - F.col("j")
-    g = q.groupBy("id").agg(
-        F.max("_cell_x_m").alias("_cell_x_m"), F.max("_cell_y_m").alias("_cell_y_m"), F.sum(F.col("z") * _keys(x) * _keys(y)).alias("elevation_m"), F.sum(F.col("z") * _keys(x, True) * _keys(y)).alias("du"), F.sum(F.col("z") * _keys(x) * _keys(y, True)).alias("dv"),
-    )
-    dx, dy = (F.col(d) / at_least(F.col(c), 0.001) for d, c in (("du", "_cell_x_m"), ("dv", "_cell_y_m")))
-    m = F.hypot(dx, dy)
-    curvature = (F.col("du") * F.col("du") + F.col("dv") * F.col("dv")) / at_least(F.pow(1 + m * m, F.lit(1.5)), 0.001)
+    keep = keep or ("id",)
+    around = range(-1, 3)
+    # A write, as the join's filter for places would be moved to where points are made and work these out again.
+    place = durable(points.select(F.floor("gx").alias("_c0"), F.floor("gy").alias("_r0")).distinct(), "places")
+    wanted = place.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in around for i in around])).alias("_o"))
+    wanted = wanted.select("_c0", "_r0", F.col("_o.i").alias("_i"), F.col("_o.j").alias("_j"), (F.col("_c0") + F.col("_o.i")).alias("col"), (F.col("_r0") + F.col("_o.j")).alias("row_"))
+    met = wanted.join(cells.select("col", "row_", "value"), ["col", "row_"])
+    z = [F.sum(F.when((F.col("_i") == i) & (F.col("_j") == j), F.col("value"))) for j in around for i in around]
+    near = durable(met.groupBy("_c0", "_r0").agg(F.array(*[F.coalesce(c, F.lit(0.0)) for c in z]).alias("_z")), "surroundings")
+    p = points.select(*keep, F.col("gx").alias("_gx"), F.col("gy").alias("_gy"), *own, F.floor("gx").alias("_c0"), F.floor("gy").alias("_r0")).join(near, ["_c0", "_r0"], "left")
+    p = p.select(*keep, "_cell_x_m", "_cell_y_m", "_z", (F.col("_gx") - F.col("_c0")).alias("_u"), (F.col("_gy") - F.col("_r0")).alias("_v"))
+    weights = {f"_{n}{i}": _keys(F.col(c) - i, slope) for n, c, slope in (("wx", "_u", False), ("dx", "_u", True), ("wy", "_v", False), ("dy", "_v", True)) for i in around}
+    p = p.select(*keep, "_cell_x_m", "_cell_y_m", "_z", *[w.alias(n) for n, w in weights.items()])
+
+    def total(x: str, y: str) -> Column:
+        rows = []
+        for n, j in enumerate(around):
+            row = sum((F.coalesce(F.col("_z")[4 * n + m], F.lit(0.0)) * F.col(f"_{x}{i}") for m, i in enumerate(around)), F.lit(0.0))
+            rows.append(row * F.col(f"_{y}{j}"))
+        return sum(rows[1:], rows[0])
+
+    g = p.select(*keep, "_cell_x_m", "_cell_y_m", total("wx", "wy").alias("elevation_m"), total("dx", "wy").alias("du"), total("wx", "dy").alias("dv"))
+    g = g.select(*keep, "elevation_m", "du", "dv", *[(F.col(d) / at_least(F.col(c), 0.001)).alias(n) for d, c, n in (("du", "_cell_x_m", "dz_dx"), ("dv", "_cell_y_m", "dz_dy"))])
+    g = g.withColumn("_m", F.hypot("dz_dx", "dz_dy"))
+    curvature = (F.col("du") * F.col("du") + F.col("dv") * F.col("dv")) / at_least(F.pow(1 + F.col("_m") * F.col("_m"), F.lit(1.5)), 0.001)
     return g.select(
-        "id", "elevation_m", (m * 100.0).alias("slope_pct"), F.degrees(F.atan(m)).alias("slope_degrees"), floor_mod(F.degrees(F.atan2(-dx, dy)), 360.0).alias("aspect_degrees"),
-        dx.alias("dz_dx"), dy.alias("dz_dy"), curvature.alias("curvature"),
+        *keep, "elevation_m", (F.col("_m") * 100.0).alias("slope_pct"), F.degrees(F.atan("_m")).alias("slope_degrees"), floor_mod(F.degrees(F.atan2(-F.col("dz_dx"), F.col("dz_dy"))), 360.0).alias("aspect_degrees"),
+        "dz_dx", "dz_dy", curvature.alias("curvature"),
     )
 
 

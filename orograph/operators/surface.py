@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, kinematics
@@ -99,24 +99,24 @@ def slopes(segments: DataFrame, layers: Sequence[Layer], *key: str, sun_azimuth:
 _SURFACE = ["elevation_m", "slope_pct", "slope_degrees", "aspect_degrees", "dz_dx", "dz_dy", "curvature"]
 
 
-def gradients(points: DataFrame, layer: Layer, width: int, height: int) -> DataFrame:
+def gradients(points: DataFrame, layer: Layer, width: int, height: int, *keep: str) -> DataFrame:
     """(id, elevation_m, slope_pct, slope_degrees, aspect_degrees, dz_dx, dz_dy, curvature) of points (id, lon, lat) on the smooth surface through the centres of the layer's ``width`` x ``height`` cells.
 
-    Cells count in metres at the point's latitude; cells without a value count as 0. Outside the layer, and for places that are no numbers, the surface is flat at 0.
+    Cells count in metres at the point's latitude; cells without a value count as 0. Outside the layer, and for places that are no numbers, the surface is flat at 0. ``keep`` names the columns that come along, id where none is named.
     """
+    keep = keep or ("id",)
     inside = F.coalesce((F.col("lon") >= layer.x0) & (F.col("lon") <= layer.x0 + width * layer.dx) & (F.col("lat") <= layer.top) & (F.col("lat") >= layer.top - height * layer.dy) & ~F.isnan("lon") & ~F.isnan("lat"), F.lit(False))
-    p = points.where(inside).select(
-        "id", ((F.col("lon") - layer.x0) / layer.dx - 0.5).alias("gx"), ((layer.top - F.col("lat")) / layer.dy - 0.5).alias("gy"),
+    p = points.select(
+        *keep, F.when(inside, (F.col("lon") - layer.x0) / layer.dx - 0.5).alias("gx"), F.when(inside, (layer.top - F.col("lat")) / layer.dy - 0.5).alias("gy"),
         (layer.dx * DEGREE_M * F.cos(F.radians("lat"))).alias("cell_x_m"), F.lit(layer.dy * DEGREE_M).alias("cell_y_m"),
     )
     cells = layer.cells.select("col", "row_", finite_or(F.col("value").cast("double"), None).alias("value"))
-    return bicubic(p, cells).select("id", *_SURFACE).unionByName(points.where(~inside).select("id", *[F.lit(0.0).alias(c) for c in _SURFACE]))
+    found = bicubic(p, cells, 10.0, 10.0, *keep, "gx")
+    return found.select(*keep, *[F.when(F.col("gx").isNotNull(), F.col(c)).otherwise(0.0).alias(c) for c in _SURFACE])
 
 
 def smooth_profile(points: DataFrame, layer: Layer, width: int, height: int, interval: float = 5.0) -> DataFrame:
     """(route_id, seg, step, lon, lat, ...) along routes (route_id, seq, lon, lat, z): each pair of points in steps of ``interval`` metres at most, with the smooth surface there. Routes of one point have none."""
-    along = densify(points, interval, None)
-    several = points.groupBy("route_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("route_id")
-    along = durable(along.join(several, "route_id", "left_semi").select("route_id", "seg", "step", "lon", "lat", F.struct("route_id", "seg", "step").alias("id")), "profile")
-    found = gradients(along.select("id", "lon", "lat"), layer, width, height)
-    return along.join(found, "id").drop("id")
+    several = points.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("route_id"))).where("_n > 1").drop("_n")
+    along = densify(several, interval, None)
+    return gradients(along, layer, width, height, "route_id", "seg", "step", "lon", "lat")

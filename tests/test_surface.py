@@ -90,3 +90,16 @@ def test_a_failing_job_publishes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         store.publish(bad, at)
     assert store.parts(spark, at) == [] and store.known(spark, at).count() == 0
+
+
+def test_points_are_not_multiplied_by_the_cells_around_them(spark):
+    """Each point was shuffled with 16 cells, and again to put these together."""
+    cells = spark.createDataFrame([(c, r, float(c * r)) for c in range(9) for r in range(9)], "col long, row_ long, value double")
+    layer = surface.Layer(cells, 0.0, 9.0, 1.0, 1.0)
+    points = spark.createDataFrame([(1, 0, 2.5, 4.5, 0.0), (1, 1, 2.6, 4.5, 0.0), (2, 0, 3.5, 3.5, 0.0), (3, 0, 99.0, 4.5, 0.0), (3, 1, 99.0001, 4.5, 0.0)], "route_id long, seq long, lon double, lat double, z double")
+    found = surface.smooth_profile(points, layer, 9, 9, 100_000.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 2
+    rows = {(r["route_id"], r["seg"], r["step"]): r["elevation_m"] for r in found.collect()}
+    assert sorted(rows) == [(1, 0, 0), (1, 1, 0), (3, 0, 0), (3, 1, 0)]
+    assert rows[1, 0, 0] == pytest.approx(2.0 * 4.0) and rows[3, 0, 0] == 0.0
