@@ -230,10 +230,15 @@ def grid_cells(segments: DataFrame, x0: float, top: float, res: float, width: in
     column = lambda x: F.floor((x / F.col("k") - x0) / res - 0.5).cast("long")
     s = s.withColumns({"_lo": column(F.least(*ends)), "_hi": column(F.greatest(*ends))}).select("row_", "lat", "_x", "_y", "_x2", "_y2", "_lo", "_hi")
     inside = lambda c: _nearest_m(x0 + (c + 0.5) * res, F.col("lat")) <= reach
-    near = lambda c, n: F.filter(F.sequence(c, c + n), inside)
-    # Of an interval whose ends are off by a cell at most the exact ends are among the nearest cells; a short one is looked at as a whole.
-    s = s.withColumn("_lo2", F.array_min(near(F.col("_lo"), F.least(F.lit(3), F.greatest(F.lit(0), F.col("_hi") - F.col("_lo") + 1)))))
-    s = s.withColumn("_hi2", F.array_max(F.filter(F.sequence(F.greatest(F.col("_lo"), F.col("_hi") - 1), F.col("_hi") + 1), inside)))
+    # Of an interval whose ends are off by a cell at most the exact ends are among the nearest cells; a short one is looked at as a whole. Cells are columns, which are compiled; a function of an array is not.
+    s = s.withColumns({"_n": F.least(F.lit(3), F.greatest(F.lit(0), F.col("_hi") - F.col("_lo") + 1)), "_b": F.greatest(F.col("_lo"), F.col("_hi") - 1)})
+    s = s.withColumns({f"_l{i}": inside(F.col("_lo") + i) for i in range(4)} | {f"_r{i}": inside(F.col("_b") + i) for i in range(3)})
+    low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for i in reversed(range(4)):
+        low = F.when(F.col(f"_l{i}") & (F.col("_n") >= i), F.col("_lo") + i).otherwise(low)
+    for i in range(3):
+        high = F.when(F.col(f"_r{i}") & (F.col("_b") + i <= F.col("_hi") + 1), F.col("_b") + i).otherwise(high)
+    s = s.withColumns({"_lo2": low, "_hi2": high})
     s = s.select("row_", F.coalesce("_lo2", "_hi2").alias("lo"), F.coalesce("_hi2", "_lo2").alias("hi"))
     s = s.select("row_", F.when(F.col("lo") < 0, 0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("hi") >= width, width - 1).otherwise(F.col("hi")).alias("hi"))
     # Segments that miss a row have no blocks. A filter instead would be moved down, and all of the above be worked out twice.

@@ -59,3 +59,10 @@ def test_spaced_candidates_are_sent_to_few_cells(spark, monkeypatch):
     assert corridor.spaced(n, "id").count() > 100
     rows, sent = map(sum, zip(*asked, strict=True))
     assert rows > 900 and sent < 3 * rows
+
+
+def test_grid_cells_are_looked_at_by_compiled_columns(spark):
+    """The ends of intervals were found by functions of arrays, which Spark interprets for each segment and grid row."""
+    s = spark.createDataFrame([(27.1, 38.4, 27.101, 38.4)], "lon1 double, lat1 double, lon2 double, lat2 double")
+    cells = corridor.grid_cells(s, 27.0991, 38.41, 0.0003, 20, 40, 15.0)
+    assert "lambda" not in plan(cells) and cells.count() > 0
