@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orograph import catalog
-from orograph.plans import graph_queries
+from orograph.plans import graph_queries, spatial_queries
 from orograph.sources.fixtures import load
 
 
@@ -48,3 +48,14 @@ def test_graph_queries_take_all_pairs_zones_and_nodes(spark, sf_dir, monkeypatch
     assert seen["alternative_routes"] == pairs
     assert seen["network_evacuation"] == graph_queries._zone_nodes(spark, sf_dir).count()
     assert seen["tradeoff_routes"] == n.join(two, ["gx", "gy"]).count()
+
+
+def test_straight_evacuations_take_all_musters_and_hazards(spark, sf_dir, monkeypatch):
+    """Only facilities of capacity 90 and more and hazards of 68 m and more were looked at."""
+    seen, evacuate = [], spatial_queries.planning.evacuate
+    monkeypatch.setattr(spatial_queries.planning, "evacuate", lambda o, m, h: seen.append((o.count(), m.count(), h.count())) or evacuate(o, m, h))
+    rows = [spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("supplier", "part")]
+    for name in ("evacuate_straight", "evacuation_summary"):
+        assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+    assert seen == [(load(spark, sf_dir, "zones").count(), *rows)] * 2
+    assert not any(" WHERE " in line and ("capacity" in line or "radius_m>" in line) for name in ("evacuate_straight", "evacuation_summary") for line in catalog.ORACLE[name].splitlines())
