@@ -2,11 +2,14 @@
 
 import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orograph.operators import graph, planning
+from orograph.plans import spatial_queries
 from orograph.sources import exports
 from orograph.sources.fixtures import load
 
@@ -53,6 +56,25 @@ def test_tours_start_first_visit_all_and_no_reversal_shortens_them(spark):
         assert all(length(order[:i] + order[i : k + 1][::-1] + order[k + 1 :]) >= length(order) - 0.011 for i in range(1, n - 1) for k in range(i + 1, n))
 
 
+def test_tours_are_shortened_until_no_reversal_gains(spark, sf_dir):
+    """After 200 reversals the others were left out; and ten tours whatever the table's size left one facility each of the smallest."""
+    rng = random.Random(7)
+    at = [(27.1 + rng.random() * 0.03, 38.4 + rng.random() * 0.03) for _ in range(1200)]
+    got = planning.tour_order(spark.createDataFrame([(1, s, *p) for s, p in enumerate(at)], "tour_id long, seq long, lon double, lat double")).collect()
+    order = [r["seq"] for r in sorted(got, key=lambda r: r["position"])]
+    assert sorted(order) == list(range(1200)) and order[0] == 0
+    x, y = (np.radians([at[s][c] for s in order]) for c in (0, 1))
+    a = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y[:, None]) * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
+    d = np.pad(2 * R * np.arcsin(np.sqrt(a)), (0, 1))  # nothing comes after the last
+    i, k = np.triu_indices(1200, 1)
+    on = lambda at, k: np.where(k < 1199, d[at, k + 1], 0)
+    gains = d[i - 1, i] + on(k, k) - d[i - 1, k] - on(i, k)
+    assert gains[i > 0].max() <= 0.0101
+    tours = spatial_queries.tour_order(spark, sf_dir).groupBy("tour_id").agg(F.count_distinct("position").alias("n"), F.max("position").alias("last")).collect()
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert sum(t["n"] for t in tours) == n and all(t["n"] == t["last"] + 1 for t in tours) and len(tours) <= n / 500 + 1
+
+
 def test_trips_take_the_hubs_nearest_to_their_ends(spark, edges, nodes, place):
     trips, hubs = [(1, 5, 140), (2, 140, 20), (3, 77, 78)], [3, 66, 131]
     legs = {}
