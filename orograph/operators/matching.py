@@ -23,8 +23,8 @@ from ..functions.durable import durable
 from .spatial import at_place, near_segments, places_of, within
 
 _OUT = "track_id {kind}, part int, seq long, u long, v long, lon double, lat double, residual_m double"
-#: Numbers of points (by seq) that are a block, and blocks or nodes that are a node of the tree.
-BLOCK, FAN = 256, 256
+#: Numbers of points (by seq) that are a block, and blocks or nodes that are a node of the tree; sequences of one block that are walked side by side.
+BLOCK, FAN, ABREAST = 256, 256, 64
 
 
 def _metres(lon1, lat1, lon2, lat2):
@@ -58,6 +58,33 @@ def most_likely(rows: pd.DataFrame, sigma: float, beta: float) -> np.ndarray:
     return starts + _traced(back, int(score[0].argmax()))
 
 
+def most_likely_of_many(rows: pd.DataFrame, sequence: np.ndarray, sigma: float, beta: float) -> np.ndarray:
+    """``most_likely`` of each of the sequences in ``rows`` (sequence, seq, rank order), all walked at once: one step of all of them is a few operations on arrays."""
+    starts = np.flatnonzero(np.r_[True, (np.diff(sequence) != 0) | (np.diff(rows["seq"].to_numpy()) != 0)])
+    n = np.diff(np.r_[starts, len(rows)])
+    at = np.minimum(starts[:, None] + np.arange(n.max()), len(rows) - 1)  # [point, rank]
+    none = np.arange(n.max()) >= n[:, None]
+    emit = np.where(none, -np.inf, -0.5 * (rows["dist_m"].to_numpy()[at] / sigma) ** 2 - math.log(math.sqrt(2 * math.pi) * sigma))
+    x, y = (rows[c].to_numpy()[at] for c in ("snap_lon", "snap_lat"))
+    lon, lat = (rows[c].to_numpy()[starts] for c in ("lon", "lat"))
+    first = np.flatnonzero(np.r_[True, np.diff(sequence[starts]) != 0])
+    length = np.diff(np.r_[first, len(starts)])
+    score, back, best = emit.copy(), np.zeros(at.shape, np.int64), np.empty(len(starts), np.int64)
+    for t in range(1, length.max()):
+        p = first[length > t] + t
+        straight = _metres(lon[p - 1], lat[p - 1], lon[p], lat[p])
+        between = _metres(x[p - 1][:, :, None], y[p - 1][:, :, None], x[p][:, None], y[p][:, None])
+        total = score[p - 1][:, :, None] - np.abs(straight[:, None, None] - between) / beta - math.log(beta)
+        back[p] = total.argmax(axis=1)
+        score[p] = total.max(axis=1) + emit[p]
+    for t in reversed(range(length.max())):
+        p, ends = first[length > t] + t, length[length > t] == t + 1
+        best[p[ends]] = score[p[ends]].argmax(axis=1)
+        on = p[~ends]
+        best[on] = back[on + 1, best[on + 1]]
+    return starts + best
+
+
 def _traced(back: list[np.ndarray], at: int) -> np.ndarray:
     path = [at]
     for step in reversed(back):
@@ -115,6 +142,10 @@ def _scan(items: DataFrame, begin: DataFrame, combine: Callable, blocks: int, ba
     return found.drop("n")
 
 
+def _found(best: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"track_id": best["track_id"], "part": best["part"], "seq": best["seq"], "u": best["u"], "v": best["v"], "lon": best["snap_lon"], "lat": best["snap_lat"], "residual_m": best["dist_m"]})
+
+
 def _paths(every: DataFrame, sigma: float, beta: float, block: int, fan: int, kind: str) -> DataFrame:
     """The best candidate of each point among ``every`` (track_id, part, seq, _k, ...), parts of a single point left out."""
     key = ["track_id", "part"]
@@ -123,8 +154,25 @@ def _paths(every: DataFrame, sigma: float, beta: float, block: int, fan: int, ki
     told = every.groupBy(*key, "_block").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
     told = told.select("*", F.lag("last").over(w).alias("before"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.lead("first").over(w).isNull().alias("ends"))
     told = durable(told.where("first < last or before is not null or not ends"), "blocks")
-    blocks = (told.agg(F.max("idx")).first()[0] or 0) + 1
+    n, blocks, alone = told.agg(F.count(F.lit(1)), F.max("idx"), F.count_if(F.col("ends") & F.col("before").isNull())).first()
+    blocks = (blocks or 0) + 1
+    # Sequences of one block need no tree.
+    single = told.where("ends and before is null").select(*key)
     columns = ["seq", "_k", "lon", "lat", "u", "v", "snap_lon", "snap_lat", "dist_m"]
+    groups = -(-max(1, alone) // ABREAST)
+    # The number is given so that few bytes, which stand for much work, stay many tasks.
+    tasks = max(1, min(groups, int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bucket = F.pmod(F.xxhash64(*key), F.lit(groups)).alias("_bucket")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*key, "seq", "_k"], kind="stable", ignore_index=True)
+        best = rows.iloc[most_likely_of_many(rows, rows.groupby(key, sort=False).ngroup().to_numpy(), sigma, beta)]
+        return _found(best)
+
+    whole = every.join(single, key).select(bucket, *key, *columns).repartition(tasks, "_bucket").groupBy("_bucket").applyInPandas(walk, _OUT.format(kind=kind))
+    if n == alone:
+        return whole
+    told = told.join(single, key, "left_anti")
     own = every.join(told.select(*key, "_block", "idx"), [*key, "_block"]).select(*key, "idx", F.lit(False).alias("_entry"), *columns)
     entry = every.join(told.where("before is not null").select(*key, F.col("before").alias("seq"), "idx"), [*key, "seq"]).select(*key, "idx", F.lit(True).alias("_entry"), *columns)
     leaves = durable(own.unionByName(entry), "leaves")
@@ -166,9 +214,9 @@ def _paths(every: DataFrame, sigma: float, beta: float, block: int, fan: int, ki
         rows, n = ordered(rows)
         _, back, starts = _forward(rows, sigma, beta, np.array([rows["_start"][0]]) if n else None, True)
         best = rows.iloc[(starts + _traced(back, int(rows["_end"][0])))[1 if n else 0 :]]
-        return pd.DataFrame({"track_id": best["track_id"], "part": best["part"], "seq": best["seq"], "u": best["u"], "v": best["v"], "lon": best["snap_lon"], "lat": best["snap_lat"], "residual_m": best["dist_m"]})
+        return _found(best)
 
-    return ready.join(ended, group).groupBy(*group).applyInPandas(path, _OUT.format(kind=kind))
+    return whole.unionByName(ready.join(ended, group).groupBy(*group).applyInPandas(path, _OUT.format(kind=kind)))
 
 
 def match_tracks(
@@ -193,7 +241,8 @@ def match_tracks(
     columns = ["_lon", "_lat", "lon", "lat", "u", "v", "snap_lon", "snap_lat", "dist_m", "_k"]
     places = durable(places_of(p), "places")
     rank = F.row_number().over(Window.partitionBy("_lon", "_lat").orderBy("dist_m", "u", "v"))
-    near = durable(near_segments(places, edges, radius_m).withColumn("_k", rank).where(F.col("_k") <= candidates).select(*columns), "near")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = durable(near_segments(places, edges, radius_m, tasks).withColumn("_k", rank).where(F.col("_k") <= candidates).select(*columns), "near")
     lost = places.join(near.select("_lon", "_lat").distinct(), ["_lon", "_lat"], "left_anti")
     n = nodes.select(F.col("id").alias("u"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
     nearest = F.row_number().over(Window.partitionBy("_lon", "_lat").orderBy("dist_m", "u"))

@@ -100,13 +100,15 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str, ta
     return found.groupBy(key).agg(F.min("b").alias("b")).select(key, F.col("b.t").alias(target_key), F.col("b.dist_m").alias("dist_m"))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, radius_m: float, tasks: int | None = None) -> DataFrame:
     """Pairs of points and segments (lon1, lat1, lon2, lat2, ...) within the radius: fraction, snap_lon, snap_lat, dist_m.
 
-    The nearest place is found in degrees, its distance is great-circle. Across the 180th meridian lon, lon2 and snap_lon count on beside lon1.
+    The nearest place is found in degrees, its distance is great-circle. Across the 180th meridian lon, lon2 and snap_lon count on beside lon1. ``tasks`` is for points of few
+    bytes, which stand for many pairs and would be one task.
     """
     size = max(1e-3, 4 * radius_m / geo.LAT_M)
     left = with_cell(points, F.col("lon"), F.col("lat"), size)
+    left = left if tasks is None else left.repartition(tasks, "_cx", "_cy")
     right = cells_of_box(segments, F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), radius_m, size)
     j = left.join(right.withColumn("lon2", beside(F.col("lon2"), F.col("lon1"))), ["_cx", "_cy"])
     j = j.withColumn("lon", F.col("lon") + F.col("_turn")).drop("_cx", "_cy", "_turn")

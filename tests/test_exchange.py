@@ -148,3 +148,17 @@ def test_matching_by_blocks_is_that_of_whole_tracks(spark, block, fan):
     key = lambda df: sorted(map(tuple, df.collect()))
     got = key(parts)
     assert got == key(whole) and len(got) > 95 and not any(r[0] == "c" for r in got)
+
+
+def test_tracks_of_one_block_are_walked_side_by_side_without_a_tree(spark, monkeypatch):
+    """Each was three groups of its own and went up and down a tree."""
+    rng = np.random.default_rng(5)
+    rows = [(t, q, k, 27 + q * 1e-4, 38.0, 27 + q * 1e-4 + d * 1e-5, 38 + e * 1e-5, abs(d) + abs(e)) for t in range(30) for q in range(int(rng.integers(2, 12))) for k, (d, e) in enumerate(rng.normal(0, 8, (int(rng.integers(1, 5)), 2)))]
+    df = pd.DataFrame(rows, columns=["track_id", "seq", "_k", "lon", "lat", "snap_lon", "snap_lat", "dist_m"])
+    want = [i for _, one in df.groupby("track_id") for i in one.index[matching.most_likely(one.reset_index(drop=True), 4.07, 3.0)]]
+    assert matching.most_likely_of_many(df, df["track_id"].to_numpy(), 4.07, 3.0).tolist() == want
+    monkeypatch.setattr(matching, "_scan", None)
+    edges = spark.createDataFrame([(1, 2, 27.0, 38.0, 27.01, 38.0), (2, 1, 27.01, 38.0, 27.0, 38.0)], "u long, v long, lon1 double, lat1 double, lon2 double, lat2 double")
+    nodes = spark.createDataFrame([(1, 27.0, 38.0), (2, 27.01, 38.0)], "id long, lon double, lat double")
+    points = spark.range(600).select((F.col("id") % 100).alias("track_id"), F.floor(F.col("id") / 100).alias("seq"), (27.001 + F.col("id") * 1e-5).alias("lon"), F.lit(38.0001).alias("lat"))
+    assert matching.match_tracks(points, edges, nodes).count() == 600
