@@ -81,3 +81,19 @@ def test_turns_of_half_right_angles_are_named_as_in_sql(spark):
     want = con.execute(f"{_TURN} SELECT route_id, angle, {_DIR} FROM a ORDER BY route_id").fetchall()
     got = P.turns(points, "x", "y").orderBy("route_id").select("route_id", "angle", "direction").collect()
     assert [tuple(r) for r in got] == want and {r[2] for r in want} == {"left", "slight_left", "slight_right"}
+
+
+def test_points_beside_routes_stay_in_their_cells(spark):
+    """All that points and segments met was sorted, and points were dealt out by their key to be joined with what was found, and again for buildings."""
+    points = spark.range(400).select("id", (27.1 + (F.col("id") % 20) * 1e-4).alias("lon"), (38.4 + F.floor(F.col("id") / 20) * 1e-4).alias("lat"))
+    line = lambda k, lat, z: (k, 1, 27.1, lat, z, 27.102, lat, z)
+    s = spark.createDataFrame([line(1, 38.4002, 5.0), line(2, 38.4006, 6.0), line(0, 38.4006, 7.0)], "route_id long, seq long, lon1 double, lat1 double, z1 double, lon2 double, lat2 double, z2 double")
+    b = spark.createDataFrame([(27.1, 38.4, 30.0), (27.1, 38.4, 5.0)], "lon double, lat double, reach_m double")
+    near = corridor.route_distances(points, s, 40.0, "id", "lon", "lat")
+    clear = corridor.clear_of(near, b)
+    assert "hashpartitioning(id" not in plan(clear) and "SortAggregate(key=[id" not in plan(clear)
+    by_key = points.select("id").join(corridor.route_distances(points, s, 40.0, "id"), "id")
+    assert sorted(map(tuple, near.drop("lon", "lat").collect())) == sorted(map(tuple, by_key.collect()))
+    assert {r["route_z"] for r in near.collect()} == {5.0, 7.0} and near.where("dist_m > 40").count() == 0
+    inside = geo.haversine(F.col("lon"), F.col("lat"), F.lit(27.1), F.lit(38.4)) < 30.0
+    assert clear.count() == near.where(~inside).count() < near.count()
