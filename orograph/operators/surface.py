@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, kinematics
 from ..functions.durable import durable
 from ..functions.numbers import clamp, finite_or, floor_mod
-from .polylines import densify
+from .polylines import LINE, densify_lines, lines_of
 from .spatial import bicubic
 
 #: Warmth from none to full in degrees Celsius, and the sun that slopes are judged by.
@@ -116,7 +116,15 @@ def gradients(points: DataFrame, layer: Layer, width: int, height: int, *keep: s
 
 
 def smooth_profile(points: DataFrame, layer: Layer, width: int, height: int, interval: float = 5.0) -> DataFrame:
-    """(route_id, seg, step, lon, lat, ...) along routes (route_id, seq, lon, lat, z): each pair of points in steps of ``interval`` metres at most, with the smooth surface there. Routes of one point have none."""
+    """(route_id, seg, step, lon, lat, ...) along routes (route_id, seq, lon, lat, z): each pair of points in steps of ``interval`` metres at most, with the smooth surface there. Routes of one point have none.
+
+    The surface is worked out along different lines once, however many routes run there.
+    """
     several = points.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("route_id"))).where("_n > 1").drop("_n")
-    along = densify(several, interval, None)
-    return gradients(along, layer, width, height, "route_id", "seg", "step", "lon", "lat")
+    pairs, lines = lines_of(several, interval)
+    # The number is given so that few bytes, which stand for many places, stay many tasks.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = gradients(densify_lines(durable(lines, "lines").repartition(tasks, *LINE)), layer, width, height, *LINE, "step", "lon", "lat")
+    pairs = pairs.withColumnsRenamed({c: f"_{c}" for c in LINE})
+    met = pairs.join(found, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in LINE])
+    return met.select("route_id", "seg", "step", "lon", "lat", *_SURFACE)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from orograph.operators import surface
+from orograph.operators import polylines, surface
 from orograph.sources import elevation_store as store
 
 CELLS = "col long, row_ long, value double"
@@ -103,3 +103,20 @@ def test_points_are_not_multiplied_by_the_cells_around_them(spark):
     rows = {(r["route_id"], r["seg"], r["step"]): r["elevation_m"] for r in found.collect()}
     assert sorted(rows) == [(1, 0, 0), (1, 1, 0), (3, 0, 0), (3, 1, 0)]
     assert rows[1, 0, 0] == pytest.approx(2.0 * 4.0) and rows[3, 0, 0] == 0.0
+
+
+def test_routes_on_one_line_share_its_smooth_profile(spark, monkeypatch):
+    """The surface was worked out for each step of each route."""
+    asked, gradients = [], surface.gradients
+    monkeypatch.setattr(surface, "gradients", lambda p, *a: asked.append(p.count()) or gradients(p, *a))
+    cells = spark.range(100).select((F.col("id") % 10).alias("col"), F.floor(F.col("id") / 10).alias("row_"), (F.col("id") % 7).cast("double").alias("value"))
+    layer = surface.Layer(cells, 27.0, 38.01, 0.001, 0.001)
+    at = [(27.001, 38.001), (27.0032, 38.0014), (27.0032, 38.0014), (None, 38.002), (27.005, 38.004), (27.02, 38.004)]
+    rows = [(k, i, *p, 0.0) for k in range(300) for i, p in enumerate(at)] + [(900, 0, 27.001, 38.001, 0.0), (901, 0, 27.001, 38.001, 0.0), (901, 1, 27.004, 38.001, 0.0)]
+    points = spark.createDataFrame(rows, "route_id long, seq long, lon double, lat double, z double")
+    got = surface.smooth_profile(points, layer, 10, 10, 25.0)
+    several = points.where("route_id <> 900")
+    plain = gradients(polylines.densify(several, 25.0, None), layer, 10, 10, "route_id", "seg", "step", "lon", "lat").select(got.columns)
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300 * 50
+    assert asked[0] < 200
