@@ -49,7 +49,8 @@ def dominates(a: Column, b: Column, epsilon: float) -> Column:
 
 def _undominated(labels: DataFrame, epsilon: float, *keys: str) -> DataFrame:
     """The labels of each group that no other of it dominates; of labels with the same sums the one that was there before, then the least path."""
-    same = labels.groupBy(*keys, *SUMS).agg(F.min(F.struct("fresh", "path")).alias("l"))
+    # Dealt out by group once, for both steps; the first alone would be dealt out by sums too.
+    same = labels.repartition(*keys).groupBy(*keys, *SUMS).agg(F.min(F.struct("fresh", "path")).alias("l"))
     every = same.groupBy(*keys).agg(F.collect_list(F.struct(*SUMS, "l.fresh", "l.path")).alias("a"))
     kept = F.filter("a", lambda x: ~F.exists("a", lambda y: dominates(y, x, epsilon)))
     return every.select(*keys, F.inline(kept))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions import geo
 from orograph.functions.durable import durable
-from orograph.operators import corridor
+from orograph.operators import corridor, pareto
 from orograph.operators import polylines as P
 from orograph.plans.polyline_queries import _DIR, _TURN
 from orograph.sources.fixtures import load
@@ -97,3 +97,10 @@ def test_points_beside_routes_stay_in_their_cells(spark):
     assert {r["route_z"] for r in near.collect()} == {5.0, 7.0} and near.where("dist_m > 40").count() == 0
     inside = geo.haversine(F.col("lon"), F.col("lat"), F.lit(27.1), F.lit(38.4)) < 30.0
     assert clear.count() == near.where(~inside).count() < near.count()
+
+
+def test_labels_are_dealt_out_once_a_round(spark):
+    """They were dealt out by group and sums, then by group."""
+    labels = spark.range(40).select((F.col("id") % 3).alias("query_id"), (F.col("id") % 5).alias("node"), *[(F.col("id") % k).cast("double").alias(s) for k, s in zip((2, 3, 4, 7), pareto.SUMS, strict=True)], F.lit(True).alias("fresh"), F.array("id").alias("path"))
+    kept = pareto._undominated(labels, 0.0, "query_id", "node")
+    assert plan(kept).count("Exchange hashpartitioning") == 1 and 0 < kept.count() < 40
